@@ -113,3 +113,306 @@ def statistical_summary(df: DataFrame, cols: list[str] | None = None,
                     oc, (oc / rows * 100.0) if rows else None, d, ratio,
                     None if ratio is None else ratio < rules.NEAR_CONSTANT_RATIO))
     return spark.createDataFrame(out, schema)
+
+
+# --------------------------------------------------------------------------- E1
+def _ranges(df: DataFrame, cols: list[str]) -> dict:
+    row = df.agg(*[F.min(_num(df, c)).alias(f"lo{i}") for i, c in enumerate(cols)],
+                 *[F.max(_num(df, c)).alias(f"hi{i}") for i, c in enumerate(cols)],
+                 *[F.count(_num(df, c)).alias(f"n{i}") for i, c in enumerate(cols)],
+                 *[F.stddev_samp(_num(df, c)).alias(f"sd{i}") for i, c in enumerate(cols)]).first()
+    return {c: (row[f"lo{i}"], row[f"hi{i}"], row[f"n{i}"], row[f"sd{i}"])
+            for i, c in enumerate(cols)}
+
+
+def bin_index(v, lo: float, hi: float, bins: int):
+    """Equal-width bin 0..bins-1, the maximum falls in the last bin."""
+    if hi == lo:
+        return F.lit(0)
+    return F.least(F.floor((v - F.lit(lo)) / F.lit(hi - lo) * F.lit(bins)).cast("int"),
+                   F.lit(bins - 1))
+
+
+def histogram(df: DataFrame, cols: list[str] | None = None,
+              bins: int = rules.HISTOGRAM_BINS) -> DataFrame:
+    """(column_name, bin, bin_lo, count) with ``bins`` equal-width bins per
+    numeric column (E1): one min/max aggregate, then one grouped count of
+    (column, bin) - output size is columns x bins whatever the row count."""
+    cols = numeric_columns(df) if cols is None else list(cols)
+    rng = _ranges(df, cols)
+    items = []
+    for c in cols:
+        lo, hi, n, _ = rng[c]
+        if lo is None:
+            continue
+        v = _num(df, c)
+        items.append(F.when(v.isNotNull(), F.struct(F.lit(c).alias("column_name"),
+                                                    bin_index(v, lo, hi, bins).alias("bin"),
+                                                    F.lit(float(lo)).alias("lo"),
+                                                    F.lit(float(hi)).alias("hi"))))
+    if not items:
+        return df.sparkSession.createDataFrame([], "column_name string, bin int, bin_lo double, count bigint")
+    e = F.explode(F.filter(F.array(*items), lambda x: x.isNotNull())).alias("e")
+    return (df.select(e).select("e.*")
+            .groupBy("column_name", "bin", "lo", "hi").agg(F.count(F.lit(1)).alias("count"))
+            .select("column_name", "bin",
+                    (F.col("lo") + F.col("bin") * (F.col("hi") - F.col("lo")) / F.lit(bins)).alias("bin_lo"),
+                    "count"))
+
+
+# --------------------------------------------------------------------------- E2
+def kde_curve(df: DataFrame, cols: list[str] | None = None, grid: int = 200,
+              fine_bins: int = 2048) -> DataFrame:
+    """Gaussian KDE with Scott's bandwidth (sd * n^-1/5) on ``grid`` points
+    over [min - range/2, max + range/2] (E2).
+
+    One scan reduces every column to ``fine_bins`` bin centres with counts;
+    each (column, bin) row then emits its contribution to every grid point
+    (explode of a fixed-size grid) and contributions are summed per grid
+    point - the work is columns x fine_bins x grid, independent of rows."""
+    cols = numeric_columns(df) if cols is None else list(cols)
+    rng = _ranges(df, cols)
+    params, items = [], []
+    for c in cols:
+        lo, hi, n, sd = rng[c]
+        if lo is None or not sd or hi == lo or n < 2:
+            continue
+        bw = sd * n ** (-0.2)
+        g_lo, g_hi = lo - 0.5 * (hi - lo), hi + 0.5 * (hi - lo)
+        params.append((c, float(lo), (hi - lo) / fine_bins, g_lo, (g_hi - g_lo) / (grid - 1),
+                       bw, n * bw * math.sqrt(2 * math.pi)))
+        v = _num(df, c)
+        items.append(F.when(v.isNotNull(), F.struct(F.lit(c).alias("column_name"),
+                                                    bin_index(v, lo, hi, fine_bins).alias("b"))))
+    schema = "column_name string, point int, x double, density double"
+    if not items:
+        return df.sparkSession.createDataFrame([], schema)
+    prm = df.sparkSession.createDataFrame(
+        params, "column_name string, lo double, width double, g_lo double, step double, "
+                "bw double, norm double")
+    e = F.explode(F.filter(F.array(*items), lambda x: x.isNotNull())).alias("e")
+    binned = df.select(e).select("e.*").groupBy("column_name", "b").agg(F.count(F.lit(1)).alias("cnt"))
+    centre = F.col("lo") + (F.col("b") + F.lit(0.5)) * F.col("width")
+    gx = F.col("g_lo") + F.col("point") * F.col("step")
+    contrib = (binned.join(F.broadcast(prm), "column_name")
+               .select("column_name", "g_lo", "step", "norm", centre.alias("centre"), "cnt", "bw",
+                       F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("point"))
+               .select("column_name", "point", gx.alias("x"), "norm",
+                       (F.col("cnt") * F.exp(F.lit(-0.5) * F.pow((gx - F.col("centre")) / F.col("bw"), 2)))
+                       .alias("w")))
+    return (contrib.groupBy("column_name", "point", "x", "norm").agg(F.sum("w").alias("s"))
+            .select("column_name", "point", "x", (F.col("s") / F.col("norm")).alias("density")))
+
+
+# --------------------------------------------------------------------------- E3
+def box_stats(df: DataFrame, cols: list[str] | None = None, exact: bool = True) -> DataFrame:
+    """(column_name, q1, median, q3, whisker_low, whisker_high, outliers)."""
+    cols = numeric_columns(df) if cols is None else list(cols)
+    q = exact_quantiles(df, cols, [0.25, 0.5, 0.75], exact=exact)
+    aggs, live = [], []
+    for i, c in enumerate(cols):
+        q1, q3 = q[(c, 0.25)], q[(c, 0.75)]
+        if q1 is None:
+            continue
+        lo, hi = q1 - rules.IQR_FACTOR * (q3 - q1), q3 + rules.IQR_FACTOR * (q3 - q1)
+        v = _num(df, c)
+        inside = (v >= F.lit(lo)) & (v <= F.lit(hi))
+        aggs += [F.min(F.when(inside, v)).alias(f"wl{i}"), F.max(F.when(inside, v)).alias(f"wh{i}"),
+                 F.count_if((v < F.lit(lo)) | (v > F.lit(hi))).alias(f"o{i}")]
+        live.append((i, c))
+    rows = []
+    if aggs:
+        r = df.agg(*aggs).first()
+        for i, c in live:
+            rows.append((c, q[(c, 0.25)], q[(c, 0.5)], q[(c, 0.75)], r[f"wl{i}"], r[f"wh{i}"],
+                         int(r[f"o{i}"])))
+    return df.sparkSession.createDataFrame(
+        rows, "column_name string, q1 double, median double, q3 double, whisker_low double, "
+              "whisker_high double, outliers bigint")
+
+
+# --------------------------------------------------------------------------- E4/E8
+def top_values(df: DataFrame, cols: list[str] | None = None, k: int = rules.TOP_VALUES,
+               counts: DataFrame | None = None) -> DataFrame:
+    """(column_name, rank, value, count): k most frequent non-null values per
+    column, ties by value (E4). ``row_number <= k`` is planned as a
+    WindowGroupLimit, so each map task ships at most k rows per column."""
+    cols = text_columns(df) if cols is None else list(cols)
+    vc = counts if counts is not None else value_counts(df, cols)
+    w = Window.partitionBy("column_name").orderBy(F.col("count").desc(), F.col("value").asc())
+    return (vc.where(F.col("value").isNotNull())
+            .withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+            .select("column_name", "rank", "value", "count"))
+
+
+def category_value_counts(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
+    """(column_name, value, count) for categorical columns, nulls excluded."""
+    cols = text_columns(df) if cols is None else list(cols)
+    return value_counts(df, cols).where(F.col("value").isNotNull())
+
+
+# --------------------------------------------------------------------------- E5-E7
+def missing_summary(df: DataFrame) -> DataFrame:
+    """(column_name, missing_count, missing_percentage, total_missing_cells,
+    total_cells) (E5)."""
+    cols = df.columns
+    aggs = [F.count(F.lit(1)).alias("__rows")]
+    aggs += [F.count_if(is_missing(c, df.schema[c].dataType)).alias(f"missing_count__{i}")
+             for i, c in enumerate(cols)]
+    one = df.agg(*aggs)
+    total = sum(F.col(f"missing_count__{i}") for i in range(len(cols)))
+    one = one.withColumn("__total", total)
+    items = [F.struct(F.lit(c).alias("column_name"),
+                      F.col(f"missing_count__{i}").alias("missing_count"),
+                      (F.col(f"missing_count__{i}") / F.col("__rows") * 100).alias("missing_percentage"),
+                      F.col("__total").alias("total_missing_cells"),
+                      (F.col("__rows") * F.lit(len(cols))).alias("total_cells"))
+             for i, c in enumerate(cols)]
+    return one.select(F.explode(F.array(*items)).alias("s")).select("s.*")
+
+
+def missing_patterns(df: DataFrame) -> DataFrame:
+    """(pattern, rows): one row per distinct null pattern, '1' = missing, in
+    column order (E6, the missing matrix re-aimed as pattern counts)."""
+    flags = [F.when(is_missing(f.name, f.dataType), F.lit("1")).otherwise(F.lit("0"))
+             for f in df.schema.fields]
+    return df.groupBy(F.concat(*flags).alias("pattern")).agg(F.count(F.lit(1)).alias("rows"))
+
+
+def missing_correlation(df: DataFrame) -> DataFrame:
+    """(column_a, column_b, corr) Pearson between null flags; null when a
+    column has no or only missing values (E7)."""
+    cols = df.columns
+    flags = {c: F.when(is_missing(c, df.schema[c].dataType), 1.0).otherwise(0.0) for c in cols}
+    aggs, pairs = [], []
+    for i, a in enumerate(cols):
+        for j, b in enumerate(cols):
+            aggs.append(pair_corr(flags[a], flags[b]).alias(f"c_{i}_{j}"))
+            pairs.append((a, b, f"c_{i}_{j}"))
+    one = df.agg(*aggs)
+    items = [F.struct(F.lit(a).alias("column_a"), F.lit(b).alias("column_b"), F.col(k).alias("corr"))
+             for a, b, k in pairs]
+    return one.select(F.explode(F.array(*items)).alias("s")).select("s.*")
+
+
+# --------------------------------------------------------------------------- E9-E11
+def target_distribution(df: DataFrame, target: str) -> DataFrame:
+    """(value, count) per target class, nulls excluded."""
+    return (df.where(col(target).isNotNull())
+            .groupBy(col(target).cast("string").alias("value")).agg(F.count(F.lit(1)).alias("count")))
+
+
+def imbalance_ratio(df: DataFrame, target: str) -> DataFrame:
+    """max class count / min class count."""
+    return target_distribution(df, target).agg(
+        (F.max("count") / F.min("count")).alias("imbalance_ratio"))
+
+
+def contingency(df: DataFrame, target: str, cols: list[str] | None = None) -> DataFrame:
+    """(column_name, value, target_value, count) for every categorical column
+    against the target, rows with a missing side excluded (E11, long form)."""
+    cols = [c for c in (text_columns(df) if cols is None else cols) if c != target]
+    t = col(target).cast("string")
+    items = [F.struct(F.lit(c).alias("column_name"), col(c).cast("string").alias("value"))
+             for c in cols]
+    return (df.where(t.isNotNull())
+            .select(F.explode(F.array(*items)).alias("s"), t.alias("target_value"))
+            .where(F.col("s.value").isNotNull())
+            .groupBy(F.col("s.column_name").alias("column_name"), F.col("s.value").alias("value"),
+                     "target_value")
+            .agg(F.count(F.lit(1)).alias("count")))
+
+
+def contingency_wide(df: DataFrame, column: str, target: str) -> DataFrame:
+    """Cross table of one column x target classes (E11, wide form). The
+    pivot values are the target's classes, read first (bounded)."""
+    classes = sorted(r[0] for r in df.where(col(target).isNotNull())
+                     .select(col(target).cast("string")).distinct().collect())
+    return (df.where(col(column).isNotNull() & col(target).isNotNull())
+            .groupBy(col(column).cast("string").alias("value"))
+            .pivot(target, classes).agg(F.count(F.lit(1))).na.fill(0))
+
+
+# --------------------------------------------------------------------------- E13
+def correlation_matrix(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
+    """(column_a, column_b, corr) for all numeric pairs, pair-complete rows,
+    null when undefined (E13). One aggregate of d^2 moment expressions."""
+    cols = numeric_columns(df) if cols is None else list(cols)
+    vals = {c: _num(df, c) for c in cols}
+    aggs, pairs = [], []
+    for i, a in enumerate(cols):
+        for j, b in enumerate(cols):
+            if j < i:
+                continue
+            aggs.append(pair_corr(vals[a], vals[b]).alias(f"c_{i}_{j}"))
+            pairs.append((a, b, f"c_{i}_{j}"))
+            if i != j:
+                pairs.append((b, a, f"c_{i}_{j}"))
+    if not aggs:
+        return df.sparkSession.createDataFrame([], "column_a string, column_b string, corr double")
+    one = df.agg(*aggs)
+    items = [F.struct(F.lit(a).alias("column_a"), F.lit(b).alias("column_b"), F.col(k).alias("corr"))
+             for a, b, k in pairs]
+    return one.select(F.explode(F.array(*items)).alias("s")).select("s.*")
+
+
+# --------------------------------------------------------------------------- E14/E15
+def pair_density(df: DataFrame, pairs: list[tuple[str, str]], bins: int = 10) -> DataFrame:
+    """(column_x, column_y, bin_x, bin_y, count) 2-D bin counts over
+    pair-complete rows (E14/E15: pair plots re-aimed as densities)."""
+    cols = sorted({c for p in pairs for c in p})
+    rng = _ranges(df, cols)
+    items = []
+    for a, b in pairs:
+        (alo, ahi, _, _), (blo, bhi, _, _) = rng[a], rng[b]
+        if alo is None or blo is None:
+            continue
+        va, vb = _num(df, a), _num(df, b)
+        items.append(F.when(va.isNotNull() & vb.isNotNull(), F.struct(
+            F.lit(a).alias("column_x"), F.lit(b).alias("column_y"),
+            bin_index(va, alo, ahi, bins).alias("bin_x"), bin_index(vb, blo, bhi, bins).alias("bin_y"))))
+    if not items:
+        return df.sparkSession.createDataFrame(
+            [], "column_x string, column_y string, bin_x int, bin_y int, count bigint")
+    e = F.explode(F.filter(F.array(*items), lambda x: x.isNotNull())).alias("e")
+    return (df.select(e).select("e.*").groupBy("column_x", "column_y", "bin_x", "bin_y")
+            .agg(F.count(F.lit(1)).alias("count")))
+
+
+def pair_plot_density(df: DataFrame, bins: int = 10) -> DataFrame:
+    """First five numeric columns, every ordered pair."""
+    cols = numeric_columns(df)[:rules.PAIR_PLOT_COLUMNS]
+    return pair_density(df, [(a, b) for a in cols for b in cols if a != b], bins)
+
+
+def target_density(df: DataFrame, target: str, bins: int = 10) -> DataFrame:
+    """Each numeric feature against a numeric target."""
+    cols = [c for c in numeric_columns(df) if c != target]
+    return pair_density(df, [(c, target) for c in cols], bins)
+
+
+# --------------------------------------------------------------------------- E16
+def explore(df: DataFrame, target: str | None = None) -> dict[str, DataFrame]:
+    """The EDA bundle (E16): every section as a DataFrame, sharing one
+    value-count backbone."""
+    texts = text_columns(df)
+    vc = value_counts(df, texts) if texts else None
+    out = {
+        "statistical_summary": statistical_summary(df),
+        "histogram": histogram(df),
+        "box_stats": box_stats(df),
+        "correlation_matrix": correlation_matrix(df),
+        "missing_summary": missing_summary(df),
+        "missing_patterns": missing_patterns(df),
+        "pair_density": pair_plot_density(df),
+    }
+    if texts:
+        out["top_values"] = top_values(df, texts, counts=vc)
+        out["value_counts"] = vc.where(F.col("value").isNotNull())
+    if target and target in df.columns:
+        out["target_distribution"] = target_distribution(df, target)
+        out["imbalance_ratio"] = imbalance_ratio(df, target)
+        out["contingency"] = contingency(df, target)
+        if target in numeric_columns(df):
+            out["target_density"] = target_density(df, target)
+    return out
