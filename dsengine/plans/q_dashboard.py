@@ -112,7 +112,7 @@ def q_relation_fallback(spark, sf):
 @register("numeric_summary_card", with_dirty("""
 SELECT 'k' AS column_name, CAST(9 AS BIGINT) AS numeric_columns, count(k) AS count,
   round(avg(k), 6) AS mean, round(quantile_cont(CAST(k AS DOUBLE), 0.5), 6) AS median,
-  round(stddev_samp(k), 6) AS std, round(min(k), 6) AS min, round(max(k), 6) AS max,
+  round(stddev_samp(k), 6) AS std, round(CAST(min(k) AS DOUBLE), 6) AS min, round(CAST(max(k) AS DOUBLE), 6) AS max,
   round(quantile_cont(CAST(k AS DOUBLE), 0.25), 6) AS q1, round(quantile_cont(CAST(k AS DOUBLE), 0.75), 6) AS q3
 FROM dirty"""))
 def q_numeric_summary_card(spark, sf):
