@@ -118,18 +118,20 @@ class Prepared:
     total_rows: int = 0
 
 
-def assemble_numeric(df: DataFrame, target: str, one_hot: OneHotModel | None = None
+def assemble_numeric(df: DataFrame, target: str, one_hot: OneHotModel | None = None,
+                     passthrough: list[str] | None = None
                      ) -> tuple[DataFrame, list[str], OneHotModel]:
     """One-hot the text features, cast everything to double, keep rows with
-    every feature and the target present (M3)."""
-    feats = df.drop(target)
+    every feature and the target present (M3). ``passthrough`` columns (row
+    ids) are kept unchanged and are not features."""
+    keep = list(passthrough or [])
+    feats = df.drop(target, *keep)
     one_hot = one_hot or fit_one_hot(feats)
-    enc = one_hot.transform(feats.select(*[col(c) for c in feats.columns]))
-    names = enc.columns
-    num = df.select(*[col(c) for c in df.columns])
-    num = one_hot.transform(num)
-    sel = [F.col(f"`{c}`").cast("double").alias(c) for c in names] + [col(target)]
-    out = num.select(*sel)
+    names = one_hot.transform(feats).columns
+    enc = one_hot.transform(df)
+    sel = ([F.col(f"`{c}`").cast("double").alias(c) for c in names] + [col(target)]
+           + [col(k) for k in keep])
+    out = enc.select(*sel)
     cond = col(target).isNotNull()
     for c in names:
         v = F.col(f"`{c}`")
