@@ -31,6 +31,7 @@ from dataclasses import dataclass, field
 from typing import Any
 
 import numpy as np
+import pandas as pd
 from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LinearSVC,
                                        LogisticRegression, MultilayerPerceptronClassifier,
                                        OneVsRest, RandomForestClassifier)
@@ -157,38 +158,45 @@ def fit_tree_regressor(train, features, depth=20):
 
 
 # --------------------------------------------------------------------------- RFF
-def rff_columns(features: list[str], n_out: int = 100, gamma: float | None = None,
-                seed: int = rules.SEED) -> list[Column]:
+def rff_map(features: list[str], n_out: int = 100, gamma: float | None = None,
+            seed: int = rules.SEED) -> Column:
     """Random Fourier features sqrt(2/D) cos(W x + b) approximating an RBF
-    kernel exp(-gamma |x-y|^2); gamma defaults to 1/d (scaled inputs)."""
+    kernel exp(-gamma |x-y|^2) (gamma defaults to 1/d on scaled inputs), as
+    an Arrow-batched pandas UDF doing one matrix product per batch - a
+    D x d expression tree would exceed the code generator."""
+    from pyspark.ml.functions import array_to_vector
+
     d = len(features)
     gamma = 1.0 / max(1, d) if gamma is None else gamma
     rng = np.random.default_rng(seed)
     w = rng.normal(0.0, math.sqrt(2 * gamma), size=(n_out, d))
     b = rng.uniform(0, 2 * math.pi, size=n_out)
     scale = math.sqrt(2.0 / n_out)
-    cols = []
-    for i in range(n_out):
-        z = F.lit(float(b[i]))
-        for j, c in enumerate(features):
-            z = z + F.lit(float(w[i, j])) * F.col(f"`{c}`")
-        cols.append((F.lit(scale) * F.cos(z)).alias(f"__rff{i}"))
-    return cols
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def rff(x: pd.Series) -> pd.Series:
+        if len(x) == 0:
+            return pd.Series([], dtype=object)
+        m = np.vstack(x.to_numpy()).astype(np.float64)
+        z = scale * np.cos(m @ w.T + b)
+        return pd.Series(list(z))
+
+    arr = F.array(*[F.col(f"`{c}`").cast("double") for c in features])
+    return array_to_vector(rff(arr))
 
 
 def _rff_frame(df: DataFrame, features, n_out):
-    return df.select("*", *rff_columns(features, n_out))
+    return df.withColumn("__rff", rff_map(features, n_out))
 
 
 def fit_svm(train, features, n_classes, n_out=100):
-    names = [f"__rff{i}" for i in range(n_out)]
     t = _rff_frame(train, features, n_out)
-    svc = LinearSVC(maxIter=100, regParam=1.0 / max(1, train.count()))
-    est = svc if n_classes <= 2 else OneVsRest(classifier=svc)
-    model = est.fit(assemble(t, names))
+    svc = LinearSVC(maxIter=100, regParam=1.0 / max(1, train.count()), featuresCol="__rff")
+    est = svc if n_classes <= 2 else OneVsRest(classifier=svc, featuresCol="__rff")
+    model = est.fit(t)
 
     def tf(f: Fitted, df: DataFrame) -> DataFrame:
-        out = f.model.transform(assemble(_rff_frame(df, f.features, n_out), names))
+        out = f.model.transform(_rff_frame(df, f.features, n_out))
         raw = vector_to_array("rawPrediction")
         sig = F.transform(raw, lambda v: 1 / (1 + F.exp(-v)))
         tot = F.aggregate(sig, F.lit(0.0), lambda a, v: a + v)
@@ -199,12 +207,11 @@ def fit_svm(train, features, n_classes, n_out=100):
 
 
 def fit_svr(train, features, n_out=100):
-    names = [f"__rff{i}" for i in range(n_out)]
     t = _rff_frame(train, features, n_out)
-    model = LinearRegression(loss="huber", maxIter=100, regParam=0.0).fit(assemble(t, names))
+    model = LinearRegression(loss="huber", maxIter=100, regParam=0.0, featuresCol="__rff").fit(t)
 
     def tf(f: Fitted, df: DataFrame) -> DataFrame:
-        out = f.model.transform(assemble(_rff_frame(df, f.features, n_out), names))
+        out = f.model.transform(_rff_frame(df, f.features, n_out))
         return out.select(*[F.col(c) for c in df.columns],
                           F.col("prediction").cast("double").alias("prediction"))
     return Fitted("SVR", "regression", features, 0, model, transform_fn=tf)
@@ -219,7 +226,6 @@ def _knn_local(train_x: np.ndarray, train_y: np.ndarray, train_id: np.ndarray, k
     tn = np.sum(train_x * train_x, axis=1)
 
     def run(batches):
-        import pandas as pd
         for pdf in batches:
             if len(pdf) == 0:
                 continue
@@ -312,19 +318,21 @@ def fit_adaboost_classifier(train, features, n_classes, rounds=rules.N_TREES,
     k = max(2, n_classes)
     cands = _stump_candidates(train, features)
     n = train.count()
-    cur = train.select(*[F.col(f"`{c}`") for c in features], F.col("label").cast("double").alias("label"),
-                       F.lit(1.0 / n).alias("__w"))
+    live = [c for c in features if cands[c]]
+
+    def bin_of(c):
+        pos = F.lit(0)
+        for t in cands[c]:
+            pos = pos + F.when(F.col(f"`{c}`") > F.lit(t), 1).otherwise(0)
+        return pos
+
+    # features are binned once; every round only re-aggregates weights per bin
+    cur = train.select(*[bin_of(c).alias(f"__b{i}") for i, c in enumerate(live)],
+                       F.col("label").cast("double").alias("label"), F.lit(1.0 / n).alias("__w"))
+    cur = materialize(cur, "adaboost-bins")
+    items = [F.struct(F.lit(c).alias("f"), F.col(f"__b{i}").alias("b")) for i, c in enumerate(live)]
     stumps = []
     for m in range(rounds):
-        items = []
-        for c in features:
-            th = cands[c]
-            if not th:
-                continue
-            pos = F.lit(0)
-            for t in th:
-                pos = pos + F.when(F.col(f"`{c}`") > F.lit(t), 1).otherwise(0)
-            items.append(F.struct(F.lit(c).alias("f"), pos.alias("b")))
         hist = (cur.select(F.explode(F.array(*items)).alias("s"), "label", "__w")
                 .groupBy("s.f", "s.b", "label").agg(F.sum("__w").alias("w")).collect())
         total = sum(h["w"] for h in hist) / max(1, len(items))
@@ -352,7 +360,10 @@ def fit_adaboost_classifier(train, features, n_classes, rounds=rules.N_TREES,
             break
         alpha = math.log((1 - err) / err) + math.log(k - 1)
         stumps.append((best[1], best[2], best[3], best[4], alpha))
-        miss = (_stump_pred(best[1], best[2], best[3], best[4]) != F.col("label"))
+        bi = live.index(best[1])
+        cut = cands[best[1]].index(best[2])
+        miss = (F.when(F.col(f"__b{bi}") <= F.lit(cut), F.lit(best[3])).otherwise(F.lit(best[4]))
+                != F.col("label"))
         # renormalise analytically: sum_new = (1 - err) + err * e^alpha of total
         norm = (1 - err) + err * math.exp(alpha)
         cur = cur.withColumn("__w", F.col("__w") * F.when(miss, F.lit(math.exp(alpha))).otherwise(1.0)
