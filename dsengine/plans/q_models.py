@@ -222,3 +222,23 @@ def q_persist_bundle(spark, sf):
     b2 = load_bundle(spark, path)
     out = TR.score(b2, _score_input(spark, sf))
     return out.select("l_orderkey", "l_linenumber", "prediction")
+
+
+def _dashboard(spark, sf):
+    from dsengine.operators import dashboard as D
+    df = parts(spark, sf)
+    res = TR.train_all(df, "p_retailprice", ["p_partkey"],
+                       models=["Linear Regression", "Decision Tree"])
+    return D.dashboard(df, "p_retailprice", ["p_partkey"], res.leaderboard, res.task_type)
+
+
+@register("dashboard_kpis")
+def q_dashboard_kpis(spark, sf):
+    return _dashboard(spark, sf)["kpis"]
+
+
+@register("dashboard_bundle")
+def q_dashboard_bundle(spark, sf):
+    parts_ = _dashboard(spark, sf)
+    return spark.createDataFrame([(k, v.count()) for k, v in parts_.items()],
+                                 "section string, rows bigint")

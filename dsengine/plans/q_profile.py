@@ -158,3 +158,34 @@ SELECT {name} AS column_name, {i} AS ordinal, count(DISTINCT {c}) AS n_distinct,
 FROM dirty""")))
 def q_target_suitability(spark, sf):
     return profile.target_suitability(dirty(spark, sf))
+
+
+def _input_sql(cols_kinds):
+    parts = []
+    for i, (c, kind) in enumerate(cols_kinds):
+        if kind == "numeric":
+            parts.append(f"""SELECT '{c}' AS column_name, {i} AS ordinal,
+  CASE WHEN count({c}) = 0 THEN 'text' ELSE 'number' END AS input_type FROM dirty""")
+            continue
+        s = f"trim(CAST({c} AS STRING))"
+        present = f"({s} IS NOT NULL AND {s} <> '')"
+        num = f"TRY_CAST({s} AS DOUBLE) IS NOT NULL"
+        parsed = (f"coalesce(TRY_CAST({s} AS TIMESTAMP), try_strptime({s}, '%m/%d/%Y'), "
+                  f"try_strptime({s}, '%Y/%m/%d')) IS NOT NULL")
+        date = f"{present} AND NOT ({num} AND length({s}) < 6) AND {parsed}"
+        has_time = f"{date} AND regexp_matches({s}, '\\d{{1,2}}:\\d{{2}}|T\\d{{1,2}}:\\d{{2}}')"
+        named = "true" if any(w in c.lower() for w in ["date", "dob", "timestamp", "created", "updated", "time"]) else "false"
+        n = f"count(*) FILTER (WHERE {present})"
+        d = f"count(*) FILTER (WHERE {date})"
+        parts.append(f"""SELECT '{c}' AS column_name, {i} AS ordinal,
+  CASE WHEN {n} = 0 THEN 'text'
+       WHEN ({d} / {n} >= 0.7 OR ({named} AND {d} / {n} >= 0.3)) AND count(*) FILTER (WHERE {has_time}) > 0 THEN 'datetime-local'
+       WHEN {d} / {n} >= 0.7 OR ({named} AND {d} / {n} >= 0.3) THEN 'date'
+       WHEN count(*) FILTER (WHERE {present} AND {num}) / {n} >= 0.9 THEN 'number'
+       ELSE 'text' END AS input_type FROM dirty""")
+    return with_dirty("\nUNION ALL\n".join(parts))
+
+
+@register("input_types", _input_sql([(c, _DIRTY_KINDS[c]) for c in DIRTY_COLUMNS]))
+def q_input_types(spark, sf):
+    return profile.input_types(dirty(spark, sf))
