@@ -93,3 +93,11 @@ def pair_corr(x: Column, y: Column) -> Column:
     yy = F.when(both, y)
     denom = F.stddev_samp(xx) * F.stddev_samp(yy)
     return F.try_divide(F.covar_samp(xx, yy), F.when(denom != 0, denom))
+
+
+def mean_expr(v: Column) -> Column:
+    """Mean that does not depend on summation order: an exact decimal sum
+    when every |value| < 1e20 (decimal(38,12) cannot overflow), else the
+    double average. Makes results reproducible across partitionings."""
+    dec = F.avg(v.try_cast("decimal(38,12)")).cast("double")
+    return F.when(F.max(F.abs(v)) < F.lit(1e20), dec).otherwise(F.avg(v))

@@ -6,7 +6,11 @@ in the final aggregation task, which does not survive 100 TB of distinct
 doubles. Here every quantile becomes two order statistics (k-th smallest
 values) found by histogram refinement:
 
-1. one aggregate gives count/min/max per column;
+1. one aggregate gives count/min/max per column and, from
+   ``percentile_approx``, a bracket [v(p - 2/accuracy), v(p + 2/accuracy)]
+   around every wanted rank; a second aggregate counts the rows below and
+   inside each bracket (a bracket that misses its rank is replaced by the
+   full range, so the result stays exact);
 2. each pass bins the rows still inside the current interval into ``bins``
    equal-width bins (one ``groupBy(target, bin)`` with map-side partial
    aggregation, output bounded by targets x bins), and narrows every target to
@@ -40,7 +44,7 @@ def _interp(lo_v, hi_v, frac):
 def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float],
                     exact: bool = True, bins: int = 4096,
                     collect_limit: int = 20000, max_passes: int = 16,
-                    counts: dict | None = None) -> dict:
+                    bracket: bool = True, accuracy: int = 10000) -> dict:
     """Return {(column, p): value} with pandas/DuckDB linear interpolation.
 
     Missing values (null, NaN) are ignored. ``exact=False`` uses
@@ -61,10 +65,14 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float],
                 out[(c, p)] = None if arr is None else float(arr[j])
         return out
 
+    delta = 2.0 / accuracy
+    bracket_p = sorted({min(1.0, max(0.0, p + sgn * delta)) for p in probs for sgn in (-1, 1)})
     aggs = []
     for i, c in enumerate(cols):
         aggs += [F.count(vals[c]).alias(f"n{i}"), F.min(vals[c]).alias(f"lo{i}"),
                  F.max(vals[c]).alias(f"hi{i}")]
+        if bracket:
+            aggs.append(F.percentile_approx(vals[c], bracket_p, accuracy).alias(f"b{i}"))
     row = df.agg(*aggs).first()
 
     # target key: (column index, k) -> state
@@ -79,9 +87,36 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float],
             r = p * (n - 1)
             k0, k1 = int(math.floor(r)), int(math.ceil(r))
             plan[(c, p)] = (i, k0, k1, r - k0)
+            if bracket and row[f"b{i}"] is not None:
+                b = dict(zip(bracket_p, row[f"b{i}"]))
+                lo = b[min(1.0, max(0.0, p - delta))]
+                hi = b[min(1.0, max(0.0, p + delta))]
+                st = {"lo": lo, "hi": hi, "below": None, "n": None}
+            else:
+                st = {"lo": row[f"lo{i}"], "hi": row[f"hi{i}"], "below": 0, "n": n}
             for k in (k0, k1):
-                state.setdefault((i, k), {"lo": row[f"lo{i}"], "hi": row[f"hi{i}"],
-                                          "below": 0, "n": n, "value": None})
+                state.setdefault((i, k), dict(st))
+    # locate each bracket: rows below it and inside it (one aggregate); a
+    # bracket that misses its rank falls back to the full [min, max] range
+    pending = sorted({(k[0], st["lo"], st["hi"]) for k, st in state.items() if st["below"] is None})
+    if pending:
+        cnt = []
+        for j, (ci, lo, hi) in enumerate(pending):
+            v = vals[cols[ci]]
+            cnt += [F.count_if(v < F.lit(lo)).alias(f"below{j}"),
+                    F.count_if((v >= F.lit(lo)) & (v <= F.lit(hi))).alias(f"inside{j}")]
+        crow = df.agg(*cnt).first()
+        pos = {iv: j for j, iv in enumerate(pending)}
+        for key, st in state.items():
+            if st["below"] is not None:
+                continue
+            j = pos[(key[0], st["lo"], st["hi"])]
+            below, inside = crow[f"below{j}"], crow[f"inside{j}"]
+            if below <= key[1] < below + inside:
+                st.update(below=below, n=inside)
+            else:
+                st.update(lo=row[f"lo{key[0]}"], hi=row[f"hi{key[0]}"], below=0,
+                          n=row[f"n{key[0]}"])
     resolved: dict[tuple[int, int], float] = {}
 
     def _settle():

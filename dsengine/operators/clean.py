@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dsengine import rules
-from dsengine.functions.exprs import col, is_missing, is_numeric_type, is_text_type
+from dsengine.functions.exprs import col, is_missing, is_numeric_type, is_text_type, mean_expr
 from dsengine.functions.quantiles import exact_quantiles
 from dsengine.operators.profile import value_counts
 
@@ -177,9 +177,15 @@ def numeric_fill_values(df: DataFrame, cols: list[str]) -> dict[str, tuple]:
     """{column: (method, fill_value, missing)} for C9."""
     if not cols:
         return {}
-    hv = high_variation(df, cols)
-    med = exact_quantiles(df, cols, [0.5])
-    row = df.agg(*[F.avg(_num(c)).alias(f"a{i}") for i, c in enumerate(cols)],
+    q = exact_quantiles(df, cols, [0.25, 0.5, 0.75])
+    fences = {}
+    for c in cols:
+        q1, q3 = q[(c, 0.25)], q[(c, 0.75)]
+        fences[c] = ((None,) * 4 if q1 is None else
+                     (q1, q3, q1 - rules.IQR_FACTOR * (q3 - q1), q3 + rules.IQR_FACTOR * (q3 - q1)))
+    hv = high_variation(df, cols, fences)
+    med = q
+    row = df.agg(*[mean_expr(_num(c)).alias(f"a{i}") for i, c in enumerate(cols)],
                  *[F.count_if(is_missing(c, df.schema[c].dataType)).alias(f"m{i}")
                    for i, c in enumerate(cols)]).first()
     out = {}
@@ -527,7 +533,7 @@ def standard_scale(df: DataFrame, cols: list[str]) -> DataFrame:
     """(x - mean) / population std; a constant column becomes 0."""
     if not cols:
         return df
-    row = df.agg(*[F.avg(_num(c)).alias(f"a{i}") for i, c in enumerate(cols)],
+    row = df.agg(*[mean_expr(_num(c)).alias(f"a{i}") for i, c in enumerate(cols)],
                  *[F.stddev_pop(_num(c)).alias(f"s{i}") for i, c in enumerate(cols)]).first()
     out = []
     for f in df.schema.fields:

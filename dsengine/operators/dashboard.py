@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from dsengine import rules
 from dsengine.functions.exprs import (col, is_boolean_type, is_missing, is_numeric_type,
-                                      is_text_type, numeric_columns)
+                                      is_text_type, mean_expr, numeric_columns)
 from dsengine.functions.quantiles import exact_quantiles
 from dsengine.operators import eda
 from dsengine.operators.profile import value_counts
@@ -214,7 +214,7 @@ def numeric_summary_card(df: DataFrame) -> DataFrame:
     c = cols[best]
     v = col(c).cast("double")
     q = exact_quantiles(df, [c], [0.25, 0.5, 0.75])
-    r = df.agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"),
+    r = df.agg(F.count(v).alias("n"), mean_expr(v).alias("mean"), F.stddev_samp(v).alias("std"),
                F.min(v).alias("mn"), F.max(v).alias("mx")).first()
     if not r["n"]:
         return df.sparkSession.createDataFrame([], schema)

@@ -18,8 +18,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dsengine import rules
-from dsengine.functions.exprs import col, is_missing, numeric_columns, pair_corr, text_columns
+from dsengine.functions.exprs import (col, is_missing, mean_expr, numeric_columns, pair_corr,
+                                      text_columns)
 from dsengine.functions.quantiles import exact_quantiles
+from dsengine.functions.staging import multi_pass
 from dsengine.operators.profile import _stack_row, value_counts
 
 
@@ -35,7 +37,7 @@ def moments(df: DataFrame, cols: list[str]) -> dict:
     aggs = [F.count(F.lit(1)).alias("rows")]
     for i, c in enumerate(cols):
         v = _num(df, c)
-        aggs += [F.count(v).alias(f"n{i}"), F.avg(v).alias(f"mean{i}"),
+        aggs += [F.count(v).alias(f"n{i}"), mean_expr(v).alias(f"mean{i}"),
                  F.stddev_samp(v).alias(f"std{i}"), F.var_samp(v).alias(f"var{i}"),
                  F.var_pop(v).alias(f"varp{i}"),
                  F.min(v).alias(f"min{i}"), F.max(v).alias(f"max{i}"),
@@ -77,6 +79,12 @@ def statistical_summary(df: DataFrame, cols: list[str] | None = None,
               "unique_ratio double, is_constant boolean")
     if not cols:
         return spark.createDataFrame([], schema)
+    with multi_pass(df, cols) as staged:
+        return _statistical_summary(staged, cols, exact, schema)
+
+
+def _statistical_summary(df, cols, exact, schema):
+    spark = df.sparkSession
     m = moments(df, cols)
     q = exact_quantiles(df, cols, [0.25, 0.5, 0.75], exact=exact)
     aggs = []
@@ -140,24 +148,26 @@ def histogram(df: DataFrame, cols: list[str] | None = None,
     (column, bin) - output size is columns x bins whatever the row count."""
     cols = numeric_columns(df) if cols is None else list(cols)
     rng = _ranges(df, cols)
-    items = []
+    items, meta = [], []
     for c in cols:
         lo, hi, n, _ = rng[c]
         if lo is None:
             continue
         v = _num(df, c)
-        items.append(F.when(v.isNotNull(), F.struct(F.lit(c).alias("column_name"),
-                                                    bin_index(v, lo, hi, bins).alias("bin"),
-                                                    F.lit(float(lo)).alias("lo"),
-                                                    F.lit(float(hi)).alias("hi"))))
+        items.append(F.when(v.isNotNull(), F.struct(F.lit(len(meta)).alias("i"),
+                                                    bin_index(v, lo, hi, bins).alias("bin"))))
+        meta.append((c, float(lo), float(hi)))
     if not items:
         return df.sparkSession.createDataFrame([], "column_name string, bin int, bin_lo double, count bigint")
     e = F.explode(F.filter(F.array(*items), lambda x: x.isNotNull())).alias("e")
+    names = F.array(*[F.lit(m[0]) for m in meta])
+    los = F.array(*[F.lit(m[1]) for m in meta])
+    his = F.array(*[F.lit(m[2]) for m in meta])
+    lo_c, hi_c = los[F.col("i")], his[F.col("i")]
     return (df.select(e).select("e.*")
-            .groupBy("column_name", "bin", "lo", "hi").agg(F.count(F.lit(1)).alias("count"))
-            .select("column_name", "bin",
-                    (F.col("lo") + F.col("bin") * (F.col("hi") - F.col("lo")) / F.lit(bins)).alias("bin_lo"),
-                    "count"))
+            .groupBy("i", "bin").agg(F.count(F.lit(1)).alias("count"))
+            .select(names[F.col("i")].alias("column_name"), "bin",
+                    (lo_c + F.col("bin") * (hi_c - lo_c) / F.lit(bins)).alias("bin_lo"), "count"))
 
 
 # --------------------------------------------------------------------------- E2
@@ -208,6 +218,11 @@ def kde_curve(df: DataFrame, cols: list[str] | None = None, grid: int = 200,
 def box_stats(df: DataFrame, cols: list[str] | None = None, exact: bool = True) -> DataFrame:
     """(column_name, q1, median, q3, whisker_low, whisker_high, outliers)."""
     cols = numeric_columns(df) if cols is None else list(cols)
+    with multi_pass(df, cols) as staged:
+        return _box_stats(staged, cols, exact)
+
+
+def _box_stats(df, cols, exact):
     q = exact_quantiles(df, cols, [0.25, 0.5, 0.75], exact=exact)
     aggs, live = [], []
     for i, c in enumerate(cols):
@@ -284,15 +299,17 @@ def missing_correlation(df: DataFrame) -> DataFrame:
     column has no or only missing values (E7)."""
     cols = df.columns
     flags = {c: F.when(is_missing(c, df.schema[c].dataType), 1.0).otherwise(0.0) for c in cols}
-    aggs, pairs = [], []
-    for i, a in enumerate(cols):
-        for j, b in enumerate(cols):
-            aggs.append(pair_corr(flags[a], flags[b]).alias(f"c_{i}_{j}"))
-            pairs.append((a, b, f"c_{i}_{j}"))
-    one = df.agg(*aggs)
-    items = [F.struct(F.lit(a).alias("column_a"), F.lit(b).alias("column_b"), F.col(k).alias("corr"))
-             for a, b, k in pairs]
-    return one.select(F.explode(F.array(*items)).alias("s")).select("s.*")
+    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
+    r = corr_pairs(df, flags, pairs)
+    rows = []
+    for a, b in pairs:
+        v = r[(a, b)]
+        if a == b and v is not None:
+            v = 1.0
+        rows.append((a, b, v))
+        if a != b:
+            rows.append((b, a, v))
+    return df.sparkSession.createDataFrame(rows, "column_a string, column_b string, corr double")
 
 
 # --------------------------------------------------------------------------- E9-E11
@@ -334,26 +351,82 @@ def contingency_wide(df: DataFrame, column: str, target: str) -> DataFrame:
 
 
 # --------------------------------------------------------------------------- E13
+def corr_pairs(df: DataFrame, vals: dict, pairs: list[tuple[str, str]]) -> dict:
+    """Pearson correlation for each (a, b) over pair-complete rows.
+
+    Values are shifted by their column mean (one cheap aggregate) so the
+    moment sums do not cancel; null-free pairs share per-column sums, so a
+    table without nulls needs d + d(d+1)/2 plain sums in one aggregate."""
+    cols = sorted({c for p in pairs for c in p})
+    if not cols:
+        return {}
+    r0 = df.agg(F.count(F.lit(1)).alias("rows"),
+                *[F.avg(vals[c]).alias(f"m{i}") for i, c in enumerate(cols)],
+                *[F.count(vals[c]).alias(f"n{i}") for i, c in enumerate(cols)]).first()
+    rows = r0["rows"]
+    idx = {c: i for i, c in enumerate(cols)}
+    mean = {c: (r0[f"m{idx[c]}"] or 0.0) for c in cols}
+    full = {c: r0[f"n{idx[c]}"] == rows for c in cols}
+    sh = {c: vals[c] - F.lit(mean[c]) for c in cols}
+    aggs = {}
+    for c in cols:
+        if full[c]:
+            aggs[f"s_{idx[c]}"] = F.sum(sh[c])
+            aggs[f"q_{idx[c]}"] = F.sum(sh[c] * sh[c])
+    for a, b in pairs:
+        ia, ib = sorted((idx[a], idx[b]))
+        ca, cb = cols[ia], cols[ib]
+        if full[ca] and full[cb]:
+            aggs[f"x_{ia}_{ib}"] = F.sum(sh[ca] * sh[cb])
+        else:
+            both = vals[ca].isNotNull() & vals[cb].isNotNull()
+            xa, xb = F.when(both, sh[ca]), F.when(both, sh[cb])
+            aggs[f"pn_{ia}_{ib}"] = F.count(xa)
+            aggs[f"pa_{ia}_{ib}"] = F.sum(xa)
+            aggs[f"pb_{ia}_{ib}"] = F.sum(xb)
+            aggs[f"paa_{ia}_{ib}"] = F.sum(xa * xa)
+            aggs[f"pbb_{ia}_{ib}"] = F.sum(xb * xb)
+            aggs[f"pab_{ia}_{ib}"] = F.sum(xa * xb)
+    r = df.agg(*[v.alias(k) for k, v in aggs.items()]).first().asDict() if aggs else {}
+    out = {}
+    for a, b in pairs:
+        ia, ib = sorted((idx[a], idx[b]))
+        ca, cb = cols[ia], cols[ib]
+        if full[ca] and full[cb]:
+            n, sa, sb = rows, r[f"s_{ia}"], r[f"s_{ib}"]
+            saa, sbb, sab = r[f"q_{ia}"], r[f"q_{ib}"], r[f"x_{ia}_{ib}"]
+        else:
+            n, sa, sb = r[f"pn_{ia}_{ib}"], r[f"pa_{ia}_{ib}"], r[f"pb_{ia}_{ib}"]
+            saa, sbb, sab = r[f"paa_{ia}_{ib}"], r[f"pbb_{ia}_{ib}"], r[f"pab_{ia}_{ib}"]
+        if not n or n < 2 or sa is None:
+            out[(a, b)] = None
+            continue
+        vxx = saa - sa * sa / n
+        vyy = sbb - sb * sb / n
+        vxy = sab - sa * sb / n
+        out[(a, b)] = vxy / math.sqrt(vxx * vyy) if vxx > 0 and vyy > 0 else None
+    return out
+
+
 def correlation_matrix(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """(column_a, column_b, corr) for all numeric pairs, pair-complete rows,
-    null when undefined (E13). One aggregate of d^2 moment expressions."""
+    null when undefined (E13). Two aggregates (means, then moment sums)."""
     cols = numeric_columns(df) if cols is None else list(cols)
+    spark = df.sparkSession
+    if not cols:
+        return spark.createDataFrame([], "column_a string, column_b string, corr double")
     vals = {c: _num(df, c) for c in cols}
-    aggs, pairs = [], []
-    for i, a in enumerate(cols):
-        for j, b in enumerate(cols):
-            if j < i:
-                continue
-            aggs.append(pair_corr(vals[a], vals[b]).alias(f"c_{i}_{j}"))
-            pairs.append((a, b, f"c_{i}_{j}"))
-            if i != j:
-                pairs.append((b, a, f"c_{i}_{j}"))
-    if not aggs:
-        return df.sparkSession.createDataFrame([], "column_a string, column_b string, corr double")
-    one = df.agg(*aggs)
-    items = [F.struct(F.lit(a).alias("column_a"), F.lit(b).alias("column_b"), F.col(k).alias("corr"))
-             for a, b, k in pairs]
-    return one.select(F.explode(F.array(*items)).alias("s")).select("s.*")
+    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
+    r = corr_pairs(df, vals, pairs)
+    rows = []
+    for a, b in pairs:
+        v = r[(a, b)]
+        if a == b and v is not None:
+            v = 1.0
+        rows.append((a, b, v))
+        if a != b:
+            rows.append((b, a, v))
+    return spark.createDataFrame(rows, "column_a string, column_b string, corr double")
 
 
 # --------------------------------------------------------------------------- E14/E15
@@ -362,21 +435,26 @@ def pair_density(df: DataFrame, pairs: list[tuple[str, str]], bins: int = 10) ->
     pair-complete rows (E14/E15: pair plots re-aimed as densities)."""
     cols = sorted({c for p in pairs for c in p})
     rng = _ranges(df, cols)
-    items = []
+    items, live = [], []
     for a, b in pairs:
         (alo, ahi, _, _), (blo, bhi, _, _) = rng[a], rng[b]
         if alo is None or blo is None:
             continue
         va, vb = _num(df, a), _num(df, b)
         items.append(F.when(va.isNotNull() & vb.isNotNull(), F.struct(
-            F.lit(a).alias("column_x"), F.lit(b).alias("column_y"),
+            F.lit(len(live)).alias("i"),
             bin_index(va, alo, ahi, bins).alias("bin_x"), bin_index(vb, blo, bhi, bins).alias("bin_y"))))
+        live.append((a, b))
     if not items:
         return df.sparkSession.createDataFrame(
             [], "column_x string, column_y string, bin_x int, bin_y int, count bigint")
     e = F.explode(F.filter(F.array(*items), lambda x: x.isNotNull())).alias("e")
-    return (df.select(e).select("e.*").groupBy("column_x", "column_y", "bin_x", "bin_y")
-            .agg(F.count(F.lit(1)).alias("count")))
+    xs = F.array(*[F.lit(a) for a, _ in live])
+    ys = F.array(*[F.lit(b) for _, b in live])
+    return (df.select(e).select("e.*").groupBy("i", "bin_x", "bin_y")
+            .agg(F.count(F.lit(1)).alias("count"))
+            .select(xs[F.col("i")].alias("column_x"), ys[F.col("i")].alias("column_y"),
+                    "bin_x", "bin_y", "count"))
 
 
 def pair_plot_density(df: DataFrame, bins: int = 10) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dsengine import rules
-from dsengine.functions.exprs import col, is_numeric_type, isclose_to_rint, text_columns
+from dsengine.functions.exprs import col, is_numeric_type, isclose_to_rint, mean_expr, text_columns
 
 HASH_BITS = 60            # 15 hex digits of md5
 BUCKET_HEX = 3            # 4096 buckets
@@ -221,7 +221,7 @@ def _both(df: DataFrame) -> DataFrame:
 # --------------------------------------------------------------------------- M7
 def fit_scaler(train: DataFrame, cols: list[str]) -> dict[str, tuple[float, float]]:
     """{column: (mean, population std)} from the train side (M7)."""
-    row = train.agg(*[F.avg(col(c)).alias(f"m{i}") for i, c in enumerate(cols)],
+    row = train.agg(*[mean_expr(col(c)).alias(f"m{i}") for i, c in enumerate(cols)],
                     *[F.stddev_pop(col(c)).alias(f"s{i}") for i, c in enumerate(cols)]).first()
     return {c: (row[f"m{i}"], row[f"s{i}"]) for i, c in enumerate(cols)}
 
@@ -251,5 +251,5 @@ def prep_stats(split_df: DataFrame, target: str, features: list[str], task_type:
         F.lit(len(features)).cast("bigint").alias("n_features"),
         F.lit(task_type).alias("task_type"),
         F.min(y).alias("target_min"), F.max(y).alias("target_max"),
-        F.avg(y).alias("target_mean"), F.stddev_samp(y).alias("target_std"),
+        mean_expr(y).alias("target_mean"), F.stddev_samp(y).alias("target_std"),
         F.count_distinct(col(target)).alias("target_unique"))

@@ -58,22 +58,25 @@ def column_roles(df: DataFrame) -> DataFrame:
 
 # --------------------------------------------------------------------------- backbone
 def value_counts(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
-    """(column, value, count) for every column, null kept as a value.
+    """(column_name, value, count) for every column, null kept as a value.
 
     Values are compared as text; NaN counts as null. One Expand + one
-    partial/final hash aggregate; a hot value is combined map-side.
+    partial/final hash aggregate keyed by (column index, value) - a hot value
+    is combined map-side; the column name is attached after the shuffle.
     """
     cols = list(df.columns) if cols is None else list(cols)
     if not cols:
         return df.sparkSession.createDataFrame([], "column_name string, value string, count bigint")
     texts = []
-    for c in cols:
+    for i, c in enumerate(cols):
         dt = df.schema[c].dataType
         v = F.when(~is_missing(c, dt), col(c)).cast("string")
-        texts.append(F.struct(F.lit(c).alias("column_name"), v.alias("value")))
+        texts.append(F.struct(F.lit(i).alias("i"), v.alias("value")))
+    names = F.array(*[F.lit(c) for c in cols])
     return (df.select(F.explode(F.array(*texts)).alias("s"))
-            .select("s.column_name", "s.value")
-            .groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("count")))
+            .select("s.i", "s.value")
+            .groupBy("i", "value").agg(F.count(F.lit(1)).alias("count"))
+            .select(names[F.col("i")].alias("column_name"), "value", "count"))
 
 
 def column_cardinality(df: DataFrame, cols: list[str] | None = None,

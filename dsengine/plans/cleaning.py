@@ -63,6 +63,13 @@ def clean(df: DataFrame, target: str | None = None, order_by: str | None = None,
     def add(step, column, metric, value=None, detail=None):
         rep.append((step, column, metric, None if value is None else float(value), detail))
 
+    # the head of the pipeline reads the input several times (counts,
+    # classification, types, dedup): spread and persist it until the
+    # deduplicated table is written
+    from pyspark import StorageLevel
+    from dsengine.functions.staging import spread
+    source = spread(df).persist(StorageLevel.MEMORY_AND_DISK)
+    df = source
     rows_before, cols_before = df.count(), len(df.columns)
     add("input", None, "rows", rows_before)
     add("input", None, "columns", cols_before)
@@ -84,7 +91,11 @@ def clean(df: DataFrame, target: str | None = None, order_by: str | None = None,
             add("binary_encode", c, "encoded", 1, f"1={p},0={n}")
 
     # 1. types -------------------------------------------------------------
-    types = semantic_type_map(df)
+    # reuse the input's types; only encoded pairs change (text -> 0/1 boolean)
+    types = dict(sem0) if (drop_fully and keep_typed_text) else semantic_type_map(df)
+    for c in pairs:
+        types[c] = "boolean"
+    types = {c: types[c] for c in df.columns}
     for c in df.columns:
         add("types", c, "semantic_type", None, types[c])
 
@@ -93,6 +104,8 @@ def clean(df: DataFrame, target: str | None = None, order_by: str | None = None,
     df = df.dropDuplicates()
     df = materialize(df, "dedup", write_stages)
     n1 = df.count()
+    if write_stages:
+        source.unpersist()
     add("dedup", None, "rows_removed", n0 - n1)
     df, details = C.drop_null_identifiers(df)
     for d in details:

@@ -12,10 +12,10 @@ ORDERS_COLUMNS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o
 DIGITS_SUMMARY = {"std_dev": 4, "variance": 2}
 
 
-def _summary_sql(tbl: str, cols: list[str]) -> str:
+def _summary_sql(tbl: str, cols: list[str], mean_digits: int = 6) -> str:
     return per_column(cols, f"""
 SELECT {{name}} AS column_name, {{i}} AS ordinal,
-  round(avg(x), 6) AS mean, round(quantile_cont(x, 0.5), 6) AS median,
+  round(avg(x), {mean_digits}) AS mean, round(quantile_cont(x, 0.5), 6) AS median,
   round(stddev_samp(x), 4) AS std_dev, round(var_samp(x), 2) AS variance,
   round(min(x), 6) AS min, round(max(x), 6) AS max,
   round(CASE WHEN var_pop(x) > 0 THEN skewness(x) END, 6) AS skewness,
@@ -31,9 +31,12 @@ FROM (SELECT CAST({{c}} AS DOUBLE) AS x FROM {tbl}) t,
 GROUP BY q.q1, q.q3""")
 
 
-@register("statistical_summary", _summary_sql("lineitem", LINEITEM_NUMERIC))
+# lineitem means are exact ties at the 6th decimal for l_discount / l_tax at
+# sf0.01 (k / 6,000,000), so the comparison rounds means to 5 decimals
+@register("statistical_summary", _summary_sql("lineitem", LINEITEM_NUMERIC, mean_digits=5))
 def q_statistical_summary(spark, sf):
-    return rounded(eda.statistical_summary(table(spark, sf, "lineitem")), DIGITS_SUMMARY)
+    return rounded(eda.statistical_summary(table(spark, sf, "lineitem")),
+                   {**DIGITS_SUMMARY, "mean": 5})
 
 
 @register("statistical_summary_dirty", with_dirty(_summary_sql(
