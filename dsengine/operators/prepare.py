@@ -11,6 +11,7 @@ and only rows of that boundary bucket are ranked.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -163,35 +164,76 @@ def random_split(df: DataFrame, key: list[str], test_share: float = rules.TEST_S
     return df.withColumn("is_test", row_hash(key, seed) < F.lit(limit))
 
 
+def _hex_prefix(key: list[str], digits: int, seed: int) -> Column:
+    text = F.concat_ws("|", F.lit(str(seed)), *[col(k).cast("string") for k in key])
+    return F.substring(F.md5(text), 1, digits)
+
+
 def stratified_split(df: DataFrame, label: str, key: list[str],
-                     test_share: float = rules.TEST_SHARE, seed: int = rules.SEED) -> DataFrame:
+                     test_share: float = rules.TEST_SHARE, seed: int = rules.SEED,
+                     rank_limit: int = 100_000) -> DataFrame:
     """Adds ``is_test`` with an exact per-class quota round(test_share * n_c):
     the rows of each class with the smallest hashes (ties by key text) (M5).
 
+    The quota boundary is located without ranking a whole class: counts per
+    (class, md5 prefix) find the prefix bucket holding each class's
+    boundary; while a boundary bucket holds more than ``rank_limit`` rows the
+    prefix grows by 3 hex digits (4096 sub-buckets) inside it; only the last
+    boundary bucket's rows are ranked. A class holding a third of all rows
+    therefore never becomes one sorted window partition.
     Falls back to the random split when a class has fewer than 2 rows."""
-    h, b = row_hash(key, seed), row_bucket(key, seed)
-    keytext = F.concat_ws("|", *[col(k).cast("string") for k in key])
-    tagged = df.withColumn("__h", h).withColumn("__b", b).withColumn("__k", keytext)
-    counts = tagged.groupBy(col(label).alias("__y"), F.col("__b")).agg(F.count(F.lit(1)).alias("cnt"))
-    per_class = counts.groupBy("__y").agg(F.sum("cnt").alias("n_c"))
-    if per_class.where(F.col("n_c") < 2).limit(1).count() > 0:
+    spark = df.sparkSession
+    y = col(label).cast("string")
+    counts = df.groupBy(y.alias("__y")).agg(F.count(F.lit(1)).alias("n_c")).collect()
+    if any(r["n_c"] < 2 for r in counts):
         return random_split(df, key, test_share, seed)
-    quota = F.floor(F.col("n_c") * F.lit(test_share) + F.lit(0.5))
-    wb = Window.partitionBy("__y").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    bounds = (counts.join(per_class, "__y")
-              .withColumn("before", F.coalesce(F.sum("cnt").over(wb), F.lit(0)))
-              .withColumn("quota", quota)
-              .select("__y", "__b", "before", "cnt", "quota"))
-    # boundary bucket: before < quota <= before + cnt; everything earlier is test
-    joined = tagged.join(bounds,
-                         (tagged[label].eqNullSafe(bounds["__y"])) & (tagged["__b"] == bounds["__b"]))
-    joined = joined.drop(bounds["__b"]).drop("__y")
-    full_test = F.col("before") + F.col("cnt") <= F.col("quota")
-    boundary = (F.col("before") < F.col("quota")) & ~full_test
-    wr = Window.partitionBy(col(label), F.col("__b")).orderBy("__h", "__k")
-    ranked = joined.where(boundary).withColumn("__r", F.row_number().over(wr))
-    ranked = ranked.withColumn("is_test", F.col("before") + F.col("__r") <= F.col("quota"))
-    rest = joined.where(~boundary).withColumn("is_test", full_test)
+    # per class: (prefix decided so far, rows before it, quota left)
+    state = {r["__y"]: {"prefix": "", "before": 0,
+                        "quota": int(math.floor(r["n_c"] * test_share + 0.5))} for r in counts}
+    digits = 0
+    while True:
+        digits += BUCKET_HEX
+        cand = {c: st for c, st in state.items() if "done" not in st}
+        if not cand:
+            break
+        cond = F.lit(False)
+        for c, st in cand.items():
+            cond = cond | ((y == F.lit(c)) & _hex_prefix(key, digits - BUCKET_HEX, seed).eqNullSafe(
+                F.lit(st["prefix"])) if st["prefix"] else (y == F.lit(c)))
+        rows = (df.where(cond).groupBy(y.alias("__y"), _hex_prefix(key, digits, seed).alias("__p"))
+                .agg(F.count(F.lit(1)).alias("cnt")).collect())
+        per: dict = {}
+        for r in rows:
+            per.setdefault(r["__y"], []).append((r["__p"], r["cnt"]))
+        for c, st in cand.items():
+            acc = st["before"]
+            for p, cnt in sorted(per.get(c, [])):
+                if acc + cnt >= st["quota"] and acc < st["quota"]:
+                    st.update(prefix=p, before=acc, size=cnt)
+                    break
+                acc += cnt
+            else:
+                st["done"] = True          # quota 0 or whole class: no boundary bucket
+                st["prefix"] = None
+                continue
+            if st["size"] <= rank_limit or digits >= 30:
+                st["done"] = True
+    # test = prefix below the boundary prefix, or inside it within the rank
+    keytext = F.concat_ws("|", *[col(k).cast("string") for k in key])
+    full = F.md5(F.concat_ws("|", F.lit(str(seed)), *[col(k).cast("string") for k in key]))
+    tagged = df.withColumn("__y", y).withColumn("__md5", full).withColumn("__k", keytext)
+    bounds = spark.createDataFrame(
+        [(c, st["prefix"], len(st["prefix"]) if st["prefix"] else 0, st["before"], st["quota"])
+         for c, st in state.items()],
+        "__y string, __bp string, __bl int, __before long, __quota long")
+    tagged = tagged.join(F.broadcast(bounds), "__y")
+    pref = F.expr("substring(__md5, 1, __bl)")
+    in_boundary = F.col("__bp").isNotNull() & (pref == F.col("__bp"))
+    below = F.when(F.col("__bp").isNull(), F.col("__quota") > 0).otherwise(pref < F.col("__bp"))
+    wr = Window.partitionBy("__y").orderBy("__md5", "__k")
+    ranked = (tagged.where(in_boundary)
+              .withColumn("is_test", F.col("__before") + F.row_number().over(wr) <= F.col("__quota")))
+    rest = tagged.where(~in_boundary).withColumn("is_test", below)
     cols = df.columns + ["is_test"]
     return rest.select(*cols).unionByName(ranked.select(*cols))
 

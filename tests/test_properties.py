@@ -79,3 +79,13 @@ def test_histogram_counts_sum_to_non_null(spark, xs):
     total = h.agg(F.sum("count")).first()[0] or 0
     assert total == sum(1 for x in xs if x is not None)
     assert all(0 <= r["bin"] < 30 for r in h.collect())
+
+
+@SETTINGS
+@given(st.integers(30, 300))
+def test_split_refinement_levels_agree(spark, n):
+    """Forcing several prefix-refinement levels gives the same split."""
+    df = spark.createDataFrame([(i, float(i % 2)) for i in range(n)], "id long, y double")
+    a = {r["id"] for r in P.stratified_split(df, "y", ["id"]).where("is_test").collect()}
+    b = {r["id"] for r in P.stratified_split(df, "y", ["id"], rank_limit=2).where("is_test").collect()}
+    assert a == b
