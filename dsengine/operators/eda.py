@@ -340,11 +340,15 @@ def contingency(df: DataFrame, target: str, cols: list[str] | None = None) -> Da
             .agg(F.count(F.lit(1)).alias("count")))
 
 
-def contingency_wide(df: DataFrame, column: str, target: str) -> DataFrame:
+def contingency_wide(df: DataFrame, column: str, target: str,
+                     max_classes: int = 1000) -> DataFrame:
     """Cross table of one column x target classes (E11, wide form). The
     pivot values are the target's classes, read first (bounded)."""
-    classes = sorted(r[0] for r in df.where(col(target).isNotNull())
-                     .select(col(target).cast("string")).distinct().collect())
+    classes = [r[0] for r in df.where(col(target).isNotNull())
+               .select(col(target).cast("string")).distinct().limit(max_classes + 1).collect()]
+    if len(classes) > max_classes:
+        raise ValueError(f"{target} has more than {max_classes} classes; use contingency()")
+    classes = sorted(classes)
     return (df.where(col(column).isNotNull() & col(target).isNotNull())
             .groupBy(col(column).cast("string").alias("value"))
             .pivot(target, classes).agg(F.count(F.lit(1))).na.fill(0))
@@ -430,27 +434,42 @@ def correlation_matrix(df: DataFrame, cols: list[str] | None = None) -> DataFram
 
 
 # --------------------------------------------------------------------------- E14/E15
-def pair_density(df: DataFrame, pairs: list[tuple[str, str]], bins: int = 10) -> DataFrame:
+def pair_density(df: DataFrame, pairs: list[tuple[str, str]], bins: int = 10,
+                 joint_limit: int = 1_000_000) -> DataFrame:
     """(column_x, column_y, bin_x, bin_y, count) 2-D bin counts over
-    pair-complete rows (E14/E15: pair plots re-aimed as densities)."""
+    pair-complete rows (E14/E15: pair plots re-aimed as densities).
+
+    When (bins + 1) ** columns <= ``joint_limit`` the rows are grouped once
+    by all binned columns (a small frame whatever the row count) and every
+    pair is summed from it; otherwise each row emits one entry per pair."""
     cols = sorted({c for p in pairs for c in p})
     rng = _ranges(df, cols)
-    items, live = [], []
-    for a, b in pairs:
-        (alo, ahi, _, _), (blo, bhi, _, _) = rng[a], rng[b]
-        if alo is None or blo is None:
-            continue
-        va, vb = _num(df, a), _num(df, b)
-        items.append(F.when(va.isNotNull() & vb.isNotNull(), F.struct(
-            F.lit(len(live)).alias("i"),
-            bin_index(va, alo, ahi, bins).alias("bin_x"), bin_index(vb, blo, bhi, bins).alias("bin_y"))))
-        live.append((a, b))
-    if not items:
-        return df.sparkSession.createDataFrame(
-            [], "column_x string, column_y string, bin_x int, bin_y int, count bigint")
-    e = F.explode(F.filter(F.array(*items), lambda x: x.isNotNull())).alias("e")
+    live = [(a, b) for a, b in pairs if rng[a][0] is not None and rng[b][0] is not None]
+    empty = "column_x string, column_y string, bin_x int, bin_y int, count bigint"
+    if not live:
+        return df.sparkSession.createDataFrame([], empty)
+    used = sorted({c for p in live for c in p})
+    bincol = {c: F.when(_num(df, c).isNotNull(),
+                        bin_index(_num(df, c), rng[c][0], rng[c][1], bins)) for c in used}
     xs = F.array(*[F.lit(a) for a, _ in live])
     ys = F.array(*[F.lit(b) for _, b in live])
+    if (bins + 1) ** len(used) <= joint_limit:
+        idx = {c: i for i, c in enumerate(used)}
+        joint = (df.select(*[bincol[c].alias(f"b{idx[c]}") for c in used])
+                 .groupBy(*[f"b{idx[c]}" for c in used]).agg(F.count(F.lit(1)).alias("n")))
+        items = [F.when(F.col(f"b{idx[a]}").isNotNull() & F.col(f"b{idx[b]}").isNotNull(),
+                        F.struct(F.lit(i).alias("i"), F.col(f"b{idx[a]}").alias("bin_x"),
+                                 F.col(f"b{idx[b]}").alias("bin_y"), F.col("n").alias("n")))
+                 for i, (a, b) in enumerate(live)]
+        e = F.explode(F.filter(F.array(*items), lambda x: x.isNotNull())).alias("e")
+        return (joint.select(e).select("e.*").groupBy("i", "bin_x", "bin_y")
+                .agg(F.sum("n").alias("count"))
+                .select(xs[F.col("i")].alias("column_x"), ys[F.col("i")].alias("column_y"),
+                        "bin_x", "bin_y", "count"))
+    items = [F.when(bincol[a].isNotNull() & bincol[b].isNotNull(),
+                    F.struct(F.lit(i).alias("i"), bincol[a].alias("bin_x"), bincol[b].alias("bin_y")))
+             for i, (a, b) in enumerate(live)]
+    e = F.explode(F.filter(F.array(*items), lambda x: x.isNotNull())).alias("e")
     return (df.select(e).select("e.*").groupBy("i", "bin_x", "bin_y")
             .agg(F.count(F.lit(1)).alias("count"))
             .select(xs[F.col("i")].alias("column_x"), ys[F.col("i")].alias("column_y"),

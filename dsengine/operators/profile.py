@@ -80,9 +80,20 @@ def value_counts(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
 
 
 def column_cardinality(df: DataFrame, cols: list[str] | None = None,
-                       counts: DataFrame | None = None) -> DataFrame:
-    """(column, ordinal, n_distinct, n_distinct_with_null)."""
+                       counts: DataFrame | None = None, exact: bool = True) -> DataFrame:
+    """(column, ordinal, n_distinct, n_distinct_with_null).
+
+    ``exact=False`` uses HyperLogLog++ (``approx_count_distinct``) in one
+    map-side aggregate instead of the value-count shuffle."""
     cols = list(df.columns) if cols is None else list(cols)
+    if not exact:
+        aggs = []
+        for i, c in enumerate(cols):
+            v = F.when(~is_missing(c, df.schema[c].dataType), col(c))
+            aggs += [F.approx_count_distinct(v).alias(f"n_distinct__{i}"),
+                     (F.approx_count_distinct(v) + F.max(F.when(v.isNull(), 1).otherwise(0)))
+                     .alias(f"n_distinct_with_null__{i}")]
+        return _stack_row(df.agg(*aggs), cols, ["n_distinct", "n_distinct_with_null"])
     vc = counts if counts is not None else value_counts(df, cols)
     card = vc.groupBy("column_name").agg(
         F.count("value").alias("n_distinct"),
