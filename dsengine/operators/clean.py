@@ -78,6 +78,15 @@ def high_missing_columns(df: DataFrame, threshold: float | None = None) -> list[
     return out
 
 
+def missing_profile(df: DataFrame) -> tuple[int, dict[str, int], int]:
+    """(rows, {column: missing}, rows with any missing) in one aggregate."""
+    aggs = [F.count(F.lit(1)).alias("__n"), F.count_if(any_missing(df)).alias("__rm")]
+    aggs += [F.count_if(is_missing(c, df.schema[c].dataType)).alias(f"m{i}")
+             for i, c in enumerate(df.columns)]
+    row = df.agg(*aggs).first()
+    return row["__n"], {c: row[f"m{i}"] for i, c in enumerate(df.columns)}, row["__rm"]
+
+
 def any_missing(df: DataFrame) -> Column:
     cond = F.lit(False)
     for f in df.schema.fields:
@@ -289,11 +298,11 @@ def mode_values(df: DataFrame, cols: list[str]) -> dict[str, tuple]:
 
 
 def impute_mode(df: DataFrame, cols: list[str], default: str | None = None,
-                boolean: bool = False) -> tuple[DataFrame, dict]:
+                boolean: bool = False, modes: dict | None = None) -> tuple[DataFrame, dict]:
     """Categorical (C11, default 'Unknown') / boolean (C12, default False)
-    mode imputation."""
+    mode imputation. ``modes`` may be passed from a shared ``mode_values``."""
     default = (False if boolean else rules.UNKNOWN_CATEGORY) if default is None else default
-    modes = mode_values(df, cols)
+    modes = {c: modes[c] for c in cols} if modes is not None else mode_values(df, cols)
     out, info = [], {}
     for f in df.schema.fields:
         c = f.name

@@ -110,14 +110,22 @@ def clean(df: DataFrame, target: str | None = None, order_by: str | None = None,
     df, details = C.drop_null_identifiers(df)
     for d in details:
         add("identifier_rows", d["column"], "rows_removed", d["missing_count"])
-    df = materialize(df, "head", write_stages and bool(details))
 
-    # 4. rows-first rule, 5. high-missing columns --------------------------
-    df, info = C.rows_first_rule(df)
-    add("rows_first", None, "applied", 1 if info["applied"] else 0)
-    add("rows_first", None, "row_missing_ratio", info["ratio"])
-    add("rows_first", None, "rows_removed", info["removed"])
-    df, high = C.drop_high_missing(df, keep=keep)
+    # 4. rows-first rule, 5. high-missing columns (one aggregate unless the
+    # rule fires and the shares have to be recomputed on fewer rows) -------
+    n, missing, rows_missing = C.missing_profile(df)
+    ratio = rows_missing / max(1, n)
+    high_before = [c for c in df.columns if missing[c] / max(1, n) >= rules.HIGH_MISSING_SHARE]
+    fired = bool(high_before) and ratio < rules.ROWS_FIRST_LIMIT
+    if fired:
+        df = C.drop_incomplete(df)
+        n, missing, _ = C.missing_profile(df)
+    add("rows_first", None, "applied", 1 if fired else 0)
+    add("rows_first", None, "row_missing_ratio", ratio)
+    add("rows_first", None, "rows_removed", rows_missing if fired else 0)
+    high = [(c, missing[c], missing[c] / max(1, n)) for c in df.columns
+            if missing[c] / max(1, n) >= rules.HIGH_MISSING_SHARE and c not in keep]
+    df = df.drop(*[h[0] for h in high])
     for c, miss, ratio in high:
         removed.append((c, "missing_values"))
         add("drop_high_missing", c, "missing", miss, ">=40% missing")
@@ -138,17 +146,18 @@ def clean(df: DataFrame, target: str | None = None, order_by: str | None = None,
         if miss:
             add("impute", c, "fill_value", value, method)
     if datetime:
-        n_missing = C.missing_shares(df.select(*datetime))[1]
         order = order_by or df.columns[0]
-        df = C.ffill_bfill(df, [c for c in datetime if n_missing[c]], order_by=order)
+        df = C.ffill_bfill(df, [c for c in datetime if missing[c]], order_by=order)
         for c in datetime:
-            add("impute", c, "missing", n_missing[c], "ffill/bfill" if n_missing[c] else "none")
-    df, cinfo = C.impute_mode(df, categorical)
-    for c, (method, _, miss) in cinfo.items():
-        add("impute", c, "missing", miss, method)
-    df, binfo = C.impute_mode(df, boolean, boolean=True)
-    for c, (method, _, miss) in binfo.items():
-        add("impute", c, "missing", miss, method)
+            add("impute", c, "missing", missing[c], "ffill/bfill" if missing[c] else "none")
+    # categorical and boolean modes from one value-count job
+    modes = C.mode_values(df, categorical + boolean)
+    df, cinfo = C.impute_mode(df, categorical, modes=modes)
+    for c, (method, _, m) in cinfo.items():
+        add("impute", c, "missing", m, method)
+    df, binfo = C.impute_mode(df, boolean, boolean=True, modes=modes)
+    for c, (method, _, m) in binfo.items():
+        add("impute", c, "missing", m, method)
 
     # 7. casts, 8. standardise + synonyms ----------------------------------
     out = []
