@@ -4,6 +4,7 @@ shared working folder (spark.checkpoint.dir) for written intermediates."""
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -49,9 +50,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or current
 
 
+_SCHEME = re.compile(r"^[A-Za-z][A-Za-z0-9+.-]*:")
+
+
 def work_path(spark: SparkSession, name: str) -> str:
-    """A fresh path under the shared checkpoint folder for written tables."""
+    """A fresh path under the shared checkpoint folder for written tables.
+
+    The folder is a URI (``file:/...``, ``hdfs://...``, ``s3a://...``) or an
+    absolute path; a bare relative path is resolved against the working
+    directory only as a last resort."""
     base = ensure_checkpoint_dir(spark)
-    if "://" not in base and not os.path.isabs(base):
+    if not _SCHEME.match(base) and not os.path.isabs(base):
         base = os.path.abspath(base)
     return f"{base.rstrip('/')}/dsengine-{name}-{uuid.uuid4().hex[:12]}"
