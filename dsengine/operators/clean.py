@@ -26,10 +26,6 @@ def _name_has(name: str, words) -> bool:
     return any(w in low for w in words)
 
 
-def _rows(df: DataFrame) -> int:
-    return df.count()
-
-
 # --------------------------------------------------------------------------- C1
 def dedup_exact(df: DataFrame) -> tuple[DataFrame, int]:
     """Drop repeated full rows (nulls equal). Returns (df, removed)."""

@@ -9,11 +9,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from dsengine import rules
-from dsengine.functions.exprs import (col, is_boolean_type, is_missing, is_numeric_type,
-                                      is_text_type, mean_expr, numeric_columns)
+from dsengine.functions.exprs import (col, is_boolean_type, is_missing, is_text_type, mean_expr,
+                                      numeric_columns)
 from dsengine.functions.quantiles import exact_quantiles
 from dsengine.operators import eda
 from dsengine.operators.profile import value_counts

@@ -18,11 +18,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dsengine import rules
-from dsengine.functions.exprs import (col, is_missing, mean_expr, numeric_columns, pair_corr,
-                                      text_columns)
+from dsengine.functions.exprs import col, is_missing, mean_expr, numeric_columns, text_columns
 from dsengine.functions.quantiles import exact_quantiles
 from dsengine.functions.staging import multi_pass
-from dsengine.operators.profile import _stack_row, value_counts
+from dsengine.operators.profile import value_counts
 
 
 def _num(df: DataFrame, name: str):

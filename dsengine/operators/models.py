@@ -312,7 +312,7 @@ def _stump_pred(feature: str, thr: float, left: float, right: float) -> Column:
 
 
 def fit_adaboost_classifier(train, features, n_classes, rounds=rules.N_TREES,
-                            checkpoint_every=10, write=None):
+                            checkpoint_every=10):
     """SAMME with weighted decision stumps."""
     from dsengine.plans.cleaning import materialize
     k = max(2, n_classes)

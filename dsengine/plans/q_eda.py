@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from dsengine.operators import eda
 from dsengine.plans.fixtures import DIRTY_COLUMNS, dirty, table, with_dirty
 from dsengine.plans.oracles import per_column

@@ -51,12 +51,6 @@ def q_profile_shape(spark, sf):
     return profile.shape(table(spark, sf, "lineitem"))
 
 
-_ROLES = {"l_orderkey": "numeric", "l_partkey": "numeric", "l_suppkey": "numeric",
-          "l_linenumber": "other", "l_quantity": "numeric", "l_extendedprice": "numeric",
-          "l_discount": "numeric", "l_tax": "numeric", "l_returnflag": "categorical",
-          "l_linestatus": "categorical", "l_shipdate": "other"}
-
-
 @register("profile_columns", """
 SELECT column_name, CAST(column_index - 1 AS INTEGER) AS ordinal,
   CASE WHEN data_type IN ('BIGINT', 'DOUBLE') THEN 'numeric'
