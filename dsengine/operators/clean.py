@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from dsengine import rules
 from dsengine.functions.exprs import col, is_missing, is_numeric_type, is_text_type, mean_expr
 from dsengine.functions.quantiles import exact_quantiles
+from dsengine.functions.staging import multi_pass
 from dsengine.operators.profile import value_counts
 
 
@@ -179,9 +180,15 @@ def high_variation(df: DataFrame, cols: list[str], fences: dict | None = None) -
 
 
 def numeric_fill_values(df: DataFrame, cols: list[str]) -> dict[str, tuple]:
-    """{column: (method, fill_value, missing)} for C9."""
+    """{column: (method, fill_value, missing)} for C9 (quantiles, outlier
+    shares and means: several passes over a staged copy of the columns)."""
     if not cols:
         return {}
+    with multi_pass(df, cols) as staged:
+        return _numeric_fill_values(staged, cols)
+
+
+def _numeric_fill_values(df: DataFrame, cols: list[str]) -> dict[str, tuple]:
     q = exact_quantiles(df, cols, [0.25, 0.5, 0.75])
     fences = {}
     for c in cols:
@@ -361,14 +368,15 @@ def winsorize(df: DataFrame, cols: list[str], exact: bool = True) -> tuple[DataF
     """Clip to the IQR fences when a column has outliers."""
     if not cols:
         return df, {}
-    fences = iqr_fences(df, cols, exact=exact)
-    aggs = []
-    for i, c in enumerate(cols):
-        _, _, lo, hi = fences[c]
-        v = _num(c)
-        aggs.append(F.count_if((v < F.lit(lo)) | (v > F.lit(hi))).alias(f"o{i}")
-                    if lo is not None else F.lit(0).alias(f"o{i}"))
-    row = df.agg(*aggs).first()
+    with multi_pass(df, cols) as staged:
+        fences = iqr_fences(staged, cols, exact=exact)
+        aggs = []
+        for i, c in enumerate(cols):
+            _, _, lo, hi = fences[c]
+            v = _num(c)
+            aggs.append(F.count_if((v < F.lit(lo)) | (v > F.lit(hi))).alias(f"o{i}")
+                        if lo is not None else F.lit(0).alias(f"o{i}"))
+        row = staged.agg(*aggs).first()
     info = {}
     out = []
     for f in df.schema.fields:

@@ -151,8 +151,17 @@ def semantic_types(df: DataFrame, cardinality: DataFrame | None = None) -> DataF
     80% date-like values -> datetime; numeric storage or all values castable
     to a number -> numeric; else categorical.
     """
+    if cardinality is None:
+        from dsengine.functions.staging import multi_pass
+        with multi_pass(df) as staged:
+            rows = _semantic_types(staged, column_cardinality(staged)).collect()
+        return df.sparkSession.createDataFrame(
+            rows, "column_name string, ordinal int, semantic_type string")
+    return _semantic_types(df, cardinality)
+
+
+def _semantic_types(df: DataFrame, card: DataFrame) -> DataFrame:
     cols = df.columns
-    card = cardinality if cardinality is not None else column_cardinality(df)
     aggs, kinds = [], {}
     for i, f in enumerate(df.schema.fields):
         c, dt = col(f.name), f.dataType
