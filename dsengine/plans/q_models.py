@@ -242,3 +242,11 @@ def q_dashboard_bundle(spark, sf):
     parts_ = _dashboard(spark, sf)
     return spark.createDataFrame([(k, v.count()) for k, v in parts_.items()],
                                  "section string, rows bigint")
+
+
+@register("score_stream_json")
+def q_score_stream_json(spark, sf):
+    from dsengine.streaming.scoring import score_json_stream
+    b = _lineitem_bundle(spark, sf)
+    out = score_json_stream(b, _score_input(spark, sf))
+    return out.select("l_orderkey", "l_linenumber", "prediction", "error")

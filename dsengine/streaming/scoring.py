@@ -37,3 +37,26 @@ def score_stream(bundle: ScoringBundle, records: DataFrame, id_col: str | None =
     q = start_scoring_stream(bundle, spark, src, records.schema, sink, ckpt, id_col=id_col)
     q.awaitTermination()
     return spark.read.parquet(sink)
+
+
+def score_json_stream(bundle: ScoringBundle, records: DataFrame, id_col: str | None = None,
+                      files: int = 4) -> DataFrame:
+    """Record scoring from JSON text (one record per line, as a request
+    body would carry it): ``readStream.text`` -> ``from_json`` with the
+    training input schema -> the same stateless scoring projection."""
+    from pyspark.sql import functions as F
+
+    spark = records.sparkSession
+    src, sink, ckpt = (work_path(spark, "json-src"), work_path(spark, "json-out"),
+                       work_path(spark, "json-ckpt"))
+    schema = records.schema
+    records.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in records.columns])).alias("value")) \
+        .repartition(files).write.mode("overwrite").text(src)
+    parsed = (spark.readStream.text(src)
+              .select(F.from_json("value", schema).alias("r")).select("r.*"))
+    scored = score(bundle, parsed, id_col=id_col)
+    q = (scored.writeStream.format("parquet").option("path", sink)
+         .option("checkpointLocation", ckpt).outputMode("append")
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.parquet(sink)

@@ -76,3 +76,11 @@ def test_models_beat_baseline_on_separable_data(spark):
     res = TR.train_all(df, "y", ["id"], models=["Logistic Regression", "Decision Tree", "AdaBoost"])
     for r in res.metrics.collect():
         assert r["accuracy"] is not None and r["accuracy"] > 0.9, r
+
+
+def test_json_stream_equals_batch(spark, sf, bundle):
+    from dsengine.streaming.scoring import score_json_stream
+    batch = TR.score(bundle, _inputs(spark, sf)).select("l_orderkey", "l_linenumber", "prediction")
+    js = score_json_stream(bundle, _inputs(spark, sf)).select("l_orderkey", "l_linenumber", "prediction")
+    assert batch.count() == js.count()
+    assert batch.exceptAll(js).count() == 0
