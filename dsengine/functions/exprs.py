@@ -101,3 +101,27 @@ def mean_expr(v: Column) -> Column:
     double average. Makes results reproducible across partitionings."""
     dec = F.avg(v.try_cast("decimal(38,12)")).cast("double")
     return F.when(F.max(F.abs(v)) < F.lit(1e20), dec).otherwise(F.avg(v))
+
+
+def _balanced(items: list[Column], op) -> Column:
+    """Combine with a balanced tree so wide tables do not build expression
+    chains deep enough to overflow the analyser's stack."""
+    items = list(items)
+    while len(items) > 1:
+        nxt = [op(items[i], items[i + 1]) for i in range(0, len(items) - 1, 2)]
+        if len(items) % 2:
+            nxt.append(items[-1])
+        items = nxt
+    return items[0]
+
+
+def all_of(conds: list[Column]) -> Column:
+    return F.lit(True) if not conds else _balanced(conds, lambda a, b: a & b)
+
+
+def any_of(conds: list[Column]) -> Column:
+    return F.lit(False) if not conds else _balanced(conds, lambda a, b: a | b)
+
+
+def sum_of(terms: list[Column]) -> Column:
+    return F.lit(0) if not terms else _balanced(terms, lambda a, b: a + b)

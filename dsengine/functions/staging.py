@@ -31,6 +31,10 @@ def multi_pass(df: DataFrame, cols: list[str] | None = None, enabled: bool = Tru
     if not enabled:
         yield df
         return
+    if df.storageLevel != StorageLevel(False, False, False, False, 1):
+        # already cached by the caller: read it as is
+        yield df.select(*[col(c) for c in cols]) if cols is not None else df
+        return
     src = df.select(*[col(c) for c in cols]) if cols is not None else df
     staged = spread(src).persist(StorageLevel.MEMORY_AND_DISK)
     try:

@@ -25,7 +25,8 @@ def _pair_map() -> Column:
     return F.create_map(*kv)
 
 
-def classify_categoricals(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
+def classify_categoricals(df: DataFrame, cols: list[str] | None = None,
+                          counts: DataFrame | None = None) -> DataFrame:
     """(column_name, ordinal, n_distinct, category_class, positive, negative,
     values) for every text column (K1, K2).
 
@@ -38,7 +39,8 @@ def classify_categoricals(df: DataFrame, cols: list[str] | None = None) -> DataF
         return spark.createDataFrame(
             [], "column_name string, ordinal int, n_distinct bigint, category_class string, "
                 "positive string, negative string, values string")
-    vc = value_counts(df, cols).where(F.col("value").isNotNull())
+    vc = (counts.where(F.col("column_name").isin(*cols)) if counts is not None
+          else value_counts(df, cols)).where(F.col("value").isNotNull())
     card = vc.groupBy("column_name").agg(F.count(F.lit(1)).alias("n_distinct"))
     small = card.where(F.col("n_distinct") <= rules.CLUSTERED_MAX).select("column_name")
     vals = (vc.join(F.broadcast(small), "column_name", "left_semi")

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dsengine import rules
-from dsengine.functions.exprs import col, is_missing, is_numeric_type, is_text_type, mean_expr
+from dsengine.functions.exprs import any_of, col, is_missing, is_numeric_type, is_text_type, mean_expr
 from dsengine.functions.quantiles import exact_quantiles
 from dsengine.functions.staging import multi_pass
 from dsengine.operators.profile import value_counts
@@ -85,10 +85,7 @@ def missing_profile(df: DataFrame) -> tuple[int, dict[str, int], int]:
 
 
 def any_missing(df: DataFrame) -> Column:
-    cond = F.lit(False)
-    for f in df.schema.fields:
-        cond = cond | is_missing(f.name, f.dataType)
-    return cond
+    return any_of([is_missing(f.name, f.dataType) for f in df.schema.fields])
 
 
 def row_missing_ratio(df: DataFrame) -> tuple[int, int, float]:

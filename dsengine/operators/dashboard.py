@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from dsengine import rules
 from dsengine.functions.exprs import (col, is_boolean_type, is_missing, is_text_type, mean_expr,
-                                      numeric_columns)
+                                      numeric_columns, sum_of)
 from dsengine.functions.quantiles import exact_quantiles
 from dsengine.operators import eda
 from dsengine.operators.profile import value_counts
@@ -33,7 +33,7 @@ def dataset_summary(df: DataFrame) -> DataFrame:
 
     One grouping by the full row gives both duplicates and missing cells:
     each group's missing-cell count is a function of its key."""
-    miss = sum(F.when(is_missing(f.name, f.dataType), 1).otherwise(0) for f in df.schema.fields)
+    miss = sum_of([F.when(is_missing(f.name, f.dataType), 1).otherwise(0) for f in df.schema.fields])
     groups = df.groupBy(*[col(c) for c in df.columns]).agg(F.count(F.lit(1)).alias("n"))
     return groups.agg(
         F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("rows"),

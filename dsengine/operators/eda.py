@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dsengine import rules
-from dsengine.functions.exprs import col, is_missing, mean_expr, numeric_columns, text_columns
+from dsengine.functions.exprs import col, is_missing, mean_expr, numeric_columns, sum_of, text_columns
 from dsengine.functions.quantiles import exact_quantiles
 from dsengine.functions.staging import multi_pass
 from dsengine.operators.profile import value_counts
@@ -274,7 +274,7 @@ def missing_summary(df: DataFrame) -> DataFrame:
     aggs += [F.count_if(is_missing(c, df.schema[c].dataType)).alias(f"missing_count__{i}")
              for i, c in enumerate(cols)]
     one = df.agg(*aggs)
-    total = sum(F.col(f"missing_count__{i}") for i in range(len(cols)))
+    total = sum_of([F.col(f"missing_count__{i}") for i in range(len(cols))])
     one = one.withColumn("__total", total)
     items = [F.struct(F.lit(c).alias("column_name"),
                       F.col(f"missing_count__{i}").alias("missing_count"),

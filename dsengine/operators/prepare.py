@@ -18,7 +18,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dsengine import rules
-from dsengine.functions.exprs import col, is_numeric_type, isclose_to_rint, mean_expr, text_columns
+from dsengine.functions.exprs import (all_of, col, is_numeric_type, isclose_to_rint, mean_expr,
+                                      text_columns)
 
 HASH_BITS = 60            # 15 hex digits of md5
 BUCKET_HEX = 3            # 4096 buckets
@@ -133,13 +134,13 @@ def assemble_numeric(df: DataFrame, target: str, one_hot: OneHotModel | None = N
     sel = ([F.col(f"`{c}`").cast("double").alias(c) for c in names] + [col(target)]
            + [col(k) for k in keep])
     out = enc.select(*sel)
-    cond = col(target).isNotNull()
+    conds = [col(target).isNotNull()]
     for c in names:
         v = F.col(f"`{c}`")
-        cond = cond & v.isNotNull() & ~F.isnan(v)
+        conds += [v.isNotNull(), ~F.isnan(v)]
     if is_numeric_type(df.schema[target].dataType):
-        cond = cond & ~F.isnan(col(target).cast("double"))
-    return out.where(cond), names, one_hot
+        conds.append(~F.isnan(col(target).cast("double")))
+    return out.where(all_of(conds)), names, one_hot
 
 
 # --------------------------------------------------------------------------- M4
@@ -171,7 +172,7 @@ def _hex_prefix(key: list[str], digits: int, seed: int) -> Column:
 
 def stratified_split(df: DataFrame, label: str, key: list[str],
                      test_share: float = rules.TEST_SHARE, seed: int = rules.SEED,
-                     rank_limit: int = 100_000) -> DataFrame:
+                     rank_limit: int = 100_000, max_classes: int = 10_000) -> DataFrame:
     """Adds ``is_test`` with an exact per-class quota round(test_share * n_c):
     the rows of each class with the smallest hashes (ties by key text) (M5).
 
@@ -184,8 +185,11 @@ def stratified_split(df: DataFrame, label: str, key: list[str],
     Falls back to the random split when a class has fewer than 2 rows."""
     spark = df.sparkSession
     y = col(label).cast("string")
-    counts = df.groupBy(y.alias("__y")).agg(F.count(F.lit(1)).alias("n_c")).collect()
-    if any(r["n_c"] < 2 for r in counts):
+    counts = (df.groupBy(y.alias("__y")).agg(F.count(F.lit(1)).alias("n_c"))
+              .limit(max_classes + 1).collect())
+    if len(counts) > max_classes or any(r["n_c"] < 2 for r in counts):
+        # a label with more classes than max_classes is not a class label
+        # worth stratifying; fall back to the random hash split
         return random_split(df, key, test_share, seed)
     # per class: (prefix decided so far, rows before it, quota left)
     state = {r["__y"]: {"prefix": "", "before": 0,

@@ -210,9 +210,10 @@ def _semantic_types(df: DataFrame, card: DataFrame) -> DataFrame:
     return long.select("column_name", "ordinal", stype.alias("semantic_type"))
 
 
-def semantic_type_map(df: DataFrame) -> dict[str, str]:
+def semantic_type_map(df: DataFrame, counts: DataFrame | None = None) -> dict[str, str]:
     """Driver-side dict of P8 (bounded by the number of columns)."""
-    return {r["column_name"]: r["semantic_type"] for r in semantic_types(df).collect()}
+    card = column_cardinality(df, counts=counts) if counts is not None else None
+    return {r["column_name"]: r["semantic_type"] for r in semantic_types(df, card).collect()}
 
 
 # --------------------------------------------------------------------------- P9

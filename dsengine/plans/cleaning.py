@@ -60,7 +60,16 @@ def clean(df: DataFrame, target: str | None = None, order_by: str | None = None,
     rep: list[tuple] = []
     keep = [target] if (target and protect_target) else []
 
+    import os
+    import time
+    trace = os.environ.get("DSENGINE_TRACE")
+    clock = [time.perf_counter()]
+
     def add(step, column, metric, value=None, detail=None):
+        if trace:
+            now = time.perf_counter()
+            print(f"[clean] {step:24s} +{now - clock[0]:.2f}s", flush=True)
+            clock[0] = now
         rep.append((step, column, metric, None if value is None else float(value), detail))
 
     # the head of the pipeline reads the input several times (counts,
@@ -74,12 +83,15 @@ def clean(df: DataFrame, target: str | None = None, order_by: str | None = None,
     add("input", None, "rows", rows_before)
     add("input", None, "columns", cols_before)
 
-    # K1 / K6 / K3 ---------------------------------------------------------
-    classes = K.classify_categoricals(df)
+    # K1 / K6 / K3: one value-count pass serves classification and types ---
+    from dsengine.operators.profile import value_counts
+    counts = value_counts(df).persist(StorageLevel.MEMORY_AND_DISK)
+    classes = K.classify_categoricals(df, counts=counts)
     removed: list[tuple[str, str]] = []
     pairs = {}
+    sem_in = semantic_type_map(df, counts) if (drop_fully and keep_typed_text) else None
     if drop_fully:
-        sem0 = semantic_type_map(df) if keep_typed_text else None
+        sem0 = sem_in
         df, dropped = K.drop_fully_categorical(df, classes, keep=keep, semantic=sem0)
         for c in dropped:
             removed.append((c, "fully_categorical"))
@@ -92,7 +104,7 @@ def clean(df: DataFrame, target: str | None = None, order_by: str | None = None,
 
     # 1. types -------------------------------------------------------------
     # reuse the input's types; only encoded pairs change (text -> 0/1 boolean)
-    types = dict(sem0) if (drop_fully and keep_typed_text) else semantic_type_map(df)
+    types = dict(sem_in) if sem_in is not None else semantic_type_map(df)
     for c in pairs:
         types[c] = "boolean"
     types = {c: types[c] for c in df.columns}
@@ -106,6 +118,7 @@ def clean(df: DataFrame, target: str | None = None, order_by: str | None = None,
     n1 = df.count()
     if write_stages:
         source.unpersist()
+    counts.unpersist()
     add("dedup", None, "rows_removed", n0 - n1)
     df, details = C.drop_null_identifiers(df)
     for d in details:

@@ -36,7 +36,7 @@ def _prepared(spark, sf, kind):
 
 
 def _one_model(spark, sf, kind, name):
-    train, test, features, classes, task, *_ = _prepared(spark, sf, kind)
+    train, test, features, classes, task, *_ = _prepared(spark, sf, kind)  # noqa: F841
     kw = {"id_col": TR.ROW_ID} if name == "KNN" else {}
     m = MD.fit(name, task, train, features, len(classes), **kw)
     out = m.transform(test)

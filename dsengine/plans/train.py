@@ -41,6 +41,7 @@ class TrainResult:
     one_hot: P.OneHotModel
     scaler: dict
     predictions: dict = field(default_factory=dict)
+    date_columns: list = field(default_factory=list)
 
     def best(self) -> MD.Fitted:
         name = self.leaderboard.orderBy("rank").first()["model"]
@@ -59,6 +60,7 @@ def prepare(df: DataFrame, target: str, key: list[str] | None = None,
     given = bool(key)
     key = key or [c for c in df.columns if c != target]
     base = df.withColumn(ROW_ID, P.row_hash(key))
+    base, dated = dates_as_days(base, exclude=[target, ROW_ID])
     if given and not key_is_feature:
         base = base.drop(*[k for k in key if k != target])
     assembled, features, one_hot = P.assemble_numeric(base, target, passthrough=[ROW_ID])
@@ -85,13 +87,48 @@ def prepare(df: DataFrame, target: str, key: list[str] | None = None,
     train = P.apply_scaler(train, scaler)
     test = P.apply_scaler(test, scaler)
     prep = P.prep_stats(split, target, features, task)
-    return train, test, features, classes, task, one_hot, scaler, prep
+    return train, test, features, classes, task, one_hot, scaler, prep, dated
+
+
+def dates_as_days(df: DataFrame, exclude: list[str] | None = None) -> tuple[DataFrame, list[str]]:
+    """Datetime columns (typed, or text typed ``datetime`` by P8) become
+    days since 1970-01-01 as doubles, so dates are modelled as numbers
+    instead of one-hot text."""
+    from pyspark.sql import types as T
+
+    from dsengine.operators.clean import coerce_datetime
+    from dsengine.operators.profile import semantic_types
+    exclude = set(exclude or [])
+    text = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)
+            and f.name not in exclude]
+    typed = [f.name for f in df.schema.fields
+             if isinstance(f.dataType, (T.DateType, T.TimestampType, T.TimestampNTZType))
+             and f.name not in exclude]
+    dated = set(typed)
+    if text:
+        dated |= {r["column_name"] for r in semantic_types(df.select(*[col(c) for c in text])).collect()
+                  if r["semantic_type"] == "datetime"}
+    if not dated:
+        return df, []
+    out = []
+    for f in df.schema.fields:
+        if f.name in dated:
+            d = (col(f.name) if f.name in typed else coerce_datetime(col(f.name))).cast("date")
+            out.append(F.datediff(d, F.lit("1970-01-01").cast("date")).cast("double").alias(f.name))
+        else:
+            out.append(col(f.name))
+    return df.select(*out), sorted(dated)
+
+
+def days_since_epoch(c):
+    from dsengine.operators.clean import coerce_datetime
+    return F.datediff(coerce_datetime(c).cast("date"), F.lit("1970-01-01").cast("date")).cast("double")
 
 
 def train_all(df: DataFrame, target: str, key: list[str] | None = None,
               models: list[str] | None = None, model_params: dict | None = None) -> TrainResult:
     spark = df.sparkSession
-    train, test, features, classes, task, one_hot, scaler, prep = prepare(df, target, key)
+    train, test, features, classes, task, one_hot, scaler, prep, dated = prepare(df, target, key)
     train = materialize(train.drop("is_test"), "train")
     test = materialize(test.drop("is_test"), "test")
     names = models or (MD.CLASSIFIERS if task == "classification" else MD.REGRESSORS)
@@ -132,7 +169,7 @@ def train_all(df: DataFrame, target: str, key: list[str] | None = None,
               "mape double, error string")
     lb = MT.leaderboard(metrics, task)
     return TrainResult(task, target, features, classes, prep, metrics, lb, fitted, errors,
-                       one_hot, scaler, preds)
+                       one_hot, scaler, preds, dated)
 
 
 def feature_importance(res: TrainResult, model: str | None = None) -> DataFrame:
@@ -168,12 +205,13 @@ class ScoringBundle:
     model: MD.Fitted
     removed_columns: list = field(default_factory=list)
     pairs: dict = field(default_factory=dict)
+    date_columns: list = field(default_factory=list)
 
     @classmethod
     def from_result(cls, res: TrainResult, removed=None, pairs=None, model: str | None = None):
         m = res.fitted[model] if model else res.best()
         return cls(res.target, res.task_type, res.features, res.classes, res.one_hot,
-                   res.scaler, m, list(removed or []), dict(pairs or {}))
+                   res.scaler, m, list(removed or []), dict(pairs or {}), list(res.date_columns))
 
 
 def align_features(df: DataFrame, features: list[str]) -> DataFrame:
@@ -202,14 +240,15 @@ def score(bundle: ScoringBundle, df: DataFrame, id_col: str | None = None) -> Da
     training features (absent = 0), scale with the train statistics, predict
     and decode. One narrow projection chain; no shuffle except for kNN."""
     inputs = df.columns
-    base = df.select(F.struct(*[col(c) for c in inputs]).alias("__input"),
-                     *[col(c) for c in inputs])
+    rid = P.row_hash([id_col] if id_col else inputs)
+    base = df.select(F.struct(*[col(c) for c in inputs]).alias("__input"), rid.alias(ROW_ID),
+                     *[(days_since_epoch(col(c)) if c in bundle.date_columns else col(c)).alias(c)
+                       for c in inputs])
     drop = [c for c in bundle.removed_columns + [bundle.target] if c in inputs]
     work = K.binary_encode(base.drop(*drop),
                            {c: p for c, p in bundle.pairs.items() if c in inputs})
     raw_numeric = [c for c in work.columns if c in bundle.features]
-    rid = P.row_hash([id_col] if id_col else inputs)
-    work = work.withColumn("error", validity(work, raw_numeric)).withColumn(ROW_ID, rid)
+    work = work.withColumn("error", validity(work, raw_numeric))
     enc = bundle.one_hot.transform(work)
     fcols = []
     for c in bundle.features:

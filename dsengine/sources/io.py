@@ -102,7 +102,8 @@ def save_bundle(bundle, spark: SparkSession, path: str | None = None) -> str:
             "vocab": bundle.one_hot.vocab,
             "scaler": {k: list(v) for k, v in bundle.scaler.items()},
             "removed": bundle.removed_columns, "pairs": {k: list(v) for k, v in bundle.pairs.items()},
-            "model_name": m.name, "model_task": m.task, "n_classes": m.n_classes}
+            "model_name": m.name, "model_task": m.task, "n_classes": m.n_classes,
+            "date_columns": list(bundle.date_columns)}
     if m.transform_fn is _ml_transform:
         m.model.write().overwrite().save(f"{path}/model")
         meta["model_class"] = f"{type(m.model).__module__}.{type(m.model).__name__}"
@@ -134,4 +135,5 @@ def load_bundle(spark: SparkSession, path: str):
     classes = [int(c) for c in meta["classes"]] if meta["class_kind"] == "int" else meta["classes"]
     return ScoringBundle(meta["target"], meta["task_type"], meta["features"], classes,
                          OneHotModel(meta["vocab"]), {k: tuple(v) for k, v in meta["scaler"].items()},
-                         fitted, meta["removed"], {k: tuple(v) for k, v in meta["pairs"].items()})
+                         fitted, meta["removed"], {k: tuple(v) for k, v in meta["pairs"].items()},
+                         meta.get("date_columns", []))
