@@ -25,8 +25,12 @@ def parts(spark, sf):
     return table(spark, sf, "part").select("p_partkey", "p_size", "p_brand", "p_type", "p_retailprice")
 
 
+def _app(spark):
+    return spark.sparkContext.applicationId
+
+
 def _prepared(spark, sf, kind):
-    k = (sf, kind)
+    k = (_app(spark), sf, kind)
     if k not in _CACHE:
         if kind == "clf":
             _CACHE[k] = TR.prepare(documents_labelled(spark, sf), "quality", ["doc_id"])
@@ -148,7 +152,7 @@ _LI_FEATURES = ["l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_tax
 
 
 def _lineitem_bundle(spark, sf):
-    k = (sf, "bundle")
+    k = (_app(spark), sf, "bundle")
     if k not in _CACHE:
         li = table(spark, sf, "lineitem").select(*_LI_FEATURES)
         res = TR.train_all(li, "l_linestatus", ["l_orderkey", "l_linenumber"],
