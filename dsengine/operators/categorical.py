@@ -26,7 +26,8 @@ def _pair_map() -> Column:
 
 
 def classify_categoricals(df: DataFrame, cols: list[str] | None = None,
-                          counts: DataFrame | None = None) -> DataFrame:
+                          counts: DataFrame | None = None,
+                          cardinality: DataFrame | None = None) -> DataFrame:
     """(column_name, ordinal, n_distinct, category_class, positive, negative,
     values) for every text column (K1, K2).
 
@@ -41,7 +42,11 @@ def classify_categoricals(df: DataFrame, cols: list[str] | None = None,
                 "positive string, negative string, values string")
     vc = (counts.where(F.col("column_name").isin(*cols)) if counts is not None
           else value_counts(df, cols)).where(F.col("value").isNotNull())
-    card = vc.groupBy("column_name").agg(F.count(F.lit(1)).alias("n_distinct"))
+    if cardinality is not None:
+        # n_distinct given (exact up to the small thresholds that matter here)
+        card = cardinality.where(F.col("column_name").isin(*cols)).select("column_name", "n_distinct")
+    else:
+        card = vc.groupBy("column_name").agg(F.count(F.lit(1)).alias("n_distinct"))
     small = card.where(F.col("n_distinct") <= rules.CLUSTERED_MAX).select("column_name")
     vals = (vc.join(F.broadcast(small), "column_name", "left_semi")
             .groupBy("column_name").agg(F.sort_array(F.collect_list("value")).alias("vals")))

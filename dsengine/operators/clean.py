@@ -488,6 +488,24 @@ def constant_columns(df: DataFrame, distinct: dict[str, int] | None = None) -> l
     return [c for c in df.columns if distinct[c] <= 1]
 
 
+def constant_columns_minmax(df: DataFrame) -> list[str]:
+    """nunique (non-null) <= 1 without counting distinct values: a column
+    is constant when its non-missing min equals its max, or it has none
+    (C21, one aggregate, no shuffle of values)."""
+    if not df.columns:
+        return []
+    aggs = []
+    for i, f in enumerate(df.schema.fields):
+        v = F.when(~is_missing(f.name, f.dataType), col(f.name))
+        if isinstance(f.dataType, (T.MapType, T.ArrayType, T.StructType)):
+            aggs += [F.lit(1).alias(f"mn{i}"), F.lit(2).alias(f"mx{i}")]
+            continue
+        aggs += [F.min(v).alias(f"mn{i}"), F.max(v).alias(f"mx{i}")]
+    row = df.agg(*aggs).first()
+    return [c for i, c in enumerate(df.columns)
+            if row[f"mn{i}"] is None or row[f"mn{i}"] == row[f"mx{i}"]]
+
+
 def identifier_columns(df: DataFrame, rows: int | None = None,
                        distinct: dict[str, int] | None = None) -> list[str]:
     """id/uuid/guid/pk in the name and nunique/rows > 0.95."""
@@ -495,7 +513,9 @@ def identifier_columns(df: DataFrame, rows: int | None = None,
     if not cands:
         return []
     if distinct is None or rows is None:
-        rows, distinct = distinct_and_rows(df, cands)
+        row = df.agg(F.count(F.lit(1)).alias("__n"),
+                     *[F.count_distinct(col(c)).alias(f"d{i}") for i, c in enumerate(cands)]).first()
+        rows, distinct = row["__n"], {c: row[f"d{i}"] for i, c in enumerate(cands)}
     return [c for c in cands if rows and distinct[c] / rows > rules.IDENTIFIER_DROP_UNIQUENESS]
 
 

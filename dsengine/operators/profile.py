@@ -104,6 +104,31 @@ def column_cardinality(df: DataFrame, cols: list[str] | None = None,
                     F.coalesce("n_distinct_with_null", F.lit(0)).alias("n_distinct_with_null")))
 
 
+def bounded_cardinality(df: DataFrame, cols: list[str] | None = None, limit: int = 50
+                        ) -> tuple[DataFrame, DataFrame]:
+    """(cardinality, counts) where ``n_distinct`` is exact for every column
+    with at most ``limit`` distinct values and a HyperLogLog estimate (flag
+    ``is_exact`` false) above 4 x limit - enough for every rule that only
+    compares cardinality with small thresholds (boolean <= 2, classes <= 10).
+
+    One map-side HLL aggregate, then value counts only for the columns that
+    may be small, so high-cardinality columns are never shuffled."""
+    cols = list(df.columns) if cols is None else list(cols)
+    spark = df.sparkSession
+    row = df.agg(*[F.approx_count_distinct(F.when(~is_missing(c, df.schema[c].dataType), col(c)))
+                   .alias(f"a{i}") for i, c in enumerate(cols)]).first() if cols else None
+    small = [c for i, c in enumerate(cols) if row[f"a{i}"] <= 4 * limit]
+    counts = value_counts(df, small) if small else spark.createDataFrame(
+        [], "column_name string, value string, count bigint")
+    exact = {r["column_name"]: r["n"] for r in
+             counts.groupBy("column_name").agg(F.count("value").alias("n")).collect()}
+    rows = [(c, i, int(exact.get(c, 0)) if c in small else int(row[f"a{i}"]), c in small)
+            for i, c in enumerate(cols)]
+    card = spark.createDataFrame(rows, "column_name string, ordinal int, n_distinct bigint, "
+                                       "is_exact boolean")
+    return card, counts
+
+
 # --------------------------------------------------------------------------- P4/P5
 def infer_target(df: DataFrame, target: str | None = None,
                  cardinality: DataFrame | None = None) -> DataFrame:
@@ -154,7 +179,7 @@ def semantic_types(df: DataFrame, cardinality: DataFrame | None = None) -> DataF
     if cardinality is None:
         from dsengine.functions.staging import multi_pass
         with multi_pass(df) as staged:
-            rows = _semantic_types(staged, column_cardinality(staged)).collect()
+            rows = _semantic_types(staged, bounded_cardinality(staged)[0]).collect()
         return df.sparkSession.createDataFrame(
             rows, "column_name string, ordinal int, semantic_type string")
     return _semantic_types(df, cardinality)

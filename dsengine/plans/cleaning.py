@@ -83,13 +83,16 @@ def clean(df: DataFrame, target: str | None = None, order_by: str | None = None,
     add("input", None, "rows", rows_before)
     add("input", None, "columns", cols_before)
 
-    # K1 / K6 / K3: one value-count pass serves classification and types ---
-    from dsengine.operators.profile import value_counts
-    counts = value_counts(df).persist(StorageLevel.MEMORY_AND_DISK)
-    classes = K.classify_categoricals(df, counts=counts)
+    # K1 / K6 / K3: one bounded-cardinality pass serves classification and
+    # types (exact counts only for columns that may have few values) --------
+    from dsengine.operators.profile import bounded_cardinality, semantic_types
+    card, counts = bounded_cardinality(df)
+    counts = counts.persist(StorageLevel.MEMORY_AND_DISK)
+    classes = K.classify_categoricals(df, counts=counts, cardinality=card)
     removed: list[tuple[str, str]] = []
     pairs = {}
-    sem_in = semantic_type_map(df, counts) if (drop_fully and keep_typed_text) else None
+    sem_in = ({r["column_name"]: r["semantic_type"] for r in semantic_types(df, card).collect()}
+              if (drop_fully and keep_typed_text) else None)
     if drop_fully:
         sem0 = sem_in
         df, dropped = K.drop_fully_categorical(df, classes, keep=keep, semantic=sem0)
@@ -208,11 +211,10 @@ def clean(df: DataFrame, target: str | None = None, order_by: str | None = None,
         add("rare", c, "rare_replaced", v["rare_replaced"])
 
     # 12. irrelevant columns -------------------------------------------------
-    rows, distinct = C.distinct_and_rows(df, df.columns)
     irrelevant = []
-    for c in C.constant_columns(df, distinct):
+    for c in C.constant_columns_minmax(df):
         irrelevant.append((c, "constant"))
-    for c in C.identifier_columns(df, rows, distinct):
+    for c in C.identifier_columns(df):
         irrelevant.append((c, "identifier"))
     for c in C.low_impact_columns(df):
         irrelevant.append((c, "low_impact"))
