@@ -251,25 +251,42 @@ def ffill_bfill(df: DataFrame, cols: list[str], order_by: str, buckets: int = 64
         return out
     probs = [i / buckets for i in range(1, buckets)]
     bounds = df.agg(F.percentile_approx(order.cast("double"), probs, 10000).alias("b")).first()["b"]
-    splits = sorted(set(float(b) for b in (bounds or [])))
+    bounds = [float(b) for b in (bounds or [])]
+    splits = sorted(set(bounds))
+    # a value repeated among the quantile bounds holds >= 1/buckets of the
+    # rows: its rows (ties in the order key) get their own sub-buckets, cut
+    # by ranges of a deterministic row hash, so no window partition holds
+    # a hot key's rows
+    hot = {v: bounds.count(v) for v in splits if bounds.count(v) > 1}
+    ordv = order.cast("double")
     bucket = F.lit(0)
-    for s in splits:
-        bucket = bucket + F.when(order.cast("double") > F.lit(s), 1).otherwise(0)
-    tagged = df.withColumn("__bucket", bucket)
-    w = Window.partitionBy("__bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    for sp in splits:
+        bucket = bucket + F.when(ordv > F.lit(sp), 1).otherwise(0)
+    tiebreak = F.xxhash64(*[col(c) for c in df.columns])
+    unit = (tiebreak.cast("double") + F.lit(2.0 ** 63)) / F.lit(2.0 ** 64)   # [0, 1)
+    sub = F.lit(0)
+    for v, m in hot.items():
+        sub = F.when(ordv == F.lit(v), F.lit(1) + F.least(F.floor(unit * F.lit(m)).cast("int"),
+                                                          F.lit(m - 1))).otherwise(sub)
+    tagged = (df.withColumn("__bucket", bucket).withColumn("__sub", sub)
+              .withColumn("__tb", tiebreak))
+    keys = ["__bucket", "__sub"]
+    w = (Window.partitionBy(*keys).orderBy(order, F.col("__tb"))
+         .rowsBetween(Window.unboundedPreceding, 0))
     for c in cols:
         tagged = tagged.withColumn(f"__ff_{c}", F.last(col(c), True).over(w))
-    # last / first non-null per bucket (small frame: one row per bucket)
-    per_bucket = tagged.groupBy("__bucket").agg(
-        *[F.max_by(col(c), F.when(col(c).isNotNull(), order)).alias(f"__last_{c}") for c in cols],
-        *[F.min_by(col(c), F.when(col(c).isNotNull(), order)).alias(f"__first_{c}") for c in cols])
-    wb = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    wf = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    # last / first non-null per (bucket, sub) - a small frame
+    pos = F.struct(order.alias("o"), F.col("__tb").alias("t"))
+    per_bucket = tagged.groupBy(*keys).agg(
+        *[F.max_by(col(c), F.when(col(c).isNotNull(), pos)).alias(f"__last_{c}") for c in cols],
+        *[F.min_by(col(c), F.when(col(c).isNotNull(), pos)).alias(f"__first_{c}") for c in cols])
+    wb = Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    wf = Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     carry = per_bucket.select(
-        "__bucket",
+        *keys,
         *[F.last(f"__last_{c}", True).over(wb).alias(f"__carry_{c}") for c in cols],
         *[F.first(f"__first_{c}", True).over(wf).alias(f"__head_{c}") for c in cols])
-    joined = tagged.join(F.broadcast(carry), "__bucket", "left")
+    joined = tagged.join(F.broadcast(carry), keys, "left")
     out = []
     for c0 in df.columns:
         if c0 in cols:

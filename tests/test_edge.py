@@ -168,3 +168,19 @@ def test_auc_with_ties(spark):
     neg = [s for y, s in rows if y == 0]
     want = sum((p > n) + 0.5 * (p == n) for p in pos for n in neg) / (len(pos) * len(neg))
     assert math.isclose(roc_auc(df, buckets=3).first()[0], want)
+
+
+def test_ffill_hot_key_is_split_and_exact(spark):
+    """A key holding half of the rows: its ties are filled in row-hash
+    order inside sub-buckets; values outside the hot key are exact."""
+    rows = [(i, f"v{i}" if i % 5 == 0 else None) for i in range(1, 200)]
+    rows += [(100, None)] * 150 + [(100, "hot")] * 50
+    df = spark.createDataFrame(rows, "k long, v string")
+    out = C.ffill_bfill(df, ["v"], "k", buckets=16)
+    assert out.count() == len(rows)
+    got = out.collect()
+    assert all(r["v"] is not None for r in got)
+    # after the hot key, the fill continues from the last non-null at or before it
+    after = {r["k"]: r["v"] for r in got if r["k"] in (101, 102, 103, 104)}
+    assert after[101] in ("hot", "v100") and after[101] == after[104]
+    assert {r["v"] for r in got if r["k"] == 99} == {"v95"}
