@@ -455,7 +455,8 @@ def rare_values(df: DataFrame, cols: list[str], threshold: float | None = None)
 
 
 def group_rare(df: DataFrame, cols: list[str], threshold: float | None = None,
-               label: str | None = None) -> tuple[DataFrame, dict]:
+               label: str | None = None, broadcast_limit: int = 1_000_000
+               ) -> tuple[DataFrame, dict]:
     """Values with share < threshold -> 'Other' (C20). The rare lists are
     bounded (fewer than 1/threshold values can be frequent, the rest are
     rare) - when a column has many rare values the replacement is a
@@ -477,6 +478,11 @@ def group_rare(df: DataFrame, cols: list[str], threshold: float | None = None,
     for c in big:   # join path for columns with very many rare values
         flag = (rare.where(F.col("column_name") == c)
                 .select(F.col("value").alias(f"__rare_{c}"), F.lit(True).alias(f"__is_{c}")))
+        # the rare list's size is known: broadcast it below the bound (a hot
+        # common value on the big side then never meets a shuffle); above it
+        # the shuffle join relies on AQE skew-join splitting
+        if per_col[c][0] <= broadcast_limit:
+            flag = F.broadcast(flag)
         out = out.join(flag, col(c).cast("string") == F.col(f"__rare_{c}"), "left")
         out = out.withColumn(c, F.when(F.col(f"__is_{c}"), F.lit(label)).otherwise(col(c)))
         out = out.drop(f"__rare_{c}", f"__is_{c}")
