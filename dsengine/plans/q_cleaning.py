@@ -95,8 +95,8 @@ def _clean(spark, sf):
     return cleaning.clean(dirty(spark, sf), target=TARGET, order_by=ORDER)
 
 
-@register("clean_pipeline", _PIPELINE_SQL)
-def q_clean_pipeline(spark, sf):
+@register("clean_table", _PIPELINE_SQL)
+def q_clean_table(spark, sf):
     return rounded(_clean(spark, sf).df)
 
 
