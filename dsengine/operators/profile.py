@@ -168,6 +168,10 @@ def duplicate_count(df: DataFrame) -> DataFrame:
 
 
 # --------------------------------------------------------------------------- P8
+# numbers equal to a listed value (True/False compare as 1/0) and listed texts
+_BOOL_NUMBERS = sorted({float(v) for v in rules.BOOLEAN_VALUES if not isinstance(v, str)})
+_BOOL_TEXTS = [v for v in rules.BOOLEAN_VALUES if isinstance(v, str)]
+
 def semantic_types(df: DataFrame, cardinality: DataFrame | None = None) -> DataFrame:
     """(column, ordinal, semantic_type) over non-missing values.
 
@@ -195,10 +199,10 @@ def _semantic_types(df: DataFrame, card: DataFrame) -> DataFrame:
             in_bool = present
             kinds[f.name] = "bool"
         elif is_numeric_type(dt):
-            in_bool = present & c.cast("double").isin(*[float(v) for v in rules.BOOLEAN_NUMERIC_VALUES])
+            in_bool = present & c.cast("double").isin(*_BOOL_NUMBERS)
             kinds[f.name] = "numeric"
         elif is_text_type(dt):
-            in_bool = present & c.isin(*rules.BOOLEAN_TEXT_VALUES)
+            in_bool = present & c.isin(*_BOOL_TEXTS)
             kinds[f.name] = "text"
         elif is_datetime_type(dt):
             in_bool = F.lit(False)

@@ -12,9 +12,8 @@ Operators read them as defaults and accept overrides as parameters.
 INFER_TARGET_MAX_DISTINCT = 10
 
 # Boolean detection: every non-null value must be one of these (at most 2 distinct)
-BOOLEAN_TEXT_VALUES = ["True", "False", "true", "false", "yes", "no",
-                       "Yes", "No", "YES", "NO"]
-BOOLEAN_NUMERIC_VALUES = [0, 1]
+BOOLEAN_VALUES = [0, 1, True, False, "True", "False", "true", "false", "yes", "no",
+                  "Yes", "No", "YES", "NO"]
 
 # Date-like text patterns and required share
 DATE_TEXT_PATTERNS = [r"^\d{4}-\d{2}-\d{2}", r"^\d{2}/\d{2}/\d{4}",
