@@ -201,11 +201,11 @@ def _numeric_fill_values(df: DataFrame, cols: list[str]) -> dict[str, tuple]:
     for i, c in enumerate(cols):
         miss = row[f"m{i}"]
         if hv[c]["high_variation"]:
-            method, value = "median (high variation detected)", med[(c, 0.5)]
+            method, value = rules.IMPUTE_MEDIAN_HIGH_VARIATION, med[(c, 0.5)]
         else:
-            method, value = "mean", row[f"a{i}"]
+            method, value = rules.IMPUTE_MEAN, row[f"a{i}"]
         if value is None:
-            method, value = "median", med[(c, 0.5)]
+            method, value = rules.IMPUTE_MEDIAN, med[(c, 0.5)]
         out[c] = (method if miss else "none", value, miss)
     return out
 

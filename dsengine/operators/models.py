@@ -45,10 +45,8 @@ from pyspark.sql import types as T
 
 from dsengine import rules
 
-CLASSIFIERS = ["Logistic Regression", "Random Forest", "Gradient Boosting", "SVM",
-               "Decision Tree", "KNN", "Neural Network", "AdaBoost"]
-REGRESSORS = ["Linear Regression", "Random Forest", "Gradient Boosting", "SVR",
-              "Decision Tree", "KNN", "Neural Network", "AdaBoost"]
+CLASSIFIERS = rules.CLASSIFIERS
+REGRESSORS = rules.REGRESSORS
 
 
 def assemble(df: DataFrame, features: list[str], out: str = "features") -> DataFrame:

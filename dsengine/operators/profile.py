@@ -143,10 +143,11 @@ def infer_target(df: DataFrame, target: str | None = None,
     joined = base.join(card.select(F.col("column_name").alias("target_column"), "n_distinct"),
                        "target_column", "left")
     n = F.col("n_distinct")
-    ptype = (F.when(F.col("target_column").isNull(), "Unknown")
-             .when(n == 2, "Binary Classification")
-             .when(n > 2, "Multi-class Classification")
-             .otherwise("Regression"))
+    binary, multi, regression, unknown = rules.PROBLEM_TYPES
+    ptype = (F.when(F.col("target_column").isNull(), unknown)
+             .when(n == 2, binary)
+             .when(n > 2, multi)
+             .otherwise(regression))
     return joined.select("inferred_target", "target_column", "target_confirmed",
                          ptype.alias("problem_type"))
 

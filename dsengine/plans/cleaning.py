@@ -165,7 +165,7 @@ def clean(df: DataFrame, target: str | None = None, order_by: str | None = None,
         order = order_by or df.columns[0]
         df = C.ffill_bfill(df, [c for c in datetime if missing[c]], order_by=order)
         for c in datetime:
-            add("impute", c, "missing", missing[c], "ffill/bfill" if missing[c] else "none")
+            add("impute", c, "missing", missing[c], rules.IMPUTE_FILL if missing[c] else "none")
     # categorical and boolean modes from one value-count job
     modes = C.mode_values(df, categorical + boolean)
     df, cinfo = C.impute_mode(df, categorical, modes=modes)

@@ -111,6 +111,19 @@ MAX_ITER = 1000
 KNN_K = 5
 MLP_HIDDEN = [100, 50]
 
+# Report labels
+IMPUTE_MEAN = "mean"
+IMPUTE_MEDIAN = "median"
+IMPUTE_MEDIAN_HIGH_VARIATION = "median (high variation detected)"
+IMPUTE_FILL = "ffill/bfill"
+PROBLEM_TYPES = ["Binary Classification", "Multi-class Classification", "Regression", "Unknown"]
+
+# Model line-up, in training order
+CLASSIFIERS = ["Logistic Regression", "Random Forest", "Gradient Boosting", "SVM",
+               "Decision Tree", "KNN", "Neural Network", "AdaBoost"]
+REGRESSORS = ["Linear Regression", "Random Forest", "Gradient Boosting", "SVR",
+              "Decision Tree", "KNN", "Neural Network", "AdaBoost"]
+
 # Input-type inference (scoring form)
 INPUT_DATE_SHARE = 0.7
 INPUT_DATE_SHARE_NAMED = 0.3
