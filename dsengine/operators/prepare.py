@@ -172,7 +172,8 @@ def _hex_prefix(key: list[str], digits: int, seed: int) -> Column:
 
 def stratified_split(df: DataFrame, label: str, key: list[str],
                      test_share: float = rules.TEST_SHARE, seed: int = rules.SEED,
-                     rank_limit: int = 100_000, max_classes: int = 10_000) -> DataFrame:
+                     rank_limit: int = 100_000, max_classes: int = 10_000,
+                     report: bool = False):
     """Adds ``is_test`` with an exact per-class quota round(test_share * n_c):
     the rows of each class with the smallest hashes (ties by key text) (M5).
 
@@ -190,7 +191,8 @@ def stratified_split(df: DataFrame, label: str, key: list[str],
     if len(counts) > max_classes or any(r["n_c"] < 2 for r in counts):
         # a label with more classes than max_classes is not a class label
         # worth stratifying; fall back to the random hash split
-        return random_split(df, key, test_share, seed)
+        out = random_split(df, key, test_share, seed)
+        return (out, False) if report else out
     # per class: (prefix decided so far, rows before it, quota left)
     state = {r["__y"]: {"prefix": "", "before": 0,
                         "quota": int(math.floor(r["n_c"] * test_share + 0.5))} for r in counts}
@@ -239,7 +241,8 @@ def stratified_split(df: DataFrame, label: str, key: list[str],
               .withColumn("is_test", F.col("__before") + F.row_number().over(wr) <= F.col("__quota")))
     rest = tagged.where(~in_boundary).withColumn("is_test", below)
     cols = df.columns + ["is_test"]
-    return rest.select(*cols).unionByName(ranked.select(*cols))
+    out = rest.select(*cols).unionByName(ranked.select(*cols))
+    return (out, True) if report else out
 
 
 def split(df: DataFrame, label: str, key: list[str], task_type: str,
@@ -247,7 +250,11 @@ def split(df: DataFrame, label: str, key: list[str], task_type: str,
     """Stratified for classification, random for regression; a train side
     with one class (or < 2 rows) falls back to all rows on both sides."""
     if task_type == "classification":
-        out = stratified_split(df, label, key, test_share, seed)
+        out, stratified = stratified_split(df, label, key, test_share, seed, report=True)
+        if stratified:
+            # every class has >= 2 rows and keeps n_c - round(0.2 n_c) >= 1
+            # training rows, so the train side has every class
+            return out
         train_classes = out.where(~F.col("is_test")).select(label).distinct().limit(2).count()
         if train_classes < 2:
             return _both(df)

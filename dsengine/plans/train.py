@@ -96,8 +96,8 @@ def dates_as_days(df: DataFrame, exclude: list[str] | None = None) -> tuple[Data
     instead of one-hot text."""
     from pyspark.sql import types as T
 
+    from dsengine import rules
     from dsengine.operators.clean import coerce_datetime
-    from dsengine.operators.profile import semantic_types
     exclude = set(exclude or [])
     text = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)
             and f.name not in exclude]
@@ -106,8 +106,18 @@ def dates_as_days(df: DataFrame, exclude: list[str] | None = None) -> tuple[Data
              and f.name not in exclude]
     dated = set(typed)
     if text:
-        dated |= {r["column_name"] for r in semantic_types(df.select(*[col(c) for c in text])).collect()
-                  if r["semantic_type"] == "datetime"}
+        # the P8 datetime rule for text in one aggregate: > 80% of present
+        # values look like dates (a date-like column is never boolean)
+        aggs = []
+        for i, c in enumerate(text):
+            t = F.trim(col(c))
+            like = F.lit(False)
+            for pat in rules.DATE_TEXT_PATTERNS:
+                like = like | t.rlike(pat)
+            aggs += [F.count(col(c)).alias(f"n{i}"), F.count_if(col(c).isNotNull() & like).alias(f"d{i}")]
+        r = df.agg(*aggs).first()
+        dated |= {c for i, c in enumerate(text)
+                  if r[f"n{i}"] and r[f"d{i}"] / r[f"n{i}"] > rules.DATE_TEXT_SHARE}
     if not dated:
         return df, []
     out = []
@@ -129,13 +139,19 @@ def train_all(df: DataFrame, target: str, key: list[str] | None = None,
               models: list[str] | None = None, model_params: dict | None = None) -> TrainResult:
     spark = df.sparkSession
     train, test, features, classes, task, one_hot, scaler, prep, dated = prepare(df, target, key)
+    # every model reads the scaled train / test tables many times (iterative
+    # fits, metrics, AUC): write them once
     train = materialize(train.drop("is_test"), "train")
     test = materialize(test.drop("is_test"), "test")
     names = models or (MD.CLASSIFIERS if task == "classification" else MD.REGRESSORS)
     params = model_params or {}
     fitted, errors, rows, preds = {}, {}, [], {}
     binary = task == "classification" and len(classes) == 2
+    import os
+    import time
+    trace = os.environ.get("DSENGINE_TRACE")
     for i, name in enumerate(names):
+        t0 = time.perf_counter()
         try:
             kw = dict(params.get(name, {}))
             if name == "KNN":
@@ -156,6 +172,8 @@ def train_all(df: DataFrame, target: str, key: list[str] | None = None,
                 rows.append((name, i, None, None, None, None, None, met["r2_score"], met["mae"],
                              met["rmse"], met["mape"], None))
             fitted[name] = m
+            if trace:
+                print(f"[train] {name:20s} {time.perf_counter() - t0:.1f}s", flush=True)
         except Exception as e:  # a failing model is recorded, not fatal
             errors[name] = f"{type(e).__name__}: {e}"
             rows.append((name, i, None, None, None, None, None, None, None, None, None,
