@@ -192,7 +192,7 @@ def stratified_split(df: DataFrame, label: str, key: list[str],
         # a label with more classes than max_classes is not a class label
         # worth stratifying; fall back to the random hash split
         out = random_split(df, key, test_share, seed)
-        return (out, False) if report else out
+        return (out, 0) if report else out
     # per class: (prefix decided so far, rows before it, quota left)
     state = {r["__y"]: {"prefix": "", "before": 0,
                         "quota": int(math.floor(r["n_c"] * test_share + 0.5))} for r in counts}
@@ -242,7 +242,7 @@ def stratified_split(df: DataFrame, label: str, key: list[str],
     rest = tagged.where(~in_boundary).withColumn("is_test", below)
     cols = df.columns + ["is_test"]
     out = rest.select(*cols).unionByName(ranked.select(*cols))
-    return (out, True) if report else out
+    return (out, len(counts)) if report else out
 
 
 def split(df: DataFrame, label: str, key: list[str], task_type: str,
@@ -250,10 +250,10 @@ def split(df: DataFrame, label: str, key: list[str], task_type: str,
     """Stratified for classification, random for regression; a train side
     with one class (or < 2 rows) falls back to all rows on both sides."""
     if task_type == "classification":
-        out, stratified = stratified_split(df, label, key, test_share, seed, report=True)
-        if stratified:
-            # every class has >= 2 rows and keeps n_c - round(0.2 n_c) >= 1
-            # training rows, so the train side has every class
+        out, n_classes = stratified_split(df, label, key, test_share, seed, report=True)
+        if n_classes >= 2:
+            # stratified: every class has >= 2 rows and keeps
+            # n_c - round(0.2 n_c) >= 1 training rows, so train has every class
             return out
         train_classes = out.where(~F.col("is_test")).select(label).distinct().limit(2).count()
         if train_classes < 2:
