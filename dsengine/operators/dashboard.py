@@ -28,13 +28,20 @@ def _identifier_like(name: str) -> bool:
 
 
 # --------------------------------------------------------------------------- D1/D6/D13
-def dataset_summary(df: DataFrame) -> DataFrame:
+def dataset_summary(df: DataFrame, exact: bool = True) -> DataFrame:
     """rows, columns, missing_values (cells), duplicates.
 
     One grouping by the full row gives both duplicates and missing cells:
-    each group's missing-cell count is a function of its key."""
+    each group's missing-cell count is a function of its key.
+    ``exact=False`` groups by a 128-bit row fingerprint (see P7)."""
+    from dsengine.operators.profile import row_fingerprint
     miss = sum_of([F.when(is_missing(f.name, f.dataType), 1).otherwise(0) for f in df.schema.fields])
-    groups = df.groupBy(*[col(c) for c in df.columns]).agg(F.count(F.lit(1)).alias("n"))
+    if exact:
+        groups = df.groupBy(*[col(c) for c in df.columns]).agg(F.count(F.lit(1)).alias("n"))
+    else:
+        groups = (df.select(*row_fingerprint(df), miss.alias("__m"))
+                  .groupBy("__h1", "__h2").agg(F.count(F.lit(1)).alias("n"), F.first("__m").alias("__m")))
+        miss = F.col("__m")
     return groups.agg(
         F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("rows"),
         F.lit(len(df.columns)).cast("bigint").alias("columns"),

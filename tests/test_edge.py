@@ -184,3 +184,11 @@ def test_ffill_hot_key_is_split_and_exact(spark):
     after = {r["k"]: r["v"] for r in got if r["k"] in (101, 102, 103, 104)}
     assert after[101] in ("hot", "v100") and after[101] == after[104]
     assert {r["v"] for r in got if r["k"] == 99} == {"v95"}
+
+
+def test_fingerprint_duplicates_equal_exact(spark):
+    from dsengine.operators import dashboard as D
+    rows = [(i % 7, None if i % 5 == 0 else f"s{i % 3}", float(i % 4)) for i in range(300)]
+    df = spark.createDataFrame(rows, "a int, b string, c double")
+    assert profile.duplicate_count(df, exact=False).first()[0] == profile.duplicate_count(df).first()[0]
+    assert tuple(D.dataset_summary(df, exact=False).first()) == tuple(D.dataset_summary(df).first())
