@@ -243,6 +243,10 @@ def clean(df: DataFrame, target: str | None = None, order_by: str | None = None,
     before = df.count()
     df = C.drop_incomplete(df)
     df = materialize(df, "cleaned", write_stages)
+    if not write_stages:
+        df = df.persist(StorageLevel.MEMORY_AND_DISK)
+        df.count()
+        source.unpersist()
     after = df.count()
     add("final", None, "rows_removed_missing", before - after)
     add("output", None, "rows", after)
