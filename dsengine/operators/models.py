@@ -14,9 +14,10 @@ GBT, trees, MLP, linear regression). Composed ones:
   are written out every 10 rounds to cut the lineage.
 * AdaBoost.R2: weighted depth-3 regression trees (Spark ML, ``weightCol``),
   weighted-median read-out with array functions.
-* kNN: exact; train rows are broadcast in size-checked chunks and each test
-  partition computes local top-k with numpy (``mapInPandas``); chunk results
-  are merged by a grouped top-k.
+* kNN: exact. A train side within a checked size is broadcast and each test
+  partition computes local top-k with numpy (``mapInPandas``); a larger one
+  is matched block against block (cogroup of bounded test and train blocks,
+  no driver involvement). Candidates are merged by a grouped top-k.
 * RBF SVM / SVR: random Fourier features as column expressions, then
   LinearSVC (one-vs-rest) / Huber linear regression. An approximation.
 * MLP regressor: the target is cut into quantile bins, an MLP classifier
@@ -252,33 +253,54 @@ def knn_neighbours(train: DataFrame, test: DataFrame, features: list[str], k: in
     (rows x features, checked before collecting); each chunk yields k
     candidates per test row, and a grouped top-k (WindowGroupLimit) merges
     the chunks. Ties in distance are broken by the train id."""
-    spark = train.sparkSession
     d = len(features)
     n_train = train.count()
-    n_chunks = max(1, math.ceil(n_train * d / chunk_cells))
     arr = F.array(*[F.col(f"`{c}`").cast("double") for c in features])
     q = test.select(F.col(id_col).alias("__qid"), arr.alias("__x"))
     tr = train.select(F.col(id_col).alias("__id"), arr.alias("__x"), F.col("label").cast("double").alias("__y"))
-    if n_chunks > 1:
-        tr = tr.withColumn("__chunk", F.abs(F.xxhash64("__id")) % n_chunks)
-    parts = []
     schema = "__qid long, __d double, __nid long, __ny double"
-    for ci in range(n_chunks):
-        piece = tr if n_chunks == 1 else tr.where(F.col("__chunk") == ci)
-        pdf = piece.select("__id", "__x", "__y").toPandas()
+    if n_train * d <= chunk_cells:
+        # small train side (size checked): broadcast it to the test partitions
+        pdf = tr.toPandas()
         if len(pdf) == 0:
-            continue
+            return test.sparkSession.createDataFrame([], schema + ", __rank int")
         tx = np.vstack(pdf["__x"].to_numpy()).astype(np.float64)
         ty = pdf["__y"].to_numpy().astype(np.float64)
         tid = pdf["__id"].to_numpy().astype(np.int64)
-        parts.append(q.mapInPandas(_knn_local(tx, ty, tid, k), schema))
-    cand = parts[0]
-    for p in parts[1:]:
-        cand = cand.unionByName(p)
+        cand = q.mapInPandas(_knn_local(tx, ty, tid, k), schema)
+    else:
+        cand = _knn_blocked(tr, q, d, k, chunk_cells, schema)
     w = Window.partitionBy("__qid").orderBy("__d", "__nid")
     return (cand.withColumn("__rank", F.row_number().over(w)).where(F.col("__rank") <= k))
 
 
+def _knn_blocked(tr: DataFrame, q: DataFrame, d: int, k: int, cells: int, schema: str) -> DataFrame:
+    """Driver-free exact candidates for a large train side: train rows are
+    hashed into TB blocks and test rows into QB blocks, each block bounded by
+    ``cells`` values; every (test block, train block) pair is one cogroup
+    group (bounded on both sides) that emits k candidates per test row."""
+    n_q = q.count()
+    tb = max(1, math.ceil(tr.count() * d / cells))
+    qb = max(1, math.ceil(n_q * d / cells))
+    trr = (tr.withColumn("__tb", F.pmod(F.xxhash64("__id"), F.lit(tb)).cast("int"))
+           .withColumn("__qb", F.explode(F.sequence(F.lit(0), F.lit(qb - 1)))))
+    qr = (q.withColumn("__qb", F.pmod(F.xxhash64("__qid"), F.lit(qb)).cast("int"))
+          .withColumn("__tb", F.explode(F.sequence(F.lit(0), F.lit(tb - 1)))))
+
+    def pair(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if len(left) == 0 or len(right) == 0:
+            return pd.DataFrame({"__qid": pd.Series([], dtype="int64"), "__d": pd.Series([], dtype="float64"),
+                                 "__nid": pd.Series([], dtype="int64"), "__ny": pd.Series([], dtype="float64")})
+        tx = np.vstack(right["__x"].to_numpy()).astype(np.float64)
+        run = _knn_local(tx, right["__y"].to_numpy().astype(np.float64),
+                         right["__id"].to_numpy().astype(np.int64), k)
+        return pd.concat(list(run([left[["__qid", "__x"]]])), ignore_index=True)
+
+    return (qr.groupBy("__qb", "__tb")
+            .cogroup(trr.groupBy("__qb", "__tb"))
+            .applyInPandas(pair, schema))
+
+
 def fit_knn(train, features, task, k=rules.KNN_K, id_col="__rowid"):
     """Lazy learner: keeps the train frame; k = min(5, train rows)."""
     k = min(k, train.count())
