@@ -109,7 +109,38 @@ def q_clean_table(spark, sf):
     return rounded(_clean(spark, sf).df)
 
 
-@register("cleaning_report")
+_D4_COLUMNS = ["k", "order_id", "customer_age", "gender", "total_price", "shipping_cost",
+               "discount_rate", "priority", "is_large", "source_flag", "start_date", "end_date",
+               "item_count", "status"]
+_FINAL_COLUMNS = ["k", "customer_age", "gender", "total_price", "shipping_cost", "discount_rate",
+                  "priority", "is_large", "start_date", "end_date", "item_count", "status"]
+# removed columns in the order the rules fire: K6, C6, C21, C22
+_REMOVED = [("customer_name", "fully_categorical"), ("legacy_code", "missing_values"),
+            ("source_flag", "irrelevant/constant"), ("order_id", "irrelevant/constant")]
+
+
+def _report_sql() -> str:
+    body = _PIPELINE_SQL.split("\nSELECT round(k, 6) AS k,")[0]
+    nulls = " + ".join(f"count(*) FILTER (WHERE {c} IS NULL)" for c in _D4_COLUMNS)
+    complete = " AND ".join(f"{c} IS NOT NULL" for c in _FINAL_COLUMNS)
+    removed = "\n  UNION ALL ".join(
+        f"SELECT 'removed_column' AS metric, CAST({i} AS DOUBLE) AS value, '{c}:{why}' AS detail"
+        for i, (c, why) in enumerate(_REMOVED))
+    return body + f""",
+fin AS (SELECT * FROM d10 WHERE {complete})
+SELECT metric, value, detail FROM (
+  {removed}
+  UNION ALL SELECT 'rows_before', CAST((SELECT count(*) FROM dirty) AS DOUBLE), CAST(NULL AS STRING)
+  UNION ALL SELECT 'columns_before', CAST(16 AS DOUBLE), CAST(NULL AS STRING)
+  UNION ALL SELECT 'duplicates_removed', CAST((SELECT count(*) FROM d0) - (SELECT count(*) FROM d1) AS DOUBLE), CAST(NULL AS STRING)
+  UNION ALL SELECT 'identifier_rows_removed', CAST((SELECT count(*) FROM d1) - (SELECT count(*) FROM d3) AS DOUBLE), CAST(NULL AS STRING)
+  UNION ALL SELECT 'imputed_cells', CAST((SELECT {nulls} FROM d4) AS DOUBLE), CAST(NULL AS STRING)
+  UNION ALL SELECT 'rows_after', CAST((SELECT count(*) FROM fin) AS DOUBLE), CAST(NULL AS STRING)
+  UNION ALL SELECT 'columns_after', CAST({len(_FINAL_COLUMNS)} AS DOUBLE), CAST(NULL AS STRING)
+  UNION ALL SELECT 'final_rows_removed', CAST((SELECT count(*) FROM d10) - (SELECT count(*) FROM fin) AS DOUBLE), CAST(NULL AS STRING))"""
+
+
+@register("cleaning_report", _report_sql())
 def q_cleaning_report(spark, sf):
     return cleaning.cleaning_summary(_clean(spark, sf, reuse=True))
 
