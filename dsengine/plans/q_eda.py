@@ -155,7 +155,31 @@ def q_target_density(spark, sf):
     return eda.target_density(table(spark, sf, "lineitem"), "l_extendedprice")
 
 
-@register("eda_bundle")
+def _bundle_sql() -> str:
+    from dsengine.plans.queries import LINEITEM_COLUMNS, ORACLES
+    text = ["l_returnflag", "l_linestatus"]
+    flags = ", ".join(f"CASE WHEN {c} IS NULL THEN '1' ELSE '0' END" for c in LINEITEM_COLUMNS)
+    parts = [f"SELECT '{name}' AS section, CAST(count(*) AS BIGINT) AS rows FROM ({ORACLES[key]})"
+             for name, key in [("statistical_summary", "statistical_summary"),
+                               ("histogram", "histogram_30"), ("box_stats", "box_stats"),
+                               ("correlation_matrix", "correlation_matrix"),
+                               ("pair_density", "pair_density")]]
+    parts += [
+        f"SELECT 'missing_summary', CAST({len(LINEITEM_COLUMNS)} AS BIGINT)",
+        f"SELECT 'missing_patterns', CAST(count(DISTINCT concat({flags})) AS BIGINT) FROM lineitem",
+        "SELECT 'top_values', CAST(" + " + ".join(f"least(10, count(DISTINCT {c}))" for c in text)
+        + " AS BIGINT) FROM lineitem",
+        "SELECT 'value_counts', CAST(" + " + ".join(f"count(DISTINCT {c})" for c in text)
+        + " AS BIGINT) FROM lineitem",
+        "SELECT 'target_distribution', CAST(count(DISTINCT l_returnflag) AS BIGINT) FROM lineitem",
+        "SELECT 'imbalance_ratio', CAST(1 AS BIGINT)",
+        "SELECT 'contingency', CAST(count(*) AS BIGINT) FROM (SELECT DISTINCT l_linestatus, l_returnflag "
+        "FROM lineitem WHERE l_linestatus IS NOT NULL AND l_returnflag IS NOT NULL)",
+    ]
+    return "\nUNION ALL\n".join(parts)
+
+
+@register("eda_bundle", _bundle_sql())
 def q_eda_bundle(spark, sf):
     parts = eda.explore(table(spark, sf, "lineitem"), target="l_returnflag")
     rows = [(k, v.count()) for k, v in parts.items()]

@@ -9,7 +9,7 @@ from dsengine.plans.fixtures import TABLES
 from tools.check_oracle import compare
 
 SLOW = {"train_all", "train_all_regression", "model_report", "clf_adaboost", "clf_gbt",
-        "reg_adaboost", "reg_gbt", "clf_svm", "clf_logistic", "eda_bundle"}
+        "reg_adaboost", "reg_gbt", "clf_svm", "clf_logistic"}
 KEYS = sorted(entry.queries())
 
 
