@@ -192,3 +192,19 @@ def test_fingerprint_duplicates_equal_exact(spark):
     df = spark.createDataFrame(rows, "a int, b string, c double")
     assert profile.duplicate_count(df, exact=False).first()[0] == profile.duplicate_count(df).first()[0]
     assert tuple(D.dataset_summary(df, exact=False).first()) == tuple(D.dataset_summary(df).first())
+
+
+def test_bounded_cardinality_exact_below_limit(spark):
+    rows = [(i % 3, f"s{i % 7}", i) for i in range(1000)]
+    df = spark.createDataFrame(rows, "a int, b string, c long")
+    card, counts = profile.bounded_cardinality(df, limit=10)
+    got = {r["column_name"]: (r["n_distinct"], r["is_exact"]) for r in card.collect()}
+    assert got["a"] == (3, True) and got["b"] == (7, True)
+    assert got["c"][1] is False and got["c"][0] > 40          # only compared with small limits
+    assert {r["column_name"] for r in counts.collect()} == {"a", "b"}
+
+
+def test_approximate_quantiles_close(spark):
+    df = spark.createDataFrame([(float(i),) for i in range(10001)], "a double")
+    q = exact_quantiles(df, ["a"], [0.25, 0.5], exact=False)
+    assert abs(q[("a", 0.5)] - 5000.0) <= 10 and abs(q[("a", 0.25)] - 2500.0) <= 10
