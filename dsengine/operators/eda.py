@@ -96,10 +96,15 @@ def _statistical_summary(df, cols, exact, schema):
         lo, hi = q1 - rules.IQR_FACTOR * iqr, q3 + rules.IQR_FACTOR * iqr
         v = _num(df, c)
         aggs.append(F.count_if((v < F.lit(lo)) | (v > F.lit(hi))).alias(f"o{i}"))
-    aggs += [F.count_distinct(_num(df, c)).alias(f"d{i}") for i, c in enumerate(cols)] \
-        if len(cols) == 1 else []
+    if not exact:
+        # approximate mode: HyperLogLog distinct counts, no value shuffle
+        aggs += [F.approx_count_distinct(_num(df, c), 0.01).alias(f"d{i}") for i, c in enumerate(cols)]
+    elif len(cols) == 1:
+        aggs.append(F.count_distinct(_num(df, cols[0])).alias("d0"))
     orow = df.agg(*aggs).first()
-    if len(cols) == 1:
+    if not exact:
+        distinct = {c: orow[f"d{i}"] for i, c in enumerate(cols)}
+    elif len(cols) == 1:
         distinct = {cols[0]: orow["d0"]}
     else:
         vc = value_counts(df, cols)

@@ -90,8 +90,8 @@ def column_cardinality(df: DataFrame, cols: list[str] | None = None,
         aggs = []
         for i, c in enumerate(cols):
             v = F.when(~is_missing(c, df.schema[c].dataType), col(c))
-            aggs += [F.approx_count_distinct(v).alias(f"n_distinct__{i}"),
-                     (F.approx_count_distinct(v) + F.max(F.when(v.isNull(), 1).otherwise(0)))
+            aggs += [F.approx_count_distinct(v, 0.01).alias(f"n_distinct__{i}"),
+                     (F.approx_count_distinct(v, 0.01) + F.max(F.when(v.isNull(), 1).otherwise(0)))
                      .alias(f"n_distinct_with_null__{i}")]
         return _stack_row(df.agg(*aggs), cols, ["n_distinct", "n_distinct_with_null"])
     vc = counts if counts is not None else value_counts(df, cols)
