@@ -84,3 +84,17 @@ def test_json_stream_equals_batch(spark, sf, bundle):
     js = score_json_stream(bundle, _inputs(spark, sf)).select("l_orderkey", "l_linenumber", "prediction")
     assert batch.count() == js.count()
     assert batch.exceptAll(js).count() == 0
+
+
+def test_text_dates_modelled_as_days(spark):
+    rows = [(i, f"2020-01-{(i % 28) + 1:02d}", float(i % 28) * 2.0 + 1.0) for i in range(200)]
+    df = spark.createDataFrame(rows, "id long, when_day string, y double")
+    out, dated = TR.dates_as_days(df, exclude=["y"])
+    assert dated == ["when_day"]
+    first = {r["id"]: r["when_day"] for r in out.where("id < 2").collect()}
+    assert first == {0: 18262.0, 1: 18263.0}          # days since 1970-01-01
+    res = TR.train_all(df, "y", ["id"], models=["Linear Regression"])
+    assert res.date_columns == ["when_day"] and "when_day" in res.features
+    assert res.metrics.first()["r2_score"] > 0.99
+    scored = TR.score(TR.ScoringBundle.from_result(res), df.drop("y").limit(5)).collect()
+    assert all(r["error"] is None and r["prediction"] is not None for r in scored)
