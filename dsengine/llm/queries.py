@@ -24,6 +24,12 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
+@register("op7_minhash_near_dedup")
+def op7(spark, sf_dir):
+    from dsengine.llm.minhash import near_duplicates
+    return near_duplicates(table(spark, sf_dir, "documents"), width=4).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 @register("op8_benchmark_decontamination")
 def op8(spark, sf_dir):
     from dsengine.llm.decontaminate import match_benchmark

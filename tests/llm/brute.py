@@ -54,3 +54,33 @@ def contamination(docs, items, width=13):
         h = sum(hit)
         out.append((doc, len(w), h, len(found), sha(",".join(sorted(map(str, found)))), h > 0 and 20 * h >= len(w)))
     return out
+
+
+def near(docs, width=4, percent=80):
+    """Rows (doc_id, n_shingles, component_id, kept); every pair is compared."""
+    sets = []
+    for _, t in docs:
+        w = SPACE_WORD.findall((t or "").translate(LOWER))
+        sets.append({tuple(w[i:i + width]) for i in range(max(1, len(w) - width + 1))} if w else set())
+    parent = {d: d for d, _ in docs}
+
+    def root(d):
+        while parent[d] != d:
+            d = parent[d]
+        return d
+
+    by = defaultdict(list)
+    for i, s in enumerate(sets):
+        for x in s:
+            by[x].append(i)
+    seen = set()
+    for rows in by.values():
+        for i in rows:
+            for j in rows:
+                if i < j and (i, j) not in seen:
+                    seen.add((i, j))
+                    both = len(sets[i] & sets[j])
+                    if 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
+                        a, b = sorted((root(docs[i][0]), root(docs[j][0])))
+                        parent[b] = a
+    return [(d, len(s), root(d), root(d) == d) for (d, _), s in zip(docs, sets)]
