@@ -39,6 +39,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     used as is. Only when it is unset (local tests) a folder is created.
     """
     sc = spark.sparkContext
+    # Python workers on this machine find the package where the driver found it
+    sc.environment.setdefault("PYTHONPATH", os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     current = sc.getCheckpointDir()
     if not current:
         current = spark.conf.get("spark.checkpoint.dir", None)
