@@ -6,6 +6,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from dsengine.session import work_path
 
@@ -55,3 +56,29 @@ def key_of(doc_id: Column, text: Column) -> Column:
 def id_of(key: Column) -> Column:
     """The document id behind ``key_of``; null where it had none."""
     return F.when(key < F.lit(1 << 62), key)
+
+
+#: Equal rows that are written out together.
+STEP = 1 << 16
+
+
+def number_rows(df: DataFrame, by: list[str], within: str | None = None) -> DataFrame:
+    """The columns ``by`` of ``df`` and ``row_number``, from 0 in their order; if
+    ``within`` (the first of them) is given, from 0 for each of its values.
+
+    Equal rows are one row with a count until the end, so a row that fills a
+    third of the table meets in no task. Rows are sorted by range; a table of a
+    row per range gives the offsets."""
+    group = [within] if within else []
+    runs = df.groupBy(*by).agg(F.count("*").alias("copies"))
+    placed = runs.repartitionByRange(*by).sortWithinPartitions(*by).select("*", F.monotonically_increasing_id().alias("m"))
+    placed = staged(placed.select(*by, "copies", F.shiftright("m", 33).alias("part"), F.expr("m & 8589934591").alias("at")), "numbers")
+    heads = placed.groupBy("part", *group).agg(F.sum("copies").alias("total"))
+    heads = heads.select("part", *group, (F.sum("total").over(W.partitionBy(*group).orderBy("part")) - F.col("total")).alias("before"))
+    inside = F.sum("copies").over(W.partitionBy("part", *group).orderBy("at")) - F.col("copies")
+    runs = placed.join(heads, ["part", *group])
+    first = F.col("before") + inside
+    rows = runs.select(*by, "copies", first.alias("first"))
+    last = F.col("first") + F.col("copies") - 1
+    rows = rows.select(*by, last.alias("last"), F.explode(F.sequence("first", last, F.lit(STEP).cast("long"))).alias("x"))
+    return rows.select(*by, F.explode(F.sequence(F.col("x"), F.least(F.col("x") + STEP - 1, "last"))).alias("row_number"))

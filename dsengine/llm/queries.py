@@ -43,3 +43,39 @@ def op10(spark, sf_dir):
     from dsengine.llm.substrings import dedup_substrings
     out = dedup_substrings(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+@register("op3_token_counts")
+def op3(spark, sf_dir):
+    from dsengine.llm.lengths import length_histogram, length_report
+    return length_report(length_histogram(table(spark, sf_dir, "documents")))
+
+
+@register("op4_secret_scans")
+def op4(spark, sf_dir):
+    from dsengine.llm.secrets import find_secrets, span_text
+    found = find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), carry=["doc_id"])
+    base = F.filter("findings", lambda x: x.kind != "live")
+
+    def n(kind):
+        return F.size(F.filter("findings", lambda x: x.kind == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", n("assign"), n("access"), n("hex"), F.sha2(span_text(base).cast("binary"), 256).alias("base_sha256"), span_text(F.col("findings")).alias("spans"),
+                        n("live"), F.size(F.filter("findings", lambda x: x.live)).cast("long").alias("n_owner_specific"))
+
+
+@register("op5_sharding")
+def op5(spark, sf_dir):
+    from dsengine.llm.sharding import shard_documents
+    return shard_documents(table(spark, sf_dir, "documents"))
+
+
+@register("op6_packing")
+def op6(spark, sf_dir):
+    from dsengine.llm.packing import pack
+    return pack(table(spark, sf_dir, "documents"))
+
+
+@register("op9_url_filters")
+def op9(spark, sf_dir):
+    from dsengine.llm.urls import judge_urls
+    return judge_urls(table(spark, sf_dir, "pages"), carry=["page_id"]).select("page_id", "host", "path", "rule", "verdict", F.round("score", 6).alias("score"))
