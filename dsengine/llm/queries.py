@@ -79,3 +79,9 @@ def op6(spark, sf_dir):
 def op9(spark, sf_dir):
     from dsengine.llm.urls import judge_urls
     return judge_urls(table(spark, sf_dir, "pages"), carry=["page_id"]).select("page_id", "host", "path", "rule", "verdict", F.round("score", 6).alias("score"))
+
+
+@register("op2_embedding_near_dedup")
+def op2(spark, sf_dir):
+    from dsengine.llm.vectors import near_vectors
+    return near_vectors(table(spark, sf_dir, "embeddings"))
