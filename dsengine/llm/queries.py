@@ -85,3 +85,10 @@ def op9(spark, sf_dir):
 def op2(spark, sf_dir):
     from dsengine.llm.vectors import near_vectors
     return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@register("op1_quality_classifier")
+def op1(spark, sf_dir):
+    from dsengine.llm.quality import score, train
+    docs = table(spark, sf_dir, "documents")
+    return score(docs, train(docs, table(spark, sf_dir, "labels")), carry=["doc_id"])
