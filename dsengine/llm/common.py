@@ -58,6 +58,17 @@ def id_of(key: Column) -> Column:
     return F.when(key < F.lit(1 << 62), key)
 
 
+def boxed(docs: DataFrame, *more: Column) -> DataFrame:
+    """``row``, the columns of ``docs`` but text in one struct, so that no name
+    clashes with those an operator adds, and ``text``."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c != "text"] or [F.lit(None).cast("int").alias("none")]
+    return docs.select(F.struct(*rest).alias("row"), F.col("text").cast("string").alias("text"), *more)
+
+
+def unboxed(df: DataFrame, names: list[str]) -> DataFrame:
+    return df.select(*[F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in names])
+
+
 #: Equal rows that are written out together.
 STEP = 1 << 16
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dsengine.llm import textkernel as K
-from dsengine.llm.common import staged
+from dsengine.llm.common import boxed, staged, unboxed
 
 WINDOW = 13
 COVER = 20  # contaminated from one word in so many
@@ -238,5 +238,5 @@ def _cut(shortest: int):
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, cover: int = COVER, max_words: int = MAX_WORDS) -> DataFrame:
     """``docs`` without documents over the coverage limit, and with matched
     spans of ``window`` words or more cut from the texts of the others."""
-    found = match_benchmark(docs, benchmark, window, cover, max_words).where(~F.col("contaminated"))
-    return found.mapInArrow(_cut(window), found.schema).select(*[F.col(f"`{c}`") for c in docs.columns if c not in ADDED])
+    found = match_benchmark(boxed(docs), benchmark, window, cover, max_words).where(~F.col("contaminated"))
+    return unboxed(found.mapInArrow(_cut(window), found.schema), docs.columns)

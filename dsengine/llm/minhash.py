@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dsengine.llm import textkernel as K
-from dsengine.llm.common import id_of, key_of, staged
+from dsengine.llm.common import id_of, key_of, release, staged
 from dsengine.llm.components import components
 
 U = np.uint64
@@ -182,6 +182,8 @@ def similar_links(classes: DataFrame, texts_of, width: int, percent: int) -> Dat
     dealt = small.union(large).withColumn("side", side).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("s") - 1))).select(
         "bucket", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "node", "comp", "side")
     more = staged(dealt.join(texts, "node").groupBy("bucket", "i", "j").applyInArrow(_check_rest(width, percent), LINK), "rest")
+    for done in (members, texts, held):
+        release(done)
     return star.union(more)
 
 

@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dsengine.llm import textkernel as K
+from dsengine.llm.common import boxed, unboxed
 
 U = np.uint64
 SAMPLE, POOL = 12000, 6000
@@ -289,6 +290,16 @@ def score(docs: DataFrame, model: dict, meta: tuple[str, ...] = META, carry: lis
     new = [*(f"p_{t}" for t in TARGETS), "rejected"]
     carry = [c for c in (docs.columns if carry is None else carry) if c not in new]
     src = docs.select(*[F.col(f"`{c}`") for c in carry if c != "text"], F.col("text").cast("string").alias("text"), meta_features(docs, meta).alias("meta_slots"))
+    return _scored(src, model, carry)
+
+
+def _scored(src: DataFrame, model: dict, carry: list[str]) -> DataFrame:
     types = dict(src.dtypes)
     schema = ", ".join([f"`{c}` {types[c]}" for c in carry] + [f"p_{t} double" for t in TARGETS] + ["rejected boolean"])
-    return src.mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(model), carry), schema)
+    return src.mapInArrow(_score(src.sparkSession.sparkContext.broadcast(model), carry), schema)
+
+
+def drop_rejected(docs: DataFrame, labels: DataFrame, meta: tuple[str, ...] = META) -> DataFrame:
+    """``docs`` without the documents that the model trained on them rejects."""
+    src = boxed(docs, meta_features(docs, meta).alias("meta_slots"))
+    return unboxed(_scored(src, train(docs, labels, meta), ["row", "text"]).where(~F.col("rejected")), docs.columns)

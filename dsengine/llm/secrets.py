@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dsengine.llm import textkernel as K
-from dsengine.llm.common import staged
+from dsengine.llm.common import boxed, staged, unboxed
 
 #: fixed values: kinds in their order, and the patterns of the contract
 KINDS = ("assign", "access", "hex", "live")
@@ -145,7 +145,7 @@ def span_text(findings: Column) -> Column:
     return F.array_join(F.transform(findings, lambda x: F.concat_ws(":", x.kind, x.start.cast("string"), x.end.cast("string"))), ",")
 
 
-def redact(docs: DataFrame, mark: str = "[SECRET]", **how) -> DataFrame:
+def redact(docs: DataFrame, mark: str = "[SECRET]", repo: str = "source", **how) -> DataFrame:
     """``docs`` with every live finding replaced by ``mark`` in the text;
     overlapping findings get one mark. Examples that many owners hold stay."""
     live = F.filter("findings", lambda x: x.live)
@@ -155,4 +155,5 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", **how) -> DataFrame:
             F.when(x.start >= acc.at, F.concat(acc.done, F.col("text").substr((acc.at + 1).cast("int"), (x.start - acc.at).cast("int")), F.lit(mark))).otherwise(acc.done).alias("done"), x.end.alias("at"))),
         lambda acc: F.concat(acc.done, F.col("text").substr((acc.at + 1).cast("int"), F.length("text"))))
     text = F.when(F.size(live) > 0, step).otherwise(F.col("text"))
-    return find_secrets(docs, **how).withColumn("text", text).select(*[F.col(f"`{c}`") for c in docs.columns if c != "findings"])
+    found = find_secrets(boxed(docs), repo=F.col(f"row.`{repo}`"), **how)
+    return unboxed(found.withColumn("text", text), docs.columns)
