@@ -84,3 +84,61 @@ def near(docs, width=4, percent=80):
                         a, b = sorted((root(docs[i][0]), root(docs[j][0])))
                         parent[b] = a
     return [(d, len(s), root(d), root(d) == d) for (d, _), s in zip(docs, sets)]
+
+
+def vectors(rows, cosine=0.95):
+    """rows: (vec_id, list or None). Rows (vec_id, n_links, component_id, kept)."""
+    import math
+    good = [i for i, (_, v) in enumerate(rows) if v and all(x is not None and math.isfinite(x) for x in v) and any(v)]
+    parent, links = list(range(len(rows))), [0] * len(rows)
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for a in good:
+        for b in good:
+            va, vb = rows[a][1], rows[b][1]
+            if a < b and len(va) == len(vb):
+                dot = math.fsum(x * y for x, y in zip(va, vb))
+                if dot / math.sqrt(math.fsum(x * x for x in va) * math.fsum(x * x for x in vb)) >= cosine:
+                    links[a] += 1
+                    links[b] += 1
+                    x, y = sorted((root(a), root(b)), key=lambda i: rows[i][0])
+                    parent[y] = x
+    return [(i, n, rows[root(k)][0], rows[root(k)][0] == i) for k, ((i, _), n) in enumerate(zip(rows, links))]
+
+
+def secrets(docs):
+    """Rows (doc_id, n_assign, n_access, n_hex, base_sha256)."""
+    kinds = (("assign", r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8),
+             ("access", r"AKIA[A-Z0-9]+", 0, 16), ("hex", r"[0-9a-f]+", 0, 32))
+    out = []
+    for doc, text in docs:
+        spans, n = [], []
+        for rank, (kind, pattern, group, least) in enumerate(kinds):
+            found = [m for m in re.finditer(pattern, text or "") if len(m.group(group)) >= least]
+            n.append(len(found))
+            spans += [(m.start(), rank, f"{kind}:{m.start()}:{m.end()}") for m in found]
+        out.append((doc, *n, sha(",".join(s for _, _, s in sorted(spans)))))
+    return out
+
+
+RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
+
+
+def url(u):
+    """(host, path, rule, verdict or None)."""
+    host = path = ""
+    if u and "://" in u:
+        rest = u.split("://", 1)[1]
+        host = re.split(r"[/?#]", rest, maxsplit=1)[0]
+        path = re.split(r"[?#]", rest[len(host):], maxsplit=1)[0]
+        host = host.translate(LOWER)
+    best = None
+    for verdict, rule in RULES:
+        h, p = rule.split("/", 1)
+        if (host == h or host.endswith("." + h)) and path.startswith("/" + p) and (best is None or len(rule) > len(best[1])):
+            best = (verdict, rule)
+    return host, path, best and best[1], best and best[0]
