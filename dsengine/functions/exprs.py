@@ -92,15 +92,20 @@ def pair_corr(x: Column, y: Column) -> Column:
     xx = F.when(both, x)
     yy = F.when(both, y)
     denom = F.stddev_samp(xx) * F.stddev_samp(yy)
-    return F.try_divide(F.covar_samp(xx, yy), F.when(denom != 0, denom))
+    varies = (F.min(xx) < F.max(xx)) & (F.min(yy) < F.max(yy)) & (denom != 0)
+    return F.try_divide(F.covar_samp(xx, yy), F.when(varies, denom))
 
 
 def mean_expr(v: Column) -> Column:
-    """Mean that does not depend on summation order: an exact decimal sum
-    when every |value| < 1e20 (decimal(38,12) cannot overflow), else the
-    double average. Makes results reproducible across partitionings."""
-    dec = F.avg(v.try_cast("decimal(38,12)")).cast("double")
-    return F.when(F.max(F.abs(v)) < F.lit(1e20), dec).otherwise(F.avg(v))
+    """Mean, held between the smallest and the largest value: a constant
+    column's mean is exactly that constant for any partitioning, and no
+    range of values overflows or is cut."""
+    return F.least(F.greatest(F.avg(v), F.min(v)), F.max(v))
+
+
+def std_pop_expr(v: Column) -> Column:
+    """Population standard deviation, exactly 0 for a constant column."""
+    return F.when(F.min(v) == F.max(v), F.lit(0.0)).otherwise(F.stddev_pop(v))
 
 
 def _balanced(items: list[Column], op) -> Column:

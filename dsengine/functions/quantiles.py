@@ -12,7 +12,8 @@ values) found by histogram refinement:
    inside each bracket (a bracket that misses its rank is replaced by the
    full range, so the result stays exact);
 2. each pass bins the rows still inside the current interval into ``bins``
-   equal-width bins (one ``groupBy(target, bin)`` with map-side partial
+   bins, equal in width, or in magnitude while the interval spans many powers
+   of two or crosses zero, so a handful of passes exhausts the double's bits (one ``groupBy(target, bin)`` with map-side partial
    aggregation, output bounded by targets x bins), and narrows every target to
    the bin that holds its rank, tightened to the bin's actual min/max;
 3. once an interval holds at most ``collect_limit`` rows (or one value), its
@@ -41,9 +42,25 @@ def _interp(lo_v, hi_v, frac):
     return float(lo_v) + (float(hi_v) - float(lo_v)) * frac
 
 
+def _wide(lo: float, hi: float) -> bool:
+    return not math.isfinite(hi - lo) or (lo < 0 < hi) or lo == 0 or hi == 0 or abs(_magnitude(hi) - _magnitude(lo)) > 12
+
+
+def _magnitude(v: float) -> float:
+    """Monotone in v: the sign times the binary order, from 1 for the least
+    positive double up to 2101 for infinity."""
+    if v == 0:
+        return 0.0
+    return math.copysign(min(1025.0, math.log2(abs(v)) if math.isfinite(v) else 1025.0) + 1076, v)
+
+
+def _magnitude_expr(v):
+    return F.when(v == 0, 0.0).otherwise(F.signum(v) * (F.least(F.log2(F.abs(v)), F.lit(1025.0)) + 1076))
+
+
 def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float],
                     exact: bool = True, bins: int = 4096,
-                    collect_limit: int = 20000, max_passes: int = 16,
+                    collect_limit: int = 20000,
                     bracket: bool = True, accuracy: int = 10000) -> dict:
     """Return {(column, p): value} with pandas/DuckDB linear interpolation.
 
@@ -125,7 +142,7 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float],
                 resolved[key] = st["lo"]
 
     _settle()
-    for _ in range(max_passes):
+    while True:
         active = [k for k, st in state.items()
                   if k not in resolved and st["n"] > collect_limit]
         if not active:
@@ -135,13 +152,17 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float],
         entries = []
         for (ci, lo, hi), j in ids.items():
             v = vals[cols[ci]]
-            width = float(hi) - float(lo)
-            b = F.least(F.floor((v - F.lit(lo)) / F.lit(width) * F.lit(bins)).cast("int"),
-                        F.lit(bins - 1))
+            if _wide(float(lo), float(hi)):
+                # cut by magnitude first: a bin then spans a factor of two or so
+                first, last = _magnitude(float(lo)), _magnitude(float(hi))
+                at = (_magnitude_expr(v) - F.lit(first)) / F.lit(last - first)
+            else:
+                at = (v - F.lit(lo)) / F.lit(float(hi) - float(lo))
+            b = F.greatest(F.lit(0), F.least(F.floor(at * F.lit(bins)).cast("int"), F.lit(bins - 1)))
             inside = v.isNotNull() & (v >= F.lit(lo)) & (v <= F.lit(hi))
             entries.append(F.when(inside, F.struct(F.lit(j).alias("t"), b.alias("b"),
                                                    v.alias("v"))))
-        hist = (df.select(F.explode(F.filter(F.array(*entries), lambda e: e.isNotNull())).alias("e"))
+        hist = (df.select(F.explode(F.array(*entries)).alias("e")).where("e is not null")
                 .select("e.t", "e.b", "e.v")
                 .groupBy("t", "b")
                 .agg(F.count(F.lit(1)).alias("cnt"), F.min("v").alias("mn"),
@@ -171,7 +192,7 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float],
             v = vals[cols[ci]]
             inside = v.isNotNull() & (v >= F.lit(lo)) & (v <= F.lit(hi))
             entries.append(F.when(inside, F.struct(F.lit(j).alias("t"), v.alias("v"))))
-        rows = (df.select(F.explode(F.filter(F.array(*entries), lambda e: e.isNotNull())).alias("e"))
+        rows = (df.select(F.explode(F.array(*entries)).alias("e")).where("e is not null")
                 .select("e.t", "e.v").groupBy("t", "v").count().collect())
         per_t: dict[int, list] = {}
         for r_ in rows:

@@ -18,12 +18,19 @@ from pyspark.sql import DataFrame
 
 from dsengine.functions.exprs import col
 
+#: about one split of a columnar scan
+SPLIT_BYTES = 128 << 20
+
 
 def spread(df: DataFrame) -> DataFrame:
-    target = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
-        return df.repartition(target)
-    return df
+    """Spread an input of few files and few splits over all cores. Judged from
+    the plan's size and files alone: nothing is run for it."""
+    spark = df.sparkSession
+    target = spark.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size >= target * SPLIT_BYTES or len(df.inputFiles()) >= target:
+        return df
+    return df.repartition(target)
 
 
 @contextmanager

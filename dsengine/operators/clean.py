@@ -4,9 +4,9 @@ small report frame/dict.
 Statistics that decide a step (missing shares, uniqueness, quantiles, modes,
 rare values) come from aggregate jobs; they reach the rows as literals in
 one projection. Order-dependent filling (C10) never sorts the whole table
-into one task: rows are range-bucketed on the order key, filled inside each
-bucket by a partitioned window, and the last value of every bucket is
-carried forward through a frame of one row per bucket.
+into one task: rows are range-partitioned on the order key, filled inside each
+range by a partitioned window, and the last value of every range is carried
+forward through a frame of one row per range.
 """
 
 from __future__ import annotations
@@ -16,10 +16,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dsengine import rules
-from dsengine.functions.exprs import any_of, col, is_missing, is_numeric_type, is_text_type, mean_expr
+from dsengine.functions.exprs import any_of, col, is_missing, is_numeric_type, is_text_type, mean_expr, std_pop_expr
 from dsengine.functions.quantiles import exact_quantiles
 from dsengine.functions.staging import multi_pass
 from dsengine.operators.profile import value_counts
+from dsengine.session import work_path
 
 
 def _name_has(name: str, words) -> bool:
@@ -225,17 +226,19 @@ def impute_numeric(df: DataFrame, cols: list[str]) -> tuple[DataFrame, dict]:
 
 
 # --------------------------------------------------------------------------- C10
-def ffill_bfill(df: DataFrame, cols: list[str], order_by: str, buckets: int = 64,
+def ffill_bfill(df: DataFrame, cols: list[str], order_by: str,
                 partition_by: list[str] | None = None) -> DataFrame:
-    """Forward fill, then backward fill, of ``cols`` in ``order_by`` order.
-
-    Rows are range-bucketed on the order key (bucket bounds from approximate
-    quantiles, so buckets are balanced); a window partitioned by bucket fills
-    inside each bucket; the last non-null value of each bucket is carried
-    to later buckets through a one-row-per-bucket frame (broadcast, size =
-    ``buckets``). Backward fill only touches rows before the first non-null
-    value, which all take that first value. ``partition_by`` fills within
-    groups instead (then each group is a window partition).
+    """Forward fill, then backward fill, of ``cols`` in ``order_by`` order
+    (nulls first; ties by a hash of the row). The key may be of any type that
+    sorts: number, text, date, timestamp.
+
+    Rows are range-partitioned and sorted on (key, hash) and written under the
+    shared folder with their place; as many ranges as the data needs, and a key
+    value that repeats often is cut by the hash. A window inside each range
+    fills; the last value of every range is carried to later ones through a
+    frame of one row per range. Backward fill only touches rows before the
+    first non-null value, which all take that value. ``partition_by`` fills
+    within groups instead (then each group is a window partition).
     """
     if not cols:
         return df
@@ -249,52 +252,27 @@ def ffill_bfill(df: DataFrame, cols: list[str], order_by: str, buckets: int = 64
             out = out.withColumn(c, F.last(col(c), True).over(w))
             out = out.withColumn(c, F.coalesce(col(c), F.last(col(c), True).over(wr)))
         return out
-    probs = [i / buckets for i in range(1, buckets)]
-    bounds = df.agg(F.percentile_approx(order.cast("double"), probs, 10000).alias("b")).first()["b"]
-    bounds = [float(b) for b in (bounds or [])]
-    splits = sorted(set(bounds))
-    # a value repeated among the quantile bounds holds >= 1/buckets of the
-    # rows: its rows (ties in the order key) get their own sub-buckets, cut
-    # by ranges of a deterministic row hash, so no window partition holds
-    # a hot key's rows
-    hot = {v: bounds.count(v) for v in splits if bounds.count(v) > 1}
-    ordv = order.cast("double")
-    bucket = F.lit(0)
-    for sp in splits:
-        bucket = bucket + F.when(ordv > F.lit(sp), 1).otherwise(0)
-    tiebreak = F.xxhash64(*[col(c) for c in df.columns])
-    unit = (tiebreak.cast("double") + F.lit(2.0 ** 63)) / F.lit(2.0 ** 64)   # [0, 1)
-    sub = F.lit(0)
-    for v, m in hot.items():
-        sub = F.when(ordv == F.lit(v), F.lit(1) + F.least(F.floor(unit * F.lit(m)).cast("int"),
-                                                          F.lit(m - 1))).otherwise(sub)
-    tagged = (df.withColumn("__bucket", bucket).withColumn("__sub", sub)
-              .withColumn("__tb", tiebreak))
-    keys = ["__bucket", "__sub"]
-    w = (Window.partitionBy(*keys).orderBy(order, F.col("__tb"))
-         .rowsBetween(Window.unboundedPreceding, 0))
-    for c in cols:
-        tagged = tagged.withColumn(f"__ff_{c}", F.last(col(c), True).over(w))
-    # last / first non-null per (bucket, sub) - a small frame
-    pos = F.struct(order.alias("o"), F.col("__tb").alias("t"))
-    per_bucket = tagged.groupBy(*keys).agg(
-        *[F.max_by(col(c), F.when(col(c).isNotNull(), pos)).alias(f"__last_{c}") for c in cols],
-        *[F.min_by(col(c), F.when(col(c).isNotNull(), pos)).alias(f"__first_{c}") for c in cols])
-    wb = Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
-    wf = Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    carry = per_bucket.select(
-        *keys,
+    placed = (df.withColumn("__tb", F.xxhash64(*[col(c) for c in df.columns]))
+              .repartitionByRange(order, F.col("__tb")).sortWithinPartitions(order, F.col("__tb"))
+              .withColumn("__at", F.monotonically_increasing_id()))
+    path = work_path(df.sparkSession, "fill")
+    placed.drop("__tb").write.parquet(path)
+    tagged = df.sparkSession.read.parquet(path).withColumn("__range", F.shiftright("__at", 33))
+    w = Window.partitionBy("__range").orderBy("__at").rowsBetween(Window.unboundedPreceding, 0)
+    per_range = tagged.groupBy("__range").agg(
+        *[F.max_by(col(c), F.when(col(c).isNotNull(), F.col("__at"))).alias(f"__last_{c}") for c in cols],
+        *[F.min_by(col(c), F.when(col(c).isNotNull(), F.col("__at"))).alias(f"__first_{c}") for c in cols])
+    wb = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    wf = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    carry = per_range.select(
+        "__range",
         *[F.last(f"__last_{c}", True).over(wb).alias(f"__carry_{c}") for c in cols],
         *[F.first(f"__first_{c}", True).over(wf).alias(f"__head_{c}") for c in cols])
-    joined = tagged.join(F.broadcast(carry), keys, "left")
-    out = []
-    for c0 in df.columns:
-        if c0 in cols:
-            out.append(F.coalesce(F.col(f"__ff_{c0}"), F.col(f"__carry_{c0}"),
-                                  F.col(f"__head_{c0}")).alias(c0))
-        else:
-            out.append(col(c0))
-    return joined.select(*out)
+    for c in cols:
+        tagged = tagged.withColumn(f"__ff_{c}", F.last(col(c), True).over(w))
+    joined = tagged.join(F.broadcast(carry), "__range", "left")
+    return joined.select(*[F.coalesce(F.col(f"__ff_{c}"), F.col(f"__carry_{c}"), F.col(f"__head_{c}")).alias(c)
+                           if c in cols else col(c) for c in df.columns])
 
 
 # --------------------------------------------------------------------------- C11/C12
@@ -455,46 +433,31 @@ def rare_values(df: DataFrame, cols: list[str], threshold: float | None = None)
 
 
 def group_rare(df: DataFrame, cols: list[str], threshold: float | None = None,
-               label: str | None = None, broadcast_limit: int = 1_000_000
-               ) -> tuple[DataFrame, dict]:
-    """Values with share < threshold -> 'Other' (C20). The rare lists are
-    bounded (fewer than 1/threshold values can be frequent, the rest are
-    rare) - when a column has many rare values the replacement is a
-    broadcast-free join on (column, value) instead of an IN list."""
+               label: str | None = None) -> tuple[DataFrame, dict]:
+    """Values with share < threshold -> 'Other' (C20). Fewer than 1/threshold
+    values of a column can be frequent, so the frequent ones are a list of
+    bounded length whatever the number of rare ones."""
     label = rules.RARE_CATEGORY_LABEL if label is None else label
+    share = rules.RARE_CATEGORY_SHARE if threshold is None else threshold
     if not cols:
         return df, {}
-    rare = rare_values(df, cols, threshold)
-    per_col = {r["column_name"]: (r["n"], r["rows"]) for r in
-               rare.groupBy("column_name").agg(F.count(F.lit(1)).alias("n"),
-                                               F.sum("count").alias("rows")).collect()}
-    small = {c for c, (n, _) in per_col.items() if n <= 1000}
-    lists: dict[str, list] = {c: [] for c in small}
-    if small:
-        for r in rare.where(F.col("column_name").isin(*small)).collect():
-            lists[r["column_name"]].append(r["value"])
-    out = df
-    big = [c for c in per_col if c not in small]
-    for c in big:   # join path for columns with very many rare values
-        flag = (rare.where(F.col("column_name") == c)
-                .select(F.col("value").alias(f"__rare_{c}"), F.lit(True).alias(f"__is_{c}")))
-        # the rare list's size is known: broadcast it below the bound (a hot
-        # common value on the big side then never meets a shuffle); above it
-        # the shuffle join relies on AQE skew-join splitting
-        if per_col[c][0] <= broadcast_limit:
-            flag = F.broadcast(flag)
-        out = out.join(flag, col(c).cast("string") == F.col(f"__rare_{c}"), "left")
-        out = out.withColumn(c, F.when(F.col(f"__is_{c}"), F.lit(label)).otherwise(col(c)))
-        out = out.drop(f"__rare_{c}", f"__is_{c}")
-    sel = []
-    for c0 in out.columns:
-        if c0 in lists and lists[c0]:
-            sel.append(F.when(col(c0).isin(*lists[c0]), F.lit(label)).otherwise(col(c0)).alias(c0))
+    vc = value_counts(df, cols).where(F.col("value").isNotNull())
+    total = vc.groupBy("column_name").agg(F.sum("count").alias("present"))
+    marked = vc.join(F.broadcast(total), "column_name").withColumn("rare", F.col("count") / F.col("present") < F.lit(share))
+    often: dict[str, list] = {c: [] for c in cols}
+    for r in marked.where(~F.col("rare")).select("column_name", "value").collect():
+        often[r["column_name"]].append(r["value"])
+    gone = {r["column_name"]: int(r["rows"]) for r in
+            marked.where("rare").groupBy("column_name").agg(F.sum("count").alias("rows")).collect()}
+    out = []
+    for c in df.columns:
+        if c in gone:
+            text = col(c).cast("string")
+            stays = text.isNull() | text.isin(*often[c]) if often[c] else text.isNull()
+            out.append(F.when(stays, col(c)).otherwise(F.lit(label)).alias(c))
         else:
-            sel.append(col(c0))
-    info = {c: {"rare_replaced": int(rows), "threshold": threshold or rules.RARE_CATEGORY_SHARE}
-            for c, (_, rows) in per_col.items()}
-    return out.select(*sel), info
+            out.append(col(c))
+    return df.select(*out), {c: {"rare_replaced": n, "threshold": share} for c, n in gone.items()}
 
 
 # --------------------------------------------------------------------------- C21-C23
@@ -587,7 +550,7 @@ def standard_scale(df: DataFrame, cols: list[str]) -> DataFrame:
     if not cols:
         return df
     row = df.agg(*[mean_expr(_num(c)).alias(f"a{i}") for i, c in enumerate(cols)],
-                 *[F.stddev_pop(_num(c)).alias(f"s{i}") for i, c in enumerate(cols)]).first()
+                 *[std_pop_expr(_num(c)).alias(f"s{i}") for i, c in enumerate(cols)]).first()
     out = []
     for f in df.schema.fields:
         c = f.name

@@ -30,6 +30,13 @@ def _num(df: DataFrame, name: str):
     return F.when(~F.isnan(c), c)
 
 
+def _finite(df: DataFrame, name: str):
+    """Numeric value with NaN and infinities as null: ranges and bins are of
+    finite values only."""
+    v = _num(df, name)
+    return F.when(F.abs(v) < F.lit(float("inf")), v)
+
+
 # --------------------------------------------------------------------------- E12
 def moments(df: DataFrame, cols: list[str]) -> dict:
     """One-pass moments per column (driver dict bounded by #columns)."""
@@ -44,8 +51,12 @@ def moments(df: DataFrame, cols: list[str]) -> dict:
     row = df.agg(*aggs).first()
     out = {"rows": row["rows"]}
     for i, c in enumerate(cols):
-        out[c] = {k: row[f"{k}{i}"] for k in
-                  ("n", "mean", "std", "var", "varp", "min", "max", "g1", "g2")}
+        out[c] = m = {k: row[f"{k}{i}"] for k in
+                      ("n", "mean", "std", "var", "varp", "min", "max", "g1", "g2")}
+        if m["min"] is not None and m["min"] == m["max"]:
+            # constant: merged variances may leave a rounding residue
+            m["varp"] = 0.0
+            m["std"] = m["var"] = None if m["n"] < 2 else 0.0
     return out
 
 
@@ -129,10 +140,10 @@ def _statistical_summary(df, cols, exact, schema):
 
 # --------------------------------------------------------------------------- E1
 def _ranges(df: DataFrame, cols: list[str]) -> dict:
-    row = df.agg(*[F.min(_num(df, c)).alias(f"lo{i}") for i, c in enumerate(cols)],
-                 *[F.max(_num(df, c)).alias(f"hi{i}") for i, c in enumerate(cols)],
-                 *[F.count(_num(df, c)).alias(f"n{i}") for i, c in enumerate(cols)],
-                 *[F.stddev_samp(_num(df, c)).alias(f"sd{i}") for i, c in enumerate(cols)]).first()
+    row = df.agg(*[F.min(_finite(df, c)).alias(f"lo{i}") for i, c in enumerate(cols)],
+                 *[F.max(_finite(df, c)).alias(f"hi{i}") for i, c in enumerate(cols)],
+                 *[F.count(_finite(df, c)).alias(f"n{i}") for i, c in enumerate(cols)],
+                 *[F.stddev_samp(_finite(df, c)).alias(f"sd{i}") for i, c in enumerate(cols)]).first()
     return {c: (row[f"lo{i}"], row[f"hi{i}"], row[f"n{i}"], row[f"sd{i}"])
             for i, c in enumerate(cols)}
 
@@ -157,18 +168,18 @@ def histogram(df: DataFrame, cols: list[str] | None = None,
         lo, hi, n, _ = rng[c]
         if lo is None:
             continue
-        v = _num(df, c)
+        v = _finite(df, c)
         items.append(F.when(v.isNotNull(), F.struct(F.lit(len(meta)).alias("i"),
                                                     bin_index(v, lo, hi, bins).alias("bin"))))
         meta.append((c, float(lo), float(hi)))
     if not items:
         return df.sparkSession.createDataFrame([], "column_name string, bin int, bin_lo double, count bigint")
-    e = F.explode(F.filter(F.array(*items), lambda x: x.isNotNull())).alias("e")
+    e = F.explode(F.array(*items)).alias("e")
     names = F.array(*[F.lit(m[0]) for m in meta])
     los = F.array(*[F.lit(m[1]) for m in meta])
     his = F.array(*[F.lit(m[2]) for m in meta])
     lo_c, hi_c = los[F.col("i")], his[F.col("i")]
-    return (df.select(e).select("e.*")
+    return (df.select(e).where("e is not null").select("e.*")
             .groupBy("i", "bin").agg(F.count(F.lit(1)).alias("count"))
             .select(names[F.col("i")].alias("column_name"), "bin",
                     (lo_c + F.col("bin") * (hi_c - lo_c) / F.lit(bins)).alias("bin_lo"), "count"))
@@ -195,7 +206,7 @@ def kde_curve(df: DataFrame, cols: list[str] | None = None, grid: int = 200,
         g_lo, g_hi = lo - 0.5 * (hi - lo), hi + 0.5 * (hi - lo)
         params.append((c, float(lo), (hi - lo) / fine_bins, g_lo, (g_hi - g_lo) / (grid - 1),
                        bw, n * bw * math.sqrt(2 * math.pi)))
-        v = _num(df, c)
+        v = _finite(df, c)
         items.append(F.when(v.isNotNull(), F.struct(F.lit(c).alias("column_name"),
                                                     bin_index(v, lo, hi, fine_bins).alias("b"))))
     schema = "column_name string, point int, x double, density double"
@@ -204,8 +215,8 @@ def kde_curve(df: DataFrame, cols: list[str] | None = None, grid: int = 200,
     prm = df.sparkSession.createDataFrame(
         params, "column_name string, lo double, width double, g_lo double, step double, "
                 "bw double, norm double")
-    e = F.explode(F.filter(F.array(*items), lambda x: x.isNotNull())).alias("e")
-    binned = df.select(e).select("e.*").groupBy("column_name", "b").agg(F.count(F.lit(1)).alias("cnt"))
+    e = F.explode(F.array(*items)).alias("e")
+    binned = df.select(e).where("e is not null").select("e.*").groupBy("column_name", "b").agg(F.count(F.lit(1)).alias("cnt"))
     centre = F.col("lo") + (F.col("b") + F.lit(0.5)) * F.col("width")
     gx = F.col("g_lo") + F.col("point") * F.col("step")
     contrib = (binned.join(F.broadcast(prm), "column_name")
@@ -344,15 +355,12 @@ def contingency(df: DataFrame, target: str, cols: list[str] | None = None) -> Da
             .agg(F.count(F.lit(1)).alias("count")))
 
 
-def contingency_wide(df: DataFrame, column: str, target: str,
-                     max_classes: int = 1000) -> DataFrame:
-    """Cross table of one column x target classes (E11, wide form). The
-    pivot values are the target's classes, read first (bounded)."""
-    classes = [r[0] for r in df.where(col(target).isNotNull())
-               .select(col(target).cast("string")).distinct().limit(max_classes + 1).collect()]
-    if len(classes) > max_classes:
-        raise ValueError(f"{target} has more than {max_classes} classes; use contingency()")
-    classes = sorted(classes)
+def contingency_wide(df: DataFrame, column: str, target: str) -> DataFrame:
+    """Cross table of one column x target classes (E11, wide form): one
+    output column per class of the target, so the classes are the schema.
+    ``contingency`` is the long form, without a column per class."""
+    classes = sorted(r[0] for r in df.where(col(target).isNotNull())
+                     .select(col(target).cast("string")).distinct().collect())
     return (df.where(col(column).isNotNull() & col(target).isNotNull())
             .groupBy(col(column).cast("string").alias("value"))
             .pivot(target, classes).agg(F.count(F.lit(1))).na.fill(0))
@@ -370,7 +378,8 @@ def corr_pairs(df: DataFrame, vals: dict, pairs: list[tuple[str, str]]) -> dict:
         return {}
     r0 = df.agg(F.count(F.lit(1)).alias("rows"),
                 *[F.avg(vals[c]).alias(f"m{i}") for i, c in enumerate(cols)],
-                *[F.count(vals[c]).alias(f"n{i}") for i, c in enumerate(cols)]).first()
+                *[F.count(vals[c]).alias(f"n{i}") for i, c in enumerate(cols)],
+                *[(F.min(vals[c]) == F.max(vals[c])).alias(f"c{i}") for i, c in enumerate(cols)]).first()
     rows = r0["rows"]
     idx = {c: i for i, c in enumerate(cols)}
     mean = {c: (r0[f"m{idx[c]}"] or 0.0) for c in cols}
@@ -406,13 +415,15 @@ def corr_pairs(df: DataFrame, vals: dict, pairs: list[tuple[str, str]]) -> dict:
         else:
             n, sa, sb = r[f"pn_{ia}_{ib}"], r[f"pa_{ia}_{ib}"], r[f"pb_{ia}_{ib}"]
             saa, sbb, sab = r[f"paa_{ia}_{ib}"], r[f"pbb_{ia}_{ib}"], r[f"pab_{ia}_{ib}"]
-        if not n or n < 2 or sa is None:
+        if not n or n < 2 or sa is None or r0[f"c{ia}"] or r0[f"c{ib}"]:
             out[(a, b)] = None
             continue
         vxx = saa - sa * sa / n
         vyy = sbb - sb * sb / n
         vxy = sab - sa * sb / n
-        out[(a, b)] = vxy / math.sqrt(vxx * vyy) if vxx > 0 and vyy > 0 else None
+        # a side that is constant over the pair's rows leaves a rounding residue
+        varies = vxx > 1e-12 * saa and vyy > 1e-12 * sbb
+        out[(a, b)] = vxy / math.sqrt(vxx * vyy) if varies else None
     return out
 
 

@@ -114,26 +114,26 @@ def fit_logistic(train, features, n_classes, max_iter=rules.MAX_ITER):
     return _fit_ml("Logistic Regression", "classification", est, train, features, n_classes)
 
 
-def fit_forest_classifier(train, features, n_classes, trees=rules.N_TREES, depth=16):
+def fit_forest_classifier(train, features, n_classes, trees=rules.N_TREES, depth=rules.TREE_MAX_DEPTH):
     est = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=rules.SEED)
-    return _fit_ml("Random Forest", "classification", est, train, features, n_classes)
+    return _fit_ml("Random Forest Classifier", "classification", est, train, features, n_classes)
 
 
 def fit_gbt_classifier(train, features, n_classes, rounds=rules.N_TREES):
     gbt = GBTClassifier(maxIter=rounds, maxDepth=3, stepSize=0.1, seed=rules.SEED)
     est = gbt if n_classes <= 2 else OneVsRest(classifier=gbt)
-    return _fit_ml("Gradient Boosting", "classification", est, train, features, n_classes)
+    return _fit_ml("Gradient Boosting Classifier", "classification", est, train, features, n_classes)
 
 
-def fit_tree_classifier(train, features, n_classes, depth=20):
+def fit_tree_classifier(train, features, n_classes, depth=rules.TREE_MAX_DEPTH):
     est = DecisionTreeClassifier(maxDepth=depth, seed=rules.SEED)
-    return _fit_ml("Decision Tree", "classification", est, train, features, n_classes)
+    return _fit_ml("Decision Tree Classifier", "classification", est, train, features, n_classes)
 
 
-def fit_mlp_classifier(train, features, n_classes, max_iter=200):
+def fit_mlp_classifier(train, features, n_classes, max_iter=rules.MLP_MAX_ITER):
     layers = [len(features)] + rules.MLP_HIDDEN + [max(2, n_classes)]
     est = MultilayerPerceptronClassifier(layers=layers, maxIter=max_iter, seed=rules.SEED)
-    return _fit_ml("Neural Network", "classification", est, train, features, n_classes)
+    return _fit_ml("Neural Network Classifier", "classification", est, train, features, n_classes)
 
 
 def fit_linear(train, features):
@@ -141,19 +141,19 @@ def fit_linear(train, features):
     return _fit_ml("Linear Regression", "regression", est, train, features)
 
 
-def fit_forest_regressor(train, features, trees=rules.N_TREES, depth=16):
+def fit_forest_regressor(train, features, trees=rules.N_TREES, depth=rules.TREE_MAX_DEPTH):
     est = RandomForestRegressor(numTrees=trees, maxDepth=depth, seed=rules.SEED)
-    return _fit_ml("Random Forest", "regression", est, train, features)
+    return _fit_ml("Random Forest Regressor", "regression", est, train, features)
 
 
 def fit_gbt_regressor(train, features, rounds=rules.N_TREES):
     est = GBTRegressor(maxIter=rounds, maxDepth=3, stepSize=0.1, seed=rules.SEED)
-    return _fit_ml("Gradient Boosting", "regression", est, train, features)
+    return _fit_ml("Gradient Boosting Regressor", "regression", est, train, features)
 
 
-def fit_tree_regressor(train, features, depth=20):
+def fit_tree_regressor(train, features, depth=rules.TREE_MAX_DEPTH):
     est = DecisionTreeRegressor(maxDepth=depth, seed=rules.SEED)
-    return _fit_ml("Decision Tree", "regression", est, train, features)
+    return _fit_ml("Decision Tree Regressor", "regression", est, train, features)
 
 
 # --------------------------------------------------------------------------- RFF
@@ -188,60 +188,89 @@ def _rff_frame(df: DataFrame, features, n_out):
     return df.withColumn("__rff", rff_map(features, n_out))
 
 
-def fit_svm(train, features, n_classes, n_out=100):
+def fit_svm(train, features, n_classes, n_out=rules.RFF_FEATURES, max_iter=rules.KERNEL_MAX_ITER):
+    """Linear SVM on random Fourier features; with two classes the margin is
+    turned into a probability by a logistic model of the training labels."""
     t = _rff_frame(train, features, n_out)
-    svc = LinearSVC(maxIter=100, regParam=1.0 / max(1, train.count()), featuresCol="__rff")
+    svc = LinearSVC(maxIter=max_iter, regParam=1.0 / max(1, train.count()), featuresCol="__rff")
     est = svc if n_classes <= 2 else OneVsRest(classifier=svc, featuresCol="__rff")
     model = est.fit(t)
-
-    def tf(f: Fitted, df: DataFrame) -> DataFrame:
-        out = f.model.transform(_rff_frame(df, f.features, n_out))
-        raw = vector_to_array("rawPrediction")
+    extra = {"n_out": n_out}
+    if n_classes <= 2:
+        margin = model.transform(t).select(F.col("label"), vector_to_array("rawPrediction")[1].alias("m"))
+        curve = LogisticRegression(maxIter=50).fit(assemble(margin, ["m"]))
+        extra["platt"] = [float(curve.coefficients[0]), float(curve.intercept)]
+    return Fitted("Support Vector Machine", "classification", features, n_classes, model, extra, svm_transform)
+
+
+def svm_transform(f: Fitted, df: DataFrame) -> DataFrame:
+    out = f.model.transform(_rff_frame(df, f.features, f.extra["n_out"]))
+    raw = vector_to_array("rawPrediction")
+    if "platt" in f.extra:
+        a, b = f.extra["platt"]
+        p = 1 / (1 + F.exp(-(F.lit(a) * raw[1] + F.lit(b))))
+        prob = F.array(1 - p, p)
+    else:
         sig = F.transform(raw, lambda v: 1 / (1 + F.exp(-v)))
-        tot = F.aggregate(sig, F.lit(0.0), lambda a, v: a + v)
-        return out.select(*[F.col(c) for c in df.columns],
-                          F.col("prediction").cast("double").alias("prediction"),
-                          F.transform(sig, lambda v: v / tot).alias("probability"))
-    return Fitted("SVM", "classification", features, n_classes, model, transform_fn=tf)
+        tot = F.aggregate(sig, F.lit(0.0), lambda x, v: x + v)
+        prob = F.transform(sig, lambda v: v / tot)
+    return out.select(*[F.col(f"`{c}`") for c in df.columns], F.col("prediction").cast("double").alias("prediction"),
+                      prob.alias("probability"))
 
 
-def fit_svr(train, features, n_out=100):
+def fit_svr(train, features, n_out=rules.RFF_FEATURES, max_iter=rules.KERNEL_MAX_ITER):
     t = _rff_frame(train, features, n_out)
-    model = LinearRegression(loss="huber", maxIter=100, regParam=0.0, featuresCol="__rff").fit(t)
+    model = LinearRegression(loss="huber", maxIter=max_iter, regParam=0.0, featuresCol="__rff").fit(t)
+    return Fitted("Support Vector Regressor", "regression", features, 0, model, {"n_out": n_out}, svr_transform)
 
-    def tf(f: Fitted, df: DataFrame) -> DataFrame:
-        out = f.model.transform(_rff_frame(df, f.features, n_out))
-        return out.select(*[F.col(c) for c in df.columns],
-                          F.col("prediction").cast("double").alias("prediction"))
-    return Fitted("SVR", "regression", features, 0, model, transform_fn=tf)
+
+def svr_transform(f: Fitted, df: DataFrame) -> DataFrame:
+    out = f.model.transform(_rff_frame(df, f.features, f.extra["n_out"]))
+    return out.select(*[F.col(f"`{c}`") for c in df.columns], F.col("prediction").cast("double").alias("prediction"))
 
 
 # --------------------------------------------------------------------------- kNN
+#: Distances that a kNN task holds at once: test rows x train rows of a tile.
+KNN_TILE = (256, 8192)
+
+
 def _knn_local(train_x: np.ndarray, train_y: np.ndarray, train_id: np.ndarray, k: int,
                slack: int = 16):
-    """Per test batch: candidates by the expanded squared distance, then the
-    exact squared distance recomputed on the k + slack best (so rounding in
-    the expansion cannot reorder the final k)."""
+    """Per test batch: tiles of the expanded squared distance with a running
+    top k + slack, then the exact squared distance recomputed on those (so
+    rounding in the expansion cannot reorder the final k)."""
     tn = np.sum(train_x * train_x, axis=1)
+    wide = min(k + slack, train_x.shape[0])
+
+    def nearest(q):
+        best = np.zeros((len(q), 0), np.int64)
+        value = np.zeros((len(q), 0))
+        for lo in range(0, len(train_x), KNN_TILE[1]):
+            part = train_x[lo:lo + KNN_TILE[1]]
+            approx = tn[None, lo:lo + KNN_TILE[1]] - 2.0 * (q @ part.T)
+            value = np.concatenate([value, approx], axis=1)
+            best = np.concatenate([best, np.broadcast_to(np.arange(lo, lo + len(part)), approx.shape)], axis=1)
+            if value.shape[1] > wide:
+                keep = np.argpartition(value, wide - 1, axis=1)[:, :wide]
+                value, best = np.take_along_axis(value, keep, axis=1), np.take_along_axis(best, keep, axis=1)
+        return best
 
     def run(batches):
         for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            q = np.vstack(pdf["__x"].to_numpy()).astype(np.float64)
-            approx = np.sum(q * q, axis=1)[:, None] - 2.0 * (q @ train_x.T) + tn[None, :]
-            kc = min(k + slack, train_x.shape[0])
-            cand = np.argpartition(approx, kc - 1, axis=1)[:, :kc]
-            diff = q[:, None, :] - train_x[cand]
-            exact = np.einsum("ijk,ijk->ij", diff, diff)
-            kk = min(k, kc)
-            # order by (distance, train id) and keep k per query
-            order = np.lexsort((train_id[cand], exact), axis=1)[:, :kk]
-            idx = np.take_along_axis(cand, order, axis=1)
-            dist = np.take_along_axis(exact, order, axis=1)
-            yield pd.DataFrame({"__qid": np.repeat(pdf["__qid"].to_numpy(), kk),
-                                "__d": dist.ravel(), "__nid": train_id[idx.ravel()],
-                                "__ny": train_y[idx.ravel()]})
+            for lo in range(0, len(pdf), KNN_TILE[0]):
+                rows = pdf.iloc[lo:lo + KNN_TILE[0]]
+                q = np.vstack(rows["__x"].to_numpy()).astype(np.float64)
+                cand = nearest(q)
+                diff = q[:, None, :] - train_x[cand]
+                exact = np.einsum("ijk,ijk->ij", diff, diff)
+                kk = min(k, cand.shape[1])
+                # order by (distance, train id) and keep k per query
+                order = np.lexsort((train_id[cand], exact), axis=1)[:, :kk]
+                idx = np.take_along_axis(cand, order, axis=1)
+                dist = np.take_along_axis(exact, order, axis=1)
+                yield pd.DataFrame({"__qid": np.repeat(rows["__qid"].to_numpy(), kk),
+                                    "__d": dist.ravel(), "__nid": train_id[idx.ravel()],
+                                    "__ny": train_y[idx.ravel()]})
     return run
 
 
@@ -256,7 +285,8 @@ def knn_neighbours(train: DataFrame, test: DataFrame, features: list[str], k: in
     d = len(features)
     n_train = train.count()
     arr = F.array(*[F.col(f"`{c}`").cast("double") for c in features])
-    q = test.select(F.col(id_col).alias("__qid"), arr.alias("__x"))
+    # rows with one id are one query; its answer is joined back to each of them
+    q = test.select(F.col(id_col).alias("__qid"), arr.alias("__x")).dropDuplicates(["__qid"])
     tr = train.select(F.col(id_col).alias("__id"), arr.alias("__x"), F.col("label").cast("double").alias("__y"))
     schema = "__qid long, __d double, __nid long, __ny double"
     if n_train * d <= chunk_cells:
@@ -304,19 +334,26 @@ def _knn_blocked(tr: DataFrame, q: DataFrame, d: int, k: int, cells: int, schema
 def fit_knn(train, features, task, k=rules.KNN_K, id_col="__rowid"):
     """Lazy learner: keeps the train frame; k = min(5, train rows)."""
     k = min(k, train.count())
-
-    def tf(f: Fitted, df: DataFrame) -> DataFrame:
-        nb = knn_neighbours(f.extra["train"], df, f.features, f.extra["k"], id_col)
-        if f.task == "regression":
-            agg = nb.groupBy("__qid").agg(F.avg("__ny").alias("prediction"))
-        else:
-            votes = nb.groupBy("__qid", "__ny").agg(F.count(F.lit(1)).alias("__v"))
-            w = Window.partitionBy("__qid").orderBy(F.col("__v").desc(), F.col("__ny").asc())
-            agg = (votes.withColumn("__r", F.row_number().over(w)).where(F.col("__r") == 1)
-                   .select("__qid", F.col("__ny").alias("prediction")))
-        return df.join(agg, df[id_col] == agg["__qid"], "left").drop("__qid")
-    name = "KNN"
-    return Fitted(name, task, features, 0, None, extra={"train": train, "k": k}, transform_fn=tf)
+    name = "K-Nearest Neighbors " + ("Regressor" if task == "regression" else "Classifier")
+    keep = train.select(id_col, "label", *[F.col(f"`{c}`") for c in features])
+    return Fitted(name, task, features, 0, None, {"train": keep, "k": k, "id_col": id_col}, knn_transform)
+
+
+def knn_transform(f: Fitted, df: DataFrame) -> DataFrame:
+    """Mean of the neighbours' labels, or their vote (smallest label on ties)
+    with the vote shares as probabilities."""
+    id_col = f.extra["id_col"]
+    nb = knn_neighbours(f.extra["train"], df, f.features, f.extra["k"], id_col)
+    if f.task == "regression":
+        agg = nb.groupBy("__qid").agg(F.avg("__ny").alias("prediction"))
+    else:
+        votes = nb.groupBy("__qid", "__ny").agg(F.count(F.lit(1)).alias("__v"))
+        agg = votes.groupBy("__qid").agg(F.min(F.struct((-F.col("__v")).alias("v"), "__ny"))["__ny"].alias("prediction"),
+                                         F.map_from_entries(F.collect_list(F.struct("__ny", (F.col("__v") / F.lit(f.extra["k"])).alias("s")))).alias("__shares"))
+        if f.n_classes:
+            agg = agg.withColumn("probability", F.array(*[F.coalesce(F.col("__shares")[F.lit(float(i))], F.lit(0.0)) for i in range(f.n_classes)]))
+        agg = agg.drop("__shares")
+    return df.join(agg, df[id_col] == agg["__qid"], "left").drop("__qid")
 
 
 # --------------------------------------------------------------------------- AdaBoost
@@ -397,7 +434,7 @@ def fit_adaboost_classifier(train, features, n_classes, rounds=rules.N_TREES,
     for c, _, _, _, a in stumps:
         imp[features.index(c)] += a
     s = sum(imp) or 1.0
-    return Fitted("AdaBoost", "classification", features, k, None,
+    return Fitted("AdaBoost Classifier", "classification", features, k, None,
                   extra={"stumps": stumps, "k": k, "importance": [v / s for v in imp]},
                   transform_fn=adaboost_transform)
 
@@ -448,29 +485,31 @@ def fit_adaboost_regressor(train, features, rounds=rules.N_TREES, checkpoint_eve
         if (m + 1) % checkpoint_every == 0:
             cur = materialize(cur, "adaboost_r2")
 
-    def tf(f: Fitted, df: DataFrame) -> DataFrame:
-        base = assemble(df, f.features, "__feat")
-        cols = []
-        for i, mdl in enumerate(f.extra["models"]):
-            mdl = mdl.copy().setFeaturesCol("__feat").setPredictionCol(f"__p{i}")
-            base = mdl.transform(base)
-            cols.append(f"__p{i}")
-        weights = [math.log(1.0 / b) for b in f.extra["betas"]]
-        half = 0.5 * sum(weights)
-        pairs = F.array_sort(F.array(*[F.struct(F.col(c).alias("p"), F.lit(w).alias("w"))
-                                        for c, w in zip(cols, weights)]))
-        cum = F.aggregate(pairs, F.struct(F.lit(0.0).alias("acc"), F.lit(None).cast("double").alias("med")),
-                          lambda st, x: F.struct(
-                              (st["acc"] + x["w"]).alias("acc"),
-                              F.when(st["med"].isNull() & (st["acc"] + x["w"] >= F.lit(half)), x["p"])
-                              .otherwise(st["med"]).alias("med")))
-        return base.select(*[F.col(c) for c in df.columns], cum["med"].alias("prediction"))
-    return Fitted("AdaBoost", "regression", features, 0, None,
-                  extra={"models": models, "betas": betas}, transform_fn=tf)
+    return Fitted("AdaBoost Regressor", "regression", features, 0, None,
+                  extra={"models": models, "betas": betas}, transform_fn=adaboost_r2_transform)
+
+
+def adaboost_r2_transform(f: Fitted, df: DataFrame) -> DataFrame:
+    base = assemble(df, f.features, "__feat")
+    cols = []
+    for i, mdl in enumerate(f.extra["models"]):
+        mdl = mdl.copy().setFeaturesCol("__feat").setPredictionCol(f"__p{i}")
+        base = mdl.transform(base)
+        cols.append(f"__p{i}")
+    weights = [math.log(1.0 / b) for b in f.extra["betas"]]
+    half = 0.5 * sum(weights)
+    pairs = F.array_sort(F.array(*[F.struct(F.col(c).alias("p"), F.lit(w).alias("w"))
+                                    for c, w in zip(cols, weights)]))
+    cum = F.aggregate(pairs, F.struct(F.lit(0.0).alias("acc"), F.lit(None).cast("double").alias("med")),
+                      lambda st, x: F.struct(
+                          (st["acc"] + x["w"]).alias("acc"),
+                          F.when(st["med"].isNull() & (st["acc"] + x["w"] >= F.lit(half)), x["p"])
+                          .otherwise(st["med"]).alias("med")))
+    return base.select(*[F.col(f"`{c}`") for c in df.columns], cum["med"].alias("prediction"))
 
 
 # --------------------------------------------------------------------------- MLP regressor
-def fit_mlp_regressor(train, features, bins=20, max_iter=200):
+def fit_mlp_regressor(train, features, bins=20, max_iter=rules.MLP_MAX_ITER):
     """Quantile-binned target, MLP classifier over bins; prediction is the
     probability-weighted mean of the bins (M23, approximation)."""
     probs = [i / bins for i in range(1, bins)]
@@ -487,31 +526,31 @@ def fit_mlp_regressor(train, features, bins=20, max_iter=200):
                                          labelCol="__bin")
     model = est.fit(assemble(t, features))
 
-    def tf(f: Fitted, df: DataFrame) -> DataFrame:
-        out = f.model.transform(assemble(df, f.features))
-        p = vector_to_array("probability")
-        mv = F.array(*[F.lit(v) for v in mean_vec])
-        pred = F.aggregate(F.arrays_zip(p.alias("p"), mv.alias("m")), F.lit(0.0),
-                           lambda a, z: a + z["p"] * z["m"])
-        return out.select(*[F.col(c) for c in df.columns], pred.alias("prediction"))
-    return Fitted("Neural Network", "regression", features, 0, model, transform_fn=tf)
+    return Fitted("Neural Network Regressor", "regression", features, 0, model, {"means": mean_vec}, mlp_bins_transform)
+
+
+def mlp_bins_transform(f: Fitted, df: DataFrame) -> DataFrame:
+    out = f.model.transform(assemble(df, f.features))
+    p = vector_to_array("probability")
+    means = F.array(*[F.lit(v) for v in f.extra["means"]])
+    pred = F.aggregate(F.arrays_zip(p.alias("p"), means.alias("m")), F.lit(0.0), lambda a, z: a + z["p"] * z["m"])
+    return out.select(*[F.col(f"`{c}`") for c in df.columns], pred.alias("prediction"))
+
+
+#: How a stored model predicts, by the kind it is stored under.
+TRANSFORMS = {"ml": _ml_transform, "svm": svm_transform, "svr": svr_transform, "knn": knn_transform, "stumps": adaboost_transform,
+              "trees": adaboost_r2_transform, "bins": mlp_bins_transform}
 
 
 # --------------------------------------------------------------------------- registry
 def fit(name: str, task: str, train: DataFrame, features: list[str], n_classes: int = 0,
         **kw) -> Fitted:
+    if name in ("K-Nearest Neighbors Classifier", "K-Nearest Neighbors Regressor"):
+        f = fit_knn(train, features, task, **kw)
+        f.n_classes = n_classes
+        return f
     if task == "classification":
-        table = {"Logistic Regression": fit_logistic, "Random Forest": fit_forest_classifier,
-                 "Gradient Boosting": fit_gbt_classifier, "SVM": fit_svm,
-                 "Decision Tree": fit_tree_classifier, "Neural Network": fit_mlp_classifier,
-                 "AdaBoost": fit_adaboost_classifier}
-        if name == "KNN":
-            return fit_knn(train, features, task, **kw)
-        return table[name](train, features, n_classes, **kw)
-    table = {"Linear Regression": fit_linear, "Random Forest": fit_forest_regressor,
-             "Gradient Boosting": fit_gbt_regressor, "SVR": fit_svr,
-             "Decision Tree": fit_tree_regressor, "Neural Network": fit_mlp_regressor,
-             "AdaBoost": fit_adaboost_regressor}
-    if name == "KNN":
-        return fit_knn(train, features, task, **kw)
-    return table[name](train, features, **kw)
+        fits = [fit_logistic, fit_forest_classifier, fit_gbt_classifier, fit_svm, fit_tree_classifier, None, fit_mlp_classifier, fit_adaboost_classifier]
+        return dict(zip(CLASSIFIERS, fits))[name](train, features, n_classes, **kw)
+    fits = [fit_linear, fit_forest_regressor, fit_gbt_regressor, fit_svr, fit_tree_regressor, None, fit_mlp_regressor, fit_adaboost_regressor]
+    return dict(zip(REGRESSORS, fits))[name](train, features, **kw)

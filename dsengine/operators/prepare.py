@@ -4,9 +4,9 @@ preparation statistics.
 
 Splits are functions of an md5 hash of the row key, so they do not depend on
 partitioning or task retries (``randomSplit`` does). The exact stratified
-quota never ranks a whole class in one task: rows are hashed into 4096
-buckets, per (class, bucket) counts locate the boundary bucket of each class,
-and only rows of that boundary bucket are ranked.
+quota never ranks a whole class in one task: rows are hashed into buckets,
+per (class, bucket) counts locate the boundary bucket of each class, and only
+rows of that boundary bucket are ranked.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from dsengine import rules
 from dsengine.functions.exprs import (all_of, col, is_numeric_type, isclose_to_rint, mean_expr,
-                                      text_columns)
+                                      std_pop_expr, text_columns)
 
 HASH_BITS = 60            # 15 hex digits of md5
 BUCKET_HEX = 3            # 4096 buckets
@@ -87,21 +87,17 @@ class OneHotModel:
         return df.select(*out)
 
 
-def fit_one_hot(df: DataFrame, cols: list[str] | None = None,
-                max_values: int = 1000) -> OneHotModel:
-    """Learn sorted vocabularies of text columns (M2). The vocabulary reaches
-    the driver, so its size is checked first (``max_values`` per column)."""
+def fit_one_hot(df: DataFrame, cols: list[str] | None = None) -> OneHotModel:
+    """Learn the sorted vocabulary of text columns (M2). Every value but the
+    first becomes an output column, so the vocabulary is the schema of the
+    encoded table and reaches the driver whole; columns with more values than a
+    schema should have are to be dropped or grouped before (K6 / C20)."""
     cols = text_columns(df) if cols is None else list(cols)
     if not cols:
         return OneHotModel({})
     items = [F.struct(F.lit(c).alias("c"), col(c).alias("v")) for c in cols]
     vals = (df.select(F.explode(F.array(*items)).alias("s")).select("s.c", "s.v")
             .where(F.col("v").isNotNull()).distinct())
-    sizes = {r["c"]: r["n"] for r in vals.groupBy("c").agg(F.count(F.lit(1)).alias("n")).collect()}
-    too_big = [c for c, n in sizes.items() if n > max_values]
-    if too_big:
-        raise ValueError(f"one-hot vocabulary above {max_values} values: {too_big}; "
-                         "drop or group these columns first (K6 / C20)")
     vocab = {c: [] for c in cols}
     for r in vals.collect():
         vocab[r["c"]].append(r["v"])
@@ -165,84 +161,48 @@ def random_split(df: DataFrame, key: list[str], test_share: float = rules.TEST_S
     return df.withColumn("is_test", row_hash(key, seed) < F.lit(limit))
 
 
-def _hex_prefix(key: list[str], digits: int, seed: int) -> Column:
-    text = F.concat_ws("|", F.lit(str(seed)), *[col(k).cast("string") for k in key])
-    return F.substring(F.md5(text), 1, digits)
-
-
 def stratified_split(df: DataFrame, label: str, key: list[str],
                      test_share: float = rules.TEST_SHARE, seed: int = rules.SEED,
-                     rank_limit: int = 100_000, max_classes: int = 10_000,
-                     report: bool = False):
+                     rank_limit: int = 100_000, report: bool = False):
     """Adds ``is_test`` with an exact per-class quota round(test_share * n_c):
     the rows of each class with the smallest hashes (ties by key text) (M5).
 
-    The quota boundary is located without ranking a whole class: counts per
-    (class, md5 prefix) find the prefix bucket holding each class's
-    boundary; while a boundary bucket holds more than ``rank_limit`` rows the
-    prefix grows by 3 hex digits (4096 sub-buckets) inside it; only the last
-    boundary bucket's rows are ranked. A class holding a third of all rows
-    therefore never becomes one sorted window partition.
-    Falls back to the random split when a class has fewer than 2 rows."""
-    spark = df.sparkSession
-    y = col(label).cast("string")
-    counts = (df.groupBy(y.alias("__y")).agg(F.count(F.lit(1)).alias("n_c"))
-              .limit(max_classes + 1).collect())
-    if len(counts) > max_classes or any(r["n_c"] < 2 for r in counts):
-        # a label with more classes than max_classes is not a class label
-        # worth stratifying; fall back to the random hash split
+    Counts per (class, md5 prefix) give, by a running sum over at most a few
+    thousand prefixes of each class, the prefix that holds the class's quota
+    boundary; only the rows of that prefix are ranked. The prefix is as long as
+    it takes to hold about ``rank_limit`` rows, so a class with a third of all
+    rows never becomes one sorted window. Classes stay in DataFrames, in any
+    number. Falls back to the random split when a class has fewer than 2 rows;
+    rows without a label form a class of their own."""
+    text = F.concat_ws("|", *[col(k).cast("string") for k in key])
+    full = F.md5(F.concat_ws("|", F.lit(str(seed)), *[col(k).cast("string") for k in key]))
+    sizes = df.groupBy(col(label).cast("string").alias("__y")).agg(F.count(F.lit(1)).alias("n_c"))
+    told = sizes.agg(F.count(F.lit(1)).alias("classes"), F.min("n_c").alias("least"), F.max("n_c").alias("most")).first()
+    if not told["classes"] or told["least"] < 2:
         out = random_split(df, key, test_share, seed)
         return (out, 0) if report else out
-    # per class: (prefix decided so far, rows before it, quota left)
-    state = {r["__y"]: {"prefix": "", "before": 0,
-                        "quota": int(math.floor(r["n_c"] * test_share + 0.5))} for r in counts}
-    digits = 0
-    while True:
-        digits += BUCKET_HEX
-        cand = {c: st for c, st in state.items() if "done" not in st}
-        if not cand:
-            break
-        cond = F.lit(False)
-        for c, st in cand.items():
-            cond = cond | ((y == F.lit(c)) & _hex_prefix(key, digits - BUCKET_HEX, seed).eqNullSafe(
-                F.lit(st["prefix"])) if st["prefix"] else (y == F.lit(c)))
-        rows = (df.where(cond).groupBy(y.alias("__y"), _hex_prefix(key, digits, seed).alias("__p"))
-                .agg(F.count(F.lit(1)).alias("cnt")).collect())
-        per: dict = {}
-        for r in rows:
-            per.setdefault(r["__y"], []).append((r["__p"], r["cnt"]))
-        for c, st in cand.items():
-            acc = st["before"]
-            for p, cnt in sorted(per.get(c, [])):
-                if acc + cnt >= st["quota"] and acc < st["quota"]:
-                    st.update(prefix=p, before=acc, size=cnt)
-                    break
-                acc += cnt
-            else:
-                st["done"] = True          # quota 0 or whole class: no boundary bucket
-                st["prefix"] = None
-                continue
-            if st["size"] <= rank_limit or digits >= 30:
-                st["done"] = True
-    # test = prefix below the boundary prefix, or inside it within the rank
-    keytext = F.concat_ws("|", *[col(k).cast("string") for k in key])
-    full = F.md5(F.concat_ws("|", F.lit(str(seed)), *[col(k).cast("string") for k in key]))
-    tagged = df.withColumn("__y", y).withColumn("__md5", full).withColumn("__k", keytext)
-    bounds = spark.createDataFrame(
-        [(c, st["prefix"], len(st["prefix"]) if st["prefix"] else 0, st["before"], st["quota"])
-         for c, st in state.items()],
-        "__y string, __bp string, __bl int, __before long, __quota long")
-    tagged = tagged.join(F.broadcast(bounds), "__y")
-    pref = F.expr("substring(__md5, 1, __bl)")
-    in_boundary = F.col("__bp").isNotNull() & (pref == F.col("__bp"))
-    below = F.when(F.col("__bp").isNull(), F.col("__quota") > 0).otherwise(pref < F.col("__bp"))
+    digits = BUCKET_HEX
+    while told["most"] / 16 ** digits > rank_limit:
+        digits += 1
+    tagged = (df.withColumn("__y", col(label).cast("string")).withColumn("__md5", full).withColumn("__k", text)
+              .withColumn("__p", F.substring("__md5", 1, digits)))
+    per = tagged.groupBy("__y", "__p").agg(F.count(F.lit(1)).alias("cnt"))
+    upto = Window.partitionBy("__y").orderBy("__p").rowsBetween(Window.unboundedPreceding, 0)
+    quota = F.floor(F.sum("cnt").over(Window.partitionBy("__y")) * F.lit(test_share) + 0.5)
+    per = per.select("__y", "__p", (F.sum("cnt").over(upto) - F.col("cnt")).alias("__before"), quota.alias("__quota"))
+    # each class's boundary: the last prefix that starts below the quota
+    bounds = (per.where(F.col("__before") < F.col("__quota")).groupBy("__y")
+              .agg(F.max("__p").alias("__bp"), F.max("__before").alias("__before"), F.max("__quota").alias("__quota"))
+              .withColumnRenamed("__y", "__by"))
+    tagged = tagged.join(bounds, F.col("__y").eqNullSafe(F.col("__by")), "left")
+    at = F.coalesce(F.col("__p") == F.col("__bp"), F.lit(False))
     wr = Window.partitionBy("__y").orderBy("__md5", "__k")
-    ranked = (tagged.where(in_boundary)
+    ranked = (tagged.where(at)
               .withColumn("is_test", F.col("__before") + F.row_number().over(wr) <= F.col("__quota")))
-    rest = tagged.where(~in_boundary).withColumn("is_test", below)
+    rest = tagged.where(~at).withColumn("is_test", F.coalesce(F.col("__p") < F.col("__bp"), F.lit(False)))
     cols = df.columns + ["is_test"]
     out = rest.select(*cols).unionByName(ranked.select(*cols))
-    return (out, len(counts)) if report else out
+    return (out, told["classes"]) if report else out
 
 
 def split(df: DataFrame, label: str, key: list[str], task_type: str,
@@ -275,7 +235,7 @@ def _both(df: DataFrame) -> DataFrame:
 def fit_scaler(train: DataFrame, cols: list[str]) -> dict[str, tuple[float, float]]:
     """{column: (mean, population std)} from the train side (M7)."""
     row = train.agg(*[mean_expr(col(c)).alias(f"m{i}") for i, c in enumerate(cols)],
-                    *[F.stddev_pop(col(c)).alias(f"s{i}") for i, c in enumerate(cols)]).first()
+                    *[std_pop_expr(col(c)).alias(f"s{i}") for i, c in enumerate(cols)]).first()
     return {c: (row[f"m{i}"], row[f"s{i}"]) for i, c in enumerate(cols)}
 
 

@@ -70,7 +70,10 @@ def value_counts(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     texts = []
     for i, c in enumerate(cols):
         dt = df.schema[c].dataType
-        v = F.when(~is_missing(c, dt), col(c)).cast("string")
+        v = F.when(~is_missing(c, dt), col(c))
+        if isinstance(dt, (T.FloatType, T.DoubleType)):
+            v = v + F.lit(0.0).cast(dt)  # -0.0 and 0.0 are one value
+        v = v.cast("string")
         texts.append(F.struct(F.lit(i).alias("i"), v.alias("value")))
     names = F.array(*[F.lit(c) for c in cols])
     return (df.select(F.explode(F.array(*texts)).alias("s"))

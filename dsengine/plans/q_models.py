@@ -41,7 +41,7 @@ def _prepared(spark, sf, kind):
 
 def _one_model(spark, sf, kind, name):
     train, test, features, classes, task, *_ = _prepared(spark, sf, kind)  # noqa: F841
-    kw = {"id_col": TR.ROW_ID} if name == "KNN" else {}
+    kw = {"id_col": TR.ROW_ID} if name.startswith("K-Nearest") else {}
     m = MD.fit(name, task, train, features, len(classes), **kw)
     out = m.transform(test)
     return out.select(F.col(TR.ROW_ID).alias("row_id"), F.col("label"),
@@ -56,15 +56,9 @@ def _reg(key, kind, name):
     return q
 
 
-for _key, _name in [("clf_logistic", "Logistic Regression"), ("clf_forest", "Random Forest"),
-                    ("clf_gbt", "Gradient Boosting"), ("clf_svm", "SVM"),
-                    ("clf_tree", "Decision Tree"), ("clf_mlp", "Neural Network"),
-                    ("clf_adaboost", "AdaBoost"), ("clf_knn_documents", "KNN")]:
+for _key, _name in zip(["clf_logistic", "clf_forest", "clf_gbt", "clf_svm", "clf_tree", "clf_knn_documents", "clf_mlp", "clf_adaboost"], MD.CLASSIFIERS):
     _reg(_key, "clf", _name)
-for _key, _name in [("reg_forest", "Random Forest"), ("reg_gbt", "Gradient Boosting"),
-                    ("reg_svr", "SVR"), ("reg_tree", "Decision Tree"), ("reg_mlp", "Neural Network"),
-                    ("reg_adaboost", "AdaBoost"), ("reg_linear_part", "Linear Regression"),
-                    ("reg_knn_part", "KNN")]:
+for _key, _name in zip(["reg_linear_part", "reg_forest", "reg_gbt", "reg_svr", "reg_tree", "reg_knn_part", "reg_mlp", "reg_adaboost"], MD.REGRESSORS):
     _reg(_key, "reg", _name)
 
 
@@ -135,14 +129,14 @@ def q_train_all_regression(spark, sf):
 @register("feature_importance")
 def q_feature_importance(spark, sf):
     res = TR.train_all(parts(spark, sf), "p_retailprice", ["p_partkey"],
-                       models=["Random Forest", "Linear Regression"])
+                       models=["Random Forest Regressor", "Linear Regression"])
     return TR.feature_importance(res)
 
 
 @register("model_report")
 def q_model_report(spark, sf):
     res = TR.train_all(documents_labelled(spark, sf), "quality", ["doc_id"],
-                       models=["Logistic Regression", "Decision Tree", "Random Forest"])
+                       models=["Logistic Regression", "Decision Tree Classifier", "Random Forest Classifier"])
     return TR.model_report(res)
 
 
@@ -156,7 +150,7 @@ def _lineitem_bundle(spark, sf):
     if k not in _CACHE:
         li = table(spark, sf, "lineitem").select(*_LI_FEATURES)
         res = TR.train_all(li, "l_linestatus", ["l_orderkey", "l_linenumber"],
-                           models=["Decision Tree"])
+                           models=["Decision Tree Classifier"])
         _CACHE[k] = TR.ScoringBundle.from_result(res)
     return _CACHE[k]
 
@@ -232,7 +226,7 @@ def _dashboard(spark, sf):
     from dsengine.operators import dashboard as D
     df = parts(spark, sf)
     res = TR.train_all(df, "p_retailprice", ["p_partkey"],
-                       models=["Linear Regression", "Decision Tree"])
+                       models=["Linear Regression", "Decision Tree Regressor"])
     return D.dashboard(df, "p_retailprice", ["p_partkey"], res.leaderboard, res.task_type)
 
 

@@ -56,7 +56,7 @@ def prepare(df: DataFrame, target: str, key: list[str] | None = None,
     columns when not given); key columns are not features unless
     ``key_is_feature``."""
     if target not in df.columns:
-        raise ValueError(f"Target column '{target}' not found in dataset")
+        raise ValueError(f"no column named {target} to predict")
     given = bool(key)
     key = key or [c for c in df.columns if c != target]
     base = df.withColumn(ROW_ID, P.row_hash(key))
@@ -67,14 +67,14 @@ def prepare(df: DataFrame, target: str, key: list[str] | None = None,
     valid = assembled
     n_valid = valid.count()
     if n_valid < 2:
-        raise ValueError("Not enough valid rows after cleaning to train models.")
+        raise ValueError("fewer than two complete rows to train on")
     task = P.detect_task(valid, target)["task_type"]
     classes = []
     if task == "classification":
         valid, kind = P.normalize_labels(valid, target)
         classes = sorted(r[0] for r in valid.select(col(target)).distinct().collect())
         if len(classes) < 2:
-            raise ValueError("Classification target must contain at least 2 classes.")
+            raise ValueError("the target has a single class")
         mapping = F.create_map(*[x for i, c in enumerate(classes) for x in (F.lit(c), F.lit(float(i)))])
         valid = valid.withColumn("label", mapping[col(target)])
     else:
@@ -154,7 +154,7 @@ def train_all(df: DataFrame, target: str, key: list[str] | None = None,
         t0 = time.perf_counter()
         try:
             kw = dict(params.get(name, {}))
-            if name == "KNN":
+            if name.startswith("K-Nearest"):
                 kw.setdefault("id_col", ROW_ID)
             m = MD.fit(name, task, train, features, len(classes), **kw)
             out = m.transform(test)
@@ -283,6 +283,9 @@ def score(bundle: ScoringBundle, df: DataFrame, id_col: str | None = None) -> Da
         mapping = F.create_map(*[x for i, c in enumerate(bundle.classes)
                                  for x in (F.lit(float(i)), F.lit(str(c)))])
         pred = mapping[F.col("prediction")]
+        if bundle.target in bundle.pairs:
+            # an encoded binary target goes back to its two words
+            pred = K.binary_decode(pred.try_cast("double"), *bundle.pairs[bundle.target])
     else:
         pred = pred.cast("string")
     sel = ["__input.*", F.when(F.col("error").isNull(), pred).alias("prediction")]

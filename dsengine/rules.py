@@ -119,10 +119,16 @@ IMPUTE_FILL = "ffill/bfill"
 PROBLEM_TYPES = ["Binary Classification", "Multi-class Classification", "Regression", "Unknown"]
 
 # Model line-up, in training order
-CLASSIFIERS = ["Logistic Regression", "Random Forest", "Gradient Boosting", "SVM",
-               "Decision Tree", "KNN", "Neural Network", "AdaBoost"]
-REGRESSORS = ["Linear Regression", "Random Forest", "Gradient Boosting", "SVR",
-              "Decision Tree", "KNN", "Neural Network", "AdaBoost"]
+CLASSIFIERS = ["Logistic Regression", "Random Forest Classifier", "Gradient Boosting Classifier", "Support Vector Machine",
+               "Decision Tree Classifier", "K-Nearest Neighbors Classifier", "Neural Network Classifier", "AdaBoost Classifier"]
+REGRESSORS = ["Linear Regression", "Random Forest Regressor", "Gradient Boosting Regressor", "Support Vector Regressor",
+              "Decision Tree Regressor", "K-Nearest Neighbors Regressor", "Neural Network Regressor", "AdaBoost Regressor"]
+#: Spark's limit; trees grow until it or a pure leaf stops them
+TREE_MAX_DEPTH = 30
+MLP_MAX_ITER = 1000
+#: random Fourier features and iterations of the kernel approximations
+RFF_FEATURES = 100
+KERNEL_MAX_ITER = 100
 
 # Input-type inference (scoring form)
 INPUT_DATE_SHARE = 0.7

@@ -14,14 +14,24 @@ from pyspark.sql import types as T
 from dsengine.functions.exprs import col
 from dsengine.session import work_path
 
-NULL_TOKENS = ["", "NA", "N/A", "NaN", "nan", "null", "NULL", "None", "#N/A", "-"]
+#: Texts that stand for a missing value when a table is read.
+NULL_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>",
+               "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
+NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$|^\s*[+-]?(inf|Infinity)\s*$"
+INTEGER = r"^\s*[+-]?\d+\s*$"
 
 
 def read_table(spark: SparkSession, path: str, fmt: str | None = None,
-               schema: T.StructType | str | None = None, infer: bool = True) -> DataFrame:
+               schema: T.StructType | str | None = None, infer: bool = True,
+               quoted_line_breaks: bool = True) -> DataFrame:
     """Header + inferred types; format from the extension, CSV when the
-    extension is unknown (S1, S2). Blank / NA tokens become null in one
-    projection over the text columns."""
+    extension is unknown (S1, S2).
+
+    Quoted fields may hold separators, doubled quotes and line breaks; without
+    ``quoted_line_breaks`` a large file is read by several tasks. Texts of
+    ``NULL_TOKENS`` are missing in every column before types are inferred, so a
+    number column with ``NA`` stays one. Inferred types: bigint, double,
+    boolean, timestamp (ISO dates and times), else text."""
     ext = os.path.splitext(path.rstrip("/"))[1].lower().lstrip(".")
     fmt = fmt or {"parquet": "parquet", "json": "json", "jsonl": "json", "orc": "orc",
                   "csv": "csv", "tsv": "csv", "txt": "csv"}.get(ext, "csv")
@@ -31,18 +41,33 @@ def read_table(spark: SparkSession, path: str, fmt: str | None = None,
         return spark.read.json(path) if schema is None else spark.read.schema(schema).json(path)
     if fmt == "orc":
         return spark.read.orc(path)
-    reader = (spark.read.option("header", True).option("mode", "PERMISSIVE")
-              .option("sep", "\t" if ext == "tsv" else ","))
-    reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", infer)
-    df = reader.csv(path)
-    out = []
-    for f in df.schema.fields:
-        if isinstance(f.dataType, T.StringType):
-            out.append(F.when(F.trim(col(f.name)).isin(*NULL_TOKENS), F.lit(None))
-                       .otherwise(col(f.name)).alias(f.name))
-        else:
-            out.append(col(f.name))
-    return df.select(*out)
+    reader = (spark.read.option("header", True).option("mode", "PERMISSIVE").option("quote", '"').option("escape", '"')
+              .option("multiLine", quoted_line_breaks).option("sep", "\t" if ext == "tsv" else ",").option("inferSchema", False))
+    wanted = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
+    text = reader.schema(T.StructType([T.StructField(f.name, T.StringType()) for f in wanted.fields])).csv(path) if wanted else reader.csv(path)
+    text = text.select(*[F.when(~F.trim(col(c)).isin(*NULL_TOKENS), col(c)).alias(c) for c in text.columns])
+    if wanted:
+        return text.select(*[col(f.name).try_cast(f.dataType).alias(f.name) for f in wanted.fields])
+    return _typed(text) if infer else text
+
+
+def _typed(text: DataFrame) -> DataFrame:
+    """Cast each text column to the narrowest type that all its values have."""
+    if not text.columns:
+        return text
+    tests = []
+    for i, c in enumerate(text.columns):
+        v = col(c)
+        date = v.rlike(r"^\d{4}-\d\d-\d\d([ T]\d\d:\d\d.*)?$") & v.try_cast("timestamp_ntz").isNotNull()
+        tests += [F.count(v).alias(f"n{i}"), F.count_if(v.rlike(INTEGER) & v.try_cast("bigint").isNotNull()).alias(f"i{i}"),
+                  F.count_if(v.rlike(NUMBER)).alias(f"d{i}"), F.count_if(F.lower(F.trim(v)).isin("true", "false")).alias(f"b{i}"),
+                  F.count_if(date).alias(f"t{i}")]
+    row, out = text.agg(*tests).first(), []
+    for i, c in enumerate(text.columns):
+        kind = next((k for k, short in (("bigint", "i"), ("double", "d"), ("boolean", "b"), ("timestamp_ntz", "t"))
+                     if row[f"n{i}"] and row[f"{short}{i}"] == row[f"n{i}"]), None)
+        out.append(col(c).try_cast(kind).alias(c) if kind else col(c))
+    return text.select(*out)
 
 
 def export_csv(df: DataFrame, path: str, single_file: bool = False) -> str:
@@ -90,12 +115,14 @@ def nonfinite_to_null(df: DataFrame) -> DataFrame:
 
 # --------------------------------------------------------------------------- S7
 def save_bundle(bundle, spark: SparkSession, path: str | None = None) -> str:
-    """Persist a ScoringBundle: the Spark ML model with its own writer, the
-    rest (features, vocabularies, scaler, classes, stumps) as one JSON text
-    row - all under the shared folder."""
-    from dsengine.operators.models import _ml_transform
+    """Persist a ScoringBundle of any of the 16 models under the shared folder:
+    Spark ML models with their own writer, the train rows of a lazy learner as
+    a table, the rest (features, vocabularies, scaler, classes, stumps) as one
+    JSON text row."""
+    from dsengine.operators.models import TRANSFORMS
     path = path or work_path(spark, "bundle")
     m = bundle.model
+    extra = dict(m.extra)
     meta = {"target": bundle.target, "task_type": bundle.task_type, "features": bundle.features,
             "classes": [str(c) for c in bundle.classes],
             "class_kind": "int" if bundle.classes and isinstance(bundle.classes[0], int) else "text",
@@ -103,15 +130,16 @@ def save_bundle(bundle, spark: SparkSession, path: str | None = None) -> str:
             "scaler": {k: list(v) for k, v in bundle.scaler.items()},
             "removed": bundle.removed_columns, "pairs": {k: list(v) for k, v in bundle.pairs.items()},
             "model_name": m.name, "model_task": m.task, "n_classes": m.n_classes,
-            "date_columns": list(bundle.date_columns)}
-    if m.transform_fn is _ml_transform:
-        m.model.write().overwrite().save(f"{path}/model")
-        meta["model_class"] = f"{type(m.model).__module__}.{type(m.model).__name__}"
-    elif "stumps" in m.extra:
-        meta["stumps"] = m.extra["stumps"]
-        meta["k"] = m.extra["k"]
-    else:
-        raise NotImplementedError(f"persisting {m.name} is not supported")
+            "date_columns": list(bundle.date_columns),
+            "kind": next(k for k, fn in TRANSFORMS.items() if fn is m.transform_fn)}
+    models = extra.pop("models", None) or ([m.model] if m.model is not None else [])
+    for i, model in enumerate(models):
+        model.write().overwrite().save(f"{path}/model-{i}")
+    meta["model_classes"] = [f"{type(x).__module__}.{type(x).__name__}" for x in models]
+    train = extra.pop("train", None)
+    if train is not None:
+        train.write.mode("overwrite").parquet(f"{path}/train")
+    meta["extra"], meta["has_train"] = extra, train is not None
     spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1) \
         .write.mode("overwrite").text(f"{path}/meta")
     return path
@@ -122,16 +150,19 @@ def load_bundle(spark: SparkSession, path: str):
     from dsengine.operators.prepare import OneHotModel
     from dsengine.plans.train import ScoringBundle
     meta = json.loads(spark.read.text(f"{path}/meta").first()["value"])
-    if "model_class" in meta:
-        mod, cls = meta["model_class"].rsplit(".", 1)
-        model = getattr(importlib.import_module(mod), cls).load(f"{path}/model")
-        fitted = MD.Fitted(meta["model_name"], meta["model_task"], meta["features"],
-                           meta["n_classes"], model, transform_fn=MD._ml_transform)
-    else:
-        fitted = MD.Fitted(meta["model_name"], meta["model_task"], meta["features"],
-                           meta["n_classes"], None,
-                           extra={"stumps": [tuple(s) for s in meta["stumps"]], "k": meta["k"]},
-                           transform_fn=MD.adaboost_transform)
+    models = []
+    for i, name in enumerate(meta["model_classes"]):
+        mod, cls = name.rsplit(".", 1)
+        models.append(getattr(importlib.import_module(mod), cls).load(f"{path}/model-{i}"))
+    extra = meta["extra"]
+    if "stumps" in extra:
+        extra["stumps"] = [tuple(s) for s in extra["stumps"]]
+    if meta["kind"] == "trees":
+        extra["models"], models = models, []
+    if meta["has_train"]:
+        extra["train"] = spark.read.parquet(f"{path}/train")
+    fitted = MD.Fitted(meta["model_name"], meta["model_task"], meta["features"], meta["n_classes"],
+                       models[0] if models else None, extra, MD.TRANSFORMS[meta["kind"]])
     classes = [int(c) for c in meta["classes"]] if meta["class_kind"] == "int" else meta["classes"]
     return ScoringBundle(meta["target"], meta["task_type"], meta["features"], classes,
                          OneHotModel(meta["vocab"]), {k: tuple(v) for k, v in meta["scaler"].items()},

@@ -18,9 +18,22 @@ def start_scoring_stream(bundle: ScoringBundle, spark, source_dir: str, schema,
     """readStream(source_dir) -> score -> writeStream(sink_dir)."""
     reader = spark.readStream.schema(schema)
     stream = reader.parquet(source_dir) if fmt == "parquet" else reader.json(source_dir)
-    scored = score(bundle, stream, id_col=id_col)
-    writer = (scored.writeStream.format("parquet").option("path", sink_dir)
-              .option("checkpointLocation", checkpoint_dir).outputMode("append"))
+    return _start(bundle, stream, sink_dir, checkpoint_dir, available_now, id_col)
+
+
+def _start(bundle, stream, sink_dir, checkpoint_dir, available_now, id_col):
+    if "train" in bundle.model.extra:
+        # neighbours need a ranking, which a stream has not: each micro-batch
+        # is scored as a table and written to its own folder, so a repeated
+        # batch replaces its rows
+        def each(batch, number):
+            score(bundle, batch, id_col=id_col).write.mode("overwrite").parquet(f"{sink_dir}/__batch={number}")
+
+        writer = stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint_dir)
+    else:
+        scored = score(bundle, stream, id_col=id_col)
+        writer = (scored.writeStream.format("parquet").option("path", sink_dir)
+                  .option("checkpointLocation", checkpoint_dir).outputMode("append"))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
     return writer.start()
 
@@ -36,7 +49,7 @@ def score_stream(bundle: ScoringBundle, records: DataFrame, id_col: str | None =
     records.repartition(files).write.mode("overwrite").parquet(src)
     q = start_scoring_stream(bundle, spark, src, records.schema, sink, ckpt, id_col=id_col)
     q.awaitTermination()
-    return spark.read.parquet(sink)
+    return spark.read.parquet(sink).drop("__batch")
 
 
 def score_json_stream(bundle: ScoringBundle, records: DataFrame, id_col: str | None = None,
@@ -54,9 +67,6 @@ def score_json_stream(bundle: ScoringBundle, records: DataFrame, id_col: str | N
         .repartition(files).write.mode("overwrite").text(src)
     parsed = (spark.readStream.text(src)
               .select(F.from_json("value", schema).alias("r")).select("r.*"))
-    scored = score(bundle, parsed, id_col=id_col)
-    q = (scored.writeStream.format("parquet").option("path", sink)
-         .option("checkpointLocation", ckpt).outputMode("append")
-         .trigger(availableNow=True).start())
+    q = _start(bundle, parsed, sink, ckpt, True, id_col)
     q.awaitTermination()
-    return spark.read.parquet(sink)
+    return spark.read.parquet(sink).drop("__batch")

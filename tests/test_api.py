@@ -18,7 +18,7 @@ def test_end_to_end(spark, sf):
     parts = api.explore(df, target="total_price")
     assert parts["statistical_summary"].count() > 0
     # feature selection may drop the row key, so the split hashes whole rows
-    res = api.train(df, "total_price", models=["Linear Regression", "Decision Tree"])
+    res = api.train(df, "total_price", models=["Linear Regression", "Decision Tree Regressor"])
     assert res.task_type == "regression"
     dash = api.dashboard(df, "total_price", df.columns, res)
     assert dash["kpis"].count() >= 5

@@ -143,7 +143,7 @@ def test_ffill_bfill_across_buckets(spark):
     rows = [(i, None if i % 7 and i % 11 else f"v{i}") for i in range(1, 400)]
     rows = [(0, None)] + rows
     df = spark.createDataFrame(rows, "k long, v string")
-    got = {r["k"]: r["v"] for r in C.ffill_bfill(df, ["v"], "k", buckets=8).collect()}
+    got = {r["k"]: r["v"] for r in C.ffill_bfill(df, ["v"], "k").collect()}
     last, want = None, {}
     for k, v in rows:
         last = v if v is not None else last
@@ -176,7 +176,7 @@ def test_ffill_hot_key_is_split_and_exact(spark):
     rows = [(i, f"v{i}" if i % 5 == 0 else None) for i in range(1, 200)]
     rows += [(100, None)] * 150 + [(100, "hot")] * 50
     df = spark.createDataFrame(rows, "k long, v string")
-    out = C.ffill_bfill(df, ["v"], "k", buckets=16)
+    out = C.ffill_bfill(df, ["v"], "k")
     assert out.count() == len(rows)
     got = out.collect()
     assert all(r["v"] is not None for r in got)

@@ -36,7 +36,7 @@ def test_knn_matches_numpy_bruteforce(spark):
 def bundle(spark, sf):
     li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity",
                                              "l_discount", "l_tax", "l_returnflag", "l_linestatus")
-    res = TR.train_all(li, "l_linestatus", ["l_orderkey", "l_linenumber"], models=["Decision Tree"])
+    res = TR.train_all(li, "l_linestatus", ["l_orderkey", "l_linenumber"], models=["Decision Tree Classifier"])
     return TR.ScoringBundle.from_result(res)
 
 
@@ -73,7 +73,7 @@ def test_scoring_aligns_and_flags(spark, bundle):
 def test_models_beat_baseline_on_separable_data(spark):
     rows = [(i, float(i % 10), float((i * 7) % 13), 1.0 if (i % 10) > 4 else 0.0) for i in range(400)]
     df = spark.createDataFrame(rows, "id long, a double, b double, y double")
-    res = TR.train_all(df, "y", ["id"], models=["Logistic Regression", "Decision Tree", "AdaBoost"])
+    res = TR.train_all(df, "y", ["id"], models=["Logistic Regression", "Decision Tree Classifier", "AdaBoost Classifier"])
     for r in res.metrics.collect():
         assert r["accuracy"] is not None and r["accuracy"] > 0.9, r
 
