@@ -56,4 +56,4 @@ def at_limits(histogram: DataFrame, limits: list[int]) -> DataFrame:
 
 def quantiles(report: DataFrame, shares: list[float]) -> DataFrame:
     """One row: the smallest length that at least each share of texts has at most."""
-    return report.agg(*[F.min(F.when(F.col("quantile") >= q, F.col("n_tokens"))).alias(f"q_{q:g}") for q in shares])
+    return report.agg(*[F.min(F.when(F.col("quantile") >= q, F.col("n_tokens"))).alias(f"q_{q:g}".replace(".", "_")) for q in shares])

@@ -138,11 +138,12 @@ def judge_urls(pages: DataFrame, rules=RULES, url: str = "url", carry: list[str]
     bins = scored.groupBy(F.floor(F.col("score") * BINS).alias("bin")).agg(F.sum(F.col("good").cast("long")).alias("g"), F.count("*").alias("n")).orderBy("bin").collect()
     best, threshold = -1.0, 0.0
     good, bad = sum(r["g"] for r in bins), sum(r["n"] - r["g"] for r in bins)
-    below = [0, 0]
-    for r in bins:  # from this bin on urls are allowed
+    below, before = [0, 0], bins[0]["bin"] if bins else 0
+    for r in bins:  # from the middle of the gap below this bin on urls are allowed
         mean = (1 - below[0] / good if good else 0) + (below[1] / bad if bad else 0)
         if mean > best:
-            best, threshold = mean, r["bin"] / BINS
+            best, threshold = mean, (before + r["bin"]) / 2 / BINS
+        before = r["bin"]
         below = [below[0] + r["g"], below[1] + r["n"] - r["g"]]
     types = dict(src.dtypes)
     keep = [*carry, "host", "path", "rule", "verdict"]
