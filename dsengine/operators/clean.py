@@ -510,6 +510,12 @@ def low_impact_columns(df: DataFrame) -> list[str]:
     return [c for c in df.columns if _name_has(c, rules.LOW_IMPACT_KEYWORDS)]
 
 
+def drop_low_impact(df: DataFrame) -> tuple[DataFrame, list[str]]:
+    """The table without its low-impact columns."""
+    names = low_impact_columns(df)
+    return df.drop(*names), names
+
+
 # --------------------------------------------------------------------------- C24/C25
 def date_order_pairs(columns: list[str]) -> list[tuple[str, str]]:
     dates = [c for c in columns if _name_has(c, rules.DATE_ORDER_KEYWORDS)

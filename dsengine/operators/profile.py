@@ -43,7 +43,9 @@ def shape(df: DataFrame) -> DataFrame:
 
 
 def column_roles(df: DataFrame) -> DataFrame:
-    """Storage role per column (P2): numeric / categorical / other."""
+    """Storage role per column (P2): numeric / categorical / other, and how
+    many values are present."""
+    present = df.agg(*[F.count_if(~is_missing(f.name, f.dataType)).alias(f"p{i}") for i, f in enumerate(df.schema.fields)]).first() if df.columns else None
     rows = []
     for i, f in enumerate(df.schema.fields):
         if isinstance(f.dataType, (T.LongType, T.DoubleType)):
@@ -52,8 +54,8 @@ def column_roles(df: DataFrame) -> DataFrame:
             role = "categorical"
         else:
             role = "other"
-        rows.append((f.name, i, role))
-    return df.sparkSession.createDataFrame(rows, "column_name string, ordinal int, role string")
+        rows.append((f.name, i, role, present[f"p{i}"]))
+    return df.sparkSession.createDataFrame(rows, "column_name string, ordinal int, role string, present bigint")
 
 
 # --------------------------------------------------------------------------- backbone

@@ -294,11 +294,11 @@ _CANON_CASE = "CASE " + " ".join(
 
 
 @register("canonical_values", with_dirty(
-    per_column(["gender", "is_large", "status"], f"""
+    per_column(DIRTY_TEXT, f"""
 SELECT {{name}} AS column_name, {_CANON_CASE} AS value, count(*) AS count
 FROM dirty GROUP BY 2""")))
 def q_canonical_values(spark, sf):
-    return _vc_frame(dirty(spark, sf), ["gender", "is_large", "status"], C.canonical_values)
+    return _vc_frame(dirty(spark, sf), DIRTY_TEXT, C.canonical_values)
 
 
 # --------------------------------------------------------------------------- C18-C20
@@ -329,15 +329,14 @@ def q_domain_rules(spark, sf):
                                  "column_name string, rule string, invalid_removed bigint")
 
 
-@register("group_rare", with_dirty(per_column(["gender", "priority", "status"], """
+@register("group_rare", with_dirty(per_column(DIRTY_TEXT, """
 SELECT {name} AS column_name,
   CASE WHEN {c} IN (SELECT {c} FROM dirty WHERE {c} IS NOT NULL GROUP BY 1
                     HAVING count(*) / (SELECT count({c}) FROM dirty) < 0.01) THEN 'Other' ELSE {c} END AS value,
   count(*) AS count FROM dirty GROUP BY 2""")))
 def q_group_rare(spark, sf):
-    cols = ["gender", "priority", "status"]
-    out, _ = C.group_rare(dirty(spark, sf).select(*cols), cols)
-    return value_counts(out, cols)
+    out, _ = C.group_rare(dirty(spark, sf).select(*DIRTY_TEXT), DIRTY_TEXT)
+    return value_counts(out, DIRTY_TEXT)
 
 
 # --------------------------------------------------------------------------- C21-C25
@@ -356,12 +355,9 @@ def q_drop_identifiers(spark, sf):
     return spark.createDataFrame([(c,) for c in C.identifier_columns(d)], "column_name string")
 
 
-@register("drop_low_impact", """
-SELECT column_name FROM duckdb_columns() WHERE table_name = 'customer'
-  AND (lower(column_name) LIKE '%name%' OR lower(column_name) LIKE '%description%' OR lower(column_name) LIKE '%notes%' OR lower(column_name) LIKE '%comments%' OR lower(column_name) LIKE '%remarks%' OR lower(column_name) LIKE '%email%' OR lower(column_name) LIKE '%phone%' OR lower(column_name) LIKE '%address%')""")
+@register("drop_low_impact", "SELECT * EXCLUDE (c_name) FROM customer")
 def q_drop_low_impact(spark, sf):
-    return spark.createDataFrame([(c,) for c in C.low_impact_columns(table(spark, sf, "customer"))],
-                                 "column_name string")
+    return C.drop_low_impact(table(spark, sf, "customer"))[0]
 
 
 @register("check_date_order", with_dirty("""
@@ -382,10 +378,10 @@ def q_check_non_negative(spark, sf):
 
 
 # --------------------------------------------------------------------------- C26
-@register("standard_scale", with_dirty("""
-SELECT k, round((total_price - (SELECT avg(total_price) FROM dirty)) / (SELECT stddev_pop(total_price) FROM dirty), 6) AS total_price,
-  round((shipping_cost - (SELECT avg(shipping_cost) FROM dirty)) / (SELECT stddev_pop(shipping_cost) FROM dirty), 6) AS shipping_cost
-FROM dirty"""))
+_SCALED = ", ".join(f"round(coalesce(({c} - (SELECT avg({c}) FROM dirty)) / nullif((SELECT stddev_pop({c}) FROM dirty), 0), CASE WHEN {c} IS NOT NULL THEN 0.0 END), 6) AS {c}"
+                    for c in DIRTY_NUMERIC)
+
+
+@register("standard_scale", with_dirty(f"SELECT {_SCALED} FROM dirty"))
 def q_standard_scale(spark, sf):
-    d = dirty(spark, sf).select("k", "total_price", "shipping_cost")
-    return rounded(C.standard_scale(d, ["total_price", "shipping_cost"]))
+    return rounded(C.standard_scale(dirty(spark, sf).select(*DIRTY_NUMERIC), DIRTY_NUMERIC))

@@ -105,7 +105,7 @@ def q_random_split(spark, sf):
     return out.groupBy("is_test").agg(F.count(F.lit(1)).alias("count"))
 
 
-_SCALE_COLS = ["l_quantity", "l_discount", "l_tax"]
+_SCALE_COLS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 
 @register("scale_train_test", f"""

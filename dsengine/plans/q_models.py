@@ -187,13 +187,7 @@ def q_class_probabilities(spark, sf):
 SELECT o_orderkey, CAST(coalesce(o_totalprice, 0.0) AS DOUBLE) AS o_totalprice,
   CAST(coalesce(o_custkey, 0) AS DOUBLE) AS o_custkey, CAST(0.0 AS DOUBLE) AS o_discount FROM orders""")
 def q_align_features(spark, sf):
-    o = table(spark, sf, "orders")
-    aligned = TR.align_features(o, ["o_totalprice", "o_custkey", "o_discount"])
-    keyed = o.select("o_orderkey", *[F.col(c) for c in ["o_totalprice", "o_custkey"]])
-    return keyed.select("o_orderkey", *[c.alias(n) for c, n in zip(
-        [F.coalesce(F.col("o_totalprice").cast("double"), F.lit(0.0)),
-         F.coalesce(F.col("o_custkey").cast("double"), F.lit(0.0)), F.lit(0.0)],
-        aligned.columns)])
+    return TR.align_features(table(spark, sf, "orders"), ["o_totalprice", "o_custkey", "o_discount"], keep=["o_orderkey"])
 
 
 @register("score_errors", with_dirty("""

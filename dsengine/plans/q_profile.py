@@ -51,11 +51,11 @@ def q_profile_shape(spark, sf):
     return profile.shape(table(spark, sf, "lineitem"))
 
 
-@register("profile_columns", """
-SELECT column_name, CAST(column_index - 1 AS INTEGER) AS ordinal,
-  CASE WHEN data_type IN ('BIGINT', 'DOUBLE') THEN 'numeric'
-       WHEN data_type = 'VARCHAR' THEN 'categorical' ELSE 'other' END AS role
-FROM duckdb_columns() WHERE table_name = 'lineitem'""")
+@register("profile_columns", per_column(LINEITEM_COLUMNS, """
+SELECT {name} AS column_name, {i} AS ordinal,
+  CASE WHEN typeof(any_value({c})) IN ('BIGINT', 'DOUBLE') THEN 'numeric'
+       WHEN typeof(any_value({c})) = 'VARCHAR' THEN 'categorical' ELSE 'other' END AS role,
+  count({c}) AS present FROM lineitem"""))
 def q_profile_columns(spark, sf):
     return profile.column_roles(table(spark, sf, "lineitem"))
 

@@ -45,4 +45,4 @@ def rounded(df: DataFrame, digits: dict[str, int] | None = None, default: int =
 
 
 # import the query modules so their @register calls run
-from dsengine.plans import q_profile, q_categorical_clean, q_cleaning, q_eda, q_dashboard, q_model_prep, q_models, q_sources  # noqa: E402,F401
+from dsengine.plans import q_profile, q_categorical_clean, q_cleaning, q_eda, q_dashboard, q_model_prep, q_models, q_rows, q_sources  # noqa: E402,F401

@@ -232,10 +232,11 @@ class ScoringBundle:
                    res.scaler, m, list(removed or []), dict(pairs or {}), list(res.date_columns))
 
 
-def align_features(df: DataFrame, features: list[str]) -> DataFrame:
-    """Absent features = 0.0, training order, extra columns ignored."""
+def align_features(df: DataFrame, features: list[str], keep: list[str] | None = None) -> DataFrame:
+    """Absent features = 0.0, training order, extra columns ignored but those
+    in ``keep`` (X3)."""
     have = set(df.columns)
-    return df.select(*[(F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(0.0)) if c in have
+    return df.select(*[col(c) for c in keep or []], *[(F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(0.0)) if c in have
                         else F.lit(0.0)).alias(c) for c in features])
 
 

@@ -8,9 +8,8 @@ import __spark_entry__ as entry
 from dsengine.plans.fixtures import TABLES
 from tools.check_oracle import compare
 
-SLOW = {"train_all", "train_all_regression", "model_report", "clf_adaboost", "clf_gbt",
-        "reg_adaboost", "reg_gbt", "clf_svm", "clf_logistic"}
-KEYS = sorted(entry.queries())
+# the training-data operators have their own folder of tests
+KEYS = sorted(set(entry.queries()) - set(entry.LLM_QUERIES))
 
 
 @pytest.fixture(scope="module")
@@ -35,6 +34,6 @@ def test_key_matches_oracle(spark, sf, duck, key):
     assert verdict is None, verdict
 
 
-@pytest.mark.parametrize("key", [k for k in KEYS if k not in entry.oracle_sql() and k not in SLOW])
+@pytest.mark.parametrize("key", [k for k in KEYS if k not in entry.oracle_sql()])
 def test_rows_only_key_runs(spark, sf, key):
-    assert entry.queries()[key](spark, sf).count() >= 0
+    assert entry.queries()[key](spark, sf).count() > 0
