@@ -11,8 +11,9 @@ band are checked on their full sets.
 
 Plan. Documents with equal sets form one class at once (a grouped minimum), so
 copies cost nothing further. In each bucket of a band the members are checked
-against its smallest; members that this leaves in different components are
-checked against each other, in groups of at most ``GROUP`` members a side. All
+against its smallest; where this leaves several components in a bucket, the
+members outside the largest are checked against it and against one another, in
+groups of about ``GROUP`` members a side. All
 groups are cut by their counted size, so no bucket meets in one task; sets are
 made from whole texts inside the groups.
 """
@@ -140,7 +141,7 @@ def _check_rest(width: int, percent: int):
             return c
 
         comps, found = rows["comp"].to_pylist(), []
-        across = key[1].as_py() != key[2].as_py()
+        across = key[1].as_py() or key[2].as_py() != key[3].as_py()
         for i in range(len(nodes)):
             for j in range(i):
                 if (across and side[i] == side[j]) or not (len(sets[i]) and len(sets[j])):
@@ -170,18 +171,29 @@ def similar_links(classes: DataFrame, texts_of, width: int, percent: int) -> Dat
     star = staged(dealt.join(texts, "node").groupBy("lead", "cut").applyInArrow(_check_star(width, percent), LINK), "star")
 
     comp = components(star)
-    held = members.join(comp, "node", "left").select("bucket", "node", "c", F.coalesce("root", "node").alias("comp"))
+    held = members.join(comp, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("comp"))
     held = staged(held, "held")
-    open_ = held.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("bucket")
-    rest = held.join(open_, "bucket")
+    # of each bucket with several components: the largest, and how many members are outside it
+    sizes = held.groupBy("bucket", "comp").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max(F.struct("n", "comp")).alias("x"), F.sum("n").alias("c"))
+    sizes = sizes.where(F.col("c") > F.col("x.n")).select("bucket", "c", F.col("x.comp").alias("main"), F.ceil(F.col("x.n") / GROUP).cast("int").alias("in"), F.ceil((F.col("c") - F.col("x.n")) / GROUP).cast("int").alias("out"))
+    rest = held.join(sizes, "bucket")
     # buckets with the same members need one look; their size is at most GROUP
     small = (rest.where(F.col("c") <= GROUP).groupBy("bucket").agg(F.sort_array(F.collect_list(F.struct("node", "comp"))).alias("m"))
-             .select("m").distinct().select(F.xxhash64("m").alias("bucket"), F.explode("m").alias("m")).select("bucket", "m.node", "m.comp", F.lit(1).alias("s")))
-    large = rest.where(F.col("c") > GROUP).select("bucket", "node", "comp", F.ceil(F.col("c") / GROUP).cast("int").alias("s"))
-    side = F.pmod(F.xxhash64("node"), "s").cast("int")
-    dealt = small.union(large).withColumn("side", side).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("s") - 1))).select(
-        "bucket", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "node", "comp", "side")
-    more = staged(dealt.join(texts, "node").groupBy("bucket", "i", "j").applyInArrow(_check_rest(width, percent), LINK), "rest")
+             .select("m").distinct().select(F.xxhash64("m").alias("bucket"), F.explode("m").alias("m")))
+    zero = F.lit(0)
+    small = small.select("bucket", zero.alias("i"), zero.alias("j"), F.lit(False).alias("across"), "m.node", "m.comp", zero.alias("side"))
+    # in others members outside the largest component meet it and one another
+    large = rest.where(F.col("c") > GROUP)
+    inner, outer = large.where("comp = main"), large.where("comp <> main")
+    mine = F.pmod(F.xxhash64("node"), "out").cast("int")
+    met = [inner.select("bucket", F.pmod(F.xxhash64("node"), "in").cast("int").alias("i"), F.explode(F.sequence(zero, F.col("out") - 1)).alias("j"), F.lit(True).alias("across"), "node", "comp", zero.alias("side")),
+           outer.select("bucket", F.explode(F.sequence(zero, F.col("in") - 1)).alias("i"), mine.alias("j"), F.lit(True).alias("across"), "node", "comp", F.lit(1).alias("side"))]
+    pairs = outer.withColumn("side", mine).withColumn("other", F.explode(F.sequence(zero, F.col("out") - 1)))
+    met.append(pairs.select("bucket", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), F.lit(False).alias("across"), "node", "comp", "side"))
+    dealt = small
+    for x in met:
+        dealt = dealt.union(x)
+    more = staged(dealt.join(texts, "node").groupBy("bucket", "across", "i", "j").applyInArrow(_check_rest(width, percent), LINK), "rest")
     for done in (members, texts, held):
         release(done)
     return star.union(more)
