@@ -15,7 +15,7 @@ from dsengine.functions.exprs import (col, is_boolean_type, is_missing, is_text_
                                       numeric_columns, sum_of)
 from dsengine.functions.quantiles import exact_quantiles
 from dsengine.operators import eda
-from dsengine.operators.profile import value_counts
+from dsengine.operators.profile import bounded_cardinality, value_counts
 
 
 def _has(name: str, words) -> bool:
@@ -60,10 +60,9 @@ def quality_overview(df: DataFrame) -> DataFrame:
 
 def completeness(df: DataFrame) -> DataFrame:
     """present and missing cells."""
-    s = dataset_summary(df)
-    return s.select(F.greatest(F.col("rows") * F.col("columns") - F.col("missing_values"),
-                               F.lit(0)).alias("present"),
-                    F.col("missing_values").alias("missing"))
+    miss = sum_of([F.when(is_missing(f.name, f.dataType), 1).otherwise(0) for f in df.schema.fields])
+    missing = F.coalesce(F.sum(miss), F.lit(0)).cast("bigint")
+    return df.agg((F.count(F.lit(1)) * len(df.columns) - missing).alias("present"), missing.alias("missing"))
 
 
 # --------------------------------------------------------------------------- D2
@@ -102,11 +101,12 @@ def category_share_column(df: DataFrame) -> str | None:
     cols = cats + nums
     if not cols:
         return None
-    vc = value_counts(df, cols)
-    card = {r["column_name"]: (r["n_all"], r["n"]) for r in
-            vc.groupBy("column_name").agg(F.count(F.lit(1)).alias("n_all"),
-                                          F.count("value").alias("n")).collect()}
     lo, hi = rules.CATEGORY_SHARE_TEXT_RANGE
+    # limits are small: exact counts only for columns that may be within them
+    rough, vc = bounded_cardinality(df, cols, limit=hi)
+    card = {r["column_name"]: (r["n_distinct"], r["n_distinct"]) for r in rough.collect()}
+    card |= {r["column_name"]: (r["n_all"], r["n"]) for r in
+             vc.groupBy("column_name").agg(F.count(F.lit(1)).alias("n_all"), F.count("value").alias("n")).collect()}
     for c in cats:
         if _has(c, rules.CATEGORY_SHARE_KEYWORDS) and lo <= card[c][0] <= hi:
             return c

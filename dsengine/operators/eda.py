@@ -517,6 +517,8 @@ def explore(df: DataFrame, target: str | None = None) -> dict[str, DataFrame]:
         "missing_summary": missing_summary(df),
         "missing_patterns": missing_patterns(df),
         "pair_density": pair_plot_density(df),
+        "kde_curve": kde_curve(df),
+        "missing_correlation": missing_correlation(df),
     }
     if texts:
         out["top_values"] = top_values(df, texts, counts=vc)

@@ -3,8 +3,8 @@
 Classification metrics come from the confusion counts ``groupBy(label,
 prediction)`` - a frame of classes^2 rows - so every metric is exact and the
 table is scanned once. ROC AUC uses the rank form with ties: counts per
-distinct score, prefix sums per score bucket, and bucket offsets from a
-one-row-per-bucket frame, so no window ever spans all distinct scores.
+distinct score, running sums per score range, and range offsets from a
+one-row-per-range frame, so no window ever spans all distinct scores.
 """
 
 from __future__ import annotations
@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from dsengine.session import work_path
+
 EPS = 2.220446049250313e-16   # float64 machine epsilon (MAPE denominator floor)
 
 
@@ -49,27 +51,28 @@ def classification_metrics(df: DataFrame, label: str = "label", prediction: str
         (F.sum(F.col("f1") * F.col("support")) / tot).alias("f1_score"))
 
 
-def roc_auc(df: DataFrame, label: str = "label", score: str = "score",
-            buckets: int = 256) -> DataFrame:
+def roc_auc(df: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
     """Binary ROC AUC with tied scores counted half (M26); 0 when the labels
-    are not binary 0/1 with both classes present."""
+    are not binary 0/1 with both classes present.
+
+    Counts per distinct score are range-partitioned, sorted and written with
+    their range; running sums stay inside a range (as many as the scores need)
+    and a frame of one row per range gives the offsets."""
     y = F.col(label).cast("double")
     per_score = (df.where(F.col(score).isNotNull() & y.isNotNull())
                  .groupBy(F.col(score).cast("double").alias("s"))
                  .agg(F.sum(F.when(y == 1.0, 1).otherwise(0)).alias("pos"),
                       F.sum(F.when(y == 0.0, 1).otherwise(0)).alias("neg")))
-    probs = [i / buckets for i in range(1, buckets)]
-    bounds = per_score.agg(F.percentile_approx("s", probs, 10000).alias("b")).first()["b"] or []
-    splits = sorted(set(float(b) for b in bounds))
-    bucket = F.lit(0)
-    for s in splits:
-        bucket = bucket + F.when(F.col("s") > F.lit(s), 1).otherwise(0)
-    tagged = per_score.withColumn("bk", bucket)
-    totals = tagged.groupBy("bk").agg(F.sum("neg").alias("bneg"))
-    wb = Window.orderBy("bk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("bk", F.coalesce(F.sum("bneg").over(wb), F.lit(0)).alias("off"))
-    wi = Window.partitionBy("bk").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    below = (tagged.join(F.broadcast(offsets), "bk")
+    placed = (per_score.repartitionByRange("s").sortWithinPartitions("s")
+              .select("pos", "neg", F.monotonically_increasing_id().alias("at")))
+    path = work_path(df.sparkSession, "auc")
+    placed.write.parquet(path)
+    tagged = df.sparkSession.read.parquet(path).withColumn("rng", F.shiftright("at", 33))
+    totals = tagged.groupBy("rng").agg(F.sum("neg").alias("rneg"))
+    wb = Window.orderBy("rng").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("rng", F.coalesce(F.sum("rneg").over(wb), F.lit(0)).alias("off"))
+    wi = Window.partitionBy("rng").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    below = (tagged.join(F.broadcast(offsets), "rng")
              .withColumn("neg_below", F.col("off") + F.coalesce(F.sum("neg").over(wi), F.lit(0))))
     return below.agg(
         F.when((F.sum("pos") > 0) & (F.sum("neg") > 0),

@@ -138,7 +138,8 @@ def bounded_cardinality(df: DataFrame, cols: list[str] | None = None, limit: int
 def infer_target(df: DataFrame, target: str | None = None,
                  cardinality: DataFrame | None = None) -> DataFrame:
     """inferred_target, target_column, target_confirmed, problem_type."""
-    card = cardinality if cardinality is not None else column_cardinality(df)
+    # only compared with small limits: no count of many distinct values
+    card = cardinality if cardinality is not None else bounded_cardinality(df, limit=rules.INFER_TARGET_MAX_DISTINCT)[0]
     inferred = card.where(F.col("n_distinct") <= rules.INFER_TARGET_MAX_DISTINCT).agg(
         F.min_by("column_name", "ordinal").alias("inferred_target"))
     confirmed = bool(target) and target in df.columns

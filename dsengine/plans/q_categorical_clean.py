@@ -343,7 +343,7 @@ def q_group_rare(spark, sf):
 @register("drop_constants", with_dirty(per_column(DIRTY_COLUMNS, """
 SELECT {name} AS column_name FROM dirty HAVING count(DISTINCT {c}) <= 1""")))
 def q_drop_constants(spark, sf):
-    return spark.createDataFrame([(c,) for c in C.constant_columns(dirty(spark, sf))],
+    return spark.createDataFrame([(c,) for c in C.constant_columns_minmax(dirty(spark, sf))],
                                  "column_name string")
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from dsengine.operators import eda
-from dsengine.plans.fixtures import DIRTY_COLUMNS, dirty, table, with_dirty
+from dsengine.plans.fixtures import DIRTY_COLUMNS, DIRTY_TEXT, dirty, table, with_dirty
 from dsengine.plans.oracles import per_column
 from dsengine.plans.queries import LINEITEM_NUMERIC, register, rounded
 
@@ -22,7 +22,7 @@ def q_histogram(spark, sf):
     return rounded(eda.histogram(table(spark, sf, "lineitem")))
 
 
-@register("kde_curve", per_column(["l_quantity", "l_extendedprice", "l_discount"], f"""
+@register("kde_curve", per_column(LINEITEM_NUMERIC, f"""
 SELECT {{name}} AS column_name, CAST(g.range AS INTEGER) AS point,
   round(r.lo - 0.5 * (r.hi - r.lo) + g.range * ((r.hi + 0.5 * (r.hi - r.lo)) - (r.lo - 0.5 * (r.hi - r.lo))) / 199, 6) AS x,
   round(sum(b.cnt * exp(-0.5 * pow(((r.lo - 0.5 * (r.hi - r.lo)) + g.range * (((r.hi + 0.5 * (r.hi - r.lo)) - (r.lo - 0.5 * (r.hi - r.lo))) / 199)
@@ -33,8 +33,7 @@ FROM (SELECT CAST(least(floor((x - r.lo) / (r.hi - r.lo) * 2048), 2047) AS INTEG
      {_R} r, range(200) g
 GROUP BY g.range, r.lo, r.hi, r.n, r.sd"""))
 def q_kde(spark, sf):
-    return rounded(eda.kde_curve(table(spark, sf, "lineitem"),
-                                 ["l_quantity", "l_extendedprice", "l_discount"]), {"density": 12})
+    return rounded(eda.kde_curve(table(spark, sf, "lineitem")), {"density": 12})
 
 
 @register("box_stats", per_column(LINEITEM_NUMERIC, """
@@ -106,11 +105,11 @@ def q_imbalance_ratio(spark, sf):
     return rounded(eda.imbalance_ratio(table(spark, sf, "lineitem"), "l_returnflag"))
 
 
-@register("contingency", with_dirty(per_column(["gender", "priority", "status"], """
+@register("contingency", with_dirty(per_column([c for c in DIRTY_TEXT if c != "is_large"], """
 SELECT {name} AS column_name, {c} AS value, is_large AS target_value, count(*) AS count
 FROM dirty WHERE {c} IS NOT NULL AND is_large IS NOT NULL GROUP BY 2, 3""")))
 def q_contingency(spark, sf):
-    return eda.contingency(dirty(spark, sf), "is_large", ["gender", "priority", "status"])
+    return eda.contingency(dirty(spark, sf), "is_large")
 
 
 @register("contingency_wide", """
@@ -173,6 +172,8 @@ def _bundle_sql() -> str:
         + " AS BIGINT) FROM lineitem",
         "SELECT 'target_distribution', CAST(count(DISTINCT l_returnflag) AS BIGINT) FROM lineitem",
         "SELECT 'imbalance_ratio', CAST(1 AS BIGINT)",
+        f"SELECT 'kde_curve', CAST({len(LINEITEM_NUMERIC) * 200} AS BIGINT)",
+        f"SELECT 'missing_correlation', CAST({len(LINEITEM_COLUMNS) ** 2} AS BIGINT)",
         "SELECT 'contingency', CAST(count(*) AS BIGINT) FROM (SELECT DISTINCT l_linestatus, l_returnflag "
         "FROM lineitem WHERE l_linestatus IS NOT NULL AND l_returnflag IS NOT NULL)",
     ]
