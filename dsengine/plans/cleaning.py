@@ -48,7 +48,18 @@ def materialize(df: DataFrame, name: str, enabled: bool = True) -> DataFrame:
         return df
     path = work_path(df.sparkSession, name)
     df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    out = df.sparkSession.read.parquet(path)
+    out._stage_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a written stage that nothing reads any more."""
+    path = getattr(df, "_stage_path", None)
+    if path:
+        sc = df.sparkSession.sparkContext
+        folder = sc._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(sc._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def clean(df: DataFrame, target: str | None = None, order_by: str | None = None,
@@ -117,7 +128,7 @@ def clean(df: DataFrame, target: str | None = None, order_by: str | None = None,
     # 2. dedup, 3. identifier-null rows ------------------------------------
     n0 = df.count()
     df = df.dropDuplicates()
-    df = materialize(df, "dedup", write_stages)
+    df = unique = materialize(df, "dedup", write_stages)
     n1 = df.count()
     if write_stages:
         source.unpersist()
@@ -191,7 +202,8 @@ def clean(df: DataFrame, target: str | None = None, order_by: str | None = None,
             out.append(C.canonical_values(col(c)).alias(c))
         else:
             out.append(col(c))
-    df = materialize(df.select(*out), "standardized", write_stages)
+    df = standard = materialize(df.select(*out), "standardized", write_stages)
+    discard(unique)
 
     # 9. winsorise, 10. domain rules ---------------------------------------
     numeric = [c for c in df.columns if types.get(c) == "numeric"]
@@ -243,6 +255,7 @@ def clean(df: DataFrame, target: str | None = None, order_by: str | None = None,
     before = df.count()
     df = C.drop_incomplete(df)
     df = materialize(df, "cleaned", write_stages)
+    discard(standard)
     if not write_stages:
         df = df.persist(StorageLevel.MEMORY_AND_DISK)
         df.count()

@@ -10,8 +10,6 @@ from dsengine.plans import train as TR
 from dsengine.plans.fixtures import table, with_dirty
 from dsengine.plans.queries import register, rounded
 
-_CACHE: dict = {}
-
 
 def documents_labelled(spark, sf):
     """documents joined with their quality labels (classification fixture)."""
@@ -25,18 +23,10 @@ def parts(spark, sf):
     return table(spark, sf, "part").select("p_partkey", "p_size", "p_brand", "p_type", "p_retailprice")
 
 
-def _app(spark):
-    return spark.sparkContext.applicationId
-
-
 def _prepared(spark, sf, kind):
-    k = (_app(spark), sf, kind)
-    if k not in _CACHE:
-        if kind == "clf":
-            _CACHE[k] = TR.prepare(documents_labelled(spark, sf), "quality", ["doc_id"])
-        else:
-            _CACHE[k] = TR.prepare(parts(spark, sf), "p_retailprice", ["p_partkey"])
-    return _CACHE[k]
+    if kind == "clf":
+        return TR.prepare(documents_labelled(spark, sf), "quality", ["doc_id"])
+    return TR.prepare(parts(spark, sf), "p_retailprice", ["p_partkey"])
 
 
 def _one_model(spark, sf, kind, name):
@@ -146,13 +136,9 @@ _LI_FEATURES = ["l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_tax
 
 
 def _lineitem_bundle(spark, sf):
-    k = (_app(spark), sf, "bundle")
-    if k not in _CACHE:
-        li = table(spark, sf, "lineitem").select(*_LI_FEATURES)
-        res = TR.train_all(li, "l_linestatus", ["l_orderkey", "l_linenumber"],
-                           models=["Decision Tree Classifier"])
-        _CACHE[k] = TR.ScoringBundle.from_result(res)
-    return _CACHE[k]
+    li = table(spark, sf, "lineitem").select(*_LI_FEATURES)
+    res = TR.train_all(li, "l_linestatus", ["l_orderkey", "l_linenumber"], models=["Decision Tree Classifier"])
+    return TR.ScoringBundle.from_result(res)
 
 
 def _score_input(spark, sf):

@@ -22,7 +22,7 @@ from dsengine.operators import categorical as K
 from dsengine.operators import metrics as MT
 from dsengine.operators import models as MD
 from dsengine.operators import prepare as P
-from dsengine.plans.cleaning import materialize
+from dsengine.plans.cleaning import discard, materialize
 
 ROW_ID = "__rowid"
 
@@ -64,7 +64,8 @@ def prepare(df: DataFrame, target: str, key: list[str] | None = None,
     if given and not key_is_feature:
         base = base.drop(*[k for k in key if k != target])
     assembled, features, one_hot = P.assemble_numeric(base, target, passthrough=[ROW_ID])
-    valid = assembled
+    # the one table that task detection, classes, counts and split read
+    valid = stage = materialize(assembled, "valid")
     n_valid = valid.count()
     if n_valid < 2:
         raise ValueError("fewer than two complete rows to train on")
@@ -81,6 +82,7 @@ def prepare(df: DataFrame, target: str, key: list[str] | None = None,
         valid = valid.withColumn("label", col(target).cast("double"))
     split = P.split(valid, "label", [ROW_ID], task)
     split = materialize(split, "split")
+    discard(stage)
     train = split.where(~F.col("is_test"))
     test = split.where(F.col("is_test"))
     scaler = P.fit_scaler(train, features)
@@ -139,10 +141,8 @@ def train_all(df: DataFrame, target: str, key: list[str] | None = None,
               models: list[str] | None = None, model_params: dict | None = None) -> TrainResult:
     spark = df.sparkSession
     train, test, features, classes, task, one_hot, scaler, prep, dated = prepare(df, target, key)
-    # every model reads the scaled train / test tables many times (iterative
-    # fits, metrics, AUC): write them once
-    train = materialize(train.drop("is_test"), "train")
-    test = materialize(test.drop("is_test"), "test")
+    # both sides are narrow projections (scaling) of the written split
+    train, test = train.drop("is_test"), test.drop("is_test")
     names = models or (MD.CLASSIFIERS if task == "classification" else MD.REGRESSORS)
     params = model_params or {}
     fitted, errors, rows, preds = {}, {}, [], {}
