@@ -26,12 +26,13 @@ from dsengine.llm import textkernel as K
 from dsengine.llm.common import boxed, unboxed
 
 U = np.uint64
-SAMPLE, POOL = 12000, 6000
+SAMPLE, POOL = 8000, 4000
 SLOT_BITS, SELECTED = 18, 3000
 ROUNDS, PRECISION = 3, 0.95
 CHANCE = 12.0  # chi square that a feature has to pass, beyond what the best of all slots reach by chance
 HELD_OUT = 4  # one labelled document in so many calibrates
 STEPS = 120
+LEAST_DOCS = 3  # of a feature in the sample
 STEM = 6  # bytes of a word beginning
 TARGETS = ("low_quality", "toxic")
 META = ("lang", "source", "n_chars")
@@ -117,23 +118,29 @@ def _features(batches):
 class Rows:
     """Sparse 0/1 rows."""
 
-    def __init__(self, lists: list[np.ndarray]):
-        self.at = np.concatenate(lists).astype(np.int32) if lists else np.zeros(0, np.int32)
-        self.row = np.repeat(np.arange(len(lists), dtype=np.int32), [len(x) for x in lists])
-        self.n = len(lists)
+    def __init__(self, at: np.ndarray, row: np.ndarray, n: int):
+        self.at, self.row, self.n = at.astype(np.int32), row.astype(np.int32), n
+
+    @staticmethod
+    def of(lists) -> Rows:
+        lists = lists.combine_chunks()
+        return Rows(lists.flatten().to_numpy(), np.repeat(np.arange(len(lists), dtype=np.int32), lists.value_lengths().to_numpy()), len(lists))
+
+    def often(self, least: int) -> Rows:
+        """Without the slots of fewer than ``least`` rows."""
+        ok = (np.bincount(self.at, minlength=1 << SLOT_BITS) >= least)[self.at]
+        return Rows(self.at[ok], self.row[ok], self.n)
 
     def times(self, w: np.ndarray) -> np.ndarray:
         return np.bincount(self.row, w[self.at], self.n)
 
     def only(self, rows: np.ndarray, slots: np.ndarray | None = None) -> Rows:
-        number = np.full(self.n, -1)
-        number[rows] = np.arange(len(rows))
+        number = np.full(self.n, -1, np.int32)
+        number[rows] = np.arange(len(rows), dtype=np.int32)
         ok = number[self.row] >= 0
         if slots is not None:
             ok &= slots[self.at]
-        out = Rows([])
-        out.at, out.row, out.n = self.at[ok], number[self.row[ok]], len(rows)
-        return out
+        return Rows(self.at[ok], number[self.row[ok]], len(rows))
 
 
 def _selected(x: Rows, y: np.ndarray) -> np.ndarray:
@@ -142,7 +149,7 @@ def _selected(x: Rows, y: np.ndarray) -> np.ndarray:
     df, pos = np.bincount(x.at, minlength=size).astype(float), np.bincount(x.at, y[x.row], size)
     share, rest = y.mean(), np.maximum(x.n - np.bincount(x.at, minlength=size), 1e-9)
     gain = (pos - df * share) ** 2 / np.maximum(df * share * (1 - share), 1e-9) * (x.n / (rest + df))
-    gain[df < 3] = 0
+    gain[df < LEAST_DOCS] = 0
     out = np.zeros(size, bool)
     best = np.argsort(-gain, kind="stable")[:SELECTED]
     out[best[gain[best] > CHANCE]] = True
@@ -270,16 +277,19 @@ def train(docs: DataFrame, labels: DataFrame, meta: tuple[str, ...] = META) -> d
     drawn = F.pmod("h", F.lit(1 << 30)) < min(1 << 30, int((1 << 30) * 1.2 * POOL / n) + 1)
     joined = src.join(F.broadcast(told), "doc_id", "left")
     is_told = F.coalesce("low_quality", "toxic").isNotNull()
-    one = joined.where(is_told | drawn).dropDuplicates(["doc_id", "h"])
-    known, pool = one.where(is_told), one.where(~is_told)
-    fields = "low_quality double, toxic double, h long, meta array<long>, slots array<int>"
-    names = ["text", "low_quality", "toxic", "h", "meta"]
-    sample = known.orderBy("h").limit(SAMPLE).select(*names).union(pool.orderBy("h").limit(POOL).select(*names))
-    rows = sample.mapInArrow(_features, fields).toArrow().combine_chunks().sort_by("h")
-    h = rows["h"].to_numpy()
-    held = K.mix(h.view(np.uint64)) % U(HELD_OUT) == 0
-    text, other = Rows([x.values.to_numpy() for x in rows["slots"]]), Rows([x.values.to_numpy() for x in rows["meta"]])
-    return {t: _cotrain(text, other, np.asarray(rows[t].to_numpy(), float), held) if len(h) else None for t in TARGETS}
+    one = joined.where(is_told | drawn).dropDuplicates(["doc_id", "h"]).select("text", "low_quality", "toxic", "h", "meta")
+    one = one.mapInArrow(_features, "low_quality double, toxic double, h long, meta array<long>, slots array<int>")
+    sample = one.where(is_told).orderBy("h").limit(SAMPLE).union(one.where(~is_told).orderBy("h").limit(POOL))
+    rows = sample.toArrow().combine_chunks()
+    if not rows.num_rows:
+        return dict.fromkeys(TARGETS)
+    rows = rows.take(np.argsort(rows["h"].to_numpy(), kind="stable"))
+    held = K.mix(rows["h"].to_numpy().view(np.uint64)) % U(HELD_OUT) == 0
+    told = {t: np.asarray(rows[t].to_numpy(), float) for t in TARGETS}
+    text, other = Rows.of(rows["slots"]), Rows.of(rows["meta"])
+    del rows
+    text = text.often(LEAST_DOCS)
+    return {t: _cotrain(text, other, told[t], held) for t in TARGETS}
 
 
 def score(docs: DataFrame, model: dict, meta: tuple[str, ...] = META, carry: list[str] | None = None) -> DataFrame:
