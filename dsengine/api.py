@@ -79,5 +79,6 @@ def score(result: TR.TrainResult, df: DataFrame, clean_result: cleaning.CleanRes
     """Batch scoring with the best (or named) model."""
     removed = [c for c, _ in clean_result.removed_columns] if clean_result else []
     pairs = clean_result.pairs if clean_result else {}
-    bundle = TR.ScoringBundle.from_result(result, removed, pairs, model)
+    texts = [c for c, t in clean_result.types.items() if t == "categorical" and c != result.target] if clean_result else []
+    bundle = TR.ScoringBundle.from_result(result, removed, pairs, model, texts)
     return TR.score(bundle, df)

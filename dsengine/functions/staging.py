@@ -20,6 +20,13 @@ from dsengine.functions.exprs import col
 
 #: about one split of a columnar scan
 SPLIT_BYTES = 128 << 20
+#: input a core may keep for the passes of one operator
+PERSIST_BYTES = 1 << 30
+
+
+def _plan_bytes(df: DataFrame) -> int:
+    """The optimiser's estimate of a table's size; nothing is run for it."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -27,8 +34,7 @@ def spread(df: DataFrame) -> DataFrame:
     the plan's size and files alone: nothing is run for it."""
     spark = df.sparkSession
     target = spark.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if size >= target * SPLIT_BYTES or len(df.inputFiles()) >= target:
+    if _plan_bytes(df) >= target * SPLIT_BYTES or len(df.inputFiles()) >= target:
         return df
     return df.repartition(target)
 
@@ -43,6 +49,10 @@ def multi_pass(df: DataFrame, cols: list[str] | None = None, enabled: bool = Tru
         yield df.select(*[col(c) for c in cols]) if cols is not None else df
         return
     src = df.select(*[col(c) for c in cols]) if cols is not None else df
+    if _plan_bytes(src) > PERSIST_BYTES * df.sparkSession.sparkContext.defaultParallelism:
+        # more than the cores hold: reading it again is cheaper than spilling it
+        yield src
+        return
     staged = spread(src).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         yield staged

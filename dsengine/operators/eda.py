@@ -505,8 +505,7 @@ def target_density(df: DataFrame, target: str, bins: int = 10) -> DataFrame:
 
 # --------------------------------------------------------------------------- E16
 def explore(df: DataFrame, target: str | None = None) -> dict[str, DataFrame]:
-    """The EDA bundle (E16): every section as a DataFrame, sharing one
-    value-count backbone."""
+    """The EDA bundle (E16): every section as a DataFrame."""
     texts = text_columns(df)
     vc = value_counts(df, texts) if texts else None
     out = {

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from dsengine.functions.exprs import col
 from dsengine.operators import categorical as K
+from dsengine.operators import clean as C
 from dsengine.operators import metrics as MT
 from dsengine.operators import models as MD
 from dsengine.operators import prepare as P
@@ -224,12 +225,15 @@ class ScoringBundle:
     removed_columns: list = field(default_factory=list)
     pairs: dict = field(default_factory=dict)
     date_columns: list = field(default_factory=list)
+    text_columns: list = field(default_factory=list)
 
     @classmethod
-    def from_result(cls, res: TrainResult, removed=None, pairs=None, model: str | None = None):
+    def from_result(cls, res: TrainResult, removed=None, pairs=None, model: str | None = None, text_columns=None):
+        """``text_columns``: columns whose text cleaning trimmed, lowered and
+        mapped to canonical words; scoring does the same to new rows."""
         m = res.fitted[model] if model else res.best()
         return cls(res.target, res.task_type, res.features, res.classes, res.one_hot,
-                   res.scaler, m, list(removed or []), dict(pairs or {}), list(res.date_columns))
+                   res.scaler, m, list(removed or []), dict(pairs or {}), list(res.date_columns), list(text_columns or []))
 
 
 def align_features(df: DataFrame, features: list[str], keep: list[str] | None = None) -> DataFrame:
@@ -261,7 +265,8 @@ def score(bundle: ScoringBundle, df: DataFrame, id_col: str | None = None) -> Da
     inputs = df.columns
     rid = P.row_hash([id_col] if id_col else inputs)
     base = df.select(F.struct(*[col(c) for c in inputs]).alias("__input"), rid.alias(ROW_ID),
-                     *[(days_since_epoch(col(c)) if c in bundle.date_columns else col(c)).alias(c)
+                     *[(days_since_epoch(col(c)) if c in bundle.date_columns else
+                        C.canonical_values(C.standardize_text(col(c).cast("string"))) if c in bundle.text_columns else col(c)).alias(c)
                        for c in inputs])
     drop = [c for c in bundle.removed_columns + [bundle.target] if c in inputs]
     work = K.binary_encode(base.drop(*drop),

@@ -130,7 +130,7 @@ def save_bundle(bundle, spark: SparkSession, path: str | None = None) -> str:
             "scaler": {k: list(v) for k, v in bundle.scaler.items()},
             "removed": bundle.removed_columns, "pairs": {k: list(v) for k, v in bundle.pairs.items()},
             "model_name": m.name, "model_task": m.task, "n_classes": m.n_classes,
-            "date_columns": list(bundle.date_columns),
+            "date_columns": list(bundle.date_columns), "text_columns": list(bundle.text_columns),
             "kind": next(k for k, fn in TRANSFORMS.items() if fn is m.transform_fn)}
     models = extra.pop("models", None) or ([m.model] if m.model is not None else [])
     for i, model in enumerate(models):
@@ -167,4 +167,4 @@ def load_bundle(spark: SparkSession, path: str):
     return ScoringBundle(meta["target"], meta["task_type"], meta["features"], classes,
                          OneHotModel(meta["vocab"]), {k: tuple(v) for k, v in meta["scaler"].items()},
                          fitted, meta["removed"], {k: tuple(v) for k, v in meta["pairs"].items()},
-                         meta.get("date_columns", []))
+                         meta.get("date_columns", []), meta.get("text_columns", []))

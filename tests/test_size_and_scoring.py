@@ -169,3 +169,13 @@ def test_every_model_is_saved_and_streamed(spark, name):
         assert sorted((r["id"], r["prediction"]) for r in score_stream(again, data.drop(target), id_col="id").collect()) == batch
     if name in ("Decision Tree Classifier", "Random Forest Classifier", "Support Vector Machine", "K-Nearest Neighbors Classifier"):
         assert res.leaderboard.first()["accuracy"] > 0.8
+
+
+def test_scoring_rows_are_cleaned_like_training_rows(spark):
+    from dsengine import api
+    rows = [(i, (" Male", "FEMALE ", "male", "Female")[i % 4], float(i % 10), 10.0 * (i % 2) + i % 10 + i * 0.01) for i in range(200)]
+    df = spark.createDataFrame(rows, "row long, gender string, x double, y double")
+    cleaned = api.clean(df, target="y", order_by="row", select_features=False)
+    result = api.train(cleaned.df, "y", models=["Linear Regression"])
+    got = {r["gender"]: r["prediction"] for r in api.score(result, spark.createDataFrame([(1, " Male", 3.0), (1, "male", 3.0), (1, "MALE ", 3.0), (1, "Female", 3.0)], "row long, gender string, x double"), cleaned).collect()}
+    assert got[" Male"] == got["male"] == got["MALE "] != got["Female"]
