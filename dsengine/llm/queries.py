@@ -24,13 +24,46 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
-@register("op7_minhash_near_dedup")
+_WORDS = r"regexp_extract_all({text}, '[^\x20\x09-\x0D]+')"
+_LOW = "translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_ALNUM = r"regexp_extract_all({text}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+_REACHED = """
+far AS (SELECT {id} AS a, {id} AS b FROM {of} UNION SELECT far.a, l.b FROM far JOIN (SELECT a, b FROM link UNION SELECT b, a FROM link) l ON far.b = l.a),
+comp AS (SELECT a, min(b) AS c FROM far GROUP BY a)"""
+
+_NEAR_DOCS = f"""
+WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format(text=_LOW.format(text="coalesce(text, '')"))} AS ws FROM documents),
+sh AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 3], ' ') AS s FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 2, 2))) AS i FROM w WHERE len(ws) > 0)),
+size AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY 1),
+shared AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n FROM sh x JOIN sh y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY 1, 2),
+link AS (SELECT a, b FROM shared JOIN size x ON x.doc_id = a JOIN size y ON y.doc_id = b WHERE 100 * shared.n >= 80 * (x.n + y.n - shared.n)),
+{_REACHED.format(id="doc_id", of="documents")}
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, c AS component_id, d.doc_id = c AS kept FROM documents d JOIN comp ON d.doc_id = a LEFT JOIN size ON size.doc_id = d.doc_id"""
+
+
+@register("op7_minhash_near_dedup", _NEAR_DOCS)
 def op7(spark, sf_dir):
     from dsengine.llm.minhash import near_duplicates
     return near_duplicates(table(spark, sf_dir, "documents"), width=4).select("doc_id", "n_shingles", "component_id", "kept")
 
 
-@register("op8_benchmark_decontamination")
+_CONTAMINATED = f"""
+WITH dw AS (SELECT doc_id, {_ALNUM.format(text=_LOW.format(text="coalesce(text, '')"))} AS ws FROM documents),
+iw AS (SELECT item_id, {_ALNUM.format(text=_LOW.format(text="coalesce(text, '')"))} AS ws FROM benchmark),
+win AS (SELECT DISTINCT item_id, least(len(ws), 13) AS n, array_to_string(ws[i:i + 12], ' ') AS s
+        FROM (SELECT item_id, ws, unnest(range(1, greatest(len(ws) - 11, 2))) AS i FROM iw WHERE len(ws) > 0)),
+placed AS (SELECT doc_id, n, i, array_to_string(ws[i:i + n - 1], ' ') AS s
+       FROM (SELECT doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS i FROM dw, (SELECT DISTINCT n FROM win) WHERE len(ws) >= n)),
+met AS (SELECT placed.*, item_id FROM placed JOIN win USING (n, s)),
+hit AS (SELECT doc_id, count(DISTINCT p) AS h FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM met) GROUP BY 1),
+found AS (SELECT doc_id, count(*) AS k, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS STRING) AS item FROM met) GROUP BY 1)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(h, 0) AS n_hit, coalesce(k, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+  coalesce(h, 0) > 0 AND 20 * coalesce(h, 0) >= len(ws) AS contaminated
+FROM dw LEFT JOIN hit USING (doc_id) LEFT JOIN found USING (doc_id)"""
+
+
+@register("op8_benchmark_decontamination", _CONTAMINATED)
 def op8(spark, sf_dir):
     from dsengine.llm.decontaminate import match_benchmark
     found = match_benchmark(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), carry=["doc_id"])
@@ -38,7 +71,19 @@ def op8(spark, sf_dir):
                         F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
 
 
-@register("op10_substring_dedup")
+_SUBSTRINGS = f"""
+WITH w AS (SELECT doc_id, {_WORDS.format(text="coalesce(text, '')")} AS ws FROM documents),
+win AS (SELECT doc_id, i, array_to_string(ws[i:i + 49], ' ') AS s FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM w WHERE len(ws) >= 50)),
+least_doc AS (SELECT s, min(doc_id) AS d FROM win GROUP BY s),
+gone AS (SELECT DISTINCT doc_id, p FROM (SELECT win.doc_id, unnest(range(i, i + 50)) AS p FROM win JOIN least_doc USING (s) WHERE d < win.doc_id)),
+words AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS p FROM w),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS t FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY 1),
+n AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY 1)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id) LEFT JOIN n USING (doc_id)"""
+
+
+@register("op10_substring_dedup", _SUBSTRINGS)
 def op10(spark, sf_dir):
     from dsengine.llm.substrings import dedup_substrings
     out = dedup_substrings(table(spark, sf_dir, "documents"))
@@ -81,7 +126,15 @@ def op9(spark, sf_dir):
     return judge_urls(table(spark, sf_dir, "pages"), carry=["page_id"]).select("page_id", "host", "path", "rule", "verdict", F.round("score", 6).alias("score"))
 
 
-@register("op2_embedding_near_dedup")
+_NEAR_VECTORS = f"""
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+link AS (SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.vec_id < y.vec_id AND list_cosine_similarity(x.e, y.e) >= 0.95),
+{_REACHED.format(id="vec_id", of="v")},
+n AS (SELECT a, count(*) AS n FROM (SELECT a FROM link UNION ALL SELECT b FROM link) GROUP BY 1)
+SELECT vec_id, coalesce(n, 0) AS n_links, c AS component_id, vec_id = c AS kept FROM v JOIN comp ON vec_id = comp.a LEFT JOIN n ON vec_id = n.a"""
+
+
+@register("op2_embedding_near_dedup", _NEAR_VECTORS)
 def op2(spark, sf_dir):
     from dsengine.llm.vectors import near_vectors
     return near_vectors(table(spark, sf_dir, "embeddings"))

@@ -189,3 +189,17 @@ def test_registered_queries(spark, sf):
 def test_stages_on_an_empty_table(spark, sf, stage):
     docs = spark.read.parquet(f"{sf}/documents.parquet").where("false")
     assert corpus_pipeline.STAGES[stage][1](spark, docs, sf).count() == 0
+
+
+def test_queries_equal_their_sql(spark, sf):
+    import duckdb
+
+    import __spark_entry__ as entry
+    from tools.check_oracle import compare
+    con = duckdb.connect()
+    for t in ("documents", "embeddings", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
+    for key, sql in entry.LLM_ORACLES.items():
+        sdf = entry.queries()[key](spark, sf)
+        res = con.execute(sql)
+        assert compare([tuple(r) for r in sdf.collect()], sdf.columns, res.fetchall(), [d[0] for d in res.description]) is None, key
