@@ -1,4 +1,4 @@
-"""User-facing entry points, one per step of the reference's workflow:
+"""User-facing entry points, one per step of an analysis:
 upload/profile, clean, explore, train, dashboard and scoring. Each returns
 DataFrames (or a dict of them); nothing here collects a table."""
 
