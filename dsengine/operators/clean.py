@@ -444,11 +444,15 @@ def group_rare(df: DataFrame, cols: list[str], threshold: float | None = None,
     vc = value_counts(df, cols).where(F.col("value").isNotNull())
     total = vc.groupBy("column_name").agg(F.sum("count").alias("present"))
     marked = vc.join(F.broadcast(total), "column_name").withColumn("rare", F.col("count") / F.col("present") < F.lit(share))
+    # a row per frequent value, and one per column for all rare ones (null)
+    kept = F.when(~F.col("rare"), F.col("value")).alias("value")
     often: dict[str, list] = {c: [] for c in cols}
-    for r in marked.where(~F.col("rare")).select("column_name", "value").collect():
-        often[r["column_name"]].append(r["value"])
-    gone = {r["column_name"]: int(r["rows"]) for r in
-            marked.where("rare").groupBy("column_name").agg(F.sum("count").alias("rows")).collect()}
+    gone: dict[str, int] = {}
+    for r in marked.groupBy("column_name", kept).agg(F.sum("count").alias("rows")).collect():
+        if r["value"] is None:
+            gone[r["column_name"]] = int(r["rows"])
+        else:
+            often[r["column_name"]].append(r["value"])
     out = []
     for c in df.columns:
         if c in gone:

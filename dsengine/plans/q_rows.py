@@ -147,3 +147,33 @@ def q_csv_round_trip_texts(spark, sf):
     path = work_path(spark, "documents-csv") + ".csv"
     io.export_csv(table(spark, sf, "documents"), path)
     return io.read_table(spark, path).select("doc_id", "lang", "source", "n_chars", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+# --------------------------------------------------------------------------- training in closed form
+_LINE = """
+WITH p AS (SELECT CAST(p_size AS DOUBLE) AS x, p_retailprice AS y,
+    ('0x' || substr(md5(concat_ws('|', '42', CAST(('0x' || substr(md5(concat_ws('|', '42', CAST(p_partkey AS STRING))), 1, 15))::BIGINT AS STRING))), 1, 15))::BIGINT AS h FROM part),
+tr AS (SELECT * FROM p WHERE h >= """ + str(_LIMIT) + """), te AS (SELECT * FROM p WHERE h < """ + str(_LIMIT) + """),
+f AS (SELECT regr_slope(y, x) AS b, regr_intercept(y, x) AS a, covar_pop(x, y) / stddev_pop(x) AS w FROM tr)
+"""
+
+
+def _line(spark, sf):
+    part = table(spark, sf, "part").select("p_partkey", "p_size", "p_retailprice")
+    return TR.train_all(part, "p_retailprice", ["p_partkey"], models=["Linear Regression"])
+
+
+@register("feature_importance_line", _LINE + "SELECT 'Linear Regression' AS model, 'p_size' AS feature, round(abs(w), 4) AS importance FROM f")
+def q_feature_importance_line(spark, sf):
+    return rounded(TR.feature_importance(_line(spark, sf)), {"importance": 4})
+
+
+@register("model_report_line", _LINE + """
+SELECT 'Linear Regression' AS model, round(1 - sum(pow(y - a - b * x, 2)) / (var_pop(y) * count(*)), 6) AS r2_score,
+  round(avg(abs(y - a - b * x)), 4) AS mae, round(sqrt(avg(pow(y - a - b * x, 2))), 4) AS rmse,
+  round(avg(abs(y - a - b * x) / greatest(abs(y), 2.220446049250313e-16)), 6) AS mape,
+  CAST(1 AS INTEGER) AS rank, true AS is_best, 'regression' AS task_type, CAST(1 AS INTEGER) AS models_trained, CAST(0 AS INTEGER) AS models_failed
+FROM te, f""")
+def q_model_report_line(spark, sf):
+    report = TR.model_report(_line(spark, sf)).select("model", "r2_score", "mae", "rmse", "mape", "rank", "is_best", "task_type", "models_trained", "models_failed")
+    return rounded(report, {"mae": 4, "rmse": 4})
