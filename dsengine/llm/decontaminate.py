@@ -22,7 +22,7 @@ from dsengine.llm.common import boxed, staged, unboxed
 
 WINDOW = 13
 COVER = 20  # contaminated from one word in so many
-MAX_WORDS = 1_000_000
+MAX_WORDS = 300_000
 FOUND = "n_words long, n_hit long, spans array<struct<start:long,end:long>>, items array<string>"
 ADDED = ("n_words", "n_hit", "spans", "items", "contaminated")
 SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
