@@ -38,6 +38,19 @@ def release(df: DataFrame) -> None:
         hpath.getFileSystem(sc._jsc.hadoopConfiguration()).delete(hpath, True)
 
 
+#: Texts that reach a Python worker at once.
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to ``BATCH_BYTES``: the workers hold
+    several copies of a batch, and texts are long."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name).rstrip("b")
+    if not now.isdigit() or int(now) > BATCH_BYTES:
+        spark.conf.set(name, f"{BATCH_BYTES}b")
+
+
 def text_bytes(df: DataFrame, text: str = "text") -> int:
     """UTF-8 bytes of all texts."""
     return int(df.agg(F.sum(F.octet_length(F.col(text)).cast("long"))).first()[0] or 0)

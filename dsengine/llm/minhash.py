@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dsengine.llm import textkernel as K
-from dsengine.llm.common import id_of, key_of, release, staged
+from dsengine.llm.common import id_of, key_of, release, small_batches, staged
 from dsengine.llm.components import components
 
 U = np.uint64
@@ -211,6 +211,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, coordina
     null, and kept true, only for the first of a component that has no ids at
     all. Ties of equal texts go to the smallest id. Other columns are not read.
     """
+    small_batches(docs.sparkSession)
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     src = src.select(key_of(F.col("doc_id"), F.col("text")).alias("key"), F.xxhash64("text").alias("th"), "text")
     sig = staged(src.mapInArrow(_signatures(width, coordinates, band), "key long, th long, n long, hi long, lo long, bands array<long>"), "signatures")

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dsengine.llm import textkernel as K
-from dsengine.llm.common import boxed, unboxed
+from dsengine.llm.common import boxed, small_batches, unboxed
 
 U = np.uint64
 SAMPLE, POOL = 8000, 4000
@@ -267,6 +267,7 @@ def _score(model, carry: list[str]):
 
 def train(docs: DataFrame, labels: DataFrame, meta: tuple[str, ...] = META) -> dict:
     """A co-trained model a target, None where labels of a side are too few."""
+    small_batches(docs.sparkSession)
     told = labels.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(
         (F.min("quality") == 0).cast("double").alias("low_quality"), (F.max("toxic") == 1).cast("double").alias("toxic"))
     told = told.where(F.coalesce("low_quality", "toxic").isNotNull()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
@@ -304,6 +305,7 @@ def score(docs: DataFrame, model: dict, meta: tuple[str, ...] = META, carry: lis
 
 
 def _scored(src: DataFrame, model: dict, carry: list[str]) -> DataFrame:
+    small_batches(src.sparkSession)
     types = dict(src.dtypes)
     schema = ", ".join([f"`{c}` {types[c]}" for c in carry] + [f"p_{t} double" for t in TARGETS] + ["rejected boolean"])
     return src.mapInArrow(_score(src.sparkSession.sparkContext.broadcast(model), carry), schema)

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dsengine.llm import textkernel as K
-from dsengine.llm.common import boxed, staged, unboxed
+from dsengine.llm.common import boxed, small_batches, staged, unboxed
 
 #: fixed values: kinds in their order, and the patterns of the contract
 KINDS = ("assign", "access", "hex", "live")
@@ -96,6 +96,7 @@ def _scan(carry: list[str]):
 def candidates(docs: DataFrame, repo: Column, owner: Column, carry: list[str]) -> DataFrame:
     """``carry`` columns, repository, owner and the candidate spans of each
     whole text: kind, start, end (code points) and sha256 of the value."""
+    small_batches(docs.sparkSession)
     src = docs.select(*[F.col(f"`{c}`") for c in carry if c != "text"], F.coalesce(repo.cast("string"), F.lit("")).alias("secret_repo"),
                       F.coalesce(owner.cast("string"), F.lit("")).alias("secret_owner"), F.col("text").cast("string").alias("text"))
     keep = [*carry, "secret_repo", "secret_owner"]

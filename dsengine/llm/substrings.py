@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dsengine.llm import textkernel as K
-from dsengine.llm.common import parts, text_bytes
+from dsengine.llm.common import parts, small_batches, text_bytes
 
 WIDTH = 50
 BLOCK_BYTES = 4 << 20
@@ -159,6 +159,7 @@ def dedup_substrings(docs: DataFrame, width: int = WIDTH, block_bytes: int = BLO
     empty table gives an empty table.
     """
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    small_batches(docs.sparkSession)
     size = text_bytes(src)
     blocks = parts(size, block_bytes)
     cuts = max(0, (parts(size / 6, range_windows, 1) - 1).bit_length())

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 U = np.uint64
-PIECE = 1 << 20
+PIECE = 1 << 18
 _rng = np.random.Generator(np.random.PCG64(20240229))
 CODES = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
 BASE_BYTE = 0x9E3779B97F4A7C13  # 3 modulo 8
@@ -69,7 +69,7 @@ def buffers(column) -> tuple[np.ndarray, np.ndarray]:
     return data[bounds[0]:bounds[-1]], bounds - bounds[0]
 
 
-def slices(bounds: np.ndarray, size: int = 2 << 20):
+def slices(bounds: np.ndarray, size: int = 1 << 20):
     """Row ranges of about ``size`` bytes, one row at least."""
     lo, n = 0, len(bounds) - 1
     while lo < n:

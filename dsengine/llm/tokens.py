@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from dsengine.llm.common import small_batches
+
 VOCABULARY = os.environ.get("TOKENIZER_FILE", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 KNOWN = 400_000  # pieces kept
@@ -64,6 +66,7 @@ def token_lengths(docs: DataFrame, carry: list[str] | None = None, into: str = "
     """The columns ``carry`` of ``docs`` (all, if None) and the encoded length
     of the whole text; null and empty texts have length 0. The vocabulary file
     has to be at the same path on every executor."""
+    small_batches(docs.sparkSession)
     carry = [c for c in (docs.columns if carry is None else carry) if c != into]
     src = docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*carry, "text"])]).withColumn("text", F.col("text").cast("string"))
     types = dict(src.dtypes)
