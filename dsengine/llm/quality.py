@@ -5,14 +5,18 @@ sees the words, symbol runs and simple statistics of the whole text, the
 metadata view the other columns. Both start from the same labelled documents;
 in every round each view names the unlabelled documents it is sure of, at
 thresholds that keep the wanted precision on held-out labels, and these
-pseudo-labels join the training set of the other view. In the end a small
-logistic model over both views, fitted on the held-out labels, gives calibrated
-probabilities, and every document is scored.
-
-Training takes a bounded sample: at most ``SAMPLE`` labelled and ``POOL``
-unlabelled documents, the first in the order of a hash, whole texts. Models are
-weights over 2**SLOT_BITS hashed features, of which at most ``SELECTED`` differ
-from zero. Scoring is a map over all documents, without a shuffle.
+pseudo-labels teach the other view. In the end a small logistic model over both
+views, fitted on the held-out labels, gives calibrated probabilities, and every
+document is scored.
+
+The labelled sample is bounded: at most ``SAMPLE`` documents, the first in the
+order of a hash, whole texts. The unlabelled side is every other document: each
+round but the first is a pass over all of them, which adds up in Spark, for each
+feature, the documents that the other view is sure of on either side. These
+class counts select features and set the weight that a feature is drawn to, also
+of features that no labelled document has. Models are weights over 2**SLOT_BITS
+hashed features, of which at most 2 * ``SELECTED`` differ from zero. Scoring is
+a map over all documents, without a shuffle.
 """
 
 from __future__ import annotations
@@ -26,11 +30,12 @@ from dsengine.llm import textkernel as K
 from dsengine.llm.common import boxed, small_batches, unboxed
 
 U = np.uint64
-SAMPLE, POOL = 8000, 4000
+SAMPLE = 8000
 SLOT_BITS, SELECTED = 18, 3000
 ROUNDS, PRECISION = 3, 0.95
 CHANCE = 12.0  # chi square that a feature has to pass, beyond what the best of all slots reach by chance
 HELD_OUT = 4  # one labelled document in so many calibrates
+PSEUDO = 0.5  # weight of a pseudo-label
 STEPS = 120
 LEAST_DOCS = 3  # of a feature in the sample
 STEM = 6  # bytes of a word beginning
@@ -126,11 +131,6 @@ class Rows:
         lists = lists.combine_chunks()
         return Rows(lists.flatten().to_numpy(), np.repeat(np.arange(len(lists), dtype=np.int32), lists.value_lengths().to_numpy()), len(lists))
 
-    def often(self, least: int) -> Rows:
-        """Without the slots of fewer than ``least`` rows."""
-        ok = (np.bincount(self.at, minlength=1 << SLOT_BITS) >= least)[self.at]
-        return Rows(self.at[ok], self.row[ok], self.n)
-
     def times(self, w: np.ndarray) -> np.ndarray:
         return np.bincount(self.row, w[self.at], self.n)
 
@@ -143,31 +143,37 @@ class Rows:
         return Rows(self.at[ok], number[self.row[ok]], len(rows))
 
 
-def _selected(x: Rows, y: np.ndarray) -> np.ndarray:
-    """The slots whose presence tells most of the target (signed chi square)."""
-    size = 1 << SLOT_BITS
-    df, pos = np.bincount(x.at, minlength=size).astype(float), np.bincount(x.at, y[x.row], size)
-    share, rest = y.mean(), np.maximum(x.n - np.bincount(x.at, minlength=size), 1e-9)
-    gain = (pos - df * share) ** 2 / np.maximum(df * share * (1 - share), 1e-9) * (x.n / (rest + df))
-    gain[df < LEAST_DOCS] = 0
-    out = np.zeros(size, bool)
+def _sides(x: Rows, y: np.ndarray) -> np.ndarray:
+    """Rows that have each slot, and in the last place all rows, by side."""
+    return np.stack([np.append(np.bincount(x.at, (y == side)[x.row], 1 << SLOT_BITS), (y == side).sum()) for side in (0, 1)])
+
+
+def _selected(count: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    """The slots whose presence tells most of the target (signed chi square).
+    ``count``: weights as of ``_sides``; ``docs``: documents with each slot."""
+    df, pos, n = count[:, :-1].sum(0), count[1, :-1], count[:, -1].sum()
+    share = count[1, -1] / n
+    gain = (pos - df * share) ** 2 / np.maximum(df * share * (1 - share), 1e-9)
+    gain[docs < LEAST_DOCS] = 0
+    out = np.zeros(1 << SLOT_BITS, bool)
     best = np.argsort(-gain, kind="stable")[:SELECTED]
     out[best[gain[best] > CHANCE]] = True
     return out
 
 
-def _fit(x: Rows, y: np.ndarray, weight: np.ndarray, penalty: float = 0.1) -> tuple[np.ndarray, float]:
-    """Logistic regression on the slots that ``x`` has, by Adam."""
+def _fit(x: Rows, y: np.ndarray, drawn: np.ndarray, penalty: float = 0.1) -> tuple[np.ndarray, float]:
+    """Logistic regression by Adam on the slots that ``x`` has; the penalty
+    draws the weights to ``drawn``, which slots that ``x`` lacks keep."""
     used, at = np.unique(x.at, return_inverse=True)
-    w, b = np.zeros(len(used)), float(np.log((weight @ y + 1) / (weight @ (1 - y) + 1)))
+    w, b = drawn[used], float(np.log((y.sum() + 1) / ((1 - y).sum() + 1)))
     m, v = np.zeros(len(used) + 1), np.zeros(len(used) + 1)
     for t in range(1, STEPS + 1):
-        err = weight * (1 / (1 + np.exp(-np.clip(np.bincount(x.row, w[at], x.n) + b, -30, 30))) - y)
-        grad = np.append(np.bincount(at, err[x.row], len(used)) + penalty * w, err.sum()) / x.n
+        err = 1 / (1 + np.exp(-np.clip(np.bincount(x.row, w[at], x.n) + b, -30, 30))) - y
+        grad = np.append(np.bincount(at, err[x.row], len(used)) + penalty * (w - drawn[used]), err.sum()) / x.n
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
         step = 0.2 / (1 + t / 60) * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.99 ** t)) + 1e-9)
         w, b = w - step[:-1], b - step[-1]
-    full = np.zeros(1 << SLOT_BITS)
+    full = drawn.copy()
     full[used] = w
     return full, float(b)
 
@@ -186,42 +192,109 @@ def _sure(score: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return bounds[0], bounds[1]
 
 
-def _cotrain(text: Rows, meta: Rows, y: np.ndarray, held: np.ndarray):
-    """Weights of both views, their mix, and the threshold on its logit.
-    ``y``: 1, 0, or nan for unlabelled rows."""
+class _View:
+    """One view's model of one target: fitted on the labelled rows ``train`` of
+    ``x``, drawn to what the other view's pseudo-labels say."""
+
+    def __init__(self, x: Rows, y: np.ndarray, train: np.ndarray, test: np.ndarray):
+        self.x, self.y, self.test = x, y, test
+        self.part, self.told = x.only(train), y[train]
+        self.sides = _sides(self.part, self.told)
+        self.first = self.w = None
+        self.b = 0.0
+
+    def fit(self, pseudo: np.ndarray | None) -> None:
+        """``pseudo``: documents by side and slot, as of ``_sides``."""
+        slots = _selected(self.sides, self.sides[:, :-1].sum(0))
+        drawn = np.zeros(1 << SLOT_BITS)
+        if pseudo is not None:
+            count = self.sides + PSEUDO * pseudo
+            slots |= _selected(count, (self.sides + pseudo)[:, :-1].sum(0))
+            odds = np.log((count[1, :-1] + 0.5) / (count[1, -1] + 1)) - np.log((count[0, :-1] + 0.5) / (count[0, -1] + 1))
+            # weights are as much smaller than log odds as those that labels alone gave
+            both = self.first != 0
+            scale = float(self.first[both] @ odds[both] / np.maximum(odds[both] @ odds[both], 1e-9))
+            drawn[slots] = np.clip(scale, 0, 1) * odds[slots]
+        self.w, self.b = _fit(self.part.only(np.arange(self.part.n), slots), self.told, drawn)
+        self.first = self.w if self.first is None else self.first
+
+    def score(self) -> np.ndarray:
+        """Of the held-out rows."""
+        return (self.x.times(self.w) + self.b)[self.test]
+
+    def sure(self) -> tuple[np.ndarray, float, float, float]:
+        return self.w, self.b, *_sure(self.score(), self.y[self.test])
+
+
+def _views(text: Rows, meta: Rows, y: np.ndarray, held: np.ndarray) -> list[_View] | None:
+    """Both views; ``y``: 1, 0, or nan for rows without a label."""
     known = ~np.isnan(y)
     train, test = known & ~held, known & held
     if min((y[train] == 1).sum(), (y[train] == 0).sum(), (y[test] == 1).sum(), (y[test] == 0).sum()) < 5:
         return None
-    given = [np.where(train, y, np.nan), np.where(train, y, np.nan)]  # labels that the text and metadata views learn from
-    views, models = (text, meta), [None, None]
-    for _ in range(ROUNDS):
-        for i, x in enumerate(views):
-            rows = np.flatnonzero(~np.isnan(given[i]))
-            part = x.only(rows)
-            slots = _selected(part, given[i][rows])
-            models[i] = _fit(x.only(rows, slots), given[i][rows], np.where(known[rows], 1.0, 0.5))
-        for i, x in enumerate(views):
-            w, b = models[i]
-            score = x.times(w) + b
-            high, low = _sure(score[test], y[test])
-            told = np.where(score >= high, 1.0, np.where(score <= low, 0.0, np.nan))
-            # as many of each side as the labels have, the surest first
-            for side, sign in ((1.0, -1), (0.0, 1)):
-                room = int((y[train] == side).sum())
-                rows = np.flatnonzero((told == side) & ~known)
-                told[np.setdiff1d(rows, rows[np.argsort(sign * score[rows], kind="stable")[:room]])] = np.nan
-            given[1 - i] = np.where(known, given[1 - i], told)
-    scores = np.stack([x.times(w) + b for x, (w, b) in zip(views, models)], 1)
-    mix, bias = _mix(scores[test], y[test])
-    logit = scores[test] @ mix + bias
+    return [_View(x, y, np.flatnonzero(train), np.flatnonzero(test)) for x in (text, meta)]
+
+
+def _head(views: list[_View] | None):
+    """Weights of both views, their mix, and the threshold on its logit."""
+    if views is None:
+        return None
+    y = views[0].y[views[0].test]
+    scores = np.stack([v.score() for v in views], 1)
+    mix, bias = _mix(scores, y)
+    logit = scores @ mix + bias
     # the threshold with the best F score, in the middle of its gap
     order = np.argsort(-logit, kind="stable")
-    hits = np.cumsum(y[test][order])
-    f = 2 * hits / (np.arange(1, len(hits) + 1) + y[test].sum())
+    hits = np.cumsum(y[order])
+    f = 2 * hits / (np.arange(1, len(hits) + 1) + y.sum())
     k = int(f.argmax())
     level = logit[order]
-    return models, mix, bias, float((level[k] + level[min(k + 1, len(level) - 1)]) / 2)
+    return [(v.w, v.b) for v in views], mix, bias, float((level[k] + level[min(k + 1, len(level) - 1)]) / 2)
+
+
+def _tell(model):
+    """Sums over a task: documents by head (target and view that learns), slot
+    (the last one is all documents) and side that the other view is sure of."""
+    def run(batches):
+        heads, size = model.value, 1 << SLOT_BITS
+        sums = {t: np.zeros((2, 2, size + 1), np.int64) for t in heads}
+        for batch in batches:
+            _, bounds = K.buffers(batch["text"])
+            for lo, hi in K.slices(bounds):
+                part = batch.slice(lo, hi - lo)
+                slots, row = text_features(part["text"])
+                pair = np.unique(row << SLOT_BITS | slots)
+                metas = part["meta"]
+                lists = [(pair & (size - 1), pair >> SLOT_BITS), (np.asarray(metas.flatten().to_numpy(zero_copy_only=False), np.int64),
+                                                                 np.repeat(np.arange(hi - lo), metas.value_lengths().to_numpy(zero_copy_only=False)))]
+                for t, views in heads.items():
+                    free = part[t].is_null().to_numpy(zero_copy_only=False)
+                    for i, (w, b, high, low) in enumerate(views):
+                        at, of = lists[i]
+                        score = np.bincount(of, w[at], hi - lo) + b
+                        at, of = lists[1 - i]
+                        for side, sure in ((1, score >= high), (0, (score <= low) & (score < high))):
+                            sure = sure & free
+                            sums[t][1 - i, side, :-1] += np.bincount(at[sure[of]], minlength=size)
+                            sums[t][1 - i, side, -1] += sure.sum()
+        for k, t in enumerate(TARGETS):
+            for i in range(2 if t in sums else 0):
+                at = np.flatnonzero(sums[t][i].any(0))
+                yield pa.RecordBatch.from_pydict({"code": pa.array((2 * k + i) << 32 | at), "n0": pa.array(sums[t][i, 0, at]), "n1": pa.array(sums[t][i, 1, at])})
+
+    return run
+
+
+def _pseudo(docs: DataFrame, heads: dict[str, list[_View]]) -> dict[str, np.ndarray]:
+    """What all documents without a label of a target teach each view of it."""
+    model = docs.sparkSession.sparkContext.broadcast({t: [v.sure() for v in views] for t, views in heads.items()})
+    got = docs.mapInArrow(_tell(model), "code long, n0 long, n1 long").groupBy("code").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toArrow()
+    code = got["code"].to_numpy()
+    sums = np.zeros((len(TARGETS), 2, 2, (1 << SLOT_BITS) + 1))
+    for side in (0, 1):
+        sums[code >> 33, code >> 32 & 1, side, code & 0xFFFFFFFF] = got[f"n{side}"].to_numpy()
+    model.destroy()
+    return {t: sums[k] for k, t in enumerate(TARGETS)}
 
 
 def _mix(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
@@ -272,16 +345,11 @@ def train(docs: DataFrame, labels: DataFrame, meta: tuple[str, ...] = META) -> d
         (F.min("quality") == 0).cast("double").alias("low_quality"), (F.max("toxic") == 1).cast("double").alias("toxic"))
     told = told.where(F.coalesce("low_quality", "toxic").isNotNull()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), meta_features(docs, meta).alias("meta"))
-    n = max(docs.count(), 1)
     src = src.withColumn("h", F.xxhash64("doc_id", "text"))
-    # about 1.2 * POOL documents pass the first test, at most POOL the second
-    drawn = F.pmod("h", F.lit(1 << 30)) < min(1 << 30, int((1 << 30) * 1.2 * POOL / n) + 1)
-    joined = src.join(F.broadcast(told), "doc_id", "left")
-    is_told = F.coalesce("low_quality", "toxic").isNotNull()
-    one = joined.where(is_told | drawn).dropDuplicates(["doc_id", "h"]).select("text", "low_quality", "toxic", "h", "meta")
+    joined = src.join(F.broadcast(told), "doc_id", "left").select("doc_id", "text", "low_quality", "toxic", "h", "meta")
+    one = joined.where(F.coalesce("low_quality", "toxic").isNotNull()).dropDuplicates(["doc_id", "h"]).drop("doc_id")
     one = one.mapInArrow(_features, "low_quality double, toxic double, h long, meta array<long>, slots array<int>")
-    sample = one.where(is_told).orderBy("h").limit(SAMPLE).union(one.where(~is_told).orderBy("h").limit(POOL))
-    rows = sample.toArrow().combine_chunks()
+    rows = one.orderBy("h").limit(SAMPLE).toArrow().combine_chunks()
     if not rows.num_rows:
         return dict.fromkeys(TARGETS)
     rows = rows.take(np.argsort(rows["h"].to_numpy(), kind="stable"))
@@ -289,8 +357,15 @@ def train(docs: DataFrame, labels: DataFrame, meta: tuple[str, ...] = META) -> d
     told = {t: np.asarray(rows[t].to_numpy(), float) for t in TARGETS}
     text, other = Rows.of(rows["slots"]), Rows.of(rows["meta"])
     del rows
-    text = text.often(LEAST_DOCS)
-    return {t: _cotrain(text, other, told[t], held) for t in TARGETS}
+    heads = {t: _views(text, other, told[t], held) for t in TARGETS}
+    some = {t: views for t, views in heads.items() if views is not None}
+    free = joined.where(F.col("low_quality").isNull() | F.col("toxic").isNull()).select("text", "low_quality", "toxic", "meta")
+    for k in range(ROUNDS if some else 0):
+        pseudo = _pseudo(free, some) if k else {}
+        for t, views in some.items():
+            for i, view in enumerate(views):
+                view.fit(pseudo[t][i] if k else None)
+    return {t: _head(views) for t, views in heads.items()}
 
 
 def score(docs: DataFrame, model: dict, meta: tuple[str, ...] = META, carry: list[str] | None = None) -> DataFrame:

@@ -4,7 +4,7 @@ import math
 import random
 from collections import Counter
 
-from dsengine.llm import urls
+from dsengine.llm import quality, urls
 
 
 def url_scores(ruled, asked, order=6, strength=4.0):
@@ -46,3 +46,25 @@ def test_url_scores_are_of_exact_counts(spark, monkeypatch):
     ruled = [(t, r["verdict"] == "allow") for t, r in zip(texts, got) if r["rule"] and not held[t]]
     for r, want in zip(got, url_scores(ruled, texts)):
         assert abs(r["score"] - want) < 1e-9
+
+
+def test_classifier_learns_from_all_unlabelled_documents(spark):
+    r = random.Random(8)
+    plain = [f"word{i}" for i in range(400)]
+    docs = []
+    for i in range(24000):
+        spam = r.random() < (0.4 if i < 800 else 0.05)
+        words = r.sample(plain, 12) + (["cheap", "pills"] if spam and r.random() < 0.9 else [])
+        docs.append((i, " ".join(words), "farm" if spam else f"site{i % 5}", spam))
+    # from the farm without a word that labels know, and one such text elsewhere
+    rare = ["zorgly", "quxine", "blentor"]
+    docs += [(30000 + i, " ".join(r.sample(plain, 12) + rare), "farm", True) for i in range(14)]
+    frame = spark.createDataFrame([d[:3] for d in docs], "doc_id long, text string, source string").repartition(4)
+    labels = spark.createDataFrame([(d[0], int(not d[3]), 0) for d in docs[:800]], "doc_id long, quality int, toxic int")
+    model = quality.train(frame, labels)
+    (weights, _), _ = model["low_quality"][0]
+    slots, _ = quality.text_features(quality.pa.array(rare))
+    assert (weights[slots] > 0).sum() >= len(rare)
+    asked = [(i, " ".join(r.sample(plain, 12) + (rare if i < 40 else [])), "site1") for i in range(80)]
+    p = {x["doc_id"]: x["p_low_quality"] for x in quality.score(spark.createDataFrame(asked, frame.schema), model).collect()}
+    assert min(p[i] for i in range(40)) > max(p[i] for i in range(40, 80))
