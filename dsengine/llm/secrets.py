@@ -30,7 +30,7 @@ ASSIGN_HINTS = (b"passw", b"secret", b"token", b"api")
 ACCESS = re.compile(rb"AKIA[A-Z0-9]{12,}")
 ASSIGN_LEAST, HEX_LEAST = 8, 32
 #: random-looking strings that the method adds
-LOOSE_LEAST, LOOSE_MOST, LOOSE_BITS = 20, 512, 3.5
+LOOSE_LEAST, LOOSE_BITS = 20, 3.5
 #: a value held by so many owners is an example
 EXAMPLE_OWNERS = 3
 
@@ -49,7 +49,8 @@ def _random(value: bytes) -> bool:
     a = np.frombuffer(value, np.uint8)
     if not (((a >= 48) & (a < 58)).any() and ((a >= 65) & (a < 91)).any() and ((a >= 97) & (a < 123)).any()):
         return False
-    share = np.unique(a, return_counts=True)[1] / len(a)
+    share = np.bincount(a)
+    share = share[share > 0] / len(a)
     return float(-(share * np.log2(share)).sum()) >= LOOSE_BITS
 
 
@@ -77,7 +78,7 @@ def _scan(carry: list[str]):
                 begins, stops = np.array([x for x, _ in taken], np.int64), np.maximum.accumulate(np.array([y for _, y in taken], np.int64)) if taken else np.zeros(0, np.int64)
                 start, end, _ = K.words(part, cut, LOOSE)
                 size = end - start
-                for k in np.flatnonzero((size >= LOOSE_LEAST) & (size <= LOOSE_MOST)).tolist():
+                for k in np.flatnonzero(size >= LOOSE_LEAST).tolist():
                     a, b = int(start[k]), int(end[k])
                     before = int(np.searchsorted(begins, b))
                     if (not before or stops[before - 1] <= a) and _random(whole[a:b]):

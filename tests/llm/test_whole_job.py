@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 from dsengine.llm import quality, urls
+from dsengine.llm.secrets import find_secrets, redact
 
 
 def url_scores(ruled, asked, order=6, strength=4.0):
@@ -68,3 +69,16 @@ def test_classifier_learns_from_all_unlabelled_documents(spark):
     asked = [(i, " ".join(r.sample(plain, 12) + (rare if i < 40 else [])), "site1") for i in range(80)]
     p = {x["doc_id"]: x["p_low_quality"] for x in quality.score(spark.createDataFrame(asked, frame.schema), model).collect()}
     assert min(p[i] for i in range(40)) > max(p[i] for i in range(40, 80))
+
+
+def test_long_random_strings_are_secrets(spark):
+    r = random.Random(5)
+    keys = ["".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(n)) for n in (512, 513, 1600, 200_000)]
+    docs = [(i, f"the key {key} is here", f"owner{i}/repo") for i, key in enumerate(keys)]
+    docs += [(10 + i, f"all have {keys[2][::-1]}", f"owner{i}/repo") for i in range(3)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    found = {x["doc_id"]: [(f["kind"], f["start"], f["end"], f["n_owners"]) for f in x["findings"]] for x in find_secrets(frame).collect()}
+    masked = {x["doc_id"]: x["text"] for x in redact(frame).collect()}
+    for i, key in enumerate(keys):
+        assert found[i] == [("live", 8, 8 + len(key), 1)] and masked[i] == "the key [SECRET] is here"
+    assert not found[10] and masked[10] == docs[4][1]
