@@ -234,43 +234,54 @@ def svr_transform(f: Fitted, df: DataFrame) -> DataFrame:
 KNN_TILE = (256, 8192)
 
 
-def _knn_local(train_x: np.ndarray, train_y: np.ndarray, train_id: np.ndarray, k: int,
-               slack: int = 16):
-    """Per test batch: tiles of the expanded squared distance with a running
-    top k + slack, then the exact squared distance recomputed on those (so
-    rounding in the expansion cannot reorder the final k)."""
+#: Values that the exact distances of tied candidates are worked out from at once.
+KNN_PAIRS = 1 << 22
+
+
+def _knn_local(train_x: np.ndarray, train_y: np.ndarray, train_id: np.ndarray, k: int):
+    """Per test batch: tiles of the expanded squared distance; every train row
+    whose expanded distance is within rounding of the k-th (of the tile, or of
+    those before) gets its exact squared distance, and the first k in the order
+    (distance, train id) stay. However many rows tie, none is left out before."""
     tn = np.sum(train_x * train_x, axis=1)
-    wide = min(k + slack, train_x.shape[0])
+    d = train_x.shape[1]
+
+    def exact(q, row, at):
+        out = np.empty(len(row))
+        step = max(1, KNN_PAIRS // max(d, 1))
+        for lo in range(0, len(row), step):
+            diff = q[row[lo:lo + step]] - train_x[at[lo:lo + step]]
+            out[lo:lo + step] = np.einsum("ij,ij->i", diff, diff)
+        return out
 
     def nearest(q):
-        best = np.zeros((len(q), 0), np.int64)
-        value = np.zeros((len(q), 0))
+        qn = np.sum(q * q, axis=1)
+        row, at, dist = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        last = np.full(len(q), np.inf)  # k-th distance so far
         for lo in range(0, len(train_x), KNN_TILE[1]):
-            part = train_x[lo:lo + KNN_TILE[1]]
-            approx = tn[None, lo:lo + KNN_TILE[1]] - 2.0 * (q @ part.T)
-            value = np.concatenate([value, approx], axis=1)
-            best = np.concatenate([best, np.broadcast_to(np.arange(lo, lo + len(part)), approx.shape)], axis=1)
-            if value.shape[1] > wide:
-                keep = np.argpartition(value, wide - 1, axis=1)[:, :wide]
-                value, best = np.take_along_axis(value, keep, axis=1), np.take_along_axis(best, keep, axis=1)
-        return best
+            norm = tn[lo:lo + KNN_TILE[1]]
+            approx = norm[None, :] - 2.0 * (q @ train_x[lo:lo + KNN_TILE[1]].T)
+            error = 16 * (d + 4) * np.finfo(float).eps * (qn + norm.max())
+            limit = last - qn
+            if len(norm) > k:
+                limit = np.fmin(limit, np.partition(approx, k - 1, axis=1)[:, k - 1])
+            r, c = np.nonzero(~(approx > (limit + 2 * error)[:, None]))
+            row, at, dist = np.append(row, r), np.append(at, c + lo), np.append(dist, exact(q, r, c + lo))
+            order = np.lexsort((train_id[at], dist, row))
+            row, at, dist = row[order], at[order], dist[order]
+            first = np.searchsorted(row, np.arange(len(q)))
+            place = np.arange(len(row)) - first[row]
+            full = place == k - 1
+            last[row[full]] = dist[full]
+            row, at, dist = row[place < k], at[place < k], dist[place < k]
+        return row, at, dist
 
     def run(batches):
         for pdf in batches:
             for lo in range(0, len(pdf), KNN_TILE[0]):
                 rows = pdf.iloc[lo:lo + KNN_TILE[0]]
-                q = np.vstack(rows["__x"].to_numpy()).astype(np.float64)
-                cand = nearest(q)
-                diff = q[:, None, :] - train_x[cand]
-                exact = np.einsum("ijk,ijk->ij", diff, diff)
-                kk = min(k, cand.shape[1])
-                # order by (distance, train id) and keep k per query
-                order = np.lexsort((train_id[cand], exact), axis=1)[:, :kk]
-                idx = np.take_along_axis(cand, order, axis=1)
-                dist = np.take_along_axis(exact, order, axis=1)
-                yield pd.DataFrame({"__qid": np.repeat(rows["__qid"].to_numpy(), kk),
-                                    "__d": dist.ravel(), "__nid": train_id[idx.ravel()],
-                                    "__ny": train_y[idx.ravel()]})
+                row, at, dist = nearest(np.vstack(rows["__x"].to_numpy()).astype(np.float64))
+                yield pd.DataFrame({"__qid": rows["__qid"].to_numpy()[row], "__d": dist, "__nid": train_id[at], "__ny": train_y[at]})
     return run
 
 
@@ -281,13 +292,16 @@ def knn_neighbours(train: DataFrame, test: DataFrame, features: list[str], k: in
     The train side is broadcast in chunks of at most ``chunk_cells`` values
     (rows x features, checked before collecting); each chunk yields k
     candidates per test row, and a grouped top-k (WindowGroupLimit) merges
-    the chunks. Ties in distance are broken by the train id."""
+    the chunks. Ties in distance are broken by the train id: of equal train
+    vectors only the k smallest ids can be chosen, so no others are sent."""
     d = len(features)
     n_train = train.count()
     arr = F.array(*[F.col(f"`{c}`").cast("double") for c in features])
     # rows with one id are one query; its answer is joined back to each of them
     q = test.select(F.col(id_col).alias("__qid"), arr.alias("__x")).dropDuplicates(["__qid"])
     tr = train.select(F.col(id_col).alias("__id"), arr.alias("__x"), F.col("label").cast("double").alias("__y"))
+    copies = Window.partitionBy("__x").orderBy("__id", "__y")
+    tr = tr.withColumn("__copy", F.row_number().over(copies)).where(F.col("__copy") <= k).drop("__copy")
     schema = "__qid long, __d double, __nid long, __ny double"
     if n_train * d <= chunk_cells:
         # small train side (size checked): broadcast it to the test partitions
