@@ -5,7 +5,8 @@ variable-order Markov models over the characters of host and path: counts of
 all grams up to ``ORDER`` characters, interpolated from short to long contexts,
 so a context that was never seen falls back to the longest known one. The
 verdict on other urls is the difference of log-likelihoods per character
-against a threshold fitted on a held-out fifth of the rule-judged urls.
+against a threshold fitted on a held-out fifth of the rule-judged urls by models
+of the others; after that the held-out urls count too.
 
 Counts cover every rule-judged url. They are exact and stay in a Spark table of
 all grams of the urls, which grows with the input; the likelihood of a gram's
@@ -31,7 +32,7 @@ from dsengine.llm.common import release, small_batches, staged
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 ORDER = 6
 END = 0xFF  # no byte of UTF-8
-MODELS = ("fit",)  # counts without the held-out urls, for the threshold and the table
+MODELS = ("fit", "full")  # counts without the held-out urls, for the threshold, and with them, for the table
 BLOCK = 1 << 20  # characters of the urls that are scored together
 STRENGTH = 4.0  # of the shorter context, in observations
 HELD_OUT = 5  # one labelled url in so many calibrates
