@@ -142,11 +142,8 @@ def _runs(known: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(first), np.flatnonzero(last) + 1
 
 
-def _without(text: str, spans: list[dict[str, int]], shortest: int) -> str:
-    """The text without the words of spans of ``shortest`` words or more."""
-    spans = [x for x in spans if x["end"] - x["start"] >= shortest]
-    if not spans:
-        return text
+def _without(text: str, spans: list[dict[str, int]]) -> str:
+    """The text without the words of ``spans``, of which there is one at least."""
     raw = text.encode()
     data = K.LOWER[np.frombuffer(raw, np.uint8)]
     start, end, _ = K.words(data, np.array([0, len(raw)]), K.ALNUM)
@@ -154,8 +151,8 @@ def _without(text: str, spans: list[dict[str, int]], shortest: int) -> str:
     return b"".join(raw[a:b] for a, b in zip(edge[::2], edge[1::2])).decode()
 
 
-def _match(payload, carry: list[str], shortest: int | None):
-    """``shortest``: cut spans of so many words from the carried text."""
+def _match(payload, carry: list[str], cut: bool):
+    """``cut``: cut the spans from the carried text."""
 
     def run(batches):
         auto = pickle.loads(payload.value)
@@ -186,8 +183,8 @@ def _match(payload, carry: list[str], shortest: int | None):
                     spans[i].append({"start": a - int(first[i]), "end": b - int(first[i])})
                     n_hit[i] += b - a
                 out = {k: part[k] for k in carry}
-                if shortest and n_hit.any():
-                    text = [_without(part["text"][i].as_py(), x, shortest) if x else None for i, x in enumerate(spans)]
+                if cut and n_hit.any():
+                    text = [_without(part["text"][i].as_py(), x) if x else None for i, x in enumerate(spans)]
                     out["text"] = pc.coalesce(pa.array(text, pa.string()), part["text"])
                 out |= {"n_words": pa.array(np.diff(first), pa.int64()), "n_hit": pa.array(n_hit, pa.int64()), "spans": pa.array(spans, SPANS),
                         "items": pa.array([sorted(x) for x in names], pa.list_(pa.string()))}
@@ -208,7 +205,7 @@ def automata(benchmark: DataFrame, window: int, max_words: int):
 
 
 def match_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, cover: int = COVER,
-                    max_words: int = MAX_WORDS, carry: list[str] | None = None, cut: int | None = None) -> DataFrame:
+                    max_words: int = MAX_WORDS, carry: list[str] | None = None, cut: bool = False) -> DataFrame:
     """The columns ``carry`` of ``docs`` (all, if None), and n_words, n_hit,
     spans (runs of hit words, in word numbers, end exclusive), items (sorted
     ids, as strings, of items with an occurring window) and contaminated (hit
@@ -219,7 +216,7 @@ def match_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     without words matches nothing; an item without an id marks words but is not
     listed; equal items are all listed. Input columns named like a new one are
     replaced. An empty benchmark contaminates nothing. With ``cut`` the carried
-    text loses all spans of so many words."""
+    text loses all spans; each is made of whole windows, short items included."""
     small_batches(docs.sparkSession)
     sc = docs.sparkSession.sparkContext
     carry = [c for c in (docs.columns if carry is None else carry) if c not in ADDED]
@@ -231,14 +228,14 @@ def match_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
         kept = carry if later is None else list(dict.fromkeys([*carry, "text"]))
         types = dict(out.dtypes)
         schema = ", ".join([f"`{c}` {types[c]}" for c in kept] + [FOUND])
-        out = out.mapInArrow(_match(sc.broadcast(pickle.dumps(auto)), kept, cut if later is None else None), schema)
+        out = out.mapInArrow(_match(sc.broadcast(pickle.dumps(auto)), kept, cut and later is None), schema)
         out, auto = (out if later is None else staged(out, "decontaminate")), later
     return out.withColumn("items", F.array_remove("items", "")).withColumn(
         "contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * cover >= F.col("n_words")))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, cover: int = COVER, max_words: int = MAX_WORDS) -> DataFrame:
-    """``docs`` without documents over the coverage limit, and with matched
-    spans of ``window`` words or more cut from the texts of the others."""
-    found = match_benchmark(boxed(docs), benchmark, window, cover, max_words, cut=window)
+    """``docs`` without documents over the coverage limit, and with all
+    matched spans, also of whole shorter items, cut from the texts of the others."""
+    found = match_benchmark(boxed(docs), benchmark, window, cover, max_words, cut=True)
     return unboxed(found.where(~F.col("contaminated")), docs.columns)

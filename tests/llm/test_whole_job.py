@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 from dsengine.llm import quality, urls
+from dsengine.llm.decontaminate import decontaminate
 from dsengine.llm.secrets import find_secrets, redact
 
 
@@ -80,3 +81,14 @@ def test_long_random_strings_are_secrets(spark):
     for i, key in enumerate(keys):
         assert found[i] == [("live", 8, 8 + len(key), 1)] and masked[i] == "the key [SECRET] is here"
     assert not found[10] and masked[10] == docs[4][1]
+
+
+def test_short_benchmark_items_are_cut(spark):
+    short, long = "What is the capital of Iceland", " ".join(f"item{i}" for i in range(15))
+    rest = [f"w{i}" for i in range(700)]
+    text = " ".join([*rest[:300], short.upper() + "?", *rest[300:600], long, *rest[600:], "what is the capital of"])
+    docs = spark.createDataFrame([(1, text), (2, short)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, short), (2, long)], "item_id long, text string")
+    for most in (300_000, 20):  # words of the benchmark a pass
+        got = decontaminate(docs, items, max_words=most).collect()
+        assert [tuple(x) for x in got] == [(1, text.replace(short.upper(), "").replace(long, ""))]
