@@ -145,3 +145,23 @@ def op1(spark, sf_dir):
     from dsengine.llm.quality import score, train
     docs = table(spark, sf_dir, "documents")
     return score(docs, train(docs, table(spark, sf_dir, "labels")), carry=["doc_id"])
+
+
+_NEGATIVES = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(CAST(embedding AS DOUBLE[]), lambda x: floor(256 * x)) AS q
+           FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+met AS (SELECT x.vec_id AS anchor_id, y.vec_id AS other, x.label = y.label AS same, CAST(list_dot_product(x.q, y.q) AS BIGINT) AS score
+        FROM v x JOIN v y ON x.vec_id % 100 = 0 AND x.vec_id <> y.vec_id),
+pos AS (SELECT anchor_id, other AS positive_id, score AS positive_score FROM met WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5),
+neg AS (SELECT pos.anchor_id, positive_id, other AS negative_id, positive_score, score AS negative_score,
+        row_number() OVER (PARTITION BY pos.anchor_id, positive_id ORDER BY score DESC, other) AS rank
+        FROM pos JOIN met ON pos.anchor_id = met.anchor_id AND NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM neg WHERE rank <= 10"""
+
+
+@register("op13_hard_negatives", _NEGATIVES)
+def op13(spark, sf_dir):
+    from dsengine.llm.negatives import hard_negatives
+    label = F.expr("CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END")
+    q = F.transform(F.col("embedding").cast("array<double>"), lambda x: F.floor(x * 256))
+    return hard_negatives(table(spark, sf_dir, "embeddings"), label, q, F.col("vec_id") % 100 == 0)
