@@ -165,3 +165,9 @@ def op13(spark, sf_dir):
     label = F.expr("CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END")
     q = F.transform(F.col("embedding").cast("array<double>"), lambda x: F.floor(x * 256))
     return hard_negatives(table(spark, sf_dir, "embeddings"), label, q, F.col("vec_id") % 100 == 0)
+
+
+@register("op12_spelling_variants")
+def op12(spark, sf_dir):
+    from dsengine.llm.spelling import variants
+    return variants(table(spark, sf_dir, "documents"))
