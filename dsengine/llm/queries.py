@@ -171,3 +171,22 @@ def op13(spark, sf_dir):
 def op12(spark, sf_dir):
     from dsengine.llm.spelling import variants
     return variants(table(spark, sf_dir, "documents"))
+
+
+_MAIN_TEXT = r"""
+WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*)', 1) AS h FROM pages),
+b AS (SELECT page_id, url, regexp_replace(h, '(?s)(</article>|<footer>).*', '') AS h FROM a),
+piece AS (SELECT page_id, url, unnest(string_split_regex(h, '</?(?:h1|p)>')) AS t, generate_subscripts(string_split_regex(h, '</?(?:h1|p)>'), 1) AS i FROM b),
+plain AS (SELECT page_id, url, i, regexp_replace(t, '<br>', ' ', 'g') AS t FROM piece),
+clean AS (SELECT page_id, url, i, regexp_replace(regexp_replace(t, '<[^>]*(>|$)', '', 'g'), '&quot;?', '"', 'g') AS t FROM plain),
+seen AS (SELECT page_id, url, i, regexp_replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&#x27;', ''''), '&#39;', ''''), '&amp;?', '&', 'g') AS t FROM clean),
+block AS (SELECT page_id, i, trim(regexp_replace(t, '\s+', ' ', 'g')) AS t FROM seen),
+whole AS (SELECT page_id, string_agg(t, chr(10) ORDER BY i) AS t FROM block WHERE t <> '' GROUP BY 1)
+SELECT page_id, url, coalesce(t, '') AS text, CAST(length(coalesce(t, '')) AS BIGINT) AS n_chars FROM pages LEFT JOIN whole USING (page_id)"""
+
+
+@register("op11_html_extraction", _MAIN_TEXT)
+def op11(spark, sf_dir):
+    from dsengine.llm.htmltext import extract, train
+    pages = table(spark, sf_dir, "pages")
+    return extract(pages, train(pages)).select("row.page_id", "row.url", "text", F.char_length("text").cast("long").alias("n_chars"))
