@@ -9,11 +9,13 @@ block it stands in) and with its parent's state, by kind of child. Sum-product
 messages run up and down all trees of a batch, level by level (numpy), and the
 leaves whose content marginal is a half or more are the text.
 
-Potentials come from counts over labelled pages: those of the table whose markup
-names the main part (``article``, else ``main``), once as they are and once with
-names and hints blanked, so that plain ``div`` pages can be read too; and a few
-pages labelled by hand for parts that the table lacks, which weigh as much. Counts
-are added up by Spark, a row a task; parsing and messages are narrow maps.
+Potentials are trained from labelled pages by the same messages (gradient: observed
+minus expected counts). Labelled are pages of the table whose markup names the main
+part (``article``, else ``main``): at most ``SAMPLE`` of them, the first different
+ones in hash order, and of at most ``NODES`` nodes; and a few pages labelled by hand
+for parts that the table lacks, which weigh as much in all. Each counts once as it
+is and once, for less, with names and hints blanked, so that plain ``div`` pages can
+be read too. All pages of the table are then read in a narrow map.
 """
 
 from __future__ import annotations
@@ -59,8 +61,11 @@ TAG = {t: i for i, t in enumerate(BLOCKS)}
 HINT, UNDER = len(TAG), len(TAG) + 4
 LENGTH, LINKS, MARKS, N_FEATURES = UNDER + len(TAG), UNDER + len(TAG) + 14, UNDER + len(TAG) + 18, UNDER + len(TAG) + 20
 BESIDE_STATE, CONTENT, MIXED = 0, 1, 2
-N_COUNTS = 18 + 3 * N_FEATURES
-SMOOTH, FLOOR = 0.05, -50.0
+#: Labelled pages of the table that train at most, nodes of one at most.
+SAMPLE, NODES = 400, 5000
+#: Share that a blanked copy counts; steps of the fit, their size, pull towards zero.
+BLANKED, STEPS, RATE, PULL = 0.25, 200, 0.1, 1e-4
+FLOOR = -50.0
 
 
 def _hint(attributes: str) -> tuple[int, int]:
@@ -174,7 +179,40 @@ class Page:
         flush()
 
 
-class Forest:
+class Trees:
+    """Trees as arrays: each node's parent (-1 at a root) and whether it is a leaf."""
+
+    def __init__(self, parent: np.ndarray, leaf: np.ndarray):
+        self.parent, self.leaf, self.levels = parent, leaf, []
+        level, order = np.flatnonzero(parent < 0), np.argsort(parent, kind="stable")
+        bound = np.searchsorted(parent[order], np.arange(-1, len(parent) + 1))
+        while len(level):
+            self.levels.append(level)
+            lo, hi = bound[level + 1], bound[level + 2]
+            size = hi - lo
+            level = order[np.repeat(lo - np.cumsum(size) + size, size) + np.arange(size.sum())]
+
+    def messages(self, emit: np.ndarray, move: np.ndarray, pairs: bool = False):
+        """State probabilities of every node and, if asked, of every (parent, child)
+        in the order of the levels: sum-product up and down."""
+        up = emit.copy()
+        up[self.leaf, MIXED] = FLOOR
+        kind, sent, joint = self.leaf.astype(np.int64), np.zeros_like(up), []
+        for level in reversed(self.levels[1:]):
+            sent[level] = _sum(move[kind[level]] + up[level][:, None, :], 2)
+            np.add.at(up, self.parent[level], sent[level])
+        belief = up.copy()
+        for level in self.levels[1:]:
+            rest = belief[self.parent[level]] - sent[level]
+            rest -= rest.max(1, keepdims=True)
+            both = move[kind[level]] + rest[:, :, None]
+            belief[level] += _sum(both, 1)
+            if pairs:
+                joint.append(_share((both + up[level][:, None, :]).reshape(-1, 9)))
+        return _share(belief), joint
+
+
+class Forest(Trees):
     """The nodes of many pages as arrays."""
 
     def __init__(self, pages: list[Page]):
@@ -185,20 +223,10 @@ class Forest:
         self.hint = np.fromiter((t for p in pages for t in p.hint), np.int64, n)
         self.label = np.fromiter((t for p in pages for t in p.label), np.int64, n)
         parent = np.fromiter((t for p in pages for t in p.parent), np.int64, n)
-        self.parent = np.where(parent < 0, -1, parent + np.repeat(self.first[:-1], sizes))
-        self.leaf = self.tag < 0
+        super().__init__(np.where(parent < 0, -1, parent + np.repeat(self.first[:-1], sizes)), self.tag < 0)
         self.leaves = np.flatnonzero(self.leaf)
         self.texts = [t for p in pages for t in p.texts.values()]
         self.links = np.fromiter((x for p in pages for x in p.links.values()), np.float64, len(self.texts))
-        self.levels = []
-        left = np.flatnonzero(self.parent < 0)
-        order = np.argsort(self.parent, kind="stable")
-        bound = np.searchsorted(self.parent[order], np.arange(-1, n + 1))
-        while len(left):
-            self.levels.append(left)
-            lo, hi = bound[left + 1], bound[left + 2]
-            size = hi - lo
-            left = order[np.repeat(lo - np.cumsum(size) + size, size) + np.arange(size.sum())]
 
     def features(self, blank: bool = False) -> np.ndarray:
         """Feature numbers of every node, four columns; N_FEATURES for none."""
@@ -247,34 +275,9 @@ class Forest:
         ok[page[(given == CONTENT)]] = True
         return given, ok[page]
 
-    def counts(self, state: np.ndarray, use: np.ndarray, blank: bool) -> np.ndarray:
-        out = np.zeros(N_COUNTS, np.int64)
-        child = np.flatnonzero((self.parent >= 0) & use)
-        edge = self.leaf[child] * 9 + state[self.parent[child]] * 3 + state[child]
-        out[:18] = np.bincount(edge, minlength=18)
-        feature = self.features(blank)[use]
-        there = feature < N_FEATURES
-        cell = (feature * 3 + state[use][:, None])[there]
-        out[18:] = np.bincount(cell, minlength=3 * N_FEATURES)
-        return out
-
-    def marginals(self, model: dict[str, np.ndarray]) -> np.ndarray:
-        """Probability of content of every node, by messages up and down the trees."""
-        move = model["move"]
-        up = model["emit"][self.features()].sum(1)
-        up[self.leaf, MIXED] = FLOOR
-        kind, sent = self.leaf.astype(np.int64), np.zeros_like(up)
-        for level in reversed(self.levels[1:]):
-            sent[level] = _sum(move[kind[level]] + up[level][:, None, :], 2)
-            np.add.at(up, self.parent[level], sent[level])
-        belief = up.copy()
-        for level in self.levels[1:]:
-            rest = belief[self.parent[level]] - sent[level]
-            rest -= rest.max(1, keepdims=True)
-            belief[level] += _sum(move[kind[level]] + rest[:, :, None], 1)
-        belief -= belief.max(1, keepdims=True)
-        p = np.exp(belief)
-        return p[:, CONTENT] / p.sum(1)
+    def content(self, model: dict[str, np.ndarray]) -> np.ndarray:
+        """Probability of content of every node."""
+        return self.messages(model["emit"][self.features()].sum(1), model["move"])[0][:, CONTENT]
 
 
 def _sum(x: np.ndarray, axis: int) -> np.ndarray:
@@ -282,51 +285,82 @@ def _sum(x: np.ndarray, axis: int) -> np.ndarray:
     return top + np.log(np.exp(x - np.expand_dims(top, axis)).sum(axis))
 
 
-def _pages(column) -> list[Page]:
-    return [Page(t or "") for t in column.to_pylist()]
+def _share(x: np.ndarray) -> np.ndarray:
+    p = np.exp(x - x.max(1, keepdims=True))
+    return p / p.sum(1, keepdims=True)
 
 
-def _count(batches):
-    total = np.zeros(N_COUNTS, np.int64)
-    for batch in batches:
-        forest = Forest(_pages(batch["text"]))
-        given, use = forest.named()
-        state = forest.states(given)
-        total += forest.counts(state, use, False) + forest.counts(state, use, True)
-    yield pa.RecordBatch.from_pydict({"c": pa.array([total.tolist()], pa.list_(pa.int64()))})
+LABELLED = "parent array<int>, leaf array<boolean>, state array<int>, named array<int>, blank array<int>"
 
 
-def _add(key, rows):
-    total = np.array(rows["c"].combine_chunks().flatten().to_numpy(zero_copy_only=False)).reshape(-1, N_COUNTS).sum(0)
-    return pa.table({"c": pa.array([total.tolist()], pa.list_(pa.int64()))})
+def _label(batches):
+    """Trees, states and features of the pages whose markup names their main part."""
+    for batch in batches:
+        rows = []
+        for source in batch["text"].to_pylist():
+            forest = Forest([Page(source or "")])
+            given, ok = forest.named()
+            if ok.all() and len(forest.tag) <= NODES:
+                rows.append({"parent": forest.parent.tolist(), "leaf": forest.leaf.tolist(), "state": forest.states(given).tolist(),
+                             "named": forest.features().ravel().tolist(), "blank": forest.features(True).ravel().tolist()})
+        kind = pa.list_(pa.int32())
+        yield pa.RecordBatch.from_pylist(rows, pa.schema([("parent", kind), ("leaf", pa.list_(pa.bool_())), ("state", kind), ("named", kind), ("blank", kind)]))
+
+
+def fit(trees: Trees, feature: np.ndarray, state: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
+    """Potentials that raise the weighted likelihood of ``state``."""
+    emit, move = np.zeros((N_FEATURES + 1, 3)), np.zeros((2, 3, 3))
+    child = np.concatenate(trees.levels[1:]) if len(trees.levels) > 1 else np.zeros(0, np.int64)
+    pair = trees.leaf[child] * 9
+    weight = weight / weight.sum()
+    flat = feature.ravel()
+
+    def totals(one, both):
+        w = one * weight[:, None]
+        e = np.stack([np.bincount(flat, np.repeat(w[:, k], feature.shape[1]), N_FEATURES + 1) for k in range(3)], 1)
+        e[N_FEATURES] = 0
+        w = both * weight[child][:, None]
+        return e, np.stack([np.bincount(trees.leaf[child], w[:, k], 2) for k in range(9)], 1).reshape(2, 3, 3)
+    seen = totals(np.eye(3)[state], np.eye(9)[state[trees.parent[child]] * 3 + state[child]])
+    first, second = [np.zeros_like(emit), np.zeros_like(move)], [np.zeros_like(emit), np.zeros_like(move)]
+    for step in range(1, STEPS + 1):
+        one, both = trees.messages(emit[feature].sum(1), move, True)
+        want = totals(one, np.concatenate(both) if both else np.zeros((0, 9)))
+        for i, value in enumerate((emit, move)):
+            g = seen[i] - want[i] - PULL * value
+            first[i] = 0.9 * first[i] + 0.1 * g
+            second[i] = 0.99 * second[i] + 0.01 * g * g
+            value += RATE * (first[i] / (1 - 0.9 ** step)) / (np.sqrt(second[i] / (1 - 0.99 ** step)) + 1e-8)
+    return {"emit": emit, "move": move}
 
 
 def train(pages: DataFrame, html: str = "html") -> dict[str, np.ndarray]:
     """Potentials from the labelled pages of the table and those labelled by hand.
-    The driver gets at most 64 rows of ``N_COUNTS`` counts, whatever the table."""
+    The driver holds ``SAMPLE`` trees of at most ``NODES`` nodes."""
     small_batches(pages.sparkSession)
-    parts = pages.select(F.col(f"`{html}`").cast("string").alias("text")).mapInArrow(_count, "c array<long>")
-    sums = parts.groupBy(F.pmod(F.spark_partition_id(), F.lit(64)).alias("k")).applyInArrow(_add, "c array<long>")
-    table = np.zeros(N_COUNTS)
-    for row in sums.collect():
-        table += np.array(row["c"])
-    forest = Forest([Page(p) for p in PAGES])
-    state, every = forest.states(forest.label), np.ones(len(forest.tag), bool)
-    hand = (forest.counts(state, every, False) + forest.counts(state, every, True)).astype(float)
-    counts = hand + table * (hand[:18].sum() / table[:18].sum() if table[:18].sum() else 0)
-    move = counts[:18].reshape(2, 3, 3) + SMOOTH
-    move[1, :, MIXED] = 0
-    emit = counts[18:].reshape(N_FEATURES, 3) + SMOOTH
-    for lo, hi in ((0, HINT), (HINT, UNDER), (UNDER, LENGTH), (LENGTH, LINKS), (LINKS, MARKS), (MARKS, N_FEATURES)):
-        emit[lo:hi] /= emit[lo:hi].sum(0)
-    with np.errstate(divide="ignore"):
-        move = np.maximum(np.log(move / move.sum(2, keepdims=True)), FLOOR)
-    return {"move": move, "emit": np.vstack([np.log(emit), np.zeros(3)])}
+    src = pages.select(F.col(f"`{html}`").cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
+    least = src.groupBy("h").agg(F.lit(1)).orderBy("h").limit(SAMPLE).agg(F.max("h")).first()[0]
+    rows = []
+    if least is not None:
+        some = src.where(F.col("h") <= least).groupBy("h").agg(F.min("text").alias("text"))
+        rows = some.orderBy("h").select("text").mapInArrow(_label, LABELLED).collect()
+    hand = Forest([Page(p) for p in PAGES])
+    found = [(np.array(r["parent"]), np.array(r["leaf"]), np.array(r["state"]), np.array(r["named"]).reshape(-1, 4), np.array(r["blank"]).reshape(-1, 4)) for r in rows]
+    there = sum(len(x[0]) for x in found)
+    each = len(hand.tag) / there if there else 0.0
+    found = [(hand.parent, hand.leaf, hand.states(hand.label), hand.features(), hand.features(True))] + found
+    parts, at = [], 0
+    for i, (parent, leaf, state, *features) in enumerate(found):
+        for feature, share in zip(features, (1.0, BLANKED)):
+            parts.append((np.where(parent < 0, -1, parent + at), leaf, state, feature, np.full(len(leaf), share * (each if i else 1.0))))
+            at += len(leaf)
+    parent, leaf, state, feature, weight = (np.concatenate(x) for x in zip(*parts))
+    return fit(Trees(parent, leaf), feature, state, weight)
 
 
 def main_text(sources: list[str], model: dict[str, np.ndarray]) -> list[str]:
     forest = Forest([Page(s) for s in sources])
-    keep = forest.marginals(model)[forest.leaves] >= 0.5
+    keep = forest.content(model)[forest.leaves] >= 0.5
     page = np.searchsorted(forest.first, forest.leaves, "right") - 1
     out: list[list[str]] = [[] for _ in sources]
     for i in np.flatnonzero(keep):
