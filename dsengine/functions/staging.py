@@ -17,6 +17,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
 from dsengine.functions.exprs import col
+from dsengine.session import work_path
 
 #: about one split of a columnar scan
 SPLIT_BYTES = 128 << 20
@@ -58,3 +59,22 @@ def multi_pass(df: DataFrame, cols: list[str] | None = None, enabled: bool = Tru
         yield staged
     finally:
         staged.unpersist()
+
+
+def write_stage(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written under the shared checkpoint folder and read again: what follows
+    neither recomputes it nor loses it with an executor."""
+    path = work_path(df.sparkSession, name)
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stage_path = path
+    return out
+
+
+def drop_stage(df: DataFrame) -> None:
+    """Delete a written stage that nothing reads any more."""
+    path = getattr(df, "_stage_path", None)
+    if path:
+        sc = df.sparkSession.sparkContext
+        there = sc._jvm.org.apache.hadoop.fs.Path(path)
+        there.getFileSystem(sc._jsc.hadoopConfiguration()).delete(there, True)

@@ -14,10 +14,7 @@ GBT, trees, MLP, linear regression). Composed ones:
   are written out every 10 rounds to cut the lineage.
 * AdaBoost.R2: weighted depth-3 regression trees (Spark ML, ``weightCol``),
   weighted-median read-out with array functions.
-* kNN: exact. A train side within a checked size is broadcast and each test
-  partition computes local top-k with numpy (``mapInPandas``); a larger one
-  is matched block against block (cogroup of bounded test and train blocks,
-  no driver involvement). Candidates are merged by a grouped top-k.
+* kNN: exact, by metric partitions (``neighbours.py``), one path at every size.
 * RBF SVM / SVR: random Fourier features as column expressions, then
   LinearSVC (one-vs-rest) / Huber linear regression. An approximation.
 * MLP regressor: the target is cut into quantile bins, an MLP classifier
@@ -45,6 +42,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dsengine import rules
+from dsengine.operators.neighbours import nearest_rows
 
 CLASSIFIERS = rules.CLASSIFIERS
 REGRESSORS = rules.REGRESSORS
@@ -234,130 +232,28 @@ def svr_transform(f: Fitted, df: DataFrame) -> DataFrame:
 KNN_TILE = (256, 8192)
 
 
-#: Values that the exact distances of tied candidates are worked out from at once.
-KNN_PAIRS = 1 << 22
-
-
-def _knn_local(train_x: np.ndarray, train_y: np.ndarray, train_id: np.ndarray, k: int):
-    """Per test batch: tiles of the expanded squared distance; every train row
-    whose expanded distance is within rounding of the k-th (of the tile, or of
-    those before) gets its exact squared distance, and the first k in the order
-    (distance, train id) stay. However many rows tie, none is left out before."""
-    tn = np.sum(train_x * train_x, axis=1)
-    d = train_x.shape[1]
-
-    def exact(q, row, at):
-        out = np.empty(len(row))
-        step = max(1, KNN_PAIRS // max(d, 1))
-        for lo in range(0, len(row), step):
-            diff = q[row[lo:lo + step]] - train_x[at[lo:lo + step]]
-            out[lo:lo + step] = np.einsum("ij,ij->i", diff, diff)
-        return out
-
-    def nearest(q):
-        qn = np.sum(q * q, axis=1)
-        row, at, dist = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-        last = np.full(len(q), np.inf)  # k-th distance so far
-        for lo in range(0, len(train_x), KNN_TILE[1]):
-            norm = tn[lo:lo + KNN_TILE[1]]
-            approx = norm[None, :] - 2.0 * (q @ train_x[lo:lo + KNN_TILE[1]].T)
-            error = 16 * (d + 4) * np.finfo(float).eps * (qn + norm.max())
-            limit = last - qn
-            if len(norm) > k:
-                limit = np.fmin(limit, np.partition(approx, k - 1, axis=1)[:, k - 1])
-            r, c = np.nonzero(~(approx > (limit + 2 * error)[:, None]))
-            row, at, dist = np.append(row, r), np.append(at, c + lo), np.append(dist, exact(q, r, c + lo))
-            order = np.lexsort((train_id[at], dist, row))
-            row, at, dist = row[order], at[order], dist[order]
-            first = np.searchsorted(row, np.arange(len(q)))
-            place = np.arange(len(row)) - first[row]
-            full = place == k - 1
-            last[row[full]] = dist[full]
-            row, at, dist = row[place < k], at[place < k], dist[place < k]
-        return row, at, dist
-
-    def run(batches):
-        for pdf in batches:
-            for lo in range(0, len(pdf), KNN_TILE[0]):
-                rows = pdf.iloc[lo:lo + KNN_TILE[0]]
-                row, at, dist = nearest(np.vstack(rows["__x"].to_numpy()).astype(np.float64))
-                yield pd.DataFrame({"__qid": rows["__qid"].to_numpy()[row], "__d": dist, "__nid": train_id[at], "__ny": train_y[at]})
-    return run
-
-
 def knn_neighbours(train: DataFrame, test: DataFrame, features: list[str], k: int,
-                   id_col: str, chunk_cells: int = 5_000_000) -> DataFrame:
-    """Exact k nearest train rows for every test row: (qid, rank, nid, ny, d2).
-
-    The train side is broadcast in chunks of at most ``chunk_cells`` values
-    (rows x features, checked before collecting); each chunk yields k
-    candidates per test row, and a grouped top-k (WindowGroupLimit) merges
-    the chunks. Ties in distance are broken by the train id: of equal train
-    vectors only the k smallest ids can be chosen, so no others are sent."""
-    d = len(features)
-    n_train = train.count()
-    arr = F.array(*[F.col(f"`{c}`").cast("double") for c in features])
-    # rows with one id are one query; its answer is joined back to each of them
-    q = test.select(F.col(id_col).alias("__qid"), arr.alias("__x")).dropDuplicates(["__qid"])
-    tr = train.select(F.col(id_col).alias("__id"), arr.alias("__x"), F.col("label").cast("double").alias("__y"))
-    copies = Window.partitionBy("__x").orderBy("__id", "__y")
-    tr = tr.withColumn("__copy", F.row_number().over(copies)).where(F.col("__copy") <= k).drop("__copy")
-    schema = "__qid long, __d double, __nid long, __ny double"
-    if n_train * d <= chunk_cells:
-        # small train side (size checked): broadcast it to the test partitions
-        pdf = tr.toPandas()
-        if len(pdf) == 0:
-            return test.sparkSession.createDataFrame([], schema + ", __rank int")
-        tx = np.vstack(pdf["__x"].to_numpy()).astype(np.float64)
-        ty = pdf["__y"].to_numpy().astype(np.float64)
-        tid = pdf["__id"].to_numpy().astype(np.int64)
-        cand = q.mapInPandas(_knn_local(tx, ty, tid, k), schema)
-    else:
-        cand = _knn_blocked(tr, q, d, k, chunk_cells, schema)
-    w = Window.partitionBy("__qid").orderBy("__d", "__nid")
-    return (cand.withColumn("__rank", F.row_number().over(w)).where(F.col("__rank") <= k))
-
-
-def _knn_blocked(tr: DataFrame, q: DataFrame, d: int, k: int, cells: int, schema: str) -> DataFrame:
-    """Driver-free exact candidates for a large train side: train rows are
-    hashed into TB blocks and test rows into QB blocks, each block bounded by
-    ``cells`` values; every (test block, train block) pair is one cogroup
-    group (bounded on both sides) that emits k candidates per test row."""
-    n_q = q.count()
-    tb = max(1, math.ceil(tr.count() * d / cells))
-    qb = max(1, math.ceil(n_q * d / cells))
-    trr = (tr.withColumn("__tb", F.pmod(F.xxhash64("__id"), F.lit(tb)).cast("int"))
-           .withColumn("__qb", F.explode(F.sequence(F.lit(0), F.lit(qb - 1)))))
-    qr = (q.withColumn("__qb", F.pmod(F.xxhash64("__qid"), F.lit(qb)).cast("int"))
-          .withColumn("__tb", F.explode(F.sequence(F.lit(0), F.lit(tb - 1)))))
-
-    def pair(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if len(left) == 0 or len(right) == 0:
-            return pd.DataFrame({"__qid": pd.Series([], dtype="int64"), "__d": pd.Series([], dtype="float64"),
-                                 "__nid": pd.Series([], dtype="int64"), "__ny": pd.Series([], dtype="float64")})
-        tx = np.vstack(right["__x"].to_numpy()).astype(np.float64)
-        run = _knn_local(tx, right["__y"].to_numpy().astype(np.float64),
-                         right["__id"].to_numpy().astype(np.int64), k)
-        return pd.concat(list(run([left[["__qid", "__x"]]])), ignore_index=True)
-
-    return (qr.groupBy("__qb", "__tb")
-            .cogroup(trr.groupBy("__qb", "__tb"))
-            .applyInPandas(pair, schema))
+                   id_col: str, chunk_cells: int = 5_000_000, n_train: int | None = None) -> DataFrame:
+    """Exact k nearest train rows for every test row: (qid, d2, nid, ny, rank), by
+    metric partitions. Blocks of train rows hold ``chunk_cells`` values (rows x
+    features) at most; ties in distance are broken by the train id."""
+    return nearest_rows(train, test, features, k, id_col, chunk_cells, KNN_TILE, n_train)
 
 
 def fit_knn(train, features, task, k=rules.KNN_K, id_col="__rowid"):
     """Lazy learner: keeps the train frame; k = min(5, train rows)."""
-    k = min(k, train.count())
+    n = train.count()
+    k = min(k, n)
     name = "K-Nearest Neighbors " + ("Regressor" if task == "regression" else "Classifier")
     keep = train.select(id_col, "label", *[F.col(f"`{c}`") for c in features])
-    return Fitted(name, task, features, 0, None, {"train": keep, "k": k, "id_col": id_col}, knn_transform)
+    return Fitted(name, task, features, 0, None, {"train": keep, "k": k, "id_col": id_col, "n": n}, knn_transform)
 
 
 def knn_transform(f: Fitted, df: DataFrame) -> DataFrame:
     """Mean of the neighbours' labels, or their vote (smallest label on ties)
     with the vote shares as probabilities."""
     id_col = f.extra["id_col"]
-    nb = knn_neighbours(f.extra["train"], df, f.features, f.extra["k"], id_col)
+    nb = knn_neighbours(f.extra["train"], df, f.features, f.extra["k"], id_col, n_train=f.extra.get("n"))
     if f.task == "regression":
         agg = nb.groupBy("__qid").agg(F.avg("__ny").alias("prediction"))
     else:
