@@ -43,6 +43,7 @@ from pyspark.sql import types as T
 
 from dsengine import rules
 from dsengine.operators.neighbours import nearest_rows
+from dsengine.operators.onehot import VECTOR
 
 CLASSIFIERS = rules.CLASSIFIERS
 REGRESSORS = rules.REGRESSORS
@@ -77,6 +78,8 @@ class Fitted:
             vals = [abs(v) for v in m.coefficients.toArray().tolist()]
         elif "importance" in self.extra:
             vals = self.extra["importance"]
+        if vals is not None and VECTOR in self.features and len(vals) >= len(self.features):
+            vals = vals[:len(self.features) - 1] + [sum(vals[len(self.features) - 1:])]  # the vector comes last
         if vals is None or len(vals) != len(self.features):
             return []
         return sorted(zip(self.features, [float(v) for v in vals]), key=lambda t: -t[1])
@@ -104,6 +107,12 @@ def _fit_ml(name, task, est, train, features, n_classes=0, weight=False) -> Fitt
     return Fitted(name, task, features, n_classes, model, transform_fn=_ml_transform)
 
 
+def scalars(name: str, features: list[str]) -> None:
+    """Models that work on plain columns cannot read a sparse vector."""
+    if VECTOR in features:
+        raise ValueError(f"{name} reads plain columns only: group rare values or drop wide text columns first")
+
+
 # --------------------------------------------------------------------------- built-in
 def fit_logistic(train, features, n_classes, max_iter=rules.MAX_ITER):
     n = train.count()
@@ -129,6 +138,7 @@ def fit_tree_classifier(train, features, n_classes, depth=rules.TREE_MAX_DEPTH):
 
 
 def fit_mlp_classifier(train, features, n_classes, max_iter=rules.MLP_MAX_ITER):
+    scalars("Neural Network Classifier", features)
     layers = [len(features)] + rules.MLP_HIDDEN + [max(2, n_classes)]
     est = MultilayerPerceptronClassifier(layers=layers, maxIter=max_iter, seed=rules.SEED)
     return _fit_ml("Neural Network Classifier", "classification", est, train, features, n_classes)
@@ -189,6 +199,7 @@ def _rff_frame(df: DataFrame, features, n_out):
 def fit_svm(train, features, n_classes, n_out=rules.RFF_FEATURES, max_iter=rules.KERNEL_MAX_ITER):
     """Linear SVM on random Fourier features; with two classes the margin is
     turned into a probability by a logistic model of the training labels."""
+    scalars("Support Vector Machine", features)
     t = _rff_frame(train, features, n_out)
     svc = LinearSVC(maxIter=max_iter, regParam=1.0 / max(1, train.count()), featuresCol="__rff")
     est = svc if n_classes <= 2 else OneVsRest(classifier=svc, featuresCol="__rff")
@@ -217,6 +228,7 @@ def svm_transform(f: Fitted, df: DataFrame) -> DataFrame:
 
 
 def fit_svr(train, features, n_out=rules.RFF_FEATURES, max_iter=rules.KERNEL_MAX_ITER):
+    scalars("Support Vector Regressor", features)
     t = _rff_frame(train, features, n_out)
     model = LinearRegression(loss="huber", maxIter=max_iter, regParam=0.0, featuresCol="__rff").fit(t)
     return Fitted("Support Vector Regressor", "regression", features, 0, model, {"n_out": n_out}, svr_transform)
@@ -242,6 +254,7 @@ def knn_neighbours(train: DataFrame, test: DataFrame, features: list[str], k: in
 
 def fit_knn(train, features, task, k=rules.KNN_K, id_col="__rowid"):
     """Lazy learner: keeps the train frame; k = min(5, train rows)."""
+    scalars("K-Nearest Neighbors", features)
     n = train.count()
     k = min(k, n)
     name = "K-Nearest Neighbors " + ("Regressor" if task == "regression" else "Classifier")
@@ -281,6 +294,7 @@ def _stump_pred(feature: str, thr: float, left: float, right: float) -> Column:
 def fit_adaboost_classifier(train, features, n_classes, rounds=rules.N_TREES,
                             checkpoint_every=10):
     """SAMME with weighted decision stumps."""
+    scalars("AdaBoost Classifier", features)
     from dsengine.plans.cleaning import materialize
     k = max(2, n_classes)
     cands = _stump_candidates(train, features)
@@ -422,6 +436,7 @@ def adaboost_r2_transform(f: Fitted, df: DataFrame) -> DataFrame:
 def fit_mlp_regressor(train, features, bins=20, max_iter=rules.MLP_MAX_ITER):
     """Quantile-binned target, MLP classifier over bins; prediction is the
     probability-weighted mean of the bins (M23, approximation)."""
+    scalars("Neural Network Regressor", features)
     probs = [i / bins for i in range(1, bins)]
     cuts = sorted(set(train.agg(F.percentile_approx("label", probs, 10000)).first()[0] or []))
     b = F.lit(0)

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from dsengine import rules
 from dsengine.functions.exprs import (all_of, col, is_numeric_type, isclose_to_rint, mean_expr,
                                       std_pop_expr, text_columns)
+from dsengine.operators.onehot import VECTOR, SparseOneHot, fit_sparse
 
 HASH_BITS = 60            # 15 hex digits of md5
 BUCKET_HEX = 3            # 4096 buckets
@@ -67,11 +68,17 @@ def detect_task(df: DataFrame, target: str) -> dict:
 # --------------------------------------------------------------------------- M2
 @dataclass
 class OneHotModel:
-    """Fitted vocabulary: column -> sorted values (the first is the baseline)."""
+    """Fitted vocabulary: column -> sorted values (the first is the baseline);
+    ``wide`` encodes columns with many values as one sparse vector."""
     vocab: dict
+    wide: SparseOneHot | None = None
 
     def feature_names(self) -> list[str]:
-        return [f"{c}_{v}" for c, vals in self.vocab.items() for v in vals[1:]]
+        return [f"{c}_{v}" for c, vals in self.vocab.items() for v in vals[1:]] + ([VECTOR] if self.wide else [])
+
+    def n_features(self, names: list[str]) -> int:
+        """Features behind the columns ``names``: every slot of a vector is one."""
+        return len(names) + (self.wide.n_slots - 1 if self.wide and VECTOR in names else 0)
 
     def transform(self, df: DataFrame) -> DataFrame:
         """Replace each text column by 0/1 double columns ``col_value``
@@ -84,17 +91,24 @@ class OneHotModel:
                                .alias(f"{c}_{v}"))
                 else:
                     out.append(F.lit(0.0).alias(f"{c}_{v}"))
-        return df.select(*out)
+        df = df.select(*out)
+        return self.wide.transform(df) if self.wide else df
 
 
-def fit_one_hot(df: DataFrame, cols: list[str] | None = None) -> OneHotModel:
+def fit_one_hot(df: DataFrame, cols: list[str] | None = None, columns_at_most: int | None = None) -> OneHotModel:
     """Learn the sorted vocabulary of text columns (M2). Every value but the
     first becomes an output column, so the vocabulary is the schema of the
-    encoded table and reaches the driver whole; columns with more values than a
-    schema should have are to be dropped or grouped before (K6 / C20)."""
+    encoded table and reaches the driver whole; text columns with more than
+    ``columns_at_most`` values become one sparse vector instead, whose vocabulary
+    stays a table."""
     cols = text_columns(df) if cols is None else list(cols)
     if not cols:
         return OneHotModel({})
+    if columns_at_most is not None:
+        row = df.agg(*[F.approx_count_distinct(col(c), 0.02).alias(f"d{i}") for i, c in enumerate(cols)]).first()
+        wide = [c for i, c in enumerate(cols) if row[f"d{i}"] > columns_at_most]
+        narrow = fit_one_hot(df, [c for c in cols if c not in wide])
+        return OneHotModel(narrow.vocab, fit_sparse(df, wide) if wide else None)
     items = [F.struct(F.lit(c).alias("c"), col(c).alias("v")) for c in cols]
     vals = (df.select(F.explode(F.array(*items)).alias("s")).select("s.c", "s.v")
             .where(F.col("v").isNotNull()).distinct())
@@ -124,14 +138,16 @@ def assemble_numeric(df: DataFrame, target: str, one_hot: OneHotModel | None = N
     ids) are kept unchanged and are not features."""
     keep = list(passthrough or [])
     feats = df.drop(target, *keep)
-    one_hot = one_hot or fit_one_hot(feats)
+    one_hot = one_hot or fit_one_hot(feats, columns_at_most=rules.ONE_HOT_COLUMNS)
     names = one_hot.transform(feats).columns
     enc = one_hot.transform(df)
-    sel = ([F.col(f"`{c}`").cast("double").alias(c) for c in names] + [col(target)]
+    sel = ([col(c) if c == VECTOR else F.col(f"`{c}`").cast("double").alias(c) for c in names] + [col(target)]
            + [col(k) for k in keep])
     out = enc.select(*sel)
     conds = [col(target).isNotNull()]
     for c in names:
+        if c == VECTOR:
+            continue
         v = F.col(f"`{c}`")
         conds += [v.isNotNull(), ~F.isnan(v)]
     if is_numeric_type(df.schema[target].dataType):
@@ -233,7 +249,11 @@ def _both(df: DataFrame) -> DataFrame:
 
 # --------------------------------------------------------------------------- M7
 def fit_scaler(train: DataFrame, cols: list[str]) -> dict[str, tuple[float, float]]:
-    """{column: (mean, population std)} from the train side (M7)."""
+    """{column: (mean, population std)} from the train side (M7). A sparse vector
+    is left as it is: centring would fill it."""
+    cols = [c for c in cols if c != VECTOR]
+    if not cols:
+        return {}
     row = train.agg(*[mean_expr(col(c)).alias(f"m{i}") for i, c in enumerate(cols)],
                     *[std_pop_expr(col(c)).alias(f"s{i}") for i, c in enumerate(cols)]).first()
     return {c: (row[f"m{i}"], row[f"s{i}"]) for i, c in enumerate(cols)}
@@ -253,7 +273,7 @@ def apply_scaler(df: DataFrame, stats: dict[str, tuple[float, float]]) -> DataFr
 
 
 # --------------------------------------------------------------------------- M8
-def prep_stats(split_df: DataFrame, target: str, features: list[str], task_type: str) -> DataFrame:
+def prep_stats(split_df: DataFrame, target: str, features: list[str], task_type: str, n_features: int | None = None) -> DataFrame:
     """Sample counts, feature count and target statistics in one aggregate (M8)."""
     y = col(target).cast("string").try_cast("double") if not is_numeric_type(
         split_df.schema[target].dataType) else col(target).cast("double")
@@ -261,7 +281,7 @@ def prep_stats(split_df: DataFrame, target: str, features: list[str], task_type:
         F.count(F.lit(1)).alias("total_samples"),
         F.count_if(~F.col("is_test")).alias("train_samples"),
         F.count_if(F.col("is_test")).alias("test_samples"),
-        F.lit(len(features)).cast("bigint").alias("n_features"),
+        F.lit(len(features) if n_features is None else n_features).cast("bigint").alias("n_features"),
         F.lit(task_type).alias("task_type"),
         F.min(y).alias("target_min"), F.max(y).alias("target_max"),
         mean_expr(y).alias("target_mean"), F.stddev_samp(y).alias("target_std"),

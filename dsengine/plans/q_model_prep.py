@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from dsengine.operators import metrics as MT
 from dsengine.operators import prepare as P
+from dsengine.operators.onehot import VECTOR, fit_sparse
 from dsengine.plans.fixtures import dirty, table, with_dirty
 from dsengine.plans.queries import register, rounded
 
@@ -52,6 +54,24 @@ def q_one_hot(spark, sf):
     return model.transform(o)
 
 
+_SPARSE = ["p_name", "p_brand", "p_type"]
+
+
+@register("one_hot_sparse", "WITH v AS (" + " UNION ALL ".join(
+    f"SELECT DISTINCT {i} AS c, {c} AS v FROM part WHERE {c} IS NOT NULL" for i, c in enumerate(_SPARSE))
+    + """), ranked AS (SELECT c, v, row_number() OVER (ORDER BY c, v) - c - 2 AS slot, row_number() OVER (PARTITION BY c ORDER BY v) AS place FROM v),
+slots AS (SELECT c, v, slot FROM ranked WHERE place > 1),
+got AS (SELECT p_partkey, slot FROM part JOIN slots ON c = 0 AND v = p_name UNION ALL
+        SELECT p_partkey, slot FROM part JOIN slots ON c = 1 AND v = p_brand UNION ALL
+        SELECT p_partkey, slot FROM part JOIN slots ON c = 2 AND v = p_type)
+SELECT p_partkey, coalesce((SELECT string_agg(CAST(slot AS STRING), ',' ORDER BY slot) FROM got WHERE got.p_partkey = part.p_partkey), '') AS slots FROM part""")
+def q_one_hot_sparse(spark, sf):
+    p = table(spark, sf, "part").select("p_partkey", *_SPARSE)
+    out = fit_sparse(p, _SPARSE).transform(p)
+    at = F.transform(vector_to_array(VECTOR), lambda x, i: F.when(x == 1, i))
+    return out.select("p_partkey", F.array_join(F.filter(at, lambda i: i.isNotNull()), ",").alias("slots"))
+
+
 _VALID_COLS = ["k", "order_id", "customer_age", "gender", "total_price", "shipping_cost",
                "discount_rate", "priority", "is_large", "legacy_code", "item_count", "status"]
 

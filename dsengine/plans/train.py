@@ -23,6 +23,7 @@ from dsengine.operators import clean as C
 from dsengine.operators import metrics as MT
 from dsengine.operators import models as MD
 from dsengine.operators import prepare as P
+from dsengine.operators.onehot import VECTOR
 from dsengine.plans.cleaning import discard, materialize
 
 ROW_ID = "__rowid"
@@ -89,7 +90,7 @@ def prepare(df: DataFrame, target: str, key: list[str] | None = None,
     scaler = P.fit_scaler(train, features)
     train = P.apply_scaler(train, scaler)
     test = P.apply_scaler(test, scaler)
-    prep = P.prep_stats(split, target, features, task)
+    prep = P.prep_stats(split, target, features, task, one_hot.n_features(features))
     return train, test, features, classes, task, one_hot, scaler, prep, dated
 
 
@@ -271,11 +272,14 @@ def score(bundle: ScoringBundle, df: DataFrame, id_col: str | None = None) -> Da
     drop = [c for c in bundle.removed_columns + [bundle.target] if c in inputs]
     work = K.binary_encode(base.drop(*drop),
                            {c: p for c, p in bundle.pairs.items() if c in inputs})
-    raw_numeric = [c for c in work.columns if c in bundle.features]
+    raw_numeric = [c for c in work.columns if c in bundle.features and c != VECTOR]
     work = work.withColumn("error", validity(work, raw_numeric))
     enc = bundle.one_hot.transform(work)
     fcols = []
     for c in bundle.features:
+        if c == VECTOR:
+            fcols.append(col(c))
+            continue
         m, s = bundle.scaler.get(c, (0.0, 1.0))
         m = 0.0 if m is None else m
         s = 1.0 if not s else s

@@ -136,6 +136,10 @@ def save_bundle(bundle, spark: SparkSession, path: str | None = None) -> str:
     for i, model in enumerate(models):
         model.write().overwrite().save(f"{path}/model-{i}")
     meta["model_classes"] = [f"{type(x).__module__}.{type(x).__name__}" for x in models]
+    wide = bundle.one_hot.wide
+    meta["wide"] = {"columns": wide.columns, "sizes": wide.sizes} if wide else None
+    if wide:
+        wide.table.write.mode("overwrite").parquet(f"{path}/vocabulary")
     train = extra.pop("train", None)
     if train is not None:
         train.write.mode("overwrite").parquet(f"{path}/train")
@@ -147,9 +151,13 @@ def save_bundle(bundle, spark: SparkSession, path: str | None = None) -> str:
 
 def load_bundle(spark: SparkSession, path: str):
     from dsengine.operators import models as MD
+    from dsengine.operators.onehot import SparseOneHot
     from dsengine.operators.prepare import OneHotModel
     from dsengine.plans.train import ScoringBundle
     meta = json.loads(spark.read.text(f"{path}/meta").first()["value"])
+    wide = meta.get("wide")
+    if wide:
+        wide = SparseOneHot(wide["columns"], wide["sizes"], spark.read.parquet(f"{path}/vocabulary"))
     models = []
     for i, name in enumerate(meta["model_classes"]):
         mod, cls = name.rsplit(".", 1)
@@ -165,6 +173,6 @@ def load_bundle(spark: SparkSession, path: str):
                        models[0] if models else None, extra, MD.TRANSFORMS[meta["kind"]])
     classes = [int(c) for c in meta["classes"]] if meta["class_kind"] == "int" else meta["classes"]
     return ScoringBundle(meta["target"], meta["task_type"], meta["features"], classes,
-                         OneHotModel(meta["vocab"]), {k: tuple(v) for k, v in meta["scaler"].items()},
+                         OneHotModel(meta["vocab"], wide), {k: tuple(v) for k, v in meta["scaler"].items()},
                          fitted, meta["removed"], {k: tuple(v) for k, v in meta["pairs"].items()},
                          meta.get("date_columns", []), meta.get("text_columns", []))
