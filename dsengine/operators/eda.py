@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from dsengine import rules
 from dsengine.functions.exprs import col, is_missing, mean_expr, numeric_columns, sum_of, text_columns
+from dsengine.functions.gram import correlations
 from dsengine.functions.quantiles import exact_quantiles
 from dsengine.functions.staging import multi_pass
 from dsengine.operators.profile import value_counts
@@ -368,68 +369,16 @@ def contingency_wide(df: DataFrame, column: str, target: str) -> DataFrame:
 
 # --------------------------------------------------------------------------- E13
 def corr_pairs(df: DataFrame, vals: dict, pairs: list[tuple[str, str]]) -> dict:
-    """Pearson correlation for each (a, b) over pair-complete rows.
-
-    Values are shifted by their column mean (one cheap aggregate) so the
-    moment sums do not cancel; null-free pairs share per-column sums, so a
-    table without nulls needs d + d(d+1)/2 plain sums in one aggregate."""
+    """Pearson correlation for each (a, b) over pair-complete rows, null when
+    undefined: one job over partial Gram matrices (``functions/gram.py``)."""
     cols = sorted({c for p in pairs for c in p})
-    if not cols:
-        return {}
-    r0 = df.agg(F.count(F.lit(1)).alias("rows"),
-                *[F.avg(vals[c]).alias(f"m{i}") for i, c in enumerate(cols)],
-                *[F.count(vals[c]).alias(f"n{i}") for i, c in enumerate(cols)],
-                *[(F.min(vals[c]) == F.max(vals[c])).alias(f"c{i}") for i, c in enumerate(cols)]).first()
-    rows = r0["rows"]
-    idx = {c: i for i, c in enumerate(cols)}
-    mean = {c: (r0[f"m{idx[c]}"] or 0.0) for c in cols}
-    full = {c: r0[f"n{idx[c]}"] == rows for c in cols}
-    sh = {c: vals[c] - F.lit(mean[c]) for c in cols}
-    aggs = {}
-    for c in cols:
-        if full[c]:
-            aggs[f"s_{idx[c]}"] = F.sum(sh[c])
-            aggs[f"q_{idx[c]}"] = F.sum(sh[c] * sh[c])
-    for a, b in pairs:
-        ia, ib = sorted((idx[a], idx[b]))
-        ca, cb = cols[ia], cols[ib]
-        if full[ca] and full[cb]:
-            aggs[f"x_{ia}_{ib}"] = F.sum(sh[ca] * sh[cb])
-        else:
-            both = vals[ca].isNotNull() & vals[cb].isNotNull()
-            xa, xb = F.when(both, sh[ca]), F.when(both, sh[cb])
-            aggs[f"pn_{ia}_{ib}"] = F.count(xa)
-            aggs[f"pa_{ia}_{ib}"] = F.sum(xa)
-            aggs[f"pb_{ia}_{ib}"] = F.sum(xb)
-            aggs[f"paa_{ia}_{ib}"] = F.sum(xa * xa)
-            aggs[f"pbb_{ia}_{ib}"] = F.sum(xb * xb)
-            aggs[f"pab_{ia}_{ib}"] = F.sum(xa * xb)
-    r = df.agg(*[v.alias(k) for k, v in aggs.items()]).first().asDict() if aggs else {}
-    out = {}
-    for a, b in pairs:
-        ia, ib = sorted((idx[a], idx[b]))
-        ca, cb = cols[ia], cols[ib]
-        if full[ca] and full[cb]:
-            n, sa, sb = rows, r[f"s_{ia}"], r[f"s_{ib}"]
-            saa, sbb, sab = r[f"q_{ia}"], r[f"q_{ib}"], r[f"x_{ia}_{ib}"]
-        else:
-            n, sa, sb = r[f"pn_{ia}_{ib}"], r[f"pa_{ia}_{ib}"], r[f"pb_{ia}_{ib}"]
-            saa, sbb, sab = r[f"paa_{ia}_{ib}"], r[f"pbb_{ia}_{ib}"], r[f"pab_{ia}_{ib}"]
-        if not n or n < 2 or sa is None or r0[f"c{ia}"] or r0[f"c{ib}"]:
-            out[(a, b)] = None
-            continue
-        vxx = saa - sa * sa / n
-        vyy = sbb - sb * sb / n
-        vxy = sab - sa * sb / n
-        # a side that is constant over the pair's rows leaves a rounding residue
-        varies = vxx > 1e-12 * saa and vyy > 1e-12 * sbb
-        out[(a, b)] = vxy / math.sqrt(vxx * vyy) if varies else None
-    return out
+    at = {c: i for i, c in enumerate(cols)}
+    return dict(zip(pairs, correlations(df, [vals[c] for c in cols], [(at[a], at[b]) for a, b in pairs])))
 
 
 def correlation_matrix(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """(column_a, column_b, corr) for all numeric pairs, pair-complete rows,
-    null when undefined (E13). Two aggregates (means, then moment sums)."""
+    null when undefined (E13)."""
     cols = numeric_columns(df) if cols is None else list(cols)
     spark = df.sparkSession
     if not cols:

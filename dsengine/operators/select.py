@@ -1,8 +1,7 @@
 """Feature selection by absolute Pearson correlation with the target.
 
-One aggregate computes every column's pair-complete correlation with the
-target (covariance / standard deviations, so constant columns give null
-rather than an ANSI division error)."""
+One job of partial Gram matrices gives every column's pair-complete correlation
+with the target; a column that does not vary gives null."""
 
 from __future__ import annotations
 
@@ -10,8 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dsengine import rules
-from dsengine.functions.exprs import col, numeric_columns, pair_corr
-from dsengine.operators.profile import _stack_row
+from dsengine.functions.exprs import col, numeric_columns
+from dsengine.functions.gram import correlations
 
 
 def target_correlation(df: DataFrame, target: str) -> DataFrame:
@@ -19,13 +18,12 @@ def target_correlation(df: DataFrame, target: str) -> DataFrame:
     cols = [c for c in numeric_columns(df) if c != target]
     if not cols:
         return df.sparkSession.createDataFrame([], "column_name string, abs_corr double")
-    y = col(target).cast("double")
-    y = F.when(~F.isnan(y), y)
-    aggs = []
-    for i, c in enumerate(cols):
+    values = []
+    for c in [target, *cols]:
         x = col(c).cast("double")
-        aggs.append(F.abs(pair_corr(F.when(~F.isnan(x), x), y)).alias(f"abs_corr__{i}"))
-    return _stack_row(df.agg(*aggs), cols, ["abs_corr"]).select("column_name", "abs_corr")
+        values.append(F.when(~F.isnan(x), x))
+    r = correlations(df, values, [(i + 1, 0) for i in range(len(cols))])
+    return df.sparkSession.createDataFrame([(c, None if v is None else abs(v)) for c, v in zip(cols, r)], "column_name string, abs_corr double")
 
 
 def low_correlation(corr: DataFrame, threshold: float | None = None) -> DataFrame:
