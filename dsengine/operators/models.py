@@ -7,19 +7,15 @@ regression) and optionally ``__w`` weights. Output: a ``Fitted`` object whose
 classifiers that have one).
 
 Built-in Spark ML estimators are used where they exist (logistic, forests,
-GBT, trees, MLP, linear regression). Composed ones:
+GBT, trees, linear regression). Composed ones:
 * AdaBoost (SAMME): each round a weighted decision stump is chosen from one
-  aggregate of weighted class counts per (feature, candidate threshold);
-  predictions and weight updates are column expressions, and the weights
-  are written out every 10 rounds to cut the lineage.
+  job over (feature, cut, class); the vote reads the stumps from one array.
 * AdaBoost.R2: weighted depth-3 regression trees (Spark ML, ``weightCol``),
   weighted-median read-out with array functions.
 * kNN: exact, by metric partitions (``neighbours.py``), one path at every size.
 * RBF SVM / SVR: random Fourier features as column expressions, then
   LinearSVC (one-vs-rest) / Huber linear regression. An approximation.
-* MLP regressor: the target is cut into quantile bins, an MLP classifier
-  predicts bin probabilities, prediction = sum(p_k * bin mean). An
-  approximation.
+* Neural networks: data-parallel Adam with early stop (``network.py``).
 """
 
 from __future__ import annotations
@@ -31,8 +27,7 @@ from typing import Any
 import numpy as np
 import pandas as pd
 from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LinearSVC,
-                                       LogisticRegression, MultilayerPerceptronClassifier,
-                                       OneVsRest, RandomForestClassifier)
+                                       LogisticRegression, OneVsRest, RandomForestClassifier)
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import (DecisionTreeRegressor, GBTRegressor, LinearRegression,
@@ -42,7 +37,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dsengine import rules
+from dsengine.functions.staging import drop_stage, write_stage
 from dsengine.operators.neighbours import nearest_rows
+from dsengine.operators.network import apply_network, fit_network
 from dsengine.operators.onehot import VECTOR
 
 CLASSIFIERS = rules.CLASSIFIERS
@@ -138,10 +135,19 @@ def fit_tree_classifier(train, features, n_classes, depth=rules.TREE_MAX_DEPTH):
 
 
 def fit_mlp_classifier(train, features, n_classes, max_iter=rules.MLP_MAX_ITER):
+    """Neural network with cross-entropy, early stop by held-out loss."""
     scalars("Neural Network Classifier", features)
-    layers = [len(features)] + rules.MLP_HIDDEN + [max(2, n_classes)]
-    est = MultilayerPerceptronClassifier(layers=layers, maxIter=max_iter, seed=rules.SEED)
-    return _fit_ml("Neural Network Classifier", "classification", est, train, features, n_classes)
+    extra = fit_network(train, features, max(2, n_classes), max_iter)
+    return Fitted("Neural Network Classifier", "classification", features, n_classes, None, extra, net_transform)
+
+
+def net_transform(f: Fitted, df: DataFrame) -> DataFrame:
+    out = apply_network(f.extra, f.features, df)
+    kept = [F.col(f"`{c}`") for c in df.columns]
+    if not f.extra["classes"]:
+        return out.select(*kept, F.col("__net")[0].alias("prediction"))
+    best = (F.array_position("__net", F.array_max("__net")) - 1).cast("double")
+    return out.select(*kept, best.alias("prediction"), F.col("__net").alias("probability"))
 
 
 def fit_linear(train, features):
@@ -287,73 +293,69 @@ def _stump_candidates(train: DataFrame, features: list[str], bins: int = 32) ->
     return {c: sorted(set(float(v) for v in (row[f"t{i}"] or []))) for i, c in enumerate(features)}
 
 
-def _stump_pred(feature: str, thr: float, left: float, right: float) -> Column:
-    return F.when(F.col(f"`{feature}`") <= F.lit(thr), F.lit(left)).otherwise(F.lit(right))
+def best_stump(rows: DataFrame, n_cuts: list[int]) -> DataFrame:
+    """(f, cut, err, total, left, right): the stump of least weighted error among all
+    (feature, cut), ties to the first feature and the lowest cut. ``rows`` has the bins
+    ``__bins`` of each row (a row goes left of a cut if its bin is at most the cut),
+    ``label`` and ``__w``. Weights of (feature, bin, class) are summed once; every entry
+    then adds to the sides of each cut of its feature, and the sides' heaviest classes
+    (ties to the smallest) decide the error."""
+    at = rows.select(F.posexplode("__bins").alias("f", "b"), "label", "__w").groupBy("f", "b", "label").agg(F.sum("__w").alias("w"))
+    cuts = F.sequence(F.lit(0), F.lit(n_cuts)[F.col("f")] - 1)
+    sides = at.where(F.lit(n_cuts)[F.col("f")] > 0).select("f", "b", "label", "w", F.explode(cuts).alias("cut"))
+    left = F.when(F.col("b") <= F.col("cut"), F.col("w")).otherwise(0.0)
+    sides = sides.groupBy("f", "cut", "label").agg(F.sum(left).alias("l"), F.sum(F.col("w") - left).alias("r"))
+    heavy = [F.max(F.struct(F.col(c).alias("w"), (-F.col("label")).alias("y"))).alias(f"best_{c}") for c in "lr"]
+    cost = sides.groupBy("f", "cut").agg(F.sum("l").alias("sum_l"), F.sum("r").alias("sum_r"), *heavy)
+    err = F.col("sum_l") - F.col("best_l.w") + F.col("sum_r") - F.col("best_r.w")
+    cost = cost.select("f", "cut", err.alias("err"), (F.col("sum_l") + F.col("sum_r")).alias("total"), (-F.col("best_l.y")).alias("left"), (-F.col("best_r.y")).alias("right"))
+    return cost.orderBy(F.round("err", 12), "f", "cut").limit(1)
 
 
 def fit_adaboost_classifier(train, features, n_classes, rounds=rules.N_TREES,
                             checkpoint_every=10):
-    """SAMME with weighted decision stumps."""
+    """SAMME with weighted decision stumps (M16). Features are binned once; a round is
+    one job whose best row reaches the driver. Weights are a column, renewed by the last
+    stumps and written every ``checkpoint_every`` rounds."""
     scalars("AdaBoost Classifier", features)
-    from dsengine.plans.cleaning import materialize
     k = max(2, n_classes)
     cands = _stump_candidates(train, features)
     n = train.count()
     live = [c for c in features if cands[c]]
 
     def bin_of(c):
-        pos = F.lit(0)
-        for t in cands[c]:
-            pos = pos + F.when(F.col(f"`{c}`") > F.lit(t), 1).otherwise(0)
-        return pos
-
-    # features are binned once; every round only re-aggregates weights per bin
-    cur = train.select(*[bin_of(c).alias(f"__b{i}") for i, c in enumerate(live)],
-                       F.col("label").cast("double").alias("label"), F.lit(1.0 / n).alias("__w"))
-    cur = materialize(cur, "adaboost-bins")
-    items = [F.struct(F.lit(c).alias("f"), F.col(f"__b{i}").alias("b")) for i, c in enumerate(live)]
+        return F.size(F.filter(F.lit(cands[c]), lambda t: t < F.col(f"`{c}`"))).alias(c)
+
+    n_cuts = [len(cands[c]) for c in live]
+    cur = train.select(F.array(*[bin_of(c) for c in live]).alias("__bins") if live else F.array().cast("array<int>").alias("__bins"),
+                       F.col("label").cast("double").alias("label"))
+    # rows that agree in all bins and in the label keep one weight
+    cur = cur.groupBy("__bins", "label").agg((F.count("*") / F.lit(float(n))).alias("__w"))
+    cur = old = write_stage(cur, "adaboost")
     stumps = []
-    for m in range(rounds):
-        hist = (cur.select(F.explode(F.array(*items)).alias("s"), "label", "__w")
-                .groupBy("s.f", "s.b", "label").agg(F.sum("__w").alias("w")).collect())
-        total = sum(h["w"] for h in hist) / max(1, len(items))
-        best = None
-        by_f: dict = {}
-        for h in hist:
-            by_f.setdefault(h["f"], {}).setdefault(h["b"], {})[h["label"]] = h["w"]
-        for c, bins in by_f.items():
-            th = cands[c]
-            classes = sorted({y for b in bins.values() for y in b})
-            for cut in range(len(th)):
-                left = {y: sum(bins.get(b, {}).get(y, 0.0) for b in bins if b <= cut) for y in classes}
-                right = {y: sum(bins.get(b, {}).get(y, 0.0) for b in bins if b > cut) for y in classes}
-                lc = max(left, key=lambda y: (left[y], -y)) if any(left.values()) else classes[0]
-                rc = max(right, key=lambda y: (right[y], -y)) if any(right.values()) else classes[0]
-                err = (sum(left.values()) - left.get(lc, 0.0)) + (sum(right.values()) - right.get(rc, 0.0))
-                if best is None or err < best[0] - 1e-15:
-                    best = (err, c, th[cut], lc, rc)
+    for m in range(rounds if live else 0):
+        best = best_stump(cur, n_cuts).first()
         if best is None:
             break
-        err = max(best[0] / total, 1e-12) if total else 1.0
+        c, t = live[best["f"]], cands[live[best["f"]]][best["cut"]]
+        err = max(best["err"] / best["total"], 1e-12) if best["total"] else 1.0
         if err >= 1 - 1.0 / k:
             if not stumps:
-                stumps.append((best[1], best[2], best[3], best[4], 1.0))
+                stumps.append((c, t, best["left"], best["right"], 1.0))
             break
         alpha = math.log((1 - err) / err) + math.log(k - 1)
-        stumps.append((best[1], best[2], best[3], best[4], alpha))
-        bi = live.index(best[1])
-        cut = cands[best[1]].index(best[2])
-        miss = (F.when(F.col(f"__b{bi}") <= F.lit(cut), F.lit(best[3])).otherwise(F.lit(best[4]))
-                != F.col("label"))
-        # renormalise analytically: sum_new = (1 - err) + err * e^alpha of total
+        stumps.append((c, t, best["left"], best["right"], alpha))
+        if best["err"] <= 0:
+            break
+        said = F.when(F.col("__bins")[best["f"]] <= best["cut"], F.lit(best["left"])).otherwise(F.lit(best["right"]))
+        # the sum of the new weights is known: (1 - err) + err * e^alpha of the total
         norm = (1 - err) + err * math.exp(alpha)
-        cur = cur.withColumn("__w", F.col("__w") * F.when(miss, F.lit(math.exp(alpha))).otherwise(1.0)
-                             / F.lit(norm))
+        cur = cur.withColumn("__w", F.col("__w") * F.when(said != F.col("label"), F.lit(math.exp(alpha) / norm)).otherwise(F.lit(1.0 / norm)))
         if (m + 1) % checkpoint_every == 0:
-            cur = materialize(cur, "adaboost")
-        if best[0] == 0:
-            break
-
+            cur = write_stage(cur, "adaboost")
+            drop_stage(old)
+            old = cur
+    drop_stage(old)
     imp = [0.0] * len(features)
     for c, _, _, _, a in stumps:
         imp[features.index(c)] += a
@@ -364,18 +366,25 @@ def fit_adaboost_classifier(train, features, n_classes, rounds=rules.N_TREES,
 
 
 def adaboost_transform(f: Fitted, df: DataFrame) -> DataFrame:
-    """Weighted vote of the stumps as column expressions (SAMME read-out)."""
-    scores = []
-    for cls in range(f.extra["k"]):
-        s = F.lit(0.0)
-        for c, t, lc, rc, a in f.extra["stumps"]:
-            s = s + F.when(_stump_pred(c, t, lc, rc) == F.lit(float(cls)), F.lit(a)).otherwise(0.0)
-        scores.append(s)
-    arr = F.array(*scores)
+    """Weighted vote over the stumps, held as an array whatever their number and that
+    of the classes (SAMME read-out)."""
+    x = F.array(*[F.col(f"`{c}`").cast("double") for c in f.features])
+    stumps = f.extra["stumps"]
+    if not stumps:
+        stumps = [(f.features[0], 0.0, 0.0, 0.0, 0.0)]
+    each = F.arrays_zip(*[F.lit([float(v) for v in column]).alias(name) for name, column in
+                          zip("ftlra", [[f.features.index(s[0]) for s in stumps], *[[s[i] for s in stumps] for i in (1, 2, 3, 4)]])])
+    out = df.withColumn("__x", x)
+    votes = F.transform(each, lambda s: F.struct(F.when(F.get(F.col("__x"), s.f.cast("int")) <= s.t, s.l).otherwise(s.r).alias("c"), s.a.alias("a")))
+    out = out.withColumn("__votes", votes)
+    score = F.transform(F.sequence(F.lit(0), F.lit(f.extra["k"] - 1)), lambda c: F.aggregate(F.filter("__votes", lambda v: v.c == c), F.lit(0.0), lambda acc, v: acc + v.a))
+    out = out.withColumn("__scores", score)
+    arr = F.col("__scores")
     best_i = F.array_position(arr, F.array_max(arr)) - 1
-    tot = F.aggregate(F.transform(arr, lambda v: F.exp(v)), F.lit(0.0), lambda a, v: a + v)
-    prob = F.transform(arr, lambda v: F.exp(v) / tot)
-    return df.select("*", best_i.cast("double").alias("prediction"), prob.alias("probability"))
+    e = F.transform(arr, lambda v: F.exp(v - F.array_max(arr)))
+    tot = F.aggregate(e, F.lit(0.0), lambda a, v: a + v)
+    return out.select(*[F.col(f"`{c}`") for c in df.columns], best_i.cast("double").alias("prediction"),
+                      F.transform(e, lambda v: v / tot).alias("probability"))
 
 
 def fit_adaboost_regressor(train, features, rounds=rules.N_TREES, checkpoint_every=10):
@@ -433,38 +442,15 @@ def adaboost_r2_transform(f: Fitted, df: DataFrame) -> DataFrame:
 
 
 # --------------------------------------------------------------------------- MLP regressor
-def fit_mlp_regressor(train, features, bins=20, max_iter=rules.MLP_MAX_ITER):
-    """Quantile-binned target, MLP classifier over bins; prediction is the
-    probability-weighted mean of the bins (M23, approximation)."""
+def fit_mlp_regressor(train, features, max_iter=rules.MLP_MAX_ITER):
+    """Neural network with squared loss, early stop by held-out loss."""
     scalars("Neural Network Regressor", features)
-    probs = [i / bins for i in range(1, bins)]
-    cuts = sorted(set(train.agg(F.percentile_approx("label", probs, 10000)).first()[0] or []))
-    b = F.lit(0)
-    for c in cuts:
-        b = b + F.when(F.col("label") > F.lit(float(c)), 1).otherwise(0)
-    t = train.withColumn("__bin", b.cast("double"))
-    means = {r["__bin"]: r["m"] for r in t.groupBy("__bin").agg(F.avg("label").alias("m")).collect()}
-    nb = len(cuts) + 1
-    mean_vec = [float(means.get(float(i), 0.0)) for i in range(nb)]
-    layers = [len(features)] + rules.MLP_HIDDEN + [max(2, nb)]
-    est = MultilayerPerceptronClassifier(layers=layers, maxIter=max_iter, seed=rules.SEED,
-                                         labelCol="__bin")
-    model = est.fit(assemble(t, features))
-
-    return Fitted("Neural Network Regressor", "regression", features, 0, model, {"means": mean_vec}, mlp_bins_transform)
-
-
-def mlp_bins_transform(f: Fitted, df: DataFrame) -> DataFrame:
-    out = f.model.transform(assemble(df, f.features))
-    p = vector_to_array("probability")
-    means = F.array(*[F.lit(v) for v in f.extra["means"]])
-    pred = F.aggregate(F.arrays_zip(p.alias("p"), means.alias("m")), F.lit(0.0), lambda a, z: a + z["p"] * z["m"])
-    return out.select(*[F.col(f"`{c}`") for c in df.columns], pred.alias("prediction"))
+    return Fitted("Neural Network Regressor", "regression", features, 0, None, fit_network(train, features, 0, max_iter), net_transform)
 
 
 #: How a stored model predicts, by the kind it is stored under.
 TRANSFORMS = {"ml": _ml_transform, "svm": svm_transform, "svr": svr_transform, "knn": knn_transform, "stumps": adaboost_transform,
-              "trees": adaboost_r2_transform, "bins": mlp_bins_transform}
+              "trees": adaboost_r2_transform, "net": net_transform}
 
 
 # --------------------------------------------------------------------------- registry
