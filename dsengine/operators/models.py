@@ -26,6 +26,7 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LinearSVC,
                                        LogisticRegression, OneVsRest, RandomForestClassifier)
 from pyspark.ml.feature import VectorAssembler
@@ -293,23 +294,55 @@ def _stump_candidates(train: DataFrame, features: list[str], bins: int = 32) ->
     return {c: sorted(set(float(v) for v in (row[f"t{i}"] or []))) for i, c in enumerate(features)}
 
 
-def best_stump(rows: DataFrame, n_cuts: list[int]) -> DataFrame:
+def _stump_weights(stumps: list[tuple[int, int, float, float, float, float]], bins: np.ndarray, label: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Weights after the stumps (feature, cut, left, right, alpha, norm)."""
+    for f, cut, left, right, alpha, norm in stumps:
+        w = w * np.where(np.where(bins[:, f] <= cut, left, right) != label, math.exp(alpha) / norm, 1.0 / norm)
+    return w
+
+
+def best_stump(rows: DataFrame, n_cuts: list[int], k: int, stumps: list = ()) -> DataFrame:
     """(f, cut, err, total, left, right): the stump of least weighted error among all
     (feature, cut), ties to the first feature and the lowest cut. ``rows`` has the bins
     ``__bins`` of each row (a row goes left of a cut if its bin is at most the cut),
-    ``label`` and ``__w``. Weights of (feature, bin, class) are summed once; every entry
-    then adds to the sides of each cut of its feature, and the sides' heaviest classes
+    ``label`` (0 to k - 1) and ``__w``, to be renewed by ``stumps``.
+
+    Tasks sum weights by (feature, bin, class); a group a feature adds those up, and
+    running sums over the bins give both sides of every cut. The sides' heaviest classes
     (ties to the smallest) decide the error."""
-    at = rows.select(F.posexplode("__bins").alias("f", "b"), "label", "__w").groupBy("f", "b", "label").agg(F.sum("__w").alias("w"))
-    cuts = F.sequence(F.lit(0), F.lit(n_cuts)[F.col("f")] - 1)
-    sides = at.where(F.lit(n_cuts)[F.col("f")] > 0).select("f", "b", "label", "w", F.explode(cuts).alias("cut"))
-    left = F.when(F.col("b") <= F.col("cut"), F.col("w")).otherwise(0.0)
-    sides = sides.groupBy("f", "cut", "label").agg(F.sum(left).alias("l"), F.sum(F.col("w") - left).alias("r"))
-    heavy = [F.max(F.struct(F.col(c).alias("w"), (-F.col("label")).alias("y"))).alias(f"best_{c}") for c in "lr"]
-    cost = sides.groupBy("f", "cut").agg(F.sum("l").alias("sum_l"), F.sum("r").alias("sum_r"), *heavy)
-    err = F.col("sum_l") - F.col("best_l.w") + F.col("sum_r") - F.col("best_r.w")
-    cost = cost.select("f", "cut", err.alias("err"), (F.col("sum_l") + F.col("sum_r")).alias("total"), (-F.col("best_l.y")).alias("left"), (-F.col("best_r.y")).alias("right"))
-    return cost.orderBy(F.round("err", 12), "f", "cut").limit(1)
+    def count(batches):
+        cells = [np.zeros((n + 1, k)) for n in n_cuts]
+        for batch in batches:
+            label = batch["label"].to_numpy().astype(np.int64)
+            bins = np.asarray(batch["__bins"].flatten().to_numpy(zero_copy_only=False)).reshape(len(label), -1)
+            w = _stump_weights(stumps, bins, label, batch["__w"].to_numpy())
+            for f, n in enumerate(n_cuts):
+                cells[f] += np.bincount(bins[:, f] * k + label, w, (n + 1) * k).reshape(n + 1, k)
+        yield pa.RecordBatch.from_pydict({"f": pa.array(range(len(n_cuts)), pa.int32()), "cells": pa.array([c.ravel() for c in cells], pa.list_(pa.float64()))})
+
+    def search(key, table):
+        f = key[0].as_py()
+        cells = np.sum([c.values.to_numpy(zero_copy_only=False) for c in table["cells"].combine_chunks()], axis=0).reshape(-1, k)
+        left, right = cells.cumsum(0)[:-1], cells[::-1].cumsum(0)[::-1][1:]
+        heavy = [np.round(side, 12).argmax(1) for side in (left, right)]
+        err = sum(side.sum(1) - side[np.arange(len(side)), h] for side, h in zip((left, right), heavy))
+        cut = int(np.round(err, 12).argmin())
+        return pa.table({"f": pa.array([f], pa.int32()), "cut": pa.array([cut], pa.int32()), "err": [float(err[cut])], "total": [float(cells.sum())],
+                         "left": [float(heavy[0][cut])], "right": [float(heavy[1][cut])]})
+
+    summed = rows.select("__bins", "label", "__w").mapInArrow(count, "f int, cells array<double>").where(F.lit(n_cuts)[F.col("f")] > 0)
+    found = summed.groupBy("f").applyInArrow(search, "f int, cut int, err double, total double, left double, right double")
+    return found.orderBy(F.round("err", 12), "f").limit(1)
+
+
+def _renewed(rows: DataFrame, stumps: list) -> DataFrame:
+    def run(batches):
+        for batch in batches:
+            label = batch["label"].to_numpy()
+            bins = np.asarray(batch["__bins"].flatten().to_numpy(zero_copy_only=False)).reshape(len(label), -1)
+            yield pa.RecordBatch.from_arrays([batch["__bins"], batch["label"], pa.array(_stump_weights(stumps, bins, label, batch["__w"].to_numpy()))], names=["__bins", "label", "__w"])
+
+    return rows.select("__bins", "label", "__w").mapInArrow(run, "__bins array<int>, label double, __w double")
 
 
 def fit_adaboost_classifier(train, features, n_classes, rounds=rules.N_TREES,
@@ -332,9 +365,9 @@ def fit_adaboost_classifier(train, features, n_classes, rounds=rules.N_TREES,
     # rows that agree in all bins and in the label keep one weight
     cur = cur.groupBy("__bins", "label").agg((F.count("*") / F.lit(float(n))).alias("__w"))
     cur = old = write_stage(cur, "adaboost")
-    stumps = []
+    stumps, fresh = [], []
     for m in range(rounds if live else 0):
-        best = best_stump(cur, n_cuts).first()
+        best = best_stump(cur, n_cuts, k, fresh).first()
         if best is None:
             break
         c, t = live[best["f"]], cands[live[best["f"]]][best["cut"]]
@@ -347,12 +380,10 @@ def fit_adaboost_classifier(train, features, n_classes, rounds=rules.N_TREES,
         stumps.append((c, t, best["left"], best["right"], alpha))
         if best["err"] <= 0:
             break
-        said = F.when(F.col("__bins")[best["f"]] <= best["cut"], F.lit(best["left"])).otherwise(F.lit(best["right"]))
         # the sum of the new weights is known: (1 - err) + err * e^alpha of the total
-        norm = (1 - err) + err * math.exp(alpha)
-        cur = cur.withColumn("__w", F.col("__w") * F.when(said != F.col("label"), F.lit(math.exp(alpha) / norm)).otherwise(F.lit(1.0 / norm)))
+        fresh.append((best["f"], best["cut"], best["left"], best["right"], alpha, (1 - err) + err * math.exp(alpha)))
         if (m + 1) % checkpoint_every == 0:
-            cur = write_stage(cur, "adaboost")
+            cur, fresh = write_stage(_renewed(cur, fresh), "adaboost"), []
             drop_stage(old)
             old = cur
     drop_stage(old)

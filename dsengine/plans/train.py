@@ -12,11 +12,14 @@ and scored 0; all failing raises.
 from __future__ import annotations
 
 import traceback
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from dsengine import rules
 from dsengine.functions.exprs import col
 from dsengine.operators import categorical as K
 from dsengine.operators import clean as C
@@ -88,8 +91,9 @@ def prepare(df: DataFrame, target: str, key: list[str] | None = None,
     train = split.where(~F.col("is_test"))
     test = split.where(F.col("is_test"))
     scaler = P.fit_scaler(train, features)
-    train = P.apply_scaler(train, scaler)
-    test = P.apply_scaler(test, scaler)
+    # the scaled table is written once; every fit and metric reads it
+    scaled = materialize(P.apply_scaler(split, scaler), "scaled")
+    train, test = scaled.where(~F.col("is_test")), scaled.where(F.col("is_test"))
     prep = P.prep_stats(split, target, features, task, one_hot.n_features(features))
     return train, test, features, classes, task, one_hot, scaler, prep, dated
 
@@ -143,44 +147,43 @@ def train_all(df: DataFrame, target: str, key: list[str] | None = None,
               models: list[str] | None = None, model_params: dict | None = None) -> TrainResult:
     spark = df.sparkSession
     train, test, features, classes, task, one_hot, scaler, prep, dated = prepare(df, target, key)
-    # both sides are narrow projections (scaling) of the written split
     train, test = train.drop("is_test"), test.drop("is_test")
     names = models or (MD.CLASSIFIERS if task == "classification" else MD.REGRESSORS)
     params = model_params or {}
-    fitted, errors, rows, preds = {}, {}, [], {}
     binary = task == "classification" and len(classes) == 2
-    import os
-    import time
-    trace = os.environ.get("DSENGINE_TRACE")
-    for i, name in enumerate(names):
-        t0 = time.perf_counter()
+
+    def one(name: str):
+        """The fitted model, its predictions and its metrics, or why it failed."""
         try:
             kw = dict(params.get(name, {}))
             if name.startswith("K-Nearest"):
                 kw.setdefault("id_col", ROW_ID)
             m = MD.fit(name, task, train, features, len(classes), **kw)
             out = m.transform(test)
-            preds[name] = out
             if task == "classification":
                 met = MT.classification_metrics(out, "label", "prediction").first()
                 auc = 0.0
                 if binary and "probability" in out.columns:
                     sc = out.select(F.col("label"), F.col("probability")[1].alias("score"))
                     auc = MT.roc_auc(sc, "label", "score").first()[0]
-                rows.append((name, i, met["accuracy"], met["precision"], met["recall"],
-                             met["f1_score"], float(auc), None, None, None, None, None))
-            else:
-                met = MT.regression_metrics(out, "label", "prediction").first()
-                rows.append((name, i, None, None, None, None, None, met["r2_score"], met["mae"],
-                             met["rmse"], met["mape"], None))
-            fitted[name] = m
-            if trace:
-                print(f"[train] {name:20s} {time.perf_counter() - t0:.1f}s", flush=True)
+                return m, out, (met["accuracy"], met["precision"], met["recall"], met["f1_score"], float(auc), None, None, None, None), None
+            met = MT.regression_metrics(out, "label", "prediction").first()
+            return m, out, (None, None, None, None, None, met["r2_score"], met["mae"], met["rmse"], met["mape"]), None
         except Exception as e:  # a failing model is recorded, not fatal
-            errors[name] = f"{type(e).__name__}: {e}"
-            rows.append((name, i, None, None, None, None, None, None, None, None, None,
-                         errors[name][:500]))
             traceback.print_exc(limit=2)
+            return None, None, (None,) * 9, f"{type(e).__name__}: {e}"
+
+    # small fits mostly wait for their next job: a few run side by side
+    with ThreadPoolExecutor(max_workers=rules.FITS_AT_ONCE) as pool:
+        work = [pool.submit(inheritable_thread_target(spark)(one), name) for name in names]
+        results = [w.result() for w in work]
+    fitted, errors, rows, preds = {}, {}, [], {}
+    for i, (name, (m, out, metrics, error)) in enumerate(zip(names, results)):
+        rows.append((name, i, *metrics, error[:500] if error else None))
+        if error:
+            errors[name] = error
+        else:
+            fitted[name], preds[name] = m, out
     if not fitted:
         raise RuntimeError(f"all models failed: {errors}")
     metrics = spark.createDataFrame(

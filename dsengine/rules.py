@@ -109,6 +109,8 @@ ISCLOSE_RTOL = 1e-5
 N_TREES = 100
 MAX_ITER = 1000
 KNN_K = 5
+#: models that train_all fits side by side
+FITS_AT_ONCE = 4
 #: text columns with more values are one sparse vector, not a column a value
 ONE_HOT_COLUMNS = 1000
 MLP_HIDDEN = [100, 50]

@@ -124,7 +124,7 @@ def test_stump_equals_search_over_all_cuts(spark, seed):
     y = ((bins[:, 1] > 2) + (r.random(120) < 0.3)).astype(float)
     w = r.random(120)
     df = spark.createDataFrame([([int(b) for b in row], float(c), float(v)) for row, c, v in zip(bins, y, w)], "__bins array<int>, label double, __w double").repartition(4)
-    got = MD.best_stump(df, cuts).collect()
+    got = MD.best_stump(df, cuts, 2).collect()
     want = brute_stump(bins, y, w, cuts)
     assert len(got) == 1
     assert (got[0]["f"], got[0]["cut"], round(got[0]["err"], 9)) == (want[0], want[1], round(want[2], 9))
