@@ -473,8 +473,9 @@ def adaboost_r2_transform(f: Fitted, df: DataFrame) -> DataFrame:
 
 
 # --------------------------------------------------------------------------- MLP regressor
-def fit_mlp_regressor(train, features, max_iter=rules.MLP_MAX_ITER):
-    """Neural network with squared loss, early stop by held-out loss."""
+def fit_mlp_regressor(train, features, max_iter=rules.MLP_MAX_ITER, bins=None):
+    """Neural network with squared loss, early stop by held-out loss (M23). ``bins``
+    is accepted from older callers and not used: the target is no longer binned."""
     scalars("Neural Network Regressor", features)
     return Fitted("Neural Network Regressor", "regression", features, 0, None, fit_network(train, features, 0, max_iter), net_transform)
 
