@@ -39,6 +39,7 @@ PSEUDO = 0.5  # weight of a pseudo-label
 STEPS = 120
 LEAST_DOCS = 3  # of a feature in the sample
 STEM = 6  # bytes of a word beginning
+FAN = 32  # tasks' sums are added in so many groups a head before the last
 TARGETS = ("low_quality", "toxic")
 META = ("lang", "source", "n_chars")
 
@@ -197,8 +198,7 @@ class _View:
     ``x``, drawn to what the other view's pseudo-labels say."""
 
     def __init__(self, x: Rows, y: np.ndarray, train: np.ndarray, test: np.ndarray):
-        self.x, self.y, self.test = x, y, test
-        self.part, self.told = x.only(train), y[train]
+        self.held, self.part, self.told, self.checked = x.only(test), x.only(train), y[train], y[test]
         self.sides = _sides(self.part, self.told)
         self.first = self.w = None
         self.b = 0.0
@@ -220,10 +220,10 @@ class _View:
 
     def score(self) -> np.ndarray:
         """Of the held-out rows."""
-        return (self.x.times(self.w) + self.b)[self.test]
+        return self.held.times(self.w) + self.b
 
     def sure(self) -> tuple[np.ndarray, float, float, float]:
-        return self.w, self.b, *_sure(self.score(), self.y[self.test])
+        return self.w, self.b, *_sure(self.score(), self.checked)
 
 
 def _views(text: Rows, meta: Rows, y: np.ndarray, held: np.ndarray) -> list[_View] | None:
@@ -239,7 +239,7 @@ def _head(views: list[_View] | None):
     """Weights of both views, their mix, and the threshold on its logit."""
     if views is None:
         return None
-    y = views[0].y[views[0].test]
+    y = views[0].checked
     scores = np.stack([v.score() for v in views], 1)
     mix, bias = _mix(scores, y)
     logit = scores @ mix + bias
@@ -279,32 +279,67 @@ def _tell(model):
                             sums[t][1 - i, side, -1] += sure.sum()
         for k, t in enumerate(TARGETS):
             for i in range(2 if t in sums else 0):
-                at = np.flatnonzero(sums[t][i].any(0))
-                yield pa.RecordBatch.from_pydict({"code": pa.array((2 * k + i) << 32 | at), "n0": pa.array(sums[t][i, 0, at]), "n1": pa.array(sums[t][i, 1, at])})
+                yield from _packed(2 * k + i, sums[t][i]).to_batches()
 
     return run
 
 
+TOLD = "head int, slot array<int>, n0 array<long>, n1 array<long>"
+
+
+def _packed(head: int, sums: np.ndarray) -> pa.Table:
+    """One row: the slots that any side has, and both sides' sums."""
+    at = np.flatnonzero(sums.any(0))
+    return pa.table({"head": pa.array([head], pa.int32()), "slot": pa.array([at.astype(np.int32)], pa.list_(pa.int32())),
+                     **{f"n{side}": pa.array([sums[side, at]], pa.list_(pa.int64())) for side in (0, 1)}})
+
+
+def _unpacked(slot, n0, n1) -> np.ndarray:
+    sums = np.zeros((2, (1 << SLOT_BITS) + 1), np.int64)
+    slot = slot.combine_chunks().flatten().to_numpy()
+    for side, n in enumerate((n0, n1)):
+        np.add.at(sums[side], slot, n.combine_chunks().flatten().to_numpy())
+    return sums
+
+
+def _add(key, rows):
+    return _packed(key[0].as_py(), _unpacked(rows["slot"], rows["n0"], rows["n1"]))
+
+
 def _pseudo(docs: DataFrame, heads: dict[str, list[_View]]) -> dict[str, np.ndarray]:
     """What all documents without a label of a target teach each view of it."""
     model = docs.sparkSession.sparkContext.broadcast({t: [v.sure() for v in views] for t, views in heads.items()})
-    got = docs.mapInArrow(_tell(model), "code long, n0 long, n1 long").groupBy("code").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toArrow()
-    code = got["code"].to_numpy()
+    told = docs.mapInArrow(_tell(model), TOLD)
+    told = told.groupBy("head", F.pmod(F.spark_partition_id(), F.lit(FAN)).alias("fan")).applyInArrow(_add, TOLD)
+    got = told.groupBy("head").applyInArrow(_add, TOLD).toArrow()
     sums = np.zeros((len(TARGETS), 2, 2, (1 << SLOT_BITS) + 1))
-    for side in (0, 1):
-        sums[code >> 33, code >> 32 & 1, side, code & 0xFFFFFFFF] = got[f"n{side}"].to_numpy()
+    for i, head in enumerate(got["head"].to_pylist()):
+        sums[head >> 1, head & 1] = _unpacked(*(got[c].slice(i, 1) for c in ("slot", "n0", "n1")))
     model.destroy()
     return {t: sums[k] for k, t in enumerate(TARGETS)}
 
 
 def _mix(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
-    """Logistic model over the two views' scores, by Newton steps."""
-    a = np.column_stack([x, np.ones(len(x))])
-    w = np.array([1.0, 0.0, 0.0])
-    for _ in range(25):
+    """Logistic model over the two views' scores, drawn to the text score alone:
+    Newton steps, halved until the penalised loss falls; it ends below that of the
+    text score as it is."""
+    a, first = np.column_stack([x, np.ones(len(x))]), np.array([1.0, 0.0, 0.0])
+
+    def loss(w):
+        z = a @ w
+        return float(np.logaddexp(0, z).sum() - y @ z + 0.05 * (w - first) @ (w - first))
+    w, now = first, loss(first)
+    for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
         hess = (a * (p * (1 - p))[:, None]).T @ a + 0.1 * np.eye(3)
-        w = w - np.linalg.solve(hess, a.T @ (p - y) + 0.1 * (w - np.array([1.0, 0.0, 0.0])))
+        step = np.linalg.solve(hess, a.T @ (p - y) + 0.1 * (w - first))
+        size = 1.0
+        while size > 1e-6 and not loss(w - size * step) < now:
+            size /= 2
+        if size <= 1e-6 or now - loss(w - size * step) < 1e-9:
+            break
+        w = w - size * step
+        now = loss(w)
     return w[:2], float(w[2])
 
 
@@ -343,7 +378,9 @@ def train(docs: DataFrame, labels: DataFrame, meta: tuple[str, ...] = META) -> d
     small_batches(docs.sparkSession)
     told = labels.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(
         (F.min("quality") == 0).cast("double").alias("low_quality"), (F.max("toxic") == 1).cast("double").alias("toxic"))
-    told = told.where(F.coalesce("low_quality", "toxic").isNotNull()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
+    told = told.where(F.coalesce("low_quality", "toxic").isNotNull())
+    # only labels of documents that are there count towards the sample
+    told = told.join(docs.select(F.col("doc_id").cast("long").alias("doc_id")), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), meta_features(docs, meta).alias("meta"))
     src = src.withColumn("h", F.xxhash64("doc_id", "text"))
     joined = src.join(F.broadcast(told), "doc_id", "left").select("doc_id", "text", "low_quality", "toxic", "h", "meta")
@@ -358,6 +395,7 @@ def train(docs: DataFrame, labels: DataFrame, meta: tuple[str, ...] = META) -> d
     text, other = Rows.of(rows["slots"]), Rows.of(rows["meta"])
     del rows
     heads = {t: _views(text, other, told[t], held) for t in TARGETS}
+    del text, other
     some = {t: views for t, views in heads.items() if views is not None}
     free = joined.where(F.col("low_quality").isNull() | F.col("toxic").isNull()).select("text", "low_quality", "toxic", "meta")
     for k in range(ROUNDS if some else 0):

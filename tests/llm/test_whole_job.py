@@ -92,3 +92,35 @@ def test_short_benchmark_items_are_cut(spark):
     for most in (300_000, 20):  # words of the benchmark a pass
         got = decontaminate(docs, items, max_words=most).collect()
         assert [tuple(x) for x in got] == [(1, text.replace(short.upper(), "").replace(long, ""))]
+
+
+def test_calibration_never_ends_above_the_text_score():
+    """Undamped steps diverge on scores that split the classes nearly."""
+    import numpy as np
+
+    from dsengine.llm.quality import _mix
+    for seed in range(40):
+        r = np.random.Generator(np.random.PCG64(seed))
+        y = (r.random(200) < 0.1).astype(float)
+        x = np.column_stack([np.where(y > 0, 8, -9) * r.uniform(0.1, 3) + r.standard_normal(200) * r.uniform(0.1, 9), r.standard_normal(200) * r.uniform(0, 20)])
+
+        def loss(z):
+            return np.logaddexp(0, z).mean() - (y * z).mean()
+        w, b = _mix(x, y)
+        p = 1 / (1 + np.exp(-np.clip(x @ w + b, -30, 30)))
+        assert loss(x @ w + b) <= loss(x[:, 0]) + 1e-9 and np.abs(w).max() < 1e3
+        assert abs(p.mean() - y.mean()) < 0.05
+
+
+def test_sums_of_tasks_do_not_depend_on_partitions(spark, sf):
+    """One row a task and head, added in two levels; labels of absent documents take no place."""
+    import numpy as np
+
+    from dsengine.llm import quality
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    absent = labels.select((labels.doc_id + 10_000_000).alias("doc_id"), "quality", "toxic")
+    models = [quality.train(d, x) for d, x in ((docs.repartition(3), labels), (docs.repartition(60), labels.union(absent)))]
+    for t in quality.TARGETS:
+        if models[0][t] is not None:
+            for (w, b), (u, c) in zip(models[0][t][0], models[1][t][0]):
+                assert np.allclose(w, u) and np.isclose(b, c)
