@@ -25,7 +25,7 @@ SPLIT_BYTES = 128 << 20
 PERSIST_BYTES = 1 << 30
 
 
-def _plan_bytes(df: DataFrame) -> int:
+def plan_bytes(df: DataFrame) -> int:
     """The optimiser's estimate of a table's size; nothing is run for it."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
@@ -35,7 +35,7 @@ def spread(df: DataFrame) -> DataFrame:
     the plan's size and files alone: nothing is run for it."""
     spark = df.sparkSession
     target = spark.sparkContext.defaultParallelism
-    if _plan_bytes(df) >= target * SPLIT_BYTES or len(df.inputFiles()) >= target:
+    if plan_bytes(df) >= target * SPLIT_BYTES or len(df.inputFiles()) >= target:
         return df
     return df.repartition(target)
 
@@ -50,7 +50,7 @@ def multi_pass(df: DataFrame, cols: list[str] | None = None, enabled: bool = Tru
         yield df.select(*[col(c) for c in cols]) if cols is not None else df
         return
     src = df.select(*[col(c) for c in cols]) if cols is not None else df
-    if _plan_bytes(src) > PERSIST_BYTES * df.sparkSession.sparkContext.defaultParallelism:
+    if plan_bytes(src) > PERSIST_BYTES * df.sparkSession.sparkContext.defaultParallelism:
         # more than the cores hold: reading it again is cheaper than spilling it
         yield src
         return

@@ -15,7 +15,7 @@ from dsengine.functions.exprs import (col, is_boolean_type, is_missing, is_text_
                                       numeric_columns, sum_of)
 from dsengine.functions.quantiles import exact_quantiles
 from dsengine.operators import eda
-from dsengine.operators.profile import bounded_cardinality, value_counts
+from dsengine.operators.profile import bounded_cardinality, column_cardinality
 
 
 def _has(name: str, words) -> bool:
@@ -160,9 +160,8 @@ def variance_proxy(df: DataFrame) -> DataFrame:
 
 def cardinality_proxy(df: DataFrame) -> DataFrame:
     """Top 10 columns by distinct values, null counted."""
-    vc = value_counts(df)
-    return (vc.groupBy("column_name").agg(F.count(F.lit(1)).alias("distinct_values"))
-            .orderBy(F.col("distinct_values").desc(), "column_name").limit(rules.BAR_TOP))
+    card = column_cardinality(df).select("column_name", F.col("n_distinct_with_null").alias("distinct_values"))
+    return card.where("distinct_values > 0").orderBy(F.col("distinct_values").desc(), "column_name").limit(rules.BAR_TOP)
 
 
 # --------------------------------------------------------------------------- D11/D12

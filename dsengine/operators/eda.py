@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from dsengine import rules
 from dsengine.functions.exprs import col, is_missing, mean_expr, numeric_columns, sum_of, text_columns
+from dsengine.functions.distinct import distinct_counts
 from dsengine.functions.gram import correlations
 from dsengine.functions.quantiles import exact_quantiles
 from dsengine.functions.staging import multi_pass
@@ -80,7 +81,7 @@ def statistical_summary(df: DataFrame, cols: list[str] | None = None,
     percent of all rows, unique ratio, is_constant (E12).
 
     Jobs: one moments aggregate, the quantile refinement, one aggregate for
-    outlier counts + one value-count backbone for distinct values.
+    outlier counts, and typed distinct counts (``functions/distinct.py``).
     """
     cols = numeric_columns(df) if cols is None else list(cols)
     spark = df.sparkSession
@@ -111,17 +112,11 @@ def _statistical_summary(df, cols, exact, schema):
     if not exact:
         # approximate mode: HyperLogLog distinct counts, no value shuffle
         aggs += [F.approx_count_distinct(_num(df, c), 0.01).alias(f"d{i}") for i, c in enumerate(cols)]
-    elif len(cols) == 1:
-        aggs.append(F.count_distinct(_num(df, cols[0])).alias("d0"))
     orow = df.agg(*aggs).first()
     if not exact:
         distinct = {c: orow[f"d{i}"] for i, c in enumerate(cols)}
-    elif len(cols) == 1:
-        distinct = {cols[0]: orow["d0"]}
     else:
-        vc = value_counts(df, cols)
-        distinct = {r["column_name"]: r["n"] for r in
-                    vc.groupBy("column_name").agg(F.count("value").alias("n")).collect()}
+        distinct = {c: n for c, (n, _) in distinct_counts(df, cols).items()}
     rows = m["rows"]
     out = []
     for i, c in enumerate(cols):

@@ -13,8 +13,8 @@ GBT, trees, linear regression). Composed ones:
 * AdaBoost.R2: weighted depth-3 regression trees (Spark ML, ``weightCol``),
   weighted-median read-out with array functions.
 * kNN: exact, by metric partitions (``neighbours.py``), one path at every size.
-* RBF SVM / SVR: random Fourier features as column expressions, then
-  LinearSVC (one-vs-rest) / Huber linear regression. An approximation.
+* RBF SVM / SVR: landmark features of measured error (``kernel.py``), then
+  LinearSVC (one-vs-rest) / Huber linear regression.
 * Neural networks: data-parallel Adam with early stop (``network.py``).
 """
 
@@ -25,7 +25,6 @@ from dataclasses import dataclass, field
 from typing import Any
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LinearSVC,
                                        LogisticRegression, OneVsRest, RandomForestClassifier)
@@ -33,12 +32,12 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import (DecisionTreeRegressor, GBTRegressor, LinearRegression,
                                    RandomForestRegressor)
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from dsengine import rules
 from dsengine.functions.staging import drop_stage, write_stage
+from dsengine.operators.kernel import fit_landmarks, kernel_features
 from dsengine.operators.neighbours import nearest_rows
 from dsengine.operators.network import apply_network, fit_network
 from dsengine.operators.onehot import VECTOR
@@ -171,47 +170,21 @@ def fit_tree_regressor(train, features, depth=rules.TREE_MAX_DEPTH):
     return _fit_ml("Decision Tree Regressor", "regression", est, train, features)
 
 
-# --------------------------------------------------------------------------- RFF
-def rff_map(features: list[str], n_out: int = 100, gamma: float | None = None,
-            seed: int = rules.SEED) -> Column:
-    """Random Fourier features sqrt(2/D) cos(W x + b) approximating an RBF
-    kernel exp(-gamma |x-y|^2) (gamma defaults to 1/d on scaled inputs), as
-    an Arrow-batched pandas UDF doing one matrix product per batch - a
-    D x d expression tree would exceed the code generator."""
-    from pyspark.ml.functions import array_to_vector
+# --------------------------------------------------------------------------- kernel SVM
+def _kernel_frame(df: DataFrame, features, extra):
+    return df.withColumn("__phi", kernel_features(extra, features))
 
-    d = len(features)
-    gamma = 1.0 / max(1, d) if gamma is None else gamma
-    rng = np.random.default_rng(seed)
-    w = rng.normal(0.0, math.sqrt(2 * gamma), size=(n_out, d))
-    b = rng.uniform(0, 2 * math.pi, size=n_out)
-    scale = math.sqrt(2.0 / n_out)
 
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def rff(x: pd.Series) -> pd.Series:
-        if len(x) == 0:
-            return pd.Series([], dtype=object)
-        m = np.vstack(x.to_numpy()).astype(np.float64)
-        z = scale * np.cos(m @ w.T + b)
-        return pd.Series(list(z))
-
-    arr = F.array(*[F.col(f"`{c}`").cast("double") for c in features])
-    return array_to_vector(rff(arr))
-
-
-def _rff_frame(df: DataFrame, features, n_out):
-    return df.withColumn("__rff", rff_map(features, n_out))
-
-
-def fit_svm(train, features, n_classes, n_out=rules.RFF_FEATURES, max_iter=rules.KERNEL_MAX_ITER):
-    """Linear SVM on random Fourier features; with two classes the margin is
-    turned into a probability by a logistic model of the training labels."""
+def fit_svm(train, features, n_classes, n_out=rules.LANDMARKS, max_iter=rules.KERNEL_MAX_ITER):
+    """Linear SVM on landmark features of the RBF kernel, with unit cost a row; with two
+    classes the margin is turned into a probability by a logistic model of the training
+    labels. The kernel's measured error is in ``extra``."""
     scalars("Support Vector Machine", features)
-    t = _rff_frame(train, features, n_out)
-    svc = LinearSVC(maxIter=max_iter, regParam=1.0 / max(1, train.count()), featuresCol="__rff")
-    est = svc if n_classes <= 2 else OneVsRest(classifier=svc, featuresCol="__rff")
+    extra = fit_landmarks(train, features, n_out)
+    t = _kernel_frame(train, features, extra)
+    svc = LinearSVC(maxIter=max_iter, regParam=1.0 / max(1, train.count()), featuresCol="__phi", standardization=False)
+    est = svc if n_classes <= 2 else OneVsRest(classifier=svc, featuresCol="__phi")
     model = est.fit(t)
-    extra = {"n_out": n_out}
     if n_classes <= 2:
         margin = model.transform(t).select(F.col("label"), vector_to_array("rawPrediction")[1].alias("m"))
         curve = LogisticRegression(maxIter=50).fit(assemble(margin, ["m"]))
@@ -220,7 +193,7 @@ def fit_svm(train, features, n_classes, n_out=rules.RFF_FEATURES, max_iter=rules
 
 
 def svm_transform(f: Fitted, df: DataFrame) -> DataFrame:
-    out = f.model.transform(_rff_frame(df, f.features, f.extra["n_out"]))
+    out = f.model.transform(_kernel_frame(df, f.features, f.extra))
     raw = vector_to_array("rawPrediction")
     if "platt" in f.extra:
         a, b = f.extra["platt"]
@@ -234,15 +207,16 @@ def svm_transform(f: Fitted, df: DataFrame) -> DataFrame:
                       prob.alias("probability"))
 
 
-def fit_svr(train, features, n_out=rules.RFF_FEATURES, max_iter=rules.KERNEL_MAX_ITER):
+def fit_svr(train, features, n_out=rules.LANDMARKS, max_iter=rules.KERNEL_MAX_ITER):
+    """Robust linear regression on landmark features of the RBF kernel."""
     scalars("Support Vector Regressor", features)
-    t = _rff_frame(train, features, n_out)
-    model = LinearRegression(loss="huber", maxIter=max_iter, regParam=0.0, featuresCol="__rff").fit(t)
-    return Fitted("Support Vector Regressor", "regression", features, 0, model, {"n_out": n_out}, svr_transform)
+    extra = fit_landmarks(train, features, n_out)
+    model = LinearRegression(loss="huber", maxIter=max_iter, regParam=0.0, featuresCol="__phi").fit(_kernel_frame(train, features, extra))
+    return Fitted("Support Vector Regressor", "regression", features, 0, model, extra, svr_transform)
 
 
 def svr_transform(f: Fitted, df: DataFrame) -> DataFrame:
-    out = f.model.transform(_rff_frame(df, f.features, f.extra["n_out"]))
+    out = f.model.transform(_kernel_frame(df, f.features, f.extra))
     return out.select(*[F.col(f"`{c}`") for c in df.columns], F.col("prediction").cast("double").alias("prediction"))
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dsengine import rules
+from dsengine.functions.distinct import distinct_counts
 from dsengine.functions.exprs import (col, is_boolean_type, is_datetime_type, is_missing,
                                       is_numeric_type, is_text_type)
 
@@ -89,7 +90,8 @@ def column_cardinality(df: DataFrame, cols: list[str] | None = None,
     """(column, ordinal, n_distinct, n_distinct_with_null).
 
     ``exact=False`` uses HyperLogLog++ (``approx_count_distinct``) in one
-    map-side aggregate instead of the value-count shuffle."""
+    map-side aggregate; else values are counted as bits and fingerprints
+    (``functions/distinct.py``), or from ``counts`` if those are there."""
     cols = list(df.columns) if cols is None else list(cols)
     if not exact:
         aggs = []
@@ -99,8 +101,11 @@ def column_cardinality(df: DataFrame, cols: list[str] | None = None,
                      (F.approx_count_distinct(v, 0.01) + F.max(F.when(v.isNull(), 1).otherwise(0)))
                      .alias(f"n_distinct_with_null__{i}")]
         return _stack_row(df.agg(*aggs), cols, ["n_distinct", "n_distinct_with_null"])
-    vc = counts if counts is not None else value_counts(df, cols)
-    card = vc.groupBy("column_name").agg(
+    if counts is None:
+        n = distinct_counts(df, cols)
+        rows = [(c, i, n[c][0], n[c][0] + n[c][1]) for i, c in enumerate(cols)]
+        return df.sparkSession.createDataFrame(rows, "column_name string, ordinal int, n_distinct bigint, n_distinct_with_null bigint")
+    card = counts.groupBy("column_name").agg(
         F.count("value").alias("n_distinct"),
         F.count(F.lit(1)).alias("n_distinct_with_null"))
     return (F.broadcast(_columns_frame(df, cols)).join(card, "column_name", "left")

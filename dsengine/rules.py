@@ -130,8 +130,8 @@ REGRESSORS = ["Linear Regression", "Random Forest Regressor", "Gradient Boosting
 #: Spark's limit; trees grow until it or a pure leaf stops them
 TREE_MAX_DEPTH = 30
 MLP_MAX_ITER = 1000
-#: random Fourier features and iterations of the kernel approximations
-RFF_FEATURES = 100
+#: landmarks and iterations of the kernel models
+LANDMARKS = 256
 KERNEL_MAX_ITER = 100
 
 # Input-type inference (scoring form)
