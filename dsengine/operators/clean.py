@@ -238,40 +238,46 @@ def ffill_bfill(df: DataFrame, cols: list[str], order_by: str,
     fills; the last value of every range is carried to later ones through a
     frame of one row per range. Backward fill only touches rows before the
     first non-null value, which all take that value. ``partition_by`` fills
-    within groups instead (then each group is a window partition).
+    within groups: ranges are of (group, key), windows run inside (range, group),
+    and only groups that cross ranges, two a range at most, need a carry, so a
+    group with most of the rows is filled by as many tasks as it has ranges.
     """
     if not cols:
         return df
-    order = col(order_by)
-    if partition_by:
-        keys = [col(p) for p in partition_by]
-        w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-        wr = Window.partitionBy(*keys).orderBy(order.desc()).rowsBetween(Window.unboundedPreceding, 0)
-        out = df
-        for c in cols:
-            out = out.withColumn(c, F.last(col(c), True).over(w))
-            out = out.withColumn(c, F.coalesce(col(c), F.last(col(c), True).over(wr)))
-        return out
+    order, keys = col(order_by), list(partition_by or [])
+    sort = [*[col(k) for k in keys], order, F.col("__tb")]
     placed = (df.withColumn("__tb", F.xxhash64(*[col(c) for c in df.columns]))
-              .repartitionByRange(order, F.col("__tb")).sortWithinPartitions(order, F.col("__tb"))
+              .repartitionByRange(*sort).sortWithinPartitions(*sort)
               .withColumn("__at", F.monotonically_increasing_id()))
     path = work_path(df.sparkSession, "fill")
     placed.drop("__tb").write.parquet(path)
+    group = [f"__key_{i}" for i in range(len(keys))]
     tagged = df.sparkSession.read.parquet(path).withColumn("__range", F.shiftright("__at", 33))
-    w = Window.partitionBy("__range").orderBy("__at").rowsBetween(Window.unboundedPreceding, 0)
-    per_range = tagged.groupBy("__range").agg(
+    tagged = tagged.withColumns({g: col(k) for g, k in zip(group, keys)})
+    w = Window.partitionBy("__range", *group).orderBy("__at").rowsBetween(Window.unboundedPreceding, 0)
+    whole = Window.partitionBy("__range", *group)
+    per_range = tagged.groupBy("__range", *group).agg(
         *[F.max_by(col(c), F.when(col(c).isNotNull(), F.col("__at"))).alias(f"__last_{c}") for c in cols],
         *[F.min_by(col(c), F.when(col(c).isNotNull(), F.col("__at"))).alias(f"__first_{c}") for c in cols])
-    wb = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    wf = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    # one row a range and group that crosses ranges
+    several = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
+    wb = several.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    wf = several.orderBy("__range").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    if group:
+        spans = per_range.groupBy(*group).agg(F.count("*").alias("__n")).where("__n > 1").drop("__n")
+        on = [per_range[g].eqNullSafe(spans[g]) for g in group]
+        per_range = per_range.join(spans, on, "left_semi")
     carry = per_range.select(
-        "__range",
+        F.col("__range").alias("__r"), *[F.col(g).alias(f"{g}_c") for g in group],
         *[F.last(f"__last_{c}", True).over(wb).alias(f"__carry_{c}") for c in cols],
         *[F.first(f"__first_{c}", True).over(wf).alias(f"__head_{c}") for c in cols])
     for c in cols:
         tagged = tagged.withColumn(f"__ff_{c}", F.last(col(c), True).over(w))
-    joined = tagged.join(F.broadcast(carry), "__range", "left")
-    return joined.select(*[F.coalesce(F.col(f"__ff_{c}"), F.col(f"__carry_{c}"), F.col(f"__head_{c}")).alias(c)
+        if group:
+            tagged = tagged.withColumn(f"__own_{c}", F.min_by(col(c), F.when(col(c).isNotNull(), F.col("__at"))).over(whole))
+    on = [F.col("__range") == F.col("__r"), *[F.col(g).eqNullSafe(F.col(f"{g}_c")) for g in group]]
+    joined = tagged.join(F.broadcast(carry), on, "left")
+    return joined.select(*[F.coalesce(F.col(f"__ff_{c}"), F.col(f"__carry_{c}"), F.col(f"__head_{c}"), *([F.col(f"__own_{c}")] if group else [])).alias(c)
                            if c in cols else col(c) for c in df.columns])
 
 
