@@ -13,9 +13,11 @@ Plan. Documents with equal sets form one class at once (a grouped minimum), so
 copies cost nothing further. In each bucket of a band the members are checked
 against its smallest; where this leaves several components in a bucket, the
 members outside the largest are checked against it and against one another, in
-groups of about ``GROUP`` members a side. All
-groups are cut by their counted size, so no bucket meets in one task; sets are
-made from whole texts inside the groups.
+tiles of about ``TILE`` members or ``WEIGHT`` shingles a side, whichever is
+less; a tile's intersections are matrix products. All groups are cut by their
+counted size, so no bucket meets in one task; sets are made from whole texts
+inside the groups. A crowd whose members stay apart just below the similarity
+wanted is compared in full: c members outside are dealt to c / TILE tiles.
 """
 
 from __future__ import annotations
@@ -32,6 +34,8 @@ from dsengine.llm.components import components
 U = np.uint64
 COORDINATES, BAND = 128, 4
 GROUP = 128
+#: Members and shingles of a side of a crowded bucket, shingles of a matrix product.
+TILE, WEIGHT, COLUMNS = 1024, 1 << 18, 2048
 FULL = U((1 << 64) - 1)
 LINK = "a long, b long"
 
@@ -110,8 +114,11 @@ def _close(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def _sets(rows, width: int):
-    items, first = shingle_sets(rows["text"], width)
-    return [items[first[i]:first[i + 1]] for i in range(len(first) - 1)]
+    text, out = rows["text"].combine_chunks(), []
+    for lo, hi in K.slices(K.buffers(text)[1]):
+        items, first = shingle_sets(text.slice(lo, hi - lo), width)
+        out += [items[first[i]:first[i + 1]].copy() for i in range(hi - lo)]
+    return out
 
 
 def _links(found) -> pa.Table:
@@ -127,39 +134,87 @@ def _check_star(width: int, percent: int):
     return check
 
 
+def _places(sets, known: np.ndarray):
+    """(place in ``known``, row) of the sets' items found there, by place."""
+    items = np.concatenate(sets)
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    at = np.minimum(np.searchsorted(known, items), len(known) - 1)
+    held = known[at] == items
+    at, row = at[held], row[held]
+    order = np.argsort(at, kind="stable")
+    return at[order], row[order]
+
+
+def _shared(left, right) -> np.ndarray:
+    """Sizes of the intersections of all sets of ``left`` with all of ``right``
+    (which may be the same list), by matrix products over ``COLUMNS`` shingles
+    at a time. Shingles that only one set holds meet nothing."""
+    both = np.zeros((len(left), len(right)), np.float32)
+    if left is right:
+        known, n = np.unique(np.concatenate(left), return_counts=True)
+        known = known[n > 1]
+    else:
+        known = np.intersect1d(np.concatenate(left), np.concatenate(right))
+    if not len(known):
+        return both
+    sides = [(len(sets), *_places(sets, known)) for sets in (left, right)]
+    for lo in range(0, len(known), COLUMNS):
+        grids = []
+        for size, at, row in sides:
+            a, b = np.searchsorted(at, [lo, lo + COLUMNS])
+            grid = np.zeros((size, COLUMNS), np.float32)
+            grid[row[a:b], at[a:b] - lo] = 1
+            grids.append(grid)
+        both += grids[0] @ grids[1].T
+    return both
+
+
 def _check_rest(width: int, percent: int):
     """Links between members of different components; a component is joined
     once, what is joined already needs no further link."""
 
     def check(key, rows):
-        nodes, sets, side = rows["node"].to_pylist(), _sets(rows, width), rows["side"].to_pylist()
-        parent = {c: c for c in rows["comp"].to_pylist()}
+        nodes, comps, sets = rows["node"].to_pylist(), rows["comp"].to_pylist(), _sets(rows, width)
+        side = np.asarray(rows["side"].to_numpy())
+        across = key[1].as_py() or key[2].as_py() != key[3].as_py()
+        left = np.flatnonzero(side == side.min()) if across else np.arange(len(nodes))
+        right = np.flatnonzero(side != side.min()) if across else left
+        if not (len(left) and len(right)):
+            return _links([])
+        some = [sets[i] for i in left]
+        both = _shared(some, [sets[j] for j in right] if across else some)
+        size, comp = np.array([len(s) for s in sets], np.float64), np.array(comps)
+        near = (both > 0) & (100 * both >= percent * (size[left][:, None] + size[right][None] - both))
+        near &= comp[left][:, None] != comp[right][None]
+        parent, found = {c: c for c in comps}, []
 
         def root(c):
             while parent[c] != c:
                 parent[c] = c = parent[parent[c]]
             return c
 
-        comps, found = rows["comp"].to_pylist(), []
-        across = key[1].as_py() or key[2].as_py() != key[3].as_py()
-        for i in range(len(nodes)):
-            for j in range(i):
-                if (across and side[i] == side[j]) or not (len(sets[i]) and len(sets[j])):
-                    continue
-                a, b = root(comps[i]), root(comps[j])
-                if a != b and _close(sets[i], sets[j], percent):
-                    parent[a] = b
-                    found.append((nodes[i], nodes[j]))
+        for i, j in zip(*(x.tolist() for x in np.nonzero(near))):
+            i, j = int(left[i]), int(right[j])
+            a, b = root(comps[i]), root(comps[j])
+            if a != b:
+                parent[a] = b
+                found.append((nodes[i], nodes[j]))
         return _links(found)
 
     return check
 
 
+def _sides(count, weight):
+    """Into how many sides so many members with so many shingles are cut."""
+    return F.greatest(F.ceil(count / TILE), F.ceil(weight / WEIGHT)).cast("int")
+
+
 def similar_links(classes: DataFrame, texts_of, width: int, percent: int) -> DataFrame:
     """Links (a, b) that join all classes of similar sets into components.
 
-    ``classes``: node, bands. ``texts_of(nodes)`` gives (node, text)."""
-    keys = classes.select("node", F.explode("bands").alias("bucket"))
+    ``classes``: node, n (size of its set), bands. ``texts_of(nodes)`` gives
+    (node, text)."""
+    keys = classes.select("node", "n", F.explode("bands").alias("bucket"))
     shared = keys.groupBy("bucket").agg(F.min("node").alias("lead"), F.count("*").alias("c")).where("c > 1")
     members = staged(keys.join(shared, "bucket"), "buckets")
     texts = staged(texts_of(members.select("node").distinct()), "texts")
@@ -171,19 +226,20 @@ def similar_links(classes: DataFrame, texts_of, width: int, percent: int) -> Dat
     star = staged(dealt.join(texts, "node").groupBy("lead", "cut").applyInArrow(_check_star(width, percent), LINK), "star")
 
     comp = components(star)
-    held = members.join(comp, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("comp"))
+    held = members.join(comp, "node", "left").select("bucket", "node", "n", F.coalesce("root", "node").alias("comp"))
     held = staged(held, "held")
-    # of each bucket with several components: the largest, and how many members are outside it
-    sizes = held.groupBy("bucket", "comp").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max(F.struct("n", "comp")).alias("x"), F.sum("n").alias("c"))
-    sizes = sizes.where(F.col("c") > F.col("x.n")).select("bucket", "c", F.col("x.comp").alias("main"), F.ceil(F.col("x.n") / GROUP).cast("int").alias("in"), F.ceil((F.col("c") - F.col("x.n")) / GROUP).cast("int").alias("out"))
+    # of each bucket with several components: the largest, and how much is outside it
+    sizes = held.groupBy("bucket", "comp").agg(F.count("*").alias("k"), F.sum("n").alias("w")).groupBy("bucket").agg(F.max(F.struct("k", "comp", "w")).alias("x"), F.sum("k").alias("c"), F.sum("w").alias("w"))
+    sizes = sizes.where(F.col("c") > F.col("x.k")).select("bucket", "c", "w", F.col("x.comp").alias("main"), _sides(F.col("x.k"), F.col("x.w")).alias("in"), _sides(F.col("c") - F.col("x.k"), F.col("w") - F.col("x.w")).alias("out"))
     rest = held.join(sizes, "bucket")
-    # buckets with the same members need one look; their size is at most GROUP
-    small = (rest.where(F.col("c") <= GROUP).groupBy("bucket").agg(F.sort_array(F.collect_list(F.struct("node", "comp"))).alias("m"))
+    one = (F.col("c") <= TILE) & (F.col("w") <= WEIGHT)
+    # buckets with the same members need one look; their size is at most TILE
+    small = (rest.where(one).groupBy("bucket").agg(F.sort_array(F.collect_list(F.struct("node", "comp"))).alias("m"))
              .select("m").distinct().select(F.xxhash64("m").alias("bucket"), F.explode("m").alias("m")))
     zero = F.lit(0)
     small = small.select("bucket", zero.alias("i"), zero.alias("j"), F.lit(False).alias("across"), "m.node", "m.comp", zero.alias("side"))
     # in others members outside the largest component meet it and one another
-    large = rest.where(F.col("c") > GROUP)
+    large = rest.where(~one)
     inner, outer = large.where("comp = main"), large.where("comp <> main")
     mine = F.pmod(F.xxhash64("node"), "out").cast("int")
     met = [inner.select("bucket", F.pmod(F.xxhash64("node"), "in").cast("int").alias("i"), F.explode(F.sequence(zero, F.col("out") - 1)).alias("j"), F.lit(True).alias("across"), "node", "comp", zero.alias("side")),

@@ -86,6 +86,25 @@ def test_near_duplicates_of_crowded_buckets(spark, monkeypatch):
     assert rows(near_duplicates(frame(spark, docs), width=4), "doc_id", "n_shingles", "component_id", "kept") == sorted(brute.near(docs))
 
 
+@pytest.mark.parametrize("tile,weight", [(8, 1 << 20), (1 << 20, 300), (1 << 20, 1 << 20)])
+def test_near_duplicates_of_a_crowd_about_the_threshold(spark, monkeypatch, tile, weight):
+    """Members of one crowd, some linked and many just not, in tiles of both kinds."""
+    from dsengine.llm import minhash
+    for name, value in (("GROUP", 8), ("TILE", tile), ("WEIGHT", weight), ("COLUMNS", 16)):
+        monkeypatch.setattr(minhash, name, value)
+    rng = random.Random(7)
+    base = [f"w{i}" for i in range(60)]
+    docs = []
+    for d in range(90):
+        w = list(base)
+        for p in rng.sample(range(60), rng.choice([1, 2, 3])):
+            w[p] = f"x{rng.randrange(40)}"
+        docs.append((d, " ".join(w)))
+    got = rows(near_duplicates(frame(spark, docs), width=4), "doc_id", "n_shingles", "component_id", "kept")
+    assert got == sorted(brute.near(docs))
+    assert len({r[2] for r in got}) > 2
+
+
 def test_near_duplicates_nulls_and_repeated_ids(spark):
     text = " ".join(words(1, 90))
     got = near_duplicates(frame(spark, [(3, text), (None, text), (5, text), (5, "other words of that id here"), (8, "other words of that id here"), (None, None), (1, None), (2, None)])).collect()
