@@ -57,8 +57,11 @@ def _lines(dim: int, bits: int, rounds: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _matrix(column, dim: int) -> np.ndarray:
+    """Rows times the power of two that brings the largest component under 1:
+    the cosine stays the same to the bit, and no product leaves the range."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return np.asarray(column.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(-1, dim)
+    rows = np.asarray(column.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(-1, dim)
+    return np.ldexp(rows, -np.frexp(np.abs(rows).max(1, initial=0))[1][:, None])
 
 
 def _cells(unit: np.ndarray, signs: np.ndarray, bits: int, rounds: int) -> np.ndarray:
@@ -143,8 +146,10 @@ def near_vectors(embeddings: DataFrame, cosine: float = 0.95, vector: str = "emb
     component_id (smallest vec_id reachable, itself included), kept.
 
     Vectors that are null, empty, zero or hold null or non-finite components
-    link with nothing. Vectors of different length are never compared. Repeated
-    rows are vectors of their own and link with each other. A row with a null
+    link with nothing; finite ones of any magnitude are compared. Vectors of
+    different length are never compared. Repeated rows are vectors of their own
+    and link with each other; rows that share a vec_id and differ in the vector
+    have each their own links and component. A row with a null
     vec_id takes part; its component_id is the smallest id there is, or null.
     Other columns are not read."""
     v = F.col(f"`{vector}`").cast("array<double>")
@@ -153,12 +158,13 @@ def near_vectors(embeddings: DataFrame, cosine: float = 0.95, vector: str = "emb
     src = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), key.alias("key"), v.alias("v"), F.coalesce(~bad, F.lit(False)).alias("good"))
     src = src.select("vec_id", "key", "good", F.when(F.col("good"), F.col("v")).alias("v")).withColumns({"h": F.xxhash64("v"), "g": F.xxhash64(F.lit(1), "v")})
     good = src.where("good")
-    classes = good.groupBy("h", "g").agg(F.min("key").alias("node"), F.count("*").alias("m"), F.min("v").alias("v"))
-    classes = staged(classes, "vectors")
+    classes = good.groupBy("h", "g").agg(F.min("key").alias("key"), F.count("*").alias("m"), F.min("v").alias("v"))
+    # a class is a node of its own: classes may share their smallest id
+    classes = staged(classes.withColumn("node", F.monotonically_increasing_id()), "vectors")
     links = []
     for row in classes.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n")).orderBy("dim").collect():
         links.append(_linked(classes.where(F.size("v") == row["dim"]), row["dim"], row["n"], cosine))
-    named = classes.select("h", "g", "node", "m", F.lit(0).cast("long").alias("n"), F.col("node").alias("root"))
+    named = classes.select("h", "g", "m", F.lit(0).cast("long").alias("n"), F.col("key").alias("root"))
     if links:
         found = links[0]
         for more in links[1:]:
@@ -166,7 +172,10 @@ def near_vectors(embeddings: DataFrame, cosine: float = 0.95, vector: str = "emb
         found = staged(found, "found")
         total = found.groupBy("node").agg(F.sum("n").alias("n"))
         comp = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
-        named = classes.join(total, "node", "left").join(comp, "node", "left").select("h", "g", "node", "m", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("root", "node").alias("root"))
+        comp = staged(comp.join(classes.select("node", "key"), "node"), "components")
+        least = comp.groupBy("root").agg(F.min("key").alias("least"))
+        comp = comp.join(least, "root").select("node", "least")
+        named = classes.join(total, "node", "left").join(comp, "node", "left").select("h", "g", "m", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("least", "key").alias("root"))
     linked = good.join(named, ["h", "g"]).select("vec_id", (F.col("n") + F.col("m") - 1).alias("n_links"), id_of(F.col("root")).alias("component_id"), (F.col("key") == F.col("root")).alias("kept"))
     return linked.union(src.where(~F.col("good")).select("vec_id", F.lit(0).cast("long"), F.col("vec_id"), F.lit(True)))
 

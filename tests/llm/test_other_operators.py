@@ -30,6 +30,15 @@ def test_vectors_equal_brute_force(spark, monkeypatch):
     assert got == sorted(brute.vectors(rows))
 
 
+def test_vectors_that_share_an_id_and_of_any_magnitude(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.01]), (3, [1e200, 1e198]), (4, [1e-200, 0.0]), (5, [0.0, -5e-324]),
+            (6, [0.0, -1e308]), (6, [0.0, -1.7e308]), (7, [-1.0, 0.0]), (0, [0.02, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = sorted(tuple(r) for r in near_vectors(df).collect())
+    assert got == sorted([(1, 3, 1, True), (1, 1, 0, False), (2, 3, 1, False), (3, 3, 1, False), (4, 3, 1, False), (5, 2, 5, True),
+                          (6, 2, 5, False), (6, 2, 5, False), (7, 0, 7, True), (0, 1, 0, True)])
+
+
 def test_vector_rows_that_repeat(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0]), (1, [1.0, 0.0]), (None, [1.0, 0.0]), (4, [0.0, 1.0])], "vec_id long, embedding array<float>")
     got = sorted((tuple(r) for r in near_vectors(df).collect()), key=str)
