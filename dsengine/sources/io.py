@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from dsengine.functions.exprs import col
 from dsengine.session import work_path
+from dsengine.sources.quoted import read_quoted
 
 #: Texts that stand for a missing value when a table is read.
 NULL_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>",
@@ -27,8 +28,10 @@ def read_table(spark: SparkSession, path: str, fmt: str | None = None,
     """Header + inferred types; format from the extension, CSV when the
     extension is unknown (S1, S2).
 
-    Quoted fields may hold separators, doubled quotes and line breaks; without
-    ``quoted_line_breaks`` a large file is read by several tasks. Texts of
+    Quoted fields may hold separators, doubled quotes and line breaks. Input of
+    more than one split is read by several tasks all the same (``quoted.py``),
+    unless its quoting is ill-formed; without ``quoted_line_breaks`` that needs
+    no pass over the quotes. Texts of
     ``NULL_TOKENS`` are missing in every column before types are inferred, so a
     number column with ``NA`` stays one. Inferred types: bigint, double,
     boolean, timestamp (ISO dates and times), else text."""
@@ -45,12 +48,21 @@ def read_table(spark: SparkSession, path: str, fmt: str | None = None,
               .option("multiLine", quoted_line_breaks).option("sep", "\t" if ext == "tsv" else ",").option("inferSchema", False))
     wanted = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
     text = reader.schema(T.StructType([T.StructField(f.name, T.StringType()) for f in wanted.fields])).csv(path) if wanted else reader.csv(path)
+    if quoted_line_breaks and _splits(spark, text) and spark.read.text(path).columns == ["value"]:
+        cut = read_quoted(spark, path, text.schema, "\t" if ext == "tsv" else ",")
+        text = text if cut is None else cut
     text = text.select(*[F.when(~F.trim(col(c)).isin(*NULL_TOKENS), col(c)).alias(c) for c in text.columns])
     if wanted:
         return text.select(*[col(f.name).try_cast(f.dataType).alias(f.name) for f in wanted.fields])
     return _typed(text) if infer else text
 
 
+def _splits(spark: SparkSession, files: DataFrame) -> bool:
+    """Whether the files together are larger than one split."""
+    most = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    return int(str(files._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > most
+
+
 def _typed(text: DataFrame) -> DataFrame:
     """Cast each text column to the narrowest type that all its values have."""
     if not text.columns:
