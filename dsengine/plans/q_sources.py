@@ -8,6 +8,7 @@ from dsengine.plans.fixtures import dirty, table, with_dirty
 from dsengine.plans.queries import register, rounded
 from dsengine.session import work_path
 from dsengine.sources import io
+from dsengine.sources.quoted import read_quoted
 
 
 @register("read_csv_roundtrip", """
@@ -22,6 +23,19 @@ def q_read_csv_roundtrip(spark, sf):
         F.count_distinct("o_custkey").alias("customers")), {"total_price": 2})
 
 
+@register("read_csv_quoted_splits", """
+SELECT doc_id, lang, source, n_chars, md5(text) AS text_md5 FROM documents""")
+def q_read_csv_quoted_splits(spark, sf):
+    """Texts with line breaks, separators and quotes, read back split by split."""
+    docs = table(spark, sf, "documents").select("doc_id", "lang", "source", "n_chars", "text")
+    path = work_path(spark, "documents-csv") + ".csv"
+    io.export_csv(docs, path)
+    back = read_quoted(spark, path, docs.schema)
+    if back is None:
+        back = io.read_table(spark, path, infer=False)
+    return back.select(F.col("doc_id").cast("bigint"), "lang", "source", F.col("n_chars").cast(docs.schema["n_chars"].dataType), F.md5("text").alias("text_md5"))
+
+
 @register("read_parquet_columns", """
 SELECT l_returnflag, l_linestatus, count(*) AS rows, round(sum(l_quantity), 2) AS qty
 FROM lineitem WHERE l_discount > 0.05 GROUP BY 1, 2""")
