@@ -40,6 +40,14 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(target)
 
 
+def is_kept(df: DataFrame) -> bool:
+    """Whether ``df`` is to be read as it is by an operator of several passes: its
+    caller has cached it, or it is more than the cores hold and reading it again is
+    cheaper than spilling it."""
+    cached = df.storageLevel != StorageLevel(False, False, False, False, 1)
+    return cached or plan_bytes(df) > PERSIST_BYTES * df.sparkSession.sparkContext.defaultParallelism
+
+
 @contextmanager
 def multi_pass(df: DataFrame, cols: list[str] | None = None, enabled: bool = True):
     if not enabled:

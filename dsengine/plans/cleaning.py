@@ -84,12 +84,12 @@ def clean(df: DataFrame, target: str | None = None, order_by: str | None = None,
         rep.append((step, column, metric, None if value is None else float(value), detail))
 
     # the head of the pipeline reads the input several times (counts,
-    # classification, types, dedup): spread and persist it until the
-    # deduplicated table is written
+    # classification, types, dedup): spread and persist one that the cores hold
+    # until the deduplicated table is written
     from pyspark import StorageLevel
-    from dsengine.functions.staging import spread
-    source = spread(df).persist(StorageLevel.MEMORY_AND_DISK)
-    df = source
+    from dsengine.functions.staging import is_kept, spread
+    source = None if is_kept(df) else spread(df).persist(StorageLevel.MEMORY_AND_DISK)
+    df = df if source is None else source
     rows_before, cols_before = df.count(), len(df.columns)
     add("input", None, "rows", rows_before)
     add("input", None, "columns", cols_before)
@@ -130,7 +130,7 @@ def clean(df: DataFrame, target: str | None = None, order_by: str | None = None,
     df = df.dropDuplicates()
     df = unique = materialize(df, "dedup", write_stages)
     n1 = df.count()
-    if write_stages:
+    if write_stages and source is not None:
         source.unpersist()
     counts.unpersist()
     add("dedup", None, "rows_removed", n0 - n1)
@@ -259,7 +259,8 @@ def clean(df: DataFrame, target: str | None = None, order_by: str | None = None,
     if not write_stages:
         df = df.persist(StorageLevel.MEMORY_AND_DISK)
         df.count()
-        source.unpersist()
+        if source is not None:
+            source.unpersist()
     after = df.count()
     add("final", None, "rows_removed_missing", before - after)
     add("output", None, "rows", after)
