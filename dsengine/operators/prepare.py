@@ -24,6 +24,7 @@ from dsengine.operators.onehot import VECTOR, SparseOneHot, fit_sparse
 
 HASH_BITS = 60            # 15 hex digits of md5
 BUCKET_HEX = 3            # 4096 buckets
+BROADCAST_CLASSES = 10_000  # classes whose boundaries go to every task
 
 
 def row_hash(key: list[str], seed: int = rules.SEED) -> Column:
@@ -187,8 +188,9 @@ def stratified_split(df: DataFrame, label: str, key: list[str],
     thousand prefixes of each class, the prefix that holds the class's quota
     boundary; only the rows of that prefix are ranked. The prefix is as long as
     it takes to hold about ``rank_limit`` rows, so a class with a third of all
-    rows never becomes one sorted window. Classes stay in DataFrames, in any
-    number. Falls back to the random split when a class has fewer than 2 rows;
+    rows never becomes one sorted window. Nor does it meet its boundary in one
+    task: few boundaries are broadcast, many are joined by class and prefix.
+    Classes stay in DataFrames, in any number. Falls back to the random split when a class has fewer than 2 rows;
     rows without a label form a class of their own."""
     text = F.concat_ws("|", *[col(k).cast("string") for k in key])
     full = F.md5(F.concat_ws("|", F.lit(str(seed)), *[col(k).cast("string") for k in key]))
@@ -210,7 +212,12 @@ def stratified_split(df: DataFrame, label: str, key: list[str],
     bounds = (per.where(F.col("__before") < F.col("__quota")).groupBy("__y")
               .agg(F.max("__p").alias("__bp"), F.max("__before").alias("__before"), F.max("__quota").alias("__quota"))
               .withColumnRenamed("__y", "__by"))
-    tagged = tagged.join(bounds, F.col("__y").eqNullSafe(F.col("__by")), "left")
+    if told["classes"] <= BROADCAST_CLASSES:
+        tagged = tagged.join(F.broadcast(bounds), F.col("__y").eqNullSafe(F.col("__by")), "left")
+    else:
+        pieces = (per.select(F.col("__y").alias("__py"), F.col("__p").alias("__pp"))
+                  .join(bounds, F.col("__py").eqNullSafe(F.col("__by")), "left"))
+        tagged = tagged.join(pieces, F.col("__y").eqNullSafe(F.col("__py")) & (F.col("__p") == F.col("__pp")), "left")
     at = F.coalesce(F.col("__p") == F.col("__bp"), F.lit(False))
     wr = Window.partitionBy("__y").orderBy("__md5", "__k")
     ranked = (tagged.where(at)

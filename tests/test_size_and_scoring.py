@@ -34,6 +34,29 @@ def test_stratified_split_ranks_inside_long_prefixes(spark):
     assert whole == fine and len(whole) == 600
 
 
+@pytest.mark.parametrize("few", [10_000, 0])
+def test_stratified_split_never_joins_by_class_alone(spark, monkeypatch, few):
+    monkeypatch.setattr(P, "BROADCAST_CLASSES", few, raising=False)
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        _split_without_skew(spark)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+
+
+def _split_without_skew(spark):
+    df = spark.range(4000).select("id", F.when(F.col("id") < 2500, "a").when(F.col("id") < 3500, "b").alias("y"))
+    out = P.stratified_split(df, "y", ["id"])
+    joins = [line for line in out._jdf.queryExecution().executedPlan().toString().splitlines() if "SortMergeJoin" in line]
+    assert all("__p#" in line for line in joins if "SortMergeJoin [coalesce(__y#" in line)
+    got = {tuple(r) for r in out.groupBy("y").agg(F.count("*"), F.count_if("is_test")).collect()}
+    assert got == {("a", 2500, 500), ("b", 1000, 200), (None, 500, 100)}
+    order = out.select("y", "is_test", F.md5(F.concat_ws("|", F.lit("42"), F.col("id").cast("string"))).alias("h"))
+    edge = order.groupBy("y").agg(F.max(F.when(F.col("is_test"), F.col("h"))).alias("a"), F.min(F.when(~F.col("is_test"), F.col("h"))).alias("b"))
+    assert edge.where("a < b").count() == 3
+
+
 def test_one_hot_of_5000_values(spark):
     df = spark.range(5000).select(F.format_string("v%05d", "id").alias("c"))
     model = P.fit_one_hot(df)
