@@ -25,6 +25,9 @@ from dsengine.functions.staging import drop_stage, write_stage
 
 #: Most pivots, most values of all pivots, test rows of a task.
 PIVOTS, PIVOT_VALUES, QUERIES = 4096, 1 << 21, 1 << 14
+#: Most train rows of a block, and of a cell for each feature: every part of a block's
+#: test rows meets the block's train rows, and every test row those of its cell.
+BLOCK, CELL = 1 << 16, 1 << 10
 #: Values that the exact distances of tied candidates are worked out from at once.
 PAIRS = 1 << 22
 #: Rounding that bounds allow for, relative to the size of the vectors.
@@ -174,17 +177,17 @@ def _search(cells: Cells, first: bool, d: int, k: int, tile: tuple[int, int]):
         x, ids, y, cell = _matrix(rows["__x"], d), rows["__id"].to_numpy(), rows["__y"].to_numpy(), rows["cell"].to_numpy()
         order = np.argsort(cell, kind="stable")
         x, ids, y, cell = x[order], ids[order], y[order], cell[order]
-        out = []
+        order = np.argsort(own, kind="stable")  # a tile of test rows needs few cells
+        q, qid, own, bound = q[order], qid[order], own[order], bound[order]
+        held, out = np.unique(cell), []
         for lo in range(0, len(q), tile[0]):
             part = slice(lo, lo + tile[0])
             p, last = q[part], bound[part].copy()
             needs = None if first else cells.crossed(p, own[part], last)
             row, at, dist = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-            for c in np.unique(cell):
+            for c in np.intersect1d(held, own[part]) if first else held[needs[:, held].any(0)]:
                 a, b = np.searchsorted(cell, [c, c + 1])
                 who = np.flatnonzero(own[part] == c if first else needs[:, c])
-                if not len(who):
-                    continue
                 r, i, s = _scan(p[who], last[who], x[a:b], ids[a:b], k, tile[1])
                 row, at, dist, place = _keep(np.append(row, who[r]), np.append(at, i + a), np.append(dist, s), ids, k)
                 full = place == k - 1
@@ -222,17 +225,19 @@ def nearest_rows(train: DataFrame, test: DataFrame, features: list[str], k: int,
     arr = F.array(*[F.col(f"`{c}`").cast("double") for c in features])
     q = test.select(F.col(id_col).cast("long").alias("__qid"), arr.alias("__x")).dropDuplicates(["__qid"])
     tr = train.select(F.col(id_col).cast("long").alias("__id"), arr.alias("__x"), F.col("label").cast("double").alias("__y"))
-    tr = tr.withColumn("__copy", F.row_number().over(Window.partitionBy("__x").orderBy("__id", "__y"))).where(F.col("__copy") <= k).drop("__copy")
-    block = max(1, block_values // max(d, 1))
+    copies = tr.withColumn("__copy", F.row_number().over(Window.partitionBy("__x").orderBy("__id", "__y")))
+    tr = copies.where(F.col("__copy") <= k).drop("__copy")
+    block = max(1, min(block_values // max(d, 1), BLOCK))
     n = train.count() if n_train is None else n_train
-    m = min(math.ceil(n / max(k, block // 8)), PIVOTS, max(1, PIVOT_VALUES // max(d, 1)))
+    m = 1 if n <= block // 8 else min(math.ceil(n / max(k, min(block // 8, CELL * d))), PIVOTS, max(1, PIVOT_VALUES // max(d, 1)))
     if m <= 1:
         one = Cells(np.zeros((1, d)), np.array([n]), np.array([np.inf]), k, max(n, 1))
         parts = max(1, math.ceil(test.count() / QUERIES))
         asked = q.select("*", F.lit(0).alias("own"), F.lit(float("inf")).alias("bound"), F.pmod(F.xxhash64("__qid"), F.lit(parts)).alias("part"))
         rows = tr.select("*", F.lit(0).alias("cell"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("part"))
         return _first_k(_cogroup(asked, rows, ["part"], _search(one, True, d, k, tile)), k)
-    pivots = np.array([r["__x"] for r in tr.select("__x").orderBy(F.xxhash64("__x"), "__id").limit(m).collect()], np.float64)
+    firsts = copies.where(F.col("__copy") == 1).select("__x", "__id")  # a second pivot in one place has an empty cell
+    pivots = np.array([r["__x"] for r in firsts.orderBy(F.xxhash64("__x"), "__id").limit(m).collect()], np.float64)
     stage = write_stage(tr.mapInArrow(_assign(pivots, d), "__id long, __x array<double>, __y double, cell int, far double"), "knn-cells")
     size, radius = np.zeros(len(pivots), np.int64), np.zeros(len(pivots))
     for r in stage.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("r")).collect():

@@ -159,7 +159,8 @@ def train_all(df: DataFrame, target: str, key: list[str] | None = None,
             if name.startswith("K-Nearest"):
                 kw.setdefault("id_col", ROW_ID)
             m = MD.fit(name, task, train, features, len(classes), **kw)
-            out = m.transform(test)
+            # written once: the metrics read the predictions several times
+            out = materialize(m.transform(test), "predicted")
             if task == "classification":
                 met = MT.classification_metrics(out, "label", "prediction").first()
                 auc = 0.0

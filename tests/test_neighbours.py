@@ -87,3 +87,22 @@ def test_nothing_of_the_tables_reaches_the_driver(spark):
     plan = N.nearest_rows(x, x, ["f0", "f1"], 3, "id", 60, (256, 8192))._jdf.queryExecution().toString()
     assert "CoGroup" in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
     assert spark.range(1).select(F.lit(1)).count() == 1
+
+
+def test_cells_stay_small_with_few_features(spark, monkeypatch):
+    """A test row meets the rows of a small cell, not most of the table."""
+    sizes = []
+
+    class Seen(N.Cells):
+        def __init__(self, pivots, size, *rest):
+            sizes.append(size)
+            super().__init__(pivots, size, *rest)
+            assert max(self.size.sum() // max(1, len(np.unique(self.block))), 1) <= N.BLOCK
+
+    monkeypatch.setattr(N, "Cells", Seen)
+    x = np.random.default_rng(4).integers(0, 10_000_000, (20_000, 1)).astype(float)
+    asked = x[::100] + 0.25
+    got = ours(frame(spark, x), frame(spark, asked), 1, 5, 5_000_000)
+    assert len(sizes[0]) > 1 and sizes[0].max() <= 16 * N.CELL
+    want = brute(x, np.arange(len(x)), asked, 5)
+    assert {q: [n for n, _ in v] for q, v in got.items()} == {q: [n for n, _ in v] for q, v in want.items()}
