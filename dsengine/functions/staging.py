@@ -11,6 +11,7 @@ executor are recomputed from the lineage.
 
 from __future__ import annotations
 
+import math
 from contextlib import contextmanager
 
 from pyspark import StorageLevel
@@ -23,6 +24,8 @@ from dsengine.session import work_path
 SPLIT_BYTES = 128 << 20
 #: input a core may keep for the passes of one operator
 PERSIST_BYTES = 1 << 30
+#: rows that a task holds in memory for the rounds of a fit
+TASK_BYTES = 32 << 20
 
 
 def plan_bytes(df: DataFrame) -> int:
@@ -40,6 +43,17 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(target)
 
 
+def spread_rows(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
+    """``df`` in tasks of bounded size when it is to be held in memory at ``row_bytes``
+    a row: columnar files may be far smaller than their rows, so splits by file size say
+    nothing of them. A table of one task's size, or in enough tasks, is left as it is."""
+    size = rows * row_bytes
+    if size <= TASK_BYTES:
+        return df
+    parts = max(math.ceil(size / TASK_BYTES), df.sparkSession.sparkContext.defaultParallelism)
+    return df if df.rdd.getNumPartitions() >= parts else df.repartition(parts)
+
+
 def is_kept(df: DataFrame) -> bool:
     """Whether ``df`` is to be read as it is by an operator of several passes: its
     caller has cached it, or it is more than the cores hold and reading it again is

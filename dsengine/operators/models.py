@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dsengine import rules
-from dsengine.functions.staging import drop_stage, write_stage
+from dsengine.functions.staging import drop_stage, spread_rows, write_stage
 from dsengine.operators.kernel import fit_landmarks, kernel_features
 from dsengine.operators.neighbours import nearest_rows
 from dsengine.operators.network import apply_network, fit_network
@@ -100,10 +100,21 @@ def _ml_transform(f: Fitted, df: DataFrame) -> DataFrame:
 def _fit_ml(name, task, est, train, features, n_classes=0, weight=False) -> Fitted:
     if weight and "__w" in train.columns:
         est = est.setWeightCol("__w")
-    model = est.fit(assemble(train, features))
+    model = est.fit(assemble(dealt(train, features), features))
     return Fitted(name, task, features, n_classes, model, transform_fn=_ml_transform)
 
 
+#: About what a fit keeps of a row in memory beside its values.
+ROW_BYTES = 128
+
+
+def dealt(train: DataFrame, features: list[str], values: int | None = None) -> DataFrame:
+    """``train`` in tasks of bounded size for a fit that keeps ``values`` numbers a row
+    (its features, if not given) and goes over them many times."""
+    kept = [c for c in train.columns if c in features or c in ("label", "__w")]
+    return spread_rows(train.select(*[F.col(f"`{c}`") for c in kept]), train.count(), ROW_BYTES + 8 * (values or len(features)))
+
+
 def scalars(name: str, features: list[str]) -> None:
     """Models that work on plain columns cannot read a sparse vector."""
     if VECTOR in features:
@@ -181,7 +192,7 @@ def fit_svm(train, features, n_classes, n_out=rules.LANDMARKS, max_iter=rules.KE
     labels. The kernel's measured error is in ``extra``."""
     scalars("Support Vector Machine", features)
     extra = fit_landmarks(train, features, n_out)
-    t = _kernel_frame(train, features, extra)
+    t = _kernel_frame(dealt(train, features, len(extra["landmarks"])), features, extra)
     svc = LinearSVC(maxIter=max_iter, regParam=1.0 / max(1, train.count()), featuresCol="__phi", standardization=False)
     est = svc if n_classes <= 2 else OneVsRest(classifier=svc, featuresCol="__phi")
     model = est.fit(t)
@@ -211,7 +222,7 @@ def fit_svr(train, features, n_out=rules.LANDMARKS, max_iter=rules.KERNEL_MAX_IT
     """Robust linear regression on landmark features of the RBF kernel."""
     scalars("Support Vector Regressor", features)
     extra = fit_landmarks(train, features, n_out)
-    model = LinearRegression(loss="huber", maxIter=max_iter, regParam=0.0, featuresCol="__phi").fit(_kernel_frame(train, features, extra))
+    model = LinearRegression(loss="huber", maxIter=max_iter, regParam=0.0, featuresCol="__phi").fit(_kernel_frame(dealt(train, features, len(extra["landmarks"])), features, extra))
     return Fitted("Support Vector Regressor", "regression", features, 0, model, extra, svr_transform)
 
 
@@ -396,8 +407,10 @@ def fit_adaboost_regressor(train, features, rounds=rules.N_TREES, checkpoint_eve
     """AdaBoost.R2 (linear loss) over weighted depth-3 regression trees."""
     from dsengine.plans.cleaning import materialize
     n = train.count()
-    cur = assemble(train.select(*[F.col(f"`{c}`") for c in features],
-                                F.col("label").cast("double").alias("label")), features)
+    some = dealt(train, features)
+    cur = assemble(some.select(*[F.col(f"`{c}`") for c in features],
+                               F.col("label").cast("double").alias("label")), features)
+    cur = materialize(cur, "adaboost_r2")  # dealt once, not in every round
     cur = cur.withColumn("__w", F.lit(1.0 / n))
     models, betas = [], []
     for m in range(rounds):

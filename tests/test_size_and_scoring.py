@@ -202,3 +202,19 @@ def test_scoring_rows_are_cleaned_like_training_rows(spark):
     result = api.train(cleaned.df, "y", models=["Linear Regression"])
     got = {r["gender"]: r["prediction"] for r in api.score(result, spark.createDataFrame([(1, " Male", 3.0), (1, "male", 3.0), (1, "MALE ", 3.0), (1, "Female", 3.0)], "row long, gender string, x double"), cleaned).collect()}
     assert got[" Male"] == got["male"] == got["MALE "] != got["Female"]
+
+
+def test_a_fit_is_dealt_by_what_it_keeps_of_its_rows(spark, monkeypatch):
+    """A small file of many rows does not become one task's cache."""
+    from dsengine.functions import staging
+    df = spark.range(4000).coalesce(1).select("id", (F.col("id") % 7).cast("double").alias("x"), (F.col("id") % 2).cast("double").alias("label"))
+    assert staging.spread_rows(df, 4000, 1000) is df
+    monkeypatch.setattr(staging, "TASK_BYTES", 1 << 15)
+    out = MD.dealt(df, ["x"])
+    assert out.rdd.getNumPartitions() >= 4000 * (MD.ROW_BYTES + 8) / (1 << 15)
+    assert sorted(out.columns) == ["label", "x"] and out.count() == 4000
+    seen = []
+    for fit in (MD.fit_forest_regressor, MD.fit_gbt_regressor, MD.fit_svr, MD.fit_adaboost_regressor):
+        monkeypatch.setattr(MD, "spread_rows", lambda d, rows, size: seen.append((rows, size)) or d)
+        fit(df, ["x"], **({"rounds": 2} if fit in (MD.fit_gbt_regressor, MD.fit_adaboost_regressor) else {"trees": 2, "depth": 2} if fit is MD.fit_forest_regressor else {}))
+    assert [rows for rows, _ in seen] == [4000] * 4 and seen[2][1] == MD.ROW_BYTES + 8 * 7
