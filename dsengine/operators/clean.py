@@ -334,9 +334,12 @@ def coerce_numeric(c: Column) -> Column:
 
 def coerce_datetime(c: Column, formats: list[str] | None = None) -> Column:
     """Text -> timestamp through a format list; unparsable -> null (C14)."""
-    formats = DATETIME_FORMATS if formats is None else formats
     s = F.trim(c.cast("string"))
-    return F.coalesce(*[F.try_to_timestamp(s, F.lit(fmt)) for fmt in formats])
+    found = F.coalesce(*[F.try_to_timestamp(s, F.lit(fmt)) for fmt in formats or DATETIME_FORMATS])
+    if formats is None:
+        # only one format has this shape, and each failed one costs an exception
+        found = F.when(s.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}\z"), F.try_to_timestamp(s, F.lit("yyyy-MM-dd"))).otherwise(found)
+    return found
 
 
 # --------------------------------------------------------------------------- C15-C17

@@ -212,6 +212,11 @@ def semantic_types(df: DataFrame, cardinality: DataFrame | None = None) -> DataF
     return _semantic_types(df, cardinality)
 
 
+#: Starts of trimmed texts that no number has: letters but those of NaN and infinity,
+#: digits before a dash, slash or colon.
+NO_NUMBER = r"^([A-HJ-MO-Za-hj-mo-z]|[iI][^nN]|[nN][^aA]|\d+[-/:])"
+
+
 def _semantic_types(df: DataFrame, card: DataFrame) -> DataFrame:
     cols = df.columns
     aggs, kinds = [], {}
@@ -238,7 +243,8 @@ def _semantic_types(df: DataFrame, card: DataFrame) -> DataFrame:
             datelike = F.lit(False)
             for pat in rules.DATE_TEXT_PATTERNS:
                 datelike = datelike | trimmed.rlike(pat)
-            castable = c.try_cast("double").isNotNull()
+            # a failed cast costs an exception: texts that cannot be numbers are not tried
+            castable = F.when(~trimmed.rlike(NO_NUMBER), c.try_cast("double").isNotNull()).otherwise(F.lit(False))
         else:
             datelike, castable = F.lit(False), F.lit(False)
         aggs += [F.count_if(present).alias(f"present__{i}"),

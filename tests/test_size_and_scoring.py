@@ -218,3 +218,17 @@ def test_a_fit_is_dealt_by_what_it_keeps_of_its_rows(spark, monkeypatch):
         monkeypatch.setattr(MD, "spread_rows", lambda d, rows, size: seen.append((rows, size)) or d)
         fit(df, ["x"], **({"rounds": 2} if fit in (MD.fit_gbt_regressor, MD.fit_adaboost_regressor) else {"trees": 2, "depth": 2} if fit is MD.fit_forest_regressor else {}))
     assert [rows for rows, _ in seen] == [4000] * 4 and seen[2][1] == MD.ROW_BYTES + 8 * 7
+
+
+def test_texts_that_cannot_be_numbers_or_other_dates_are_not_tried(spark):
+    """The short ways give what the tries give, on odd texts too."""
+    odd = ["1", " 1 ", "-1.5e3", "+.5", "1.", "1d", "2F", "0x1p3", "NaN", "nan", "Nope", "inf", "-inf", "Infinity", "iso", "In", "1-URGENT", "12:30", "1/2",
+           "e5", "F", "", " ", "\t7", "7\n", "1996-01-02", " 1996-01-02 ", "1996-02-30", "1996-1-2", "1996-01-02 03:04:05", "1996-01-02T03:04:05", "01/02/1996",
+           "1-2-1996", "13-02-1996", "1996/01/02", "1996-01-02\n", "0000-00-00", "\u0661\u0662"]
+    df = spark.createDataFrame([(x,) for x in odd], "t string")
+    wrong = df.where(F.trim("t").rlike(PF.NO_NUMBER) & F.col("t").try_cast("double").isNotNull())
+    assert wrong.count() == 0
+    assert df.where(F.trim("t").rlike(PF.NO_NUMBER)).count() >= 15
+    short, tried = C.coerce_datetime(F.col("t")), C.coerce_datetime(F.col("t"), C.DATETIME_FORMATS)
+    assert df.where(~short.eqNullSafe(tried)).count() == 0
+    assert "RLIKE" in df.select(short).schema.fields[0].name.upper()
