@@ -10,13 +10,13 @@ The error is measured against the exact kernel on other rows and kept with the m
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Rows that the error is measured on.
-MEASURED = 256
+#: Rows that the error is measured on, rows whose kernel values are held at once.
+MEASURED, STEP = 256, 512
 
 
 def rbf(x: np.ndarray, y: np.ndarray, gamma: float) -> np.ndarray:
@@ -55,15 +55,24 @@ def fit_landmarks(train: DataFrame, features: list[str], n: int) -> dict:
     return {"landmarks": marks.tolist(), "gamma": float(gamma), "kernel_error": mean, "kernel_error_max": most}
 
 
+def _features(x: np.ndarray, marks: np.ndarray, half: np.ndarray, gamma: float) -> np.ndarray:
+    """Features of the rows ``x``: beside them no more than ``STEP`` rows are in work."""
+    out = np.empty((len(x), half.shape[1]))
+    for lo in range(0, len(x), STEP):
+        out[lo:lo + STEP] = rbf(x[lo:lo + STEP], marks, gamma) @ half
+    return out
+
+
 def kernel_features(extra: dict, features: list[str]) -> Column:
-    """The feature vector of a row, as an Arrow-batched matrix product."""
+    """The feature vector of a row, as an Arrow-batched matrix product: the matrix is
+    handed on as it is, no row becomes an object."""
     marks, gamma = np.array(extra["landmarks"], np.float64).reshape(len(extra["landmarks"]), -1), extra["gamma"]
     half = root(marks, gamma)
 
-    @F.pandas_udf("array<double>")
-    def phi(x: pd.Series) -> pd.Series:
-        if len(x) == 0:
-            return pd.Series([], dtype=object)
-        return pd.Series(list(rbf(np.vstack(x.to_numpy()).astype(np.float64), marks, gamma) @ half))
+    @F.arrow_udf("array<double>")
+    def phi(x: pa.Array) -> pa.Array:
+        rows = np.asarray(x.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(x), marks.shape[1])
+        out = _features(rows, marks, half, gamma)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * half.shape[1], pa.int32()), pa.array(out.ravel()))
 
     return array_to_vector(phi(_array(features)))

@@ -29,7 +29,7 @@ PIVOTS, PIVOT_VALUES, QUERIES = 4096, 1 << 21, 1 << 14
 #: test rows meets the block's train rows, and every test row those of its cell.
 BLOCK, CELL = 1 << 16, 1 << 10
 #: Values that the exact distances of tied candidates are worked out from at once.
-PAIRS = 1 << 22
+PAIRS = 1 << 19
 #: Rounding that bounds allow for, relative to the size of the vectors.
 SLACK = 1e-6
 FOUND = "__qid long, __d double, __nid long, __ny double"

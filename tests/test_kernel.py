@@ -74,3 +74,19 @@ def test_one_value_everywhere(spark):
     extra = kernel.fit_landmarks(df, ["f0", "f1"], 8)
     assert len(extra["landmarks"]) == 1 and np.allclose(features(df, extra, 2) ** 2, 1)
     assert MD.fit("Support Vector Regressor", "regression", df, ["f0", "f1"]).transform(df).agg(F.count("prediction")).first()[0] == 20
+
+
+def test_features_hold_few_rows_beside_the_result():
+    """A batch's kernel values and exponents are not held whole, whatever its rows."""
+    import tracemalloc
+
+    from dsengine.operators import kernel
+    r = np.random.default_rng(6)
+    marks, x = r.standard_normal((256, 20)), r.standard_normal((10_000, 20))
+    half = kernel.root(marks, 0.05)
+    tracemalloc.start()
+    got = kernel._features(x, marks, half, 0.05)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < got.nbytes + (8 << 20)
+    assert np.allclose(got, kernel.rbf(x, marks, 0.05) @ half, rtol=1e-12, atol=1e-12)

@@ -106,3 +106,14 @@ def test_cells_stay_small_with_few_features(spark, monkeypatch):
     assert len(sizes[0]) > 1 and sizes[0].max() <= 16 * N.CELL
     want = brute(x, np.arange(len(x)), asked, 5)
     assert {q: [n for n, _ in v] for q, v in got.items()} == {q: [n for n, _ in v] for q, v in want.items()}
+
+
+def test_tied_candidates_are_measured_in_small_parts():
+    import tracemalloc
+    x, q = np.ones((8192, 256)), np.zeros((4, 256))
+    tracemalloc.start()
+    row, at, dist = N._scan(q, np.full(4, np.inf), x, np.arange(8192), 5, 8192)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 40 << 20
+    assert at.tolist() == [0, 1, 2, 3, 4] * 4 and set(dist) == {256.0}
