@@ -6,11 +6,16 @@ location makes the query restartable after a failure."""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 
 from dsengine.plans.train import ScoringBundle, score
 from dsengine.session import work_path
 
+#: Most records of a dropped file, about: a task deals, reads and scores that many.
+FILE_ROWS = 1 << 19
+
 
 def start_scoring_stream(bundle: ScoringBundle, spark, source_dir: str, schema,
                          sink_dir: str, checkpoint_dir: str, fmt: str = "parquet",
@@ -38,6 +43,11 @@ def _start(bundle, stream, sink_dir, checkpoint_dir, available_now, id_col):
     return writer.start()
 
 
+def _dealt(records: DataFrame, files: int) -> DataFrame:
+    """``records`` in ``files`` parts, or more where those would hold over ``FILE_ROWS``."""
+    return records.repartition(max(files, math.ceil(records.count() / FILE_ROWS)))
+
+
 def score_stream(bundle: ScoringBundle, records: DataFrame, id_col: str | None = None,
                  files: int = 4) -> DataFrame:
     """Drop ``records`` as files into a fresh source folder, run the
@@ -46,7 +56,7 @@ def score_stream(bundle: ScoringBundle, records: DataFrame, id_col: str | None =
     spark = records.sparkSession
     src, sink, ckpt = (work_path(spark, "stream-src"), work_path(spark, "stream-out"),
                        work_path(spark, "stream-ckpt"))
-    records.repartition(files).write.mode("overwrite").parquet(src)
+    _dealt(records, files).write.mode("overwrite").parquet(src)
     q = start_scoring_stream(bundle, spark, src, records.schema, sink, ckpt, id_col=id_col)
     q.awaitTermination()
     return spark.read.parquet(sink).drop("__batch")
@@ -63,8 +73,8 @@ def score_json_stream(bundle: ScoringBundle, records: DataFrame, id_col: str | N
     src, sink, ckpt = (work_path(spark, "json-src"), work_path(spark, "json-out"),
                        work_path(spark, "json-ckpt"))
     schema = records.schema
-    records.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in records.columns])).alias("value")) \
-        .repartition(files).write.mode("overwrite").text(src)
+    lines = records.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in records.columns])).alias("value"))
+    _dealt(lines, files).write.mode("overwrite").text(src)
     parsed = (spark.readStream.text(src)
               .select(F.from_json("value", schema).alias("r")).select("r.*"))
     q = _start(bundle, parsed, sink, ckpt, True, id_col)

@@ -98,3 +98,19 @@ def test_text_dates_modelled_as_days(spark):
     assert res.metrics.first()["r2_score"] > 0.99
     scored = TR.score(TR.ScoringBundle.from_result(res), df.drop("y").limit(5)).collect()
     assert all(r["error"] is None and r["prediction"] is not None for r in scored)
+
+
+def test_streamed_records_are_dropped_in_files_of_bounded_size(spark, monkeypatch, tmp_path):
+    """Many records make more files than asked for, so that no task's share grows with the table."""
+    import dsengine.streaming.scoring as SC
+    monkeypatch.setattr(SC, "FILE_ROWS", 100, raising=False)
+    df = spark.range(2000).select("id", (F.col("id") % 10).cast("double").alias("x"), F.when(F.col("id") % 10 < 5, "a").otherwise("b").alias("y"))
+    res = TR.train_all(df, "y", ["id"], models=["Decision Tree Classifier"])
+    bundle = TR.ScoringBundle.from_result(res)
+    for name, run in (("stream-src", SC.score_stream), ("json-src", SC.score_json_stream)):
+        monkeypatch.setattr(SC, "work_path", lambda _, kind, run=run: f"{tmp_path}/{run.__name__}/{kind}")
+        out = run(bundle, df.drop("y"))
+        src = f"{tmp_path}/{run.__name__}/{name}"
+        held = (spark.read.parquet(src) if name == "stream-src" else spark.read.text(src)).groupBy(F.input_file_name()).count()
+        assert held.agg(F.max("count")).first()[0] <= 110 and held.count() == 20
+        assert {(r["id"], r["prediction"]) for r in out.collect()} == {(i, "a" if i % 10 < 5 else "b") for i in range(2000)}
