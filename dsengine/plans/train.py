@@ -176,8 +176,10 @@ def train_all(df: DataFrame, target: str, key: list[str] | None = None,
 
     # small fits mostly wait for their next job: a few run side by side
     with ThreadPoolExecutor(max_workers=rules.FITS_AT_ONCE) as pool:
-        work = [pool.submit(inheritable_thread_target(spark)(one), name) for name in names]
-        results = [w.result() for w in work]
+        # in the order of the line-up, a model of many rounds would be alone at the end
+        begun = sorted(dict.fromkeys(names), key=lambda n: n not in rules.FIT_FIRST)
+        work = {name: pool.submit(inheritable_thread_target(spark)(one), name) for name in begun}
+        results = [work[name].result() for name in names]
     fitted, errors, rows, preds = {}, {}, [], {}
     for i, (name, (m, out, metrics, error)) in enumerate(zip(names, results)):
         rows.append((name, i, *metrics, error[:500] if error else None))

@@ -111,6 +111,8 @@ MAX_ITER = 1000
 KNN_K = 5
 #: models that train_all fits side by side
 FITS_AT_ONCE = 4
+#: models of many small rounds, each waiting for the one before: train_all begins with them
+FIT_FIRST = ["Gradient Boosting Regressor", "AdaBoost Regressor", "Support Vector Regressor", "Neural Network Regressor"]
 #: text columns with more values are one sparse vector, not a column a value
 ONE_HOT_COLUMNS = 1000
 MLP_HIDDEN = [100, 50]
